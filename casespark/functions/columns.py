@@ -61,3 +61,10 @@ def round6(c) -> Column:
 
 def set_size(arr) -> Column:
     return F.size(F.array_distinct(_c(arr)))
+
+
+def finalize(df, digits: int = 6):
+    """Final projection contract: doubles rounded, everything else unchanged."""
+    from pyspark.sql.types import DoubleType, FloatType
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
+                       else F.col(f.name) for f in df.schema.fields])

@@ -153,9 +153,9 @@ FROM (
           FOR j IN range(10)] AS ranked
   FROM case_labels, (VALUES (1), (2), (3)) r(round))""")
 
-_ITEMS = "'[' || array_to_string(list_transform({a}, x -> '\"' || x || '\"'), ', ') || ']'"
-_ITEMS_D = "'[' || array_to_string(list_transform({a}, x -> '\"' || x || ':dx\"'), ', ') || ']'"
-_ITEMS_E = "'[' || array_to_string(list_transform({a}, x -> '\"E' || x || '\"'), ', ') || ']'"
+_ITEMS = "'[' || array_to_string(list_transform({a}, lambda x: '\"' || x || '\"'), ', ') || ']'"
+_ITEMS_D = "'[' || array_to_string(list_transform({a}, lambda x: '\"' || x || ':dx\"'), ', ') || ']'"
+_ITEMS_E = "'[' || array_to_string(list_transform({a}, lambda x: 'E' || x), ', ') || ']'"
 
 
 def _items(a, kind=_ITEMS):
