@@ -301,3 +301,49 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
         (F.length("response") / 4).cast("long").alias("completion_tokens"),
         F.when(F.col("think"), (cid % 50 + 100).cast("long")).alias("reasoning_tokens"),
     )
+
+
+# --------------------------------------------------------------------- history / exam / microbiology
+def past_history(spark: SparkSession, d: str) -> DataFrame:
+    """Past-history rows per stay from conversation turns (duplicates and 'Performed' rows included)."""
+    t = F.col("turn")
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").alias("patientunitstayid"), t.alias("ord"),
+        F.concat(F.lit("notes/Progress Notes/Past History/Organ Systems/"), F.col("role"), F.lit("/item "),
+                 (t % 3).cast("string")).alias("pasthistorypath"),
+        F.when(t % 4 == 0, "Performed").otherwise(F.col("role")).alias("pasthistoryvalue"),
+        F.when(t % 4 == 0, "Performed").when(t % 5 == 0, F.lit(None).cast("string"))
+         .otherwise(F.col("role")).alias("pasthistoryvaluetext"),
+    )
+
+
+def physical_exam(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn")
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").alias("patientunitstayid"), t.alias("ord"),
+        F.concat(F.lit("notes/Progress Notes/Physical Exam/Physical Exam/"), F.col("role"), F.lit("/finding "),
+                 (t % 3).cast("string")).alias("physicalexampath"),
+        F.when(t % 3 == 0, "Performed - Structured").otherwise(F.col("role")).alias("physicalexamvalue"),
+        F.col("text").alias("physicalexamtext"),
+    )
+
+
+def micro(spark: SparkSession, d: str) -> DataFrame:
+    """Microbiology rows for the first 500 encounters."""
+    e = F.col("event_id")
+    ev = table(spark, d, "events").select(
+        e.alias("microevent_id"), (e % 500).alias("hadm_id"),
+        F.concat(F.lit("test "), (e % 6).cast("string")).alias("test_name"),
+        F.when(e % 13 == 0, "CANCELLED culture").when(e % 4 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("ORG "), (e % 5).cast("string"))).alias("org_name"),
+        F.when(e % 7 != 0, e % 9).alias("ab_itemid"),
+        F.when(e % 7 != 0, F.concat(F.lit("AB "), (e % 9).cast("string"))).alias("ab_name"),
+        F.element_at(F.array(F.lit("S"), F.lit("I"), F.lit("R"), F.lit("P")), (e % 4 + 1).cast("int")).alias("interpretation"),
+        F.when(e % 19 == 0, "___ pending").when(e % 17 == 0, "Note").alias("comments"),
+        ((e / 500).cast("long") % 20).cast("int").alias("day"), (e % 24).cast("int").alias("hour"),
+    )
+    enc = encounters(spark, d).filter(F.col("hadm_id") < 500).select("hadm_id", "subject_id", "admittime")
+    return (ev.join(F.broadcast(enc), "hadm_id")
+            .select("microevent_id", "subject_id", "hadm_id",
+                    F.timestamp_add("HOUR", F.col("hour"), F.timestamp_add("DAY", F.col("day"), F.col("admittime"))).alias("charttime"),
+                    "test_name", "org_name", "ab_itemid", "ab_name", "interpretation", "comments"))

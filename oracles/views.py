@@ -210,3 +210,30 @@ def with_views(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+_v("past_history", [], """
+SELECT conv_id AS patientunitstayid, turn AS ord,
+       'notes/Progress Notes/Past History/Organ Systems/' || role || '/item ' || CAST(turn % 3 AS VARCHAR) AS pasthistorypath,
+       CASE WHEN turn % 4 = 0 THEN 'Performed' ELSE role END AS pasthistoryvalue,
+       CASE WHEN turn % 4 = 0 THEN 'Performed' WHEN turn % 5 = 0 THEN NULL ELSE role END AS pasthistoryvaluetext
+FROM conversations""")
+
+_v("physical_exam", [], """
+SELECT conv_id AS patientunitstayid, turn AS ord,
+       'notes/Progress Notes/Physical Exam/Physical Exam/' || role || '/finding ' || CAST(turn % 3 AS VARCHAR) AS physicalexampath,
+       CASE WHEN turn % 3 = 0 THEN 'Performed - Structured' ELSE role END AS physicalexamvalue,
+       text AS physicalexamtext
+FROM conversations""")
+
+_v("micro", ["encounters"], """
+SELECT e.event_id AS microevent_id, n.subject_id, e.event_id % 500 AS hadm_id,
+       n.admittime + CAST((e.event_id // 500) % 20 AS INTEGER) * INTERVAL 1 DAY + CAST(e.event_id % 24 AS INTEGER) * INTERVAL 1 HOUR AS charttime,
+       'test ' || CAST(e.event_id % 6 AS VARCHAR) AS test_name,
+       CASE WHEN e.event_id % 13 = 0 THEN 'CANCELLED culture' WHEN e.event_id % 4 = 0 THEN NULL
+            ELSE 'ORG ' || CAST(e.event_id % 5 AS VARCHAR) END AS org_name,
+       CASE WHEN e.event_id % 7 <> 0 THEN e.event_id % 9 END AS ab_itemid,
+       CASE WHEN e.event_id % 7 <> 0 THEN 'AB ' || CAST(e.event_id % 9 AS VARCHAR) END AS ab_name,
+       ['S', 'I', 'R', 'P'][e.event_id % 4 + 1] AS interpretation,
+       CASE WHEN e.event_id % 19 = 0 THEN '___ pending' WHEN e.event_id % 17 = 0 THEN 'Note' END AS comments
+FROM events e JOIN encounters n ON n.hadm_id = e.event_id % 500""")
