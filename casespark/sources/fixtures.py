@@ -211,7 +211,7 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(
         F.lit("EXAMINATION: CHEST\nFINDINGS: "), F.col("text"), F.lit("\nIMPRESSION: "), F.col("source"),
         F.when(k % 3 == 0, F.lit("\nFINDINGS: addendum\nIMPRESSION: final")).otherwise(F.lit("")))
-    return table(spark, d, "documents").select(k.alias("report_id"), (k % 500).alias("hadm_id"), text.alias("text"))
+    return table(spark, d, "documents").select(k.alias("report_id"), (k % 700).alias("hadm_id"), text.alias("text"))
 
 
 # --------------------------------------------------------------------- labels, predictions, responses
@@ -347,3 +347,50 @@ def micro(spark: SparkSession, d: str) -> DataFrame:
             .select("microevent_id", "subject_id", "hadm_id",
                     F.timestamp_add("HOUR", F.col("hour"), F.timestamp_add("DAY", F.col("day"), F.col("admittime"))).alias("charttime"),
                     "test_name", "org_name", "ab_itemid", "ab_name", "interpretation", "comments"))
+
+
+# --------------------------------------------------------------------- transfers / triage / images
+def transfers(spark: SparkSession, d: str) -> DataFrame:
+    """One transfer per order line: in at ship date, out after linenumber hours."""
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("hadm_id"), F.col("l_linenumber").alias("transfer_seq"),
+        F.col("l_shipdate").alias("intime"),
+        F.timestamp_add("HOUR", F.col("l_linenumber"), F.col("l_shipdate")).alias("outtime"),
+        F.when(F.col("l_linestatus") == "F", "ICU").otherwise("WARD").alias("careunit"))
+
+
+def triage(spark: SparkSession, d: str) -> DataFrame:
+    """Several triage rows per ED stay (stay_id = order key, none for key % 5 == 0)."""
+    k = F.col("l_orderkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, d, "lineitem").filter(k % 5 != 0).select(
+        k.alias("stay_id"), F.row_number().over(w).cast("int").alias("ord"),
+        (F.lit(36.0) + F.col("l_discount") * 10).alias("temperature"),
+        (F.lit(60.0) + F.col("l_quantity")).alias("heartrate"),
+        (F.lit(12) + F.col("l_linenumber")).cast("double").alias("resprate"),
+        (F.lit(90.0) + F.col("l_tax") * 100).alias("o2sat"),
+        (F.lit(100) + F.col("l_partkey") % 60).cast("double").alias("sbp"),
+        (F.lit(60) + F.col("l_suppkey") % 30).cast("double").alias("dbp"),
+        (F.col("l_linenumber") % 5 + 1).cast("int").alias("acuity"),
+        F.when(F.col("l_partkey") % 7 == 0, F.lit(None).cast("string"))
+         .otherwise((F.col("l_partkey") % 11).cast("string")).alias("pain"),
+        F.concat(F.col("l_returnflag"), F.lit("-"), F.col("l_linestatus")).alias("chiefcomplaint"))
+
+
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """Image split rows (study id missing for every ninth page)."""
+    p = F.col("page_id")
+    return table(spark, d, "pages").select(
+        p.alias("dicom_id"), (p % 37).alias("subject_id"),
+        F.when(p % 9 != 0, p % 50).alias("study_id"),
+        F.when(p % 2 == 0, "train").otherwise("test").alias("split"))
+
+
+def image_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata rows (a quarter missing); StudyDate yyyymmdd, StudyTime HHMMSS.ff as double."""
+    p = F.col("page_id")
+    return table(spark, d, "pages").filter(p % 4 != 0).select(
+        p.alias("dicom_id"), (p % 37).alias("subject_id"),
+        F.when(p % 9 != 0, p % 50).alias("study_id"),
+        (F.lit(20240101) + p % 28).cast("long").alias("StudyDate"),
+        (((p % 24) * 10000 + (p % 60) * 100 + (p % 59)).cast("double") + F.lit(0.25)).alias("StudyTime"))

@@ -126,7 +126,7 @@ SELECT doc_id AS note_id, doc_id % 500 AS hadm_id,
 FROM documents""")
 
 _v("reports", [], """
-SELECT doc_id AS report_id, doc_id % 500 AS hadm_id,
+SELECT doc_id AS report_id, doc_id % 700 AS hadm_id,
        'EXAMINATION: CHEST' || chr(10) || 'FINDINGS: ' || text || chr(10) || 'IMPRESSION: ' || source
        || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'FINDINGS: addendum' || chr(10) || 'IMPRESSION: final' ELSE '' END AS text
 FROM documents""")
@@ -237,3 +237,31 @@ SELECT e.event_id AS microevent_id, n.subject_id, e.event_id % 500 AS hadm_id,
        ['S', 'I', 'R', 'P'][e.event_id % 4 + 1] AS interpretation,
        CASE WHEN e.event_id % 19 = 0 THEN '___ pending' WHEN e.event_id % 17 = 0 THEN 'Note' END AS comments
 FROM events e JOIN encounters n ON n.hadm_id = e.event_id % 500""")
+
+
+_v("transfers", [], """
+SELECT l_orderkey AS hadm_id, l_linenumber AS transfer_seq, l_shipdate AS intime,
+       l_shipdate + l_linenumber * INTERVAL 1 HOUR AS outtime,
+       CASE WHEN l_linestatus = 'F' THEN 'ICU' ELSE 'WARD' END AS careunit
+FROM lineitem""")
+
+_v("triage", [], """
+SELECT l_orderkey AS stay_id,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS ord, 36.0 + l_discount * 10 AS temperature, 60.0 + l_quantity AS heartrate,
+       CAST(12 + l_linenumber AS DOUBLE) AS resprate, 90.0 + l_tax * 100 AS o2sat,
+       CAST(100 + l_partkey % 60 AS DOUBLE) AS sbp, CAST(60 + l_suppkey % 30 AS DOUBLE) AS dbp,
+       CAST(l_linenumber % 5 + 1 AS INTEGER) AS acuity,
+       CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_partkey % 11 AS VARCHAR) END AS pain,
+       l_returnflag || '-' || l_linestatus AS chiefcomplaint
+FROM lineitem WHERE l_orderkey % 5 <> 0""")
+
+_v("images", [], """
+SELECT page_id AS dicom_id, page_id % 37 AS subject_id, CASE WHEN page_id % 9 <> 0 THEN page_id % 50 END AS study_id,
+       CASE WHEN page_id % 2 = 0 THEN 'train' ELSE 'test' END AS split
+FROM pages""")
+
+_v("image_meta", [], """
+SELECT page_id AS dicom_id, page_id % 37 AS subject_id, CASE WHEN page_id % 9 <> 0 THEN page_id % 50 END AS study_id,
+       CAST(20240101 + page_id % 28 AS BIGINT) AS "StudyDate",
+       CAST((page_id % 24) * 10000 + (page_id % 60) * 100 + (page_id % 59) AS DOUBLE) + 0.25 AS "StudyTime"
+FROM pages WHERE page_id % 4 <> 0""")
