@@ -21,5 +21,5 @@ def query(name: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # import for side effect: every plan module registers its queries
-    from casespark.plans import clean_q, cohort_q, hierarchy_q, joins_q, metrics_q, report_q  # noqa: F401
+    from casespark.plans import clean_q, cohort_q, hierarchy_q, joins_q, metrics_q, report_q, text_q  # noqa: F401
     return dict(REGISTRY)

@@ -196,6 +196,7 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
         "\n",
         F.when(k % 7 != 1, F.concat(F.lit("History of Present Illness:\n"), F.col("text"))),
         F.concat(F.lit("Past Medical History:\nlanguage "), F.col("lang"), F.lit(", source "), F.col("source")),
+        F.lit("Social History:\nlives alone"),
         F.when(k % 7 != 2, exam),
         F.lit("Pertinent Results:\nsee labs"),
         F.concat(F.lit("Discharge Diagnosis:\n"), F.col("source")),
@@ -338,7 +339,8 @@ def micro(spark: SparkSession, d: str) -> DataFrame:
          .otherwise(F.concat(F.lit("ORG "), (e % 5).cast("string"))).alias("org_name"),
         F.when(e % 7 != 0, e % 9).alias("ab_itemid"),
         F.when(e % 7 != 0, F.concat(F.lit("AB "), (e % 9).cast("string"))).alias("ab_name"),
-        F.element_at(F.array(F.lit("S"), F.lit("I"), F.lit("R"), F.lit("P")), (e % 4 + 1).cast("int")).alias("interpretation"),
+        F.when(e % 3 == 0, "BLOOD CULTURE").when(e % 3 == 1, "URINE").alias("spec_type_desc"),
+        F.when(e % 10 != 0, F.element_at(F.array(F.lit("S"), F.lit("I"), F.lit("R"), F.lit("P")), (e % 4 + 1).cast("int"))).alias("interpretation"),
         F.when(e % 19 == 0, "___ pending").when(e % 17 == 0, "Note").alias("comments"),
         ((e / 500).cast("long") % 20).cast("int").alias("day"), (e % 24).cast("int").alias("hour"),
     )
@@ -346,7 +348,7 @@ def micro(spark: SparkSession, d: str) -> DataFrame:
     return (ev.join(F.broadcast(enc), "hadm_id")
             .select("microevent_id", "subject_id", "hadm_id",
                     F.timestamp_add("HOUR", F.col("hour"), F.timestamp_add("DAY", F.col("day"), F.col("admittime"))).alias("charttime"),
-                    "test_name", "org_name", "ab_itemid", "ab_name", "interpretation", "comments"))
+                    "test_name", "spec_type_desc", "org_name", "ab_itemid", "ab_name", "interpretation", "comments"))
 
 
 # --------------------------------------------------------------------- transfers / triage / images

@@ -118,6 +118,7 @@ SELECT doc_id AS note_id, doc_id % 500 AS hadm_id,
        concat_ws(chr(10),
          CASE WHEN doc_id % 7 <> 1 THEN 'History of Present Illness:' || chr(10) || text END,
          'Past Medical History:' || chr(10) || 'language ' || lang || ', source ' || source,
+         'Social History:' || chr(10) || 'lives alone',
          CASE WHEN doc_id % 7 <> 2 THEN 'Physical Exam:' || chr(10) || 'General: ' || CAST(n_chars AS VARCHAR) || ' characters'
               || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Discharge exam: stable' ELSE '' END END,
          'Pertinent Results:' || chr(10) || 'see labs',
@@ -234,7 +235,8 @@ SELECT e.event_id AS microevent_id, n.subject_id, e.event_id % 500 AS hadm_id,
             ELSE 'ORG ' || CAST(e.event_id % 5 AS VARCHAR) END AS org_name,
        CASE WHEN e.event_id % 7 <> 0 THEN e.event_id % 9 END AS ab_itemid,
        CASE WHEN e.event_id % 7 <> 0 THEN 'AB ' || CAST(e.event_id % 9 AS VARCHAR) END AS ab_name,
-       ['S', 'I', 'R', 'P'][e.event_id % 4 + 1] AS interpretation,
+       CASE WHEN e.event_id % 3 = 0 THEN 'BLOOD CULTURE' WHEN e.event_id % 3 = 1 THEN 'URINE' END AS spec_type_desc,
+       CASE WHEN e.event_id % 10 <> 0 THEN ['S', 'I', 'R', 'P'][e.event_id % 4 + 1] END AS interpretation,
        CASE WHEN e.event_id % 19 = 0 THEN '___ pending' WHEN e.event_id % 17 = 0 THEN 'Note' END AS comments
 FROM events e JOIN encounters n ON n.hadm_id = e.event_id % 500""")
 
