@@ -68,3 +68,12 @@ def finalize(df, digits: int = 6):
     from pyspark.sql.types import DoubleType, FloatType
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
                        else F.col(f.name) for f in df.schema.fields])
+
+
+def let(expr, fn):
+    """Bind ``expr`` once and use it several times inside ``fn`` (a lambda over the value).
+
+    Catalyst substitutes aliases when it pushes filters or collapses projections,
+    so an expensive expression referenced twice is evaluated twice; a one-element
+    ``transform`` keeps a single evaluation."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)

@@ -21,6 +21,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# local runs only: the driver JVM is the executor
+_LOCAL_DEFAULTS = {"spark.driver.memory": "8g"}
 
 
 def get_spark(master: str | None = None, app: str = "casespark",
@@ -29,6 +31,8 @@ def get_spark(master: str | None = None, app: str = "casespark",
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULTS)
+    if master and master.startswith("local"):
+        conf.update(_LOCAL_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
