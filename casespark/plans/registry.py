@@ -21,5 +21,6 @@ def query(name: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # import for side effect: every plan module registers its queries
-    from casespark.plans import clean_q, cohort_q, hierarchy_q, joins_q, metrics_q, report_q, responses_q, text_q  # noqa: F401
+    from casespark.plans import (clean_q, cohort_q, hierarchy_q, io_q, joins_q, metrics_q, report_q,  # noqa: F401
+                                 responses_q, text_q)
     return dict(REGISTRY)
