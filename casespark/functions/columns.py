@@ -77,3 +77,30 @@ def let(expr, fn):
     so an expensive expression referenced twice is evaluated twice; a one-element
     ``transform`` keeps a single evaluation."""
     return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+# 32-bit integer mixer ("lowbias32" constants) and the golden-ratio step.
+_M32 = 0xFFFFFFFF
+_MIX_A, _MIX_B, _GOLDEN = 0x7FEB352D, 0x846CA68B, 0x9E3779B9
+
+
+def _mul32(h: Column, c: int) -> Column:
+    """(h * c) mod 2^32 without 64-bit overflow (ANSI mode raises on overflow)."""
+    lo = h * F.lit(c & 0xFFFF)
+    hi = (h * F.lit(c >> 16)).bitwiseAND(F.lit(0xFFFF)) * F.lit(65536)
+    return (lo + hi).bitwiseAND(F.lit(_M32))
+
+
+def mix32(x: Column) -> Column:
+    """Avalanche a 32-bit value held in a long (every output bit depends on every input bit)."""
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    x = _mul32(x, _MIX_A)
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    x = _mul32(x, _MIX_B)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def stream_draw(base: Column, i: Column) -> Column:
+    """i-th 32-bit draw of a per-row stream seeded by ``base`` (e.g. one md5 draw per row):
+    cheap integer ops instead of one md5 per (row, i)."""
+    return mix32((base + (i.cast("long") * F.lit(_GOLDEN)).bitwiseAND(F.lit(_M32))).bitwiseAND(F.lit(_M32)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casespark.functions.columns import md5_draw, safe_ratio
+from casespark.functions.columns import md5_draw, safe_ratio, stream_draw
 
 
 def _c(c):
@@ -305,9 +305,8 @@ def _poisson_thresholds(kmax: int = 12):
 POISSON1_THRESHOLDS = _poisson_thresholds()
 
 
-def poisson_weight(seed, rep, key) -> Column:
-    """Poisson(1) draw by inverse CDF on an md5 uniform: exact integer thresholds."""
-    u = md5_draw(seed, rep, key)
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) draw by inverse CDF of a uniform 32-bit integer: exact integer thresholds."""
     w = F.lit(len(POISSON1_THRESHOLDS))
     for k in reversed(range(len(POISSON1_THRESHOLDS))):
         w = F.when(u < F.lit(POISSON1_THRESHOLDS[k]), F.lit(k)).otherwise(w)
@@ -324,7 +323,9 @@ def bootstrap_ci(scores: DataFrame, score_cols: list[str], key: str = "case_id",
     on the replicate id.  Output: metric, value, lo, hi."""
     lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
     rep = F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep")
-    fan = scores.select(key, *score_cols, rep).withColumn("w", poisson_weight(seed, F.col("rep"), F.col(key)))
+    # one md5 per case seeds a cheap integer stream over the replicates
+    fan = (scores.withColumn("_base", md5_draw(seed, F.col(key))).select(key, "_base", *score_cols, rep)
+           .withColumn("w", poisson_weight(stream_draw(F.col("_base"), F.col("rep")))))
     per_rep = fan.groupBy("rep").agg(F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in score_cols])
     means = per_rep.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("metric"), safe_ratio(F.col(c), F.col("sw")).alias("m")) for c in score_cols])).alias("x")

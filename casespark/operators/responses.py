@@ -116,19 +116,22 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
                 .withColumn("final", F.when(ok, code_of_item("_f", strip=False)))
                 .drop("_cand", "_method", "_p", "_r", "_f"))
     # ----- last_match profile: every intermediate is its own column so each regex runs once
-    x = (log.withColumn("_fenced", fenced)
-         .withColumn("_stripped", strip_ws(r))
-         .withColumn("_lines", F.filter(F.transform(F.split(r, "\n"), lambda l: strip_ws(l)),
-                                        lambda l: l.startswith("{") & l.endswith("}")))
-         .withColumn("_greedy", F.regexp_extract(r, GREEDY, 0))
-         .withColumn("_bal", F.regexp_extract(F.when(F.instr(r, "{") > 0, F.substring(r, F.instr(r, "{"), F.length(r))),
-                                              BALANCED, 0))
-         .withColumn("_ng", F.regexp_extract_all(r, F.lit(NONGREEDY), 0)))
-    x = (x.withColumn("_lines", F.filter("_lines", lambda l: valid_json(l)))
-         .withColumn("_gfix", repair_json("_greedy")).withColumn("_bfix", repair_json("_bal"))
-         .withColumn("_whole_ok", valid_json("_stripped")))
-    x = (x.withColumn("_gp", first_valid(F.col("_gfix"), F.col("_greedy")))
-         .withColumn("_bp", first_valid(F.col("_bfix"), F.col("_bal"))))
+    # later steps are only evaluated for rows the earlier steps did not settle
+    x = log.withColumn("_fenced", fenced)
+    no_fence = F.size("_fenced") == 0
+    x = x.withColumn("_stripped", F.when(no_fence, strip_ws(r)))
+    x = x.withColumn("_whole_ok", F.coalesce(valid_json("_stripped"), F.lit(False)))
+    need_lines = no_fence & ~F.col("_whole_ok")
+    x = x.withColumn("_lines", F.when(need_lines, F.filter(
+        F.transform(F.split(r, "\n"), lambda l: strip_ws(l)), lambda l: l.startswith("{") & l.endswith("}") & valid_json(l))))
+    need_g = need_lines & (F.coalesce(F.size("_lines"), F.lit(0)) == 0)
+    x = x.withColumn("_greedy", F.when(need_g, F.regexp_extract(r, GREEDY, 0)))
+    x = x.withColumn("_gp", F.when(F.col("_greedy") != "", first_valid(repair_json("_greedy"), F.col("_greedy"))))
+    need_b = need_g & F.col("_gp").isNull()
+    x = x.withColumn("_bal", F.when(need_b, F.regexp_extract(
+        F.when(F.instr(r, "{") > 0, F.substring(r, F.instr(r, "{"), F.length(r))), BALANCED, 0)))
+    x = x.withColumn("_bp", F.when(F.coalesce(F.col("_bal"), F.lit("")) != "", first_valid(repair_json("_bal"), F.col("_bal"))))
+    x = x.withColumn("_ng", F.when(need_b & F.col("_bp").isNull(), F.regexp_extract_all(r, F.lit(NONGREEDY), 0)))
     pick = [(F.size("_fenced") > 0, F.try_element_at("_fenced", F.lit(-1)), "fenced"),
             (F.col("_whole_ok"), F.col("_stripped"), "whole"),
             (F.size("_lines") > 0, F.try_element_at("_lines", F.lit(-1)), "line"),
@@ -147,8 +150,7 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
     return (x.withColumn("status", F.when(ok, "valid").otherwise("invalid"))
             .withColumn("ranked", F.when(ok, code_of_item(f"_p.{ranked_key}")))
             .withColumn("final", F.when(ok, code_of_item("_p.predictions")))
-            .drop("_fenced", "_stripped", "_lines", "_greedy", "_bal", "_ng", "_gfix", "_bfix", "_whole_ok", "_gp", "_bp",
-                  "_js0", "_js", "_p"))
+            .drop("_fenced", "_stripped", "_lines", "_greedy", "_bal", "_ng", "_whole_ok", "_gp", "_bp", "_js0", "_js", "_p"))
 
 
 def dedup_valid(extracted: DataFrame, key: str = "case_id", order: str = "line_no", keep: str = "first",

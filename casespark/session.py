@@ -20,6 +20,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # AQE may merge small shuffle partitions down to one task; the text/regex stages after an
+    # aggregate are CPU-bound, so keep merged partitions small enough to use every core.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
 }
 # local runs only: the driver JVM is the executor
 _LOCAL_DEFAULTS = {"spark.driver.memory": "8g"}

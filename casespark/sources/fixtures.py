@@ -284,15 +284,14 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     )
     text = F.concat(F.when(cid % 3 == 0, F.concat(F.lit("<think>case "), cid.cast("string"), F.lit(" reasoning</think>\n")))
                     .otherwise(F.lit("")), body)
-    first = p.select("case_id", "round", "model", "think", "temperature", "ranked", "final",
-                     text.alias("response"), F.lit(0).alias("dup"))
-    # duplicate rows for case_id % 50 == 0: fenced JSON with the ranked list reversed
+    # duplicate rows for case_id % 50 == 0: fenced JSON with the ranked list reversed (one pass, no union)
     dup_obj = F.concat(F.lit('{"top10": '), _json_items(F.reverse("ranked")), F.lit(', "predictions": '),
                        _json_items(F.col("final")), F.lit("}"))
-    second = p.filter(cid % 50 == 0).select("case_id", "round", "model", "think", "temperature", "ranked", "final",
-                                            F.concat(F.lit("Revised.\n```json\n"), dup_obj, F.lit("\n```")).alias("response"),
-                                            F.lit(1).alias("dup"))
-    log = first.unionByName(second)
+    dup_text = F.concat(F.lit("Revised.\n```json\n"), dup_obj, F.lit("\n```"))
+    dups = F.when(cid % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    log = p.select("case_id", "round", "model", "think", "temperature", "ranked", "final", F.explode(dups).alias("dup"))
+    log = log.select("case_id", "round", "model", "think", "temperature", "dup",
+                     F.when(F.col("dup") == 1, dup_text).otherwise(text).alias("response"))
     return log.select(
         "case_id", "round", "model", "think", "temperature",
         (cid * 2 + F.col("dup")).alias("line_no"),

@@ -236,7 +236,20 @@ def _poisson_case(u):
     return f"CASE {whens} ELSE {len(T)} END"
 
 
-_U = "CAST(('0x' || substr(md5(concat_ws(':', '7', CAST(rep AS VARCHAR), CAST(case_id AS VARCHAR))), 1, 8)) AS BIGINT)"
+def _mul32(h, c):
+    return f"((({h}) * {c & 0xFFFF} + ((({h}) * {c >> 16}) & 65535) * 65536) & 4294967295)"
+
+
+def _mix32(x):
+    x = f"xor({x}, ({x}) >> 16)"
+    x = _mul32(x, 0x7FEB352D)
+    x = f"xor({x}, ({x}) >> 15)"
+    x = _mul32(x, 0x846CA68B)
+    return f"xor({x}, ({x}) >> 16)"
+
+
+_BASE = "CAST(('0x' || substr(md5(concat_ws(':', '7', CAST(case_id AS VARCHAR))), 1, 8)) AS BIGINT)"
+_U = _mix32(f"(({_BASE}) + ((rep * {0x9E3779B9}) & 4294967295)) & 4294967295")
 
 SQL["bootstrap_ci"] = w(f"""
 sc AS (SELECT case_id, k, {inter('labels', 'ranked[1:k]')} / len(labels) AS s FROM j1, (SELECT unnest(range(1, 11)) AS k)),
