@@ -126,11 +126,13 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
         F.transform(F.split(r, "\n"), lambda l: strip_ws(l)), lambda l: l.startswith("{") & l.endswith("}") & valid_json(l))))
     need_g = need_lines & (F.coalesce(F.size("_lines"), F.lit(0)) == 0)
     x = x.withColumn("_greedy", F.when(need_g, F.regexp_extract(r, GREEDY, 0)))
-    x = x.withColumn("_gp", F.when(F.col("_greedy") != "", first_valid(repair_json("_greedy"), F.col("_greedy"))))
+    x = x.withColumn("_gfix", F.when(F.col("_greedy") != "", repair_json("_greedy")))
+    x = x.withColumn("_gp", F.when(valid_json("_gfix"), F.col("_gfix")).when(valid_json("_greedy"), F.col("_greedy")))
     need_b = need_g & F.col("_gp").isNull()
     x = x.withColumn("_bal", F.when(need_b, F.regexp_extract(
         F.when(F.instr(r, "{") > 0, F.substring(r, F.instr(r, "{"), F.length(r))), BALANCED, 0)))
-    x = x.withColumn("_bp", F.when(F.coalesce(F.col("_bal"), F.lit("")) != "", first_valid(repair_json("_bal"), F.col("_bal"))))
+    x = x.withColumn("_bfix", F.when(F.coalesce(F.col("_bal"), F.lit("")) != "", repair_json("_bal")))
+    x = x.withColumn("_bp", F.when(valid_json("_bfix"), F.col("_bfix")).when(valid_json("_bal"), F.col("_bal")))
     x = x.withColumn("_ng", F.when(need_b & F.col("_bp").isNull(), F.regexp_extract_all(r, F.lit(NONGREEDY), 0)))
     pick = [(F.size("_fenced") > 0, F.try_element_at("_fenced", F.lit(-1)), "fenced"),
             (F.col("_whole_ok"), F.col("_stripped"), "whole"),
@@ -143,14 +145,17 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
         js0 = F.when(cond, val) if js0 is None else js0.when(cond, val)
         method = F.when(cond, F.lit(name)) if method is None else method.when(cond, F.lit(name))
     x = x.withColumn("_js0", js0).withColumn("method", method)
-    x = x.withColumn("_js", let(F.col("_js0"), lambda v: first_valid(v, repair_json(v))))
+    x = x.withColumn("_js0_ok", F.coalesce(valid_json("_js0"), F.lit(False)))
+    x = x.withColumn("_js", F.when(F.col("_js0_ok"), F.col("_js0")).otherwise(
+        let(repair_json("_js0"), lambda v: F.when(valid_json(v), v))))
     x = x.withColumn("_p", F.when(F.col("_js").isNotNull(), _lists(F.col("_js"), ranked_key)))
     ok = (F.size(F.coalesce(F.col(f"_p.{ranked_key}"), F.array())) > 0) & \
          (F.size(F.coalesce(F.col("_p.predictions"), F.array())) > 0)
     return (x.withColumn("status", F.when(ok, "valid").otherwise("invalid"))
             .withColumn("ranked", F.when(ok, code_of_item(f"_p.{ranked_key}")))
             .withColumn("final", F.when(ok, code_of_item("_p.predictions")))
-            .drop("_fenced", "_stripped", "_lines", "_greedy", "_bal", "_ng", "_whole_ok", "_gp", "_bp", "_js0", "_js", "_p"))
+            .drop("_fenced", "_stripped", "_lines", "_greedy", "_bal", "_ng", "_whole_ok", "_gfix", "_gp", "_bfix", "_bp", "_js0",
+                  "_js0_ok", "_js", "_p"))
 
 
 def dedup_valid(extracted: DataFrame, key: str = "case_id", order: str = "line_no", keep: str = "first",
