@@ -36,7 +36,7 @@ def q_parse_times(spark, d):
                     F.date_format("dischtime", "yyyy-MM-dd HH:mm").alias("disch_min"))
 
 
-def _log_json(spark, d, multiline):
+def _log_json(spark, d, multiline, auto=False):
     path = IO.scratch(spark, "log-json")
     log = fx.responses(spark, d)
     if multiline:
@@ -52,7 +52,7 @@ def _log_json(spark, d, multiline):
          .select("pid", "value").write.partitionBy("pid").text(path))
     else:
         log.write.json(path)
-    return IO.read_json_or_lines(spark, path, LOG_SCHEMA, multiline)
+    return IO.read_json_or_lines(spark, path, LOG_SCHEMA, None if auto else multiline)
 
 
 @query("read_json_lines")
@@ -65,6 +65,12 @@ def q_read_json_array(spark, d):
     return _log_json(spark, d, True).select("case_id", "round", "line_no", F.length("response").alias("n_chars"))
 
 
+@query("read_json_or_lines")
+def q_read_json_or_lines(spark, d):
+    """Format detected from the file (here a JSON array per file)."""
+    return _log_json(spark, d, True, auto=True).select("case_id", "round", "line_no", F.length("response").alias("n_chars"))
+
+
 @query("decode_list_text")
 def q_decode_list_text(spark, d):
     p = fx.case_preds(spark, d)

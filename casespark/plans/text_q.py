@@ -198,6 +198,13 @@ def q_estimate_tokens(spark, d):
     return T.estimate_tokens(case_inputs(spark, d), INPUT_FIELDS, "case_id")
 
 
+@query("select_fields_by_task")
+def q_select_fields_by_task(spark, d):
+    """Ordered field list of a task joined into one input text per case."""
+    c = case_inputs(spark, d)
+    return c.select("case_id", T.assemble_input(c, "lab+").alias("input_text"))
+
+
 # Template table: prompt variants (user supplied; short instructions here).
 TEMPLATES = [("expert_designed", "Rank the most likely diagnosis codes for this case."),
              ("severity_based", "Rank diagnosis codes by clinical severity and evidence."),

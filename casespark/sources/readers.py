@@ -41,8 +41,14 @@ def parse_times(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd HH:mm:ss"
 
 
 # --------------------------------------------------------------------- SRC3
-def read_json_or_lines(spark: SparkSession, path: str, schema: StructType | str, multiline: bool) -> DataFrame:
-    """A JSON array file (``multiline=True``) or JSON lines, with a declared schema."""
+def read_json_or_lines(spark: SparkSession, path: str, schema: StructType | str, multiline: bool | None = None) -> DataFrame:
+    """A JSON array file (``multiline=True``) or JSON lines, with a declared schema.
+    ``multiline=None`` decides by the first non-blank character of the input ('[' = array),
+    peeking at a single line."""
+    if multiline is None:
+        first = (spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).limit(1)
+                 .collect())
+        multiline = bool(first) and first[0][0] == "["
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 

@@ -20,6 +20,7 @@ SELECT hadm_id, strftime(admittime, '%Y-%m-%d %H:%M') AS admit_min,
 SQL["read_json_lines"] = with_views("""
 SELECT case_id, round, line_no, CAST(length(response) AS INTEGER) AS n_chars FROM responses""", "responses")
 SQL["read_json_array"] = SQL["read_json_lines"]
+SQL["read_json_or_lines"] = SQL["read_json_lines"]
 
 SQL["decode_list_text"] = with_views("""
 WITH t AS (SELECT case_id, round,

@@ -250,3 +250,8 @@ tpl(variant, template) AS (VALUES ('expert_designed', 'Rank the most likely diag
 SELECT ci.case_id, tpl.variant, tpl.template || chr(10) || chr(10) || coalesce(ci.lab, 'None') || chr(10) || coalesce(ci.ed_info, 'None')
        || chr(10) || coalesce(ci.micro_info, 'None') AS prompt
 FROM ci, tpl""", *V_CASE)
+
+SQL["select_fields_by_task"] = with_views("WITH " + CASE_INPUTS + """
+SELECT case_id, chr(10) || coalesce(lab, 'None') || chr(10) || coalesce(ed_info, 'None') || chr(10) || coalesce(family_history, 'None')
+       || chr(10) || coalesce(ed_chiefcomplaint, 'None') || chr(10) || coalesce(past_medical_history, 'None') AS input_text
+FROM ci""", *V_CASE)
