@@ -104,3 +104,32 @@ def stream_draw(base: Column, i: Column) -> Column:
     """i-th 32-bit draw of a per-row stream seeded by ``base`` (e.g. one md5 draw per row):
     cheap integer ops instead of one md5 per (row, i)."""
     return mix32((base + (i.cast("long") * F.lit(_GOLDEN)).bitwiseAND(F.lit(_M32))).bitwiseAND(F.lit(_M32)))
+
+
+def _tod_micros(t: Column) -> Column:
+    text = t.cast("string")                          # 'yyyy-MM-dd HH:mm:ss[.ffffff]', zone-free for NTZ
+    frac = F.when(F.length(text) > 20, F.rpad(F.substring(text, 21, 6), 6, "0")).otherwise(F.lit("0")).cast("long")
+    return ((F.hour(t) * 60 + F.minute(t)) * 60 + F.second(t)).cast("long") * F.lit(1_000_000) + frac
+
+
+def micros_between(a, b) -> Column:
+    """(b - a) in microseconds between wall-clock timestamps.
+
+    Built from calendar fields only (days apart + time of day), so it does not depend
+    on the session time zone: NTZ differences and casts to TIMESTAMP go through the
+    session zone in Spark, which shifts wall-clock times that fall in a DST gap."""
+    a = _c(a).cast("timestamp_ntz")
+    b = _c(b).cast("timestamp_ntz")
+    days = F.datediff(F.to_date(b), F.to_date(a)).cast("long")
+    return days * F.lit(86_400_000_000) + _tod_micros(b) - _tod_micros(a)
+
+
+def hours_between(a, b) -> Column:
+    """(b - a) in hours as double; NULL when either side is NULL."""
+    return micros_between(a, b) / F.lit(3.6e9)
+
+
+def ts_text(c, length: int = 19) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' text of a wall-clock timestamp (date_format consults the session
+    zone and moves times inside a DST gap; the NTZ string cast does not)."""
+    return F.substring(_c(c).cast("timestamp_ntz").cast("string"), 1, length)

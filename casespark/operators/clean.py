@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casespark.functions.columns import floor_bucket, null_safe_ne, numeric_text
+from casespark.functions.columns import floor_bucket, hours_between, null_safe_ne, numeric_text
 
 
 def _c(c):
@@ -67,7 +67,7 @@ def hours_window(events: DataFrame, encounters: DataFrame, key: list[str], lo: f
     """FLT8: hours since admission within [lo, hi]; rows without a time pass."""
     enc = encounters.select(*key, F.col(start).alias("_start"))
     j = events.join(enc, key, "left")
-    hours = (F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / F.lit(3.6e9)
+    hours = hours_between(F.col("_start"), F.col(t))
     j = j.withColumn("hours", hours)
     cond = F.lit(True)
     if lo is not None:

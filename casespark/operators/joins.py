@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casespark.functions.columns import hours_between
+
 
 # --------------------------------------------------------------------- JN1 / JN2 / JN7
 def diag_with_title(diag: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def stay_attributes(encounters: DataFrame, patients: DataFrame, triage: DataFram
     """Death flag, length of stay in hours, demographics and the first triage row."""
     first_triage = triage.groupBy("stay_id").agg(
         F.min_by(F.struct(*[c for c in triage.columns if c not in ("stay_id",)]), "ord").alias("t"))
-    hours = (F.unix_micros(F.col("dischtime").cast("timestamp")) - F.unix_micros(F.col("admittime").cast("timestamp"))) / F.lit(3.6e9)
+    hours = hours_between("admittime", "dischtime")
     e = encounters.select("subject_id", "hadm_id", "stay_id",
                           (F.col("discharge_location") == "DIED").alias("died"), hours.alias("los_hours"))
     j = e.join(patients.select("subject_id", "gender", "anchor_age", "race"), "subject_id", "left")

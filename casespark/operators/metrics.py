@@ -262,6 +262,33 @@ def _jacc(arrs: list[Column]) -> Column:
     return safe_ratio(F.size(F.array_distinct(inter)), F.size(F.array_distinct(union)))
 
 
+def _consistency_measures(idx: list[int], ks) -> list[Column]:
+    m = [F.struct(F.lit("ranked").alias("measure"), F.lit(int(k)).alias("k"),
+                  _jacc([F.slice(F.col(f"r{i}"), 1, k) for i in idx]).alias("v")) for k in ks]
+    first = F.size(F.array_distinct(_intersect_all([F.slice(F.col(f"p{i}"), 1, 1) for i in idx]))).cast("double")
+    m.append(F.struct(F.lit("final_top1").alias("measure"), F.lit(1).alias("k"), first.alias("v")))
+    m.append(F.struct(F.lit("final_all").alias("measure"), F.lit(0).alias("k"), _jacc([F.col(f"p{i}") for i in idx]).alias("v")))
+    return m
+
+
+def pairwise_consistency(runs: DataFrame, run_ids: list, pairs: list[tuple], ks=(1, 2, 3, 5, 10), key="case_id",
+                         run_col="round", ranked="ranked", pred="pred") -> DataFrame:
+    """Every pair of runs from one join of all runs (each run is scanned and shuffled once)."""
+    j = None
+    for i, r in enumerate(run_ids):
+        side = runs.filter(F.col(run_col) == r).select(key, F.col(ranked).alias(f"r{i}"), F.col(pred).alias(f"p{i}"))
+        j = side if j is None else j.join(side, key, "inner")
+    pos = {r: i for i, r in enumerate(run_ids)}
+    rows = []
+    for a, b in pairs:
+        for st in _consistency_measures([pos[a], pos[b]], ks):
+            rows.append(F.struct(F.lit(f"{a}-{b}").alias("pair"), st["measure"].alias("measure"), st["k"].alias("k"),
+                                 st["v"].alias("v")))
+    x = j.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    return x.groupBy("pair", "measure", "k").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n"),
+                                                 F.count_if(F.col("v").isNull()).alias("n_undefined"))
+
+
 def run_consistency(runs: DataFrame, run_ids: list, ks=(1, 2, 3, 5, 10), key="case_id", run_col="round",
                     ranked="ranked", pred="pred") -> DataFrame:
     """Agreement of 2 or 3 runs of the same cases: ranked[:k] overlap (|∩|/|∪| of sets),

@@ -221,7 +221,8 @@ def diagnosis_struct(diag: DataFrame, key: str = "hadm_id", order: str = "seq_nu
 # --------------------------------------------------------------------- SC15 / SC16
 def hours_between(a, b) -> Column:
     """(b - a) in hours as double; NULL-safe."""
-    return (F.unix_micros(_c(b).cast("timestamp")) - F.unix_micros(_c(a).cast("timestamp"))) / F.lit(3.6e9)
+    from casespark.functions.columns import hours_between as _hb
+    return _hb(a, b)
 
 
 def icu_los_days(c) -> Column:
@@ -231,7 +232,9 @@ def icu_los_days(c) -> Column:
 def study_time(date_col, time_col) -> Column:
     """yyyymmdd + HHMMSS.fff (zero-padded to 10) -> timestamp floored to the minute."""
     txt = F.concat(_c(date_col).cast("string"), F.format_string("%010.3f", _c(time_col)))
-    return F.date_trunc("minute", F.to_timestamp(F.substring(txt, 1, 14), "yyyyMMddHHmmss"))
+    t = F.substring(txt, 1, 12)                      # yyyyMMddHHmm: seconds floored away
+    ok = F.try_to_timestamp(t, F.lit("yyyyMMddHHmm")).isNotNull()
+    return F.when(ok, F.to_timestamp_ntz(t, F.lit("yyyyMMddHHmm")))
 
 
 # --------------------------------------------------------------------- SC21 / SC22 / SC23

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casespark.functions.columns import finalize, render_list
+from casespark.functions.columns import finalize, render_list, ts_text
 from casespark.operators import clean as C
 from casespark.plans.registry import query
 from casespark.sources import fixtures as fx
 
 
 def _ts(c):
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return ts_text(c)
 
 
 @query("drop_blank_codes")

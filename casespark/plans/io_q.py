@@ -8,7 +8,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from casespark.functions.columns import render_list
+from casespark.functions.columns import render_list, ts_text
 from casespark.operators import udf as U
 from casespark.plans.registry import query
 from casespark.sources import fixtures as fx
@@ -28,12 +28,11 @@ def q_scan_typed_csv(spark, d):
 @query("parse_times")
 def q_parse_times(spark, d):
     e = fx.encounters(spark, d).select(
-        "hadm_id", F.date_format("admittime", "yyyy-MM-dd HH:mm:ss").alias("admittime"),
-        F.when(F.col("hadm_id") % 7 == 0, F.lit("not a time")).otherwise(F.date_format("dischtime", "yyyy-MM-dd HH:mm:ss"))
+        "hadm_id", ts_text("admittime").alias("admittime"),
+        F.when(F.col("hadm_id") % 7 == 0, F.lit("not a time")).otherwise(ts_text("dischtime"))
         .alias("dischtime"))
     p = IO.parse_times(e, ["admittime", "dischtime"])
-    return p.select("hadm_id", F.date_format("admittime", "yyyy-MM-dd HH:mm").alias("admit_min"),
-                    F.date_format("dischtime", "yyyy-MM-dd HH:mm").alias("disch_min"))
+    return p.select("hadm_id", ts_text("admittime", 16).alias("admit_min"), ts_text("dischtime", 16).alias("disch_min"))
 
 
 def _log_json(spark, d, multiline, auto=False):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casespark.functions.columns import finalize, render_list
+from casespark.functions.columns import finalize, render_list, ts_text
 from casespark.operators import joins as J
 from casespark.plans.metrics_q import preds_valid
 from casespark.plans.registry import query
@@ -12,7 +12,7 @@ from casespark.sources import fixtures as fx
 
 
 def _ts(c):
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return ts_text(c)
 
 
 def _titled(spark, d):

@@ -133,10 +133,7 @@ def q_micro_macro_pr(spark, d):
 @query("pair_consistency")
 def q_pair_consistency(spark, d):
     runs = preds_valid(spark, d)
-    out = None
-    for a, b in ((1, 2), (1, 3), (2, 3)):
-        r = M.run_consistency(runs, [a, b]).withColumn("pair", F.lit(f"{a}-{b}"))
-        out = r if out is None else out.unionByName(r)
+    out = M.pairwise_consistency(runs, [1, 2, 3], [(1, 2), (1, 3), (2, 3)])
     return finalize(out.select("pair", "measure", "k", "value", "n", "n_undefined"))
 
 

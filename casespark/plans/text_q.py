@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casespark.functions.columns import finalize, render_list
+from casespark.functions.columns import finalize, render_list, ts_text
 from casespark.operators import clean as C
 from casespark.operators import joins as J
 from casespark.operators import render as T
@@ -127,7 +127,7 @@ def q_icu_los_days(spark, d):
 @query("study_time")
 def q_study_time(spark, d):
     m = fx.image_meta(spark, d)
-    return m.select("dicom_id", F.date_format(T.study_time("StudyDate", "StudyTime"), "yyyy-MM-dd HH:mm:ss").alias("study_ts"))
+    return m.select("dicom_id", ts_text(T.study_time("StudyDate", "StudyTime")).alias("study_ts"))
 
 
 @query("truncate_tokens")

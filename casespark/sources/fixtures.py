@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casespark.functions.columns import micros_between
+
 # Fixed values of the adapter shaping.
 SYSTEMS = ["cardiovascular", "pulmonary", "renal", "neurologic", "infectious"]
 PRIORITY_OF_FLAG = {"A": "Primary", "N": "Major", "R": "Other"}
@@ -28,8 +30,15 @@ def leaf_code(i) -> Column:
     return F.lpad((i * 25).cast("string"), 5, "0")
 
 
+def _plus(ts, days=None, hours=None) -> Column:
+    """Wall-clock arithmetic on TIMESTAMP_NTZ (an interval add does not consult the session zone)."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    z = F.lit(0)
+    return ts + F.make_dt_interval(days if days is not None else z, hours if hours is not None else z)
+
+
 def _days_after(ts: str, days: Column) -> Column:
-    return F.timestamp_add("DAY", days, F.col(ts))
+    return _plus(ts, days=days)
 
 
 # --------------------------------------------------------------------- hospital side
@@ -43,7 +52,7 @@ def encounters(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderdate").alias("admittime"),
         _days_after("o_orderdate", (k % 14 + 1).cast("int")).alias("dischtime"),
         F.when(~no_ed, F.col("o_orderdate")).alias("ed_intime"),
-        F.when(~no_ed, F.timestamp_add("HOUR", (k % 6 + 1).cast("int"), F.col("o_orderdate"))).alias("ed_outtime"),
+        F.when(~no_ed, _plus("o_orderdate", hours=(k % 6 + 1).cast("int"))).alias("ed_outtime"),
         F.when((F.col("o_orderstatus") == "P") & (k % 10 == 0), F.lit("DIED"))
          .otherwise(F.col("o_orderpriority")).alias("discharge_location"),
         F.col("o_orderstatus").alias("admission_type"),
@@ -134,7 +143,7 @@ def code_names(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------------------------- labs
 def _minutes_from(ts: str, origin: str) -> Column:
-    us = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lit(origin).cast("timestamp"))
+    us = micros_between(F.lit(origin), F.col(ts))
     return F.floor(us / F.lit(60_000_000)).cast("long")
 
 
@@ -173,7 +182,7 @@ def labs_text(spark: SparkSession, d: str) -> DataFrame:
     enc = encounters(spark, d).filter(F.col("hadm_id") < 500).select("hadm_id", "subject_id", "admittime")
     return (ev.join(F.broadcast(enc), "hadm_id")
             .select("labevent_id", "subject_id", "hadm_id", "itemid",
-                    F.timestamp_add("DAY", F.col("day"), F.col("admittime")).alias("charttime"),
+                    _plus("admittime", days=F.col("day")).alias("charttime"),
                     "value", "valueuom", "ref_range_lower", "ref_range_upper", "comments"))
 
 
@@ -346,7 +355,7 @@ def micro(spark: SparkSession, d: str) -> DataFrame:
     enc = encounters(spark, d).filter(F.col("hadm_id") < 500).select("hadm_id", "subject_id", "admittime")
     return (ev.join(F.broadcast(enc), "hadm_id")
             .select("microevent_id", "subject_id", "hadm_id",
-                    F.timestamp_add("HOUR", F.col("hour"), F.timestamp_add("DAY", F.col("day"), F.col("admittime"))).alias("charttime"),
+                    _plus("admittime", days=F.col("day"), hours=F.col("hour")).alias("charttime"),
                     "test_name", "spec_type_desc", "org_name", "ab_itemid", "ab_name", "interpretation", "comments"))
 
 
@@ -356,7 +365,7 @@ def transfers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("hadm_id"), F.col("l_linenumber").alias("transfer_seq"),
         F.col("l_shipdate").alias("intime"),
-        F.timestamp_add("HOUR", F.col("l_linenumber"), F.col("l_shipdate")).alias("outtime"),
+        _plus("l_shipdate", hours=F.col("l_linenumber")).alias("outtime"),
         F.when(F.col("l_linestatus") == "F", "ICU").otherwise("WARD").alias("careunit"))
 
 

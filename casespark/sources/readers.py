@@ -36,7 +36,8 @@ def parse_times(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd HH:mm:ss"
     """Text -> timestamp without time zone; unparseable text -> NULL."""
     out = df
     for c in cols:
-        out = out.withColumn(c, F.try_to_timestamp(F.col(c), F.lit(fmt)).cast("timestamp_ntz"))
+        ok = F.try_to_timestamp(F.col(c), F.lit(fmt)).isNotNull()       # validity only; value parsed without a zone
+        out = out.withColumn(c, F.when(ok, F.to_timestamp_ntz(F.col(c), F.lit(fmt))))
     return out
 
 
