@@ -38,10 +38,16 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowComments": "false", "allowUnquotedFieldNames": "false",
+           "mode": "PERMISSIVE"}
+
+
 def valid_json(c) -> Column:
-    """Strict JSON text: one value and nothing after it (wrapping in [...] rejects trailing data)."""
-    return let(_c(c), lambda v: F.try_parse_json(v).isNotNull() &
-               F.try_parse_json(F.concat(F.lit("["), v, F.lit("]"))).isNotNull())
+    """Strict JSON text holding exactly one value: the text wrapped in [...] parses as a
+    one-element array (trailing data, comments, trailing commas, bare words fail).  One
+    parse per candidate."""
+    wrapped = F.from_json(F.concat(F.lit("["), _c(c), F.lit("]")), "array<string>", _STRICT)
+    return F.coalesce(F.size(wrapped) == 1, F.lit(False))
 
 
 def first_valid(*cands) -> Column:
@@ -145,7 +151,9 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
         js0 = F.when(cond, val) if js0 is None else js0.when(cond, val)
         method = F.when(cond, F.lit(name)) if method is None else method.when(cond, F.lit(name))
     x = x.withColumn("_js0", js0).withColumn("method", method)
-    x = x.withColumn("_js0_ok", F.coalesce(valid_json("_js0"), F.lit(False)))
+    # whole/line/greedy/balanced candidates were validated when chosen; fenced and brace ones were not
+    x = x.withColumn("_js0_ok", F.when(F.col("method").isin("whole", "line", "greedy", "balanced"), F.lit(True))
+                     .otherwise(F.coalesce(valid_json("_js0"), F.lit(False))))
     x = x.withColumn("_js", F.when(F.col("_js0_ok"), F.col("_js0")).otherwise(
         let(repair_json("_js0"), lambda v: F.when(valid_json(v), v))))
     x = x.withColumn("_p", F.when(F.col("_js").isNotNull(), _lists(F.col("_js"), ranked_key)))
