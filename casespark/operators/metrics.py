@@ -42,8 +42,11 @@ def join_predictions(pred: DataFrame, label: DataFrame, key: str = "case_id", st
 
 
 # --------------------------------------------------------------------- MT1-MT4
-def multilabel_metrics(joined: DataFrame, n_labels: int, by=None, pred="pred", labels="labels") -> DataFrame:
-    """subset accuracy, jaccard accuracy, samples precision/recall/F1, hamming loss."""
+def multilabel_metrics(joined: DataFrame, n_labels: int, by=None, pred="pred", labels="labels",
+                       with_top1: str | None = None) -> DataFrame:
+    """subset accuracy, jaccard accuracy, samples precision/recall/F1, hamming loss
+    (and top-1 accuracy over all cases when ``with_top1`` names the top-1 column),
+    all in one aggregate."""
     L, P, inter = _sets(pred, labels)
     nl, np_ = F.size(L), F.size(P)
     union = F.size(F.array_union(L, P))
@@ -54,8 +57,11 @@ def multilabel_metrics(joined: DataFrame, n_labels: int, by=None, pred="pred", l
                       F.coalesce(safe_ratio(inter, nl), F.lit(0.0)).alias("_r"),
                       F.coalesce(safe_ratio(2 * inter, nl + np_), F.lit(0.0)).alias("_f"),
                       (nl + np_ - 2 * inter).alias("_sym"),
-                      (union == 0).alias("_undef"))
-    return _agg(x, by,
+                      (union == 0).alias("_undef"),
+                      (F.coalesce(F.array_contains(_c(pred), _c(with_top1)), F.lit(False)) & (_c(with_top1) != "")
+                       if with_top1 else F.lit(None).cast("boolean")).alias("_t1"))
+    extra = [F.avg(F.col("_t1").cast("double")).alias("accuracy_all")] if with_top1 else []
+    return _agg(x, by, *extra,
                 F.count(F.lit(1)).alias("n"),
                 F.avg("_exact").alias("subset_accuracy"),
                 F.avg("_jac").alias("jaccard_accuracy"),
@@ -271,13 +277,26 @@ def _consistency_measures(idx: list[int], ks) -> list[Column]:
     return m
 
 
+def _runs_side_by_side(runs: DataFrame, run_ids: list, key: str, run_col: str, ranked: str, pred: str) -> DataFrame:
+    """One row per case with r0/p0, r1/p1, ... (JN14 as a pivoting aggregate: one shuffle,
+    no self join); cases missing from any run are dropped, as an inner join would."""
+    cols = []
+    for i, r in enumerate(run_ids):
+        this = F.col(run_col) == r
+        cols += [F.max(F.when(this, F.col(ranked))).alias(f"r{i}"), F.max(F.when(this, F.col(pred))).alias(f"p{i}"),
+                 F.count_if(this).alias(f"n{i}")]
+    g = runs.filter(F.col(run_col).isin(list(run_ids))).groupBy(key).agg(*cols)
+    present = None
+    for i in range(len(run_ids)):
+        c = F.col(f"n{i}") > 0
+        present = c if present is None else present & c
+    return g.filter(present).drop(*[f"n{i}" for i in range(len(run_ids))])
+
+
 def pairwise_consistency(runs: DataFrame, run_ids: list, pairs: list[tuple], ks=(1, 2, 3, 5, 10), key="case_id",
                          run_col="round", ranked="ranked", pred="pred") -> DataFrame:
     """Every pair of runs from one join of all runs (each run is scanned and shuffled once)."""
-    j = None
-    for i, r in enumerate(run_ids):
-        side = runs.filter(F.col(run_col) == r).select(key, F.col(ranked).alias(f"r{i}"), F.col(pred).alias(f"p{i}"))
-        j = side if j is None else j.join(side, key, "inner")
+    j = _runs_side_by_side(runs, run_ids, key, run_col, ranked, pred)
     pos = {r: i for i, r in enumerate(run_ids)}
     rows = []
     for a, b in pairs:
@@ -293,12 +312,7 @@ def run_consistency(runs: DataFrame, run_ids: list, ks=(1, 2, 3, 5, 10), key="ca
                     ranked="ranked", pred="pred") -> DataFrame:
     """Agreement of 2 or 3 runs of the same cases: ranked[:k] overlap (|∩|/|∪| of sets),
     first final code overlap (|∩|/1), whole final list overlap.  Cases must be in all runs."""
-    sides = []
-    for i, r in enumerate(run_ids):
-        sides.append(runs.filter(F.col(run_col) == r).select(key, F.col(ranked).alias(f"r{i}"), F.col(pred).alias(f"p{i}")))
-    j = sides[0]
-    for s in sides[1:]:
-        j = j.join(s, key, "inner")   # JN14: co-partitioned on the case key
+    j = _runs_side_by_side(runs, run_ids, key, run_col, ranked, pred)
     m = len(run_ids)
     measures = [F.struct(F.lit("ranked").alias("measure"), F.lit(int(k)).alias("k"),
                          _jacc([F.slice(F.col(f"r{i}"), 1, k) for i in range(m)]).alias("v")) for k in ks]

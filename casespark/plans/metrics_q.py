@@ -151,6 +151,4 @@ def q_bootstrap_ci(spark, d):
 @query("run_sweep")
 def q_run_sweep(spark, d):
     j = M.join_predictions(preds_valid(spark, d), fx.case_labels(spark, d))
-    ml = M.multilabel_metrics(j, N_LABELS, by=RUN_COLS)
-    t1 = M.top1_accuracy(j, by=RUN_COLS).select(*RUN_COLS, "accuracy_all")
-    return finalize(ml.join(t1, RUN_COLS, "inner"))   # both sides: one row per run
+    return finalize(M.multilabel_metrics(j, N_LABELS, by=RUN_COLS, with_top1="top1"))
