@@ -55,3 +55,11 @@ def test_funnel_is_consistent(spark, small_dir):
     assert f["only_top"] + f["with_non_top"] == f["patients_with_diagnosis"]
     assert f["retained"] + f["filtered_by_priority"] == f["candidates"]
     assert f["retained"] == Q["strict_cohort"](spark, small_dir).count()
+
+
+def test_materialized_tables_cut_lineage(spark, small_dir, tmp_path):
+    from casespark.plans.jobs import materialize_case_tables
+    t = materialize_case_tables(spark, small_dir, str(tmp_path / "tables"))
+    assert t["strict_cohort"].count() == Q["strict_cohort"](spark, small_dir).count()
+    plan = t["case_inputs"]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Exchange" not in plan   # read back, no recomputation
