@@ -48,13 +48,19 @@ def ed_optional(encounters: DataFrame, ed: DataFrame, key: str = "stay_id") -> D
 
 
 # --------------------------------------------------------------------- JN5
-def encounter_bundle(ids: DataFrame, tables: dict[str, DataFrame], key: str, nest: bool = False) -> DataFrame:
+def encounter_bundle(ids: DataFrame, tables: dict[str, DataFrame], key: str, nest: bool = False,
+                     ids_bounded: bool = False) -> DataFrame:
     """JN5: all rows of every table for the selected stays.
 
     ``nest=False``: one (table, key) count row per stay and table from a semi
     join per table.  ``nest=True``: one row per stay with an array of structs per
-    table, collected only after the semi join has reduced each table."""
+    table, collected only after the semi join has reduced each table (a stay's
+    bundle is one value by definition; use ``nest=False`` for unbounded tables).
+    ``ids_bounded``: the id list has a size bound by construction (e.g. n per
+    disease × |top set|) and is broadcast to every semi join."""
     ids = ids.select(key).distinct()
+    if ids_bounded:
+        ids = F.broadcast(ids)
     if not nest:
         parts = [t.join(ids, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
                  .withColumn("table", F.lit(name)) for name, t in tables.items()]

@@ -15,16 +15,22 @@ PER_CODE = 30
 SEED = 42
 
 
-def top_codes(spark, d):
-    return cohort.disease_frequency_top(fx.diagnoses(spark, d), col="icd_code", n=TOP_CODES)
+def top_codes(spark, d, dx=None):
+    dx = dx if dx is not None else fx.diagnoses(spark, d)
+    return cohort.disease_frequency_top(dx, col="icd_code", n=TOP_CODES)
 
 
-def strict(spark, d):
-    return cohort.strict_cohort(fx.diagnoses(spark, d), fx.icu_patients(spark, d), top_codes(spark, d))
+def strict(spark, d, dx=None, top=None):
+    """Strict cohort; the diagnosis frame and top set are shared with the caller (one plan node each)."""
+    dx = dx if dx is not None else fx.diagnoses(spark, d)
+    top = top if top is not None else top_codes(spark, d, dx)
+    return cohort.strict_cohort(dx, fx.icu_patients(spark, d), top)
 
 
 def sampled_patients(spark, d):
-    return cohort.sample_per_disease(strict(spark, d), top_codes(spark, d), n=PER_DISEASE, seed=SEED)
+    dx = fx.diagnoses(spark, d)
+    top = top_codes(spark, d, dx)
+    return cohort.sample_per_disease(strict(spark, d, dx, top), top, n=PER_DISEASE, seed=SEED)
 
 
 @query("code_frequency_top")
@@ -50,12 +56,14 @@ def q_strict_cohort(spark, d):
 
 @query("cohort_funnel")
 def q_cohort_funnel(spark, d):
-    return cohort.cohort_funnel(fx.diagnoses(spark, d), fx.icu_patients(spark, d), top_codes(spark, d))
+    dx = fx.diagnoses(spark, d)
+    return cohort.cohort_funnel(dx, fx.icu_patients(spark, d), top_codes(spark, d, dx))
 
 
 @query("coverage_report")
 def q_coverage_report(spark, d):
-    return cohort.coverage_report(fx.diagnoses(spark, d), top_codes(spark, d))
+    dx = fx.diagnoses(spark, d)
+    return cohort.coverage_report(dx, top_codes(spark, d, dx))
 
 
 @query("sample_per_disease")

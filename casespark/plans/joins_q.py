@@ -49,7 +49,7 @@ def q_encounter_bundle(spark, d):
     ids = sampled_patients(spark, d).filter("patient_id IS NOT NULL").select(F.col("patient_id").alias("hadm_id"))
     tables = {"diagnoses": fx.diagnoses(spark, d), "labs": fx.labs_text(spark, d), "micro": fx.micro(spark, d),
               "notes": fx.notes(spark, d)}
-    b = J.encounter_bundle(ids, tables, "hadm_id", nest=True)
+    b = J.encounter_bundle(ids, tables, "hadm_id", nest=True, ids_bounded=True)   # <= 20 per top code
     return b.select("hadm_id", *[F.coalesce(F.size(t), F.lit(0)).cast("long").alias(f"n_{t}") for t in tables])
 
 
@@ -59,7 +59,7 @@ def q_table_profile(spark, d):
     ids = sampled_patients(spark, d).filter("patient_id IS NOT NULL").select(F.col("patient_id").alias("hadm_id"))
     tables = {"diagnoses": fx.diagnoses(spark, d), "labs": fx.labs_text(spark, d), "micro": fx.micro(spark, d),
               "notes": fx.notes(spark, d)}
-    return J.encounter_bundle(ids, tables, "hadm_id", nest=False).select("hadm_id", "table", "n_rows")
+    return J.encounter_bundle(ids, tables, "hadm_id", nest=False, ids_bounded=True).select("hadm_id", "table", "n_rows")
 
 
 @query("ed_optional")
