@@ -141,7 +141,8 @@ def render_micro(micro: DataFrame, key: str = "hadm_id", n: int = 15, order=("ch
 
 def labs_as_csv(labs: DataFrame, key: str = "patientunitstayid",
                 cols=("labresultoffset", "labname", "labresult", "labmeasurenamesystem"),
-                order=("labresultoffset", "labname", "labid"), max_tokens: int | None = None) -> DataFrame:
+                order=("labresultoffset", "labname", "labid"), max_tokens: int | None = None,
+                chunk_width: int = 1440) -> DataFrame:
     """SC10: chosen columns as CSV text with header (empty field for NULL).  With
     ``max_tokens`` the text is cut to that many estimated tokens (SC23)."""
     def f(c):
@@ -153,11 +154,10 @@ def labs_as_csv(labs: DataFrame, key: str = "patientunitstayid",
     if max_tokens is not None:
         # tokens never span a line break, so a line whose preceding lines already use the
         # budget cannot reach the truncated text: drop it before collecting (exact, bounded)
-        from pyspark.sql import Window
         head = token_count(F.lit("Laboratory test results with timestamps and measurements:\n" + ",".join(cols)))
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("_before", F.coalesce(F.sum(token_count("l")).over(w), F.lit(0)) + head) \
-            .filter(F.col("_before") < max_tokens).drop("_before")
+        rows = tokens_before(rows.withColumn("_t", token_count("l")), key, list(order), "_t",
+                             F.floor(F.col(order[0]) / F.lit(chunk_width)))
+        rows = rows.filter(F.col("_before") + head < max_tokens).drop("_before", "_t")
     g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col("l")))).alias("_ls"))
     text = F.concat(F.lit("Laboratory test results with timestamps and measurements:\n" + ",".join(cols) + NL),
                     F.concat_ws(NL, F.transform("_ls", lambda s: s["l"])), F.lit(NL))
@@ -166,6 +166,25 @@ def labs_as_csv(labs: DataFrame, key: str = "patientunitstayid",
     return g.select(key, text.alias("lab_results"))
 
 
+def tokens_before(rows: DataFrame, key: str, order: list[str], tokens: str, chunk: Column) -> DataFrame:
+    """Running sum of ``tokens`` over the rows before each row of a key, in ``order``.
+
+    Skew-safe two-level prefix sum: ``chunk`` must be monotone in ``order`` (e.g. the
+    day of the first order column).  Chunk totals come from a partial aggregate, the
+    prefix over chunks is a window over one row per (key, chunk), and the running sum
+    inside a chunk is a window partitioned by (key, chunk) -- a hot key is spread over
+    its chunks instead of landing in one task."""
+    from pyspark.sql import Window
+    x = rows.withColumn("_chunk", chunk)
+    tot = x.groupBy(key, "_chunk").agg(F.sum(tokens).alias("_ct"))
+    wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_cb", F.coalesce(F.sum("_ct").over(wc), F.lit(0))).drop("_ct")
+    wr = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_rb", F.coalesce(F.sum(tokens).over(wr), F.lit(0)))
+    return x.join(tot, [key, "_chunk"], "inner").withColumn("_before", F.col("_cb") + F.col("_rb")) \
+        .drop("_chunk", "_cb", "_rb")
+
+
 # --------------------------------------------------------------------- SC7 / SC8 / SC9 / SC13
 def text_or_none(c, prefix: str) -> Column:
     """prefix + value when the value is text, else prefix + 'None'."""

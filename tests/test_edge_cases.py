@@ -236,3 +236,14 @@ def test_consistency_union_empty_is_undefined(spark):
     got = {(r.measure, r.k): r for r in M.run_consistency(runs, [1, 2], ks=[1]).collect()}
     assert got[("final_all", 0)].n_undefined == 1 and got[("final_all", 0)].value == 1.0
     assert got[("ranked", 1)].value == 0.5
+
+
+def test_tokens_before_matches_single_window(spark):
+    from pyspark.sql import Window
+    rows = [(k % 3, i, (i * 7) % 5 + 1) for k in range(3) for i in range(k * 40, k * 40 + 200)]
+    df = spark.createDataFrame(rows, "k int, o int, t int")
+    got = T.tokens_before(df, "k", ["o"], "t", F.floor(F.col("o") / 17))
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    ref = df.withColumn("ref", F.coalesce(F.sum("t").over(w), F.lit(0)))
+    bad = got.join(ref, ["k", "o", "t"]).filter(F.col("_before") != F.col("ref")).count()
+    assert bad == 0 and got.count() == df.count()

@@ -38,3 +38,12 @@ def test_scan_pruning_and_pushdown(spark, small_dir):
     p = plan(df)
     assert "PushedFilters: [IsNotNull(o_orderkey), LessThan(o_orderkey,500)]" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in p
+
+
+@pytest.mark.parametrize("key,fn", [("dedup_keep_first", "partial_min_by"), ("dedup_keep_last", "partial_max_by"),
+                                    ("first_lab_per_item", "partial_min_by"), ("bucket_latest", "partial_max_by"),
+                                    ("code_frequency_top", "partial_count"), ("miss_over_by_code", "partial_count_if")])
+def test_per_group_reductions_are_partial_aggregates(spark, small_dir, key, fn):
+    """A hot key is pre-reduced on the map side: the aggregate has a partial step before its shuffle."""
+    p = plan(QUERIES[key](spark, small_dir))
+    assert fn in p
