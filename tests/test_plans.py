@@ -42,7 +42,7 @@ def test_scan_pruning_and_pushdown(spark, small_dir):
 
 @pytest.mark.parametrize("key,fn", [("dedup_keep_first", "partial_min_by"), ("dedup_keep_last", "partial_max_by"),
                                     ("first_lab_per_item", "partial_min_by"), ("bucket_latest", "partial_max_by"),
-                                    ("code_frequency_top", "partial_count"), ("miss_over_by_code", "partial_count_if")])
+                                    ("code_frequency_top", "partial_count"), ("miss_over_by_code", "partial_count")])
 def test_per_group_reductions_are_partial_aggregates(spark, small_dir, key, fn):
     """A hot key is pre-reduced on the map side: the aggregate has a partial step before its shuffle."""
     p = plan(QUERIES[key](spark, small_dir))
