@@ -378,6 +378,46 @@ def bootstrap_ci(scores: DataFrame, score_cols: list[str], key: str = "case_id",
     return full.join(ci, "metric", "inner")   # both sides have len(score_cols) rows
 
 
+def dense_index(df: DataFrame, order: str, partitions: int | None = None) -> DataFrame:
+    """Adds ``idx`` = 0-based rank of ``order`` (unique) without a single-partition window:
+    range-partition and sort, then add each partition's offset (prefix sum over one row per
+    partition).  The numbered frame is written to the shared checkpoint folder so every
+    consumer sees the same numbering."""
+    from pyspark.sql import Window
+    from casespark.session import cut_lineage
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n_parts, order).sortWithinPartitions(order)
+              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = cut_lineage(ranged)
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return (ranged.join(F.broadcast(offsets.select("_pid", "_off", "_base")), "_pid")
+            .withColumn("idx", F.col("_off") + F.col("_mid") - F.col("_base")).drop("_pid", "_mid", "_off", "_base"))
+
+
+def bootstrap_ci_multinomial(scores: DataFrame, score_cols: list[str], key: str = "case_id", n_rep: int = 1000,
+                             level: float = 0.95, seed: int = 7) -> DataFrame:
+    """Exact resampling: each replicate draws n case indexes with replacement
+    (draw(r, s) mod n), joined to the indexed scores.  n × n_rep rows go through one
+    shuffle join; use ``bootstrap_ci`` (Poisson, no join) when n is large."""
+    lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
+    idx = dense_index(scores.select(key, *score_cols), key)
+    n = idx.count()
+    spark = scores.sparkSession
+    draws = (spark.range(0, n * n_rep).select((F.col("id") / F.lit(n)).cast("long").alias("rep"),
+                                              (F.col("id") % F.lit(n)).alias("slot"))
+             .withColumn("idx", stream_draw(md5_draw(seed, F.col("rep")), F.col("slot")) % F.lit(n)))
+    per_rep = draws.join(idx, "idx").groupBy("rep").agg(*[F.avg(c).alias(c) for c in score_cols])
+    means = per_rep.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("m"))
+                                               for c in score_cols])).alias("x")).select("x.*")
+    ci = means.groupBy("metric").agg(F.percentile("m", lo_q).alias("lo"), F.percentile("m", hi_q).alias("hi"))
+    full = scores.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("s"))
+                                             for c in score_cols])).alias("x")) \
+        .groupBy(F.col("x.metric").alias("metric")).agg(F.avg("x.s").alias("value"))
+    return full.join(ci, "metric", "inner")
+
+
 def recall_scores(joined: DataFrame, ks=range(1, 11), ranked="ranked", labels="labels", key="case_id") -> DataFrame:
     """Per-case recall@k columns (input of bootstrap_ci)."""
     L = F.array_distinct(_c(labels))

@@ -273,3 +273,22 @@ SELECT model, think, temperature, CAST(round AS INTEGER) AS round, count(*) AS n
        count(*) FILTER (WHERE u = 0) AS n_undefined,
        {r6("count(*) FILTER (WHERE top1 IS NOT NULL AND top1 <> '' AND list_contains(pred, top1)) / count(*)")} AS accuracy_all
 FROM pc GROUP BY model, think, temperature, round""", *V)
+
+
+_RBASE = "CAST(('0x' || substr(md5(concat_ws(':', '11', CAST(rep AS VARCHAR))), 1, 8)) AS BIGINT)"
+_RU = _mix32(f"(({_RBASE}) + ((slot * {0x9E3779B9}) & 4294967295)) & 4294967295")
+
+SQL["bootstrap_ci_multinomial"] = w(f"""
+sc AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS idx,
+              {inter('labels', 'ranked[1:1]')} / len(labels) AS r1, {inter('labels', 'ranked[1:3]')} / len(labels) AS r3,
+              {inter('labels', 'ranked[1:5]')} / len(labels) AS r5, {inter('labels', 'ranked[1:10]')} / len(labels) AS r10
+       FROM j1),
+nn AS (SELECT count(*) AS n FROM sc),
+dr AS (SELECT rep, slot, ({_RU}) % nn.n AS idx FROM nn, (SELECT unnest(range(200)) AS rep), LATERAL (SELECT unnest(range(nn.n)) AS slot)),
+reps AS (SELECT d.rep, avg(s.r1) AS r1, avg(s.r3) AS r3, avg(s.r5) AS r5, avg(s.r10) AS r10 FROM dr d JOIN sc s ON s.idx = d.idx GROUP BY d.rep),
+lng AS (SELECT 'recall_at_1' AS metric, r1 AS m FROM reps UNION ALL SELECT 'recall_at_3', r3 FROM reps
+        UNION ALL SELECT 'recall_at_5', r5 FROM reps UNION ALL SELECT 'recall_at_10', r10 FROM reps),
+full_v AS (SELECT 'recall_at_1' AS metric, avg(r1) AS value FROM sc UNION ALL SELECT 'recall_at_3', avg(r3) FROM sc
+           UNION ALL SELECT 'recall_at_5', avg(r5) FROM sc UNION ALL SELECT 'recall_at_10', avg(r10) FROM sc)
+SELECT f.metric, {r6('f.value')} AS value, {r6('quantile_cont(l.m, 0.025)')} AS lo, {r6('quantile_cont(l.m, 0.975)')} AS hi
+FROM full_v f JOIN lng l ON l.metric = f.metric GROUP BY f.metric, f.value""")
