@@ -363,19 +363,21 @@ def bootstrap_ci(scores: DataFrame, score_cols: list[str], key: str = "case_id",
     per-case rows fan out to n_rep rows and fold back by a partial aggregate
     on the replicate id.  Output: metric, value, lo, hi."""
     lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep")
+    # replicate -1 carries weight 1 for every case: the full-sample mean comes out of the same pass
+    rep = F.explode(F.sequence(F.lit(-1), F.lit(n_rep - 1))).alias("rep")
     # one md5 per case seeds a cheap integer stream over the replicates
+    # (the uniform of replicate -1 sits in the Poisson bin of 1)
+    u = F.when(F.col("rep") < 0, F.lit(POISSON1_THRESHOLDS[0])).otherwise(stream_draw(F.col("_base"), F.col("rep")))
     fan = (scores.withColumn("_base", md5_draw(seed, F.col(key))).select(key, "_base", *score_cols, rep)
-           .withColumn("w", poisson_weight(stream_draw(F.col("_base"), F.col("rep")))))
+           .withColumn("_u", u).withColumn("w", poisson_weight(F.col("_u"))))   # _u is its own column: evaluated once
     per_rep = fan.groupBy("rep").agg(F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in score_cols])
-    means = per_rep.select(F.explode(F.array(*[
+    means = per_rep.select("rep", F.explode(F.array(*[
         F.struct(F.lit(c).alias("metric"), safe_ratio(F.col(c), F.col("sw")).alias("m")) for c in score_cols])).alias("x")
-    ).select("x.*")
-    ci = means.groupBy("metric").agg(F.percentile("m", lo_q).alias("lo"), F.percentile("m", hi_q).alias("hi"))
-    full = scores.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("s")) for c in score_cols])).alias("x")
-    ).groupBy(F.col("x.metric").alias("metric")).agg(F.avg("x.s").alias("value"))
-    return full.join(ci, "metric", "inner")   # both sides have len(score_cols) rows
+    ).select("rep", "x.*")
+    return means.groupBy("metric").agg(
+        F.max(F.when(F.col("rep") < 0, F.col("m"))).alias("value"),
+        F.percentile(F.when(F.col("rep") >= 0, F.col("m")), lo_q).alias("lo"),
+        F.percentile(F.when(F.col("rep") >= 0, F.col("m")), hi_q).alias("hi"))
 
 
 def dense_index(df: DataFrame, order: str, partitions: int | None = None) -> DataFrame:
@@ -412,10 +414,10 @@ def bootstrap_ci_multinomial(scores: DataFrame, score_cols: list[str], key: str
     means = per_rep.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("m"))
                                                for c in score_cols])).alias("x")).select("x.*")
     ci = means.groupBy("metric").agg(F.percentile("m", lo_q).alias("lo"), F.percentile("m", hi_q).alias("hi"))
-    full = scores.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("s"))
-                                             for c in score_cols])).alias("x")) \
-        .groupBy(F.col("x.metric").alias("metric")).agg(F.avg("x.s").alias("value"))
-    return full.join(ci, "metric", "inner")
+    full = idx.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("s"))
+                                          for c in score_cols])).alias("x")) \
+        .groupBy(F.col("x.metric").alias("metric")).agg(F.avg("x.s").alias("value"))   # from the checkpointed table
+    return full.join(ci, "metric", "inner")   # both sides: one row per metric
 
 
 def recall_scores(joined: DataFrame, ks=range(1, 11), ranked="ranked", labels="labels", key="case_id") -> DataFrame:
