@@ -52,10 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session names none (local tests) a new folder is made and
     registered, so that ``DataFrame.checkpoint`` works.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="casespark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        existing = spark.sparkContext.getCheckpointDir()
+        path = existing or tempfile.mkdtemp(prefix="casespark-ckpt-")     # tests / local runs only
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at run time
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
