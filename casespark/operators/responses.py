@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import let
-from casespark.operators.clean import first_per_group
 
 # Extraction patterns.
 FENCED = r"(?s)```json\n(.*?)\n```"
@@ -50,11 +49,6 @@ def valid_json(c) -> Column:
     return F.coalesce(F.size(wrapped) == 1, F.lit(False))
 
 
-def first_valid(*cands) -> Column:
-    """First candidate text that is strict JSON, each candidate evaluated once."""
-    return let(F.array(*cands), lambda a: F.try_element_at(F.filter(a, lambda v: valid_json(v)), F.lit(1)))
-
-
 # --------------------------------------------------------------------- SC25
 def repair_json(c) -> Column:
     """Drop // comments, quote bare codes, drop trailing commas, squeeze blanks."""
