@@ -155,9 +155,14 @@ def labs_as_csv(labs: DataFrame, key: str = "patientunitstayid",
         # tokens never span a line break, so a line whose preceding lines already use the
         # budget cannot reach the truncated text: drop it before collecting (exact, bounded)
         head = token_count(F.lit("Laboratory test results with timestamps and measurements:\n" + ",".join(cols)))
-        rows = tokens_before(rows.withColumn("_t", token_count("l")), key, list(order), "_t",
-                             F.floor(F.col(order[0]) / F.lit(chunk_width)))
-        rows = rows.filter(F.col("_before") + head < max_tokens).drop("_before", "_t")
+        rows = rows.withColumn("_t", token_count("l"))
+        # keys whose whole text fits the budget skip the running sum (one small aggregate decides)
+        fits = rows.groupBy(key).agg(F.sum("_t").alias("_kt")).withColumn("_fits", F.col("_kt") + head < max_tokens)
+        rows = rows.join(fits.select(key, "_fits"), key, "inner")
+        small = rows.filter("_fits").drop("_fits", "_t")
+        big = tokens_before(rows.filter(~F.col("_fits")).drop("_fits"), key, list(order), "_t",
+                            F.floor(F.col(order[0]) / F.lit(chunk_width)))
+        rows = small.unionByName(big.filter(F.col("_before") + head < max_tokens).drop("_before", "_t"))
     g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col("l")))).alias("_ls"))
     text = F.concat(F.lit("Laboratory test results with timestamps and measurements:\n" + ",".join(cols) + NL),
                     F.concat_ws(NL, F.transform("_ls", lambda s: s["l"])), F.lit(NL))

@@ -247,3 +247,14 @@ def test_tokens_before_matches_single_window(spark):
     ref = df.withColumn("ref", F.coalesce(F.sum("t").over(w), F.lit(0)))
     bad = got.join(ref, ["k", "o", "t"]).filter(F.col("_before") != F.col("ref")).count()
     assert bad == 0 and got.count() == df.count()
+
+
+def test_labs_as_csv_token_cap_exact(spark):
+    rows = [(1, i, f"name{i % 3}", float(i), i, i, 1, "u", "i") for i in range(300)] + [(2, 5, "x", 1.0, 5, 5, 1, None, "i")]
+    df = spark.createDataFrame(rows, "patientunitstayid long, labid long, labname string, labresult double, labresultoffset long, "
+                                     "labresultrevisedoffset long, labtypeid int, labmeasurenamesystem string, labmeasurenameinterface string")
+    capped = {r.patientunitstayid: r.lab_results for r in T.labs_as_csv(df, max_tokens=100, chunk_width=7).collect()}
+    full = {r.patientunitstayid: r.lab_results for r in T.labs_as_csv(df).collect()}
+    cut = df.sparkSession.createDataFrame([(full[1],)], "t string").select(T.truncate_tokens("t", 100)).first()[0]
+    assert capped[1] == cut and capped[2] == full[2]
+    assert df.sparkSession.createDataFrame([(capped[1],)], "t string").select(T.token_count("t")).first()[0] == 100
