@@ -48,7 +48,7 @@ def _c(c):
 
 def strip_ws(c) -> Column:
     """Python-style strip(): leading and trailing whitespace of any kind (trim() only drops spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def _quote(s: str) -> str:

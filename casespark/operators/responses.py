@@ -33,8 +33,12 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+WHITESPACE = " \t\n\x0b\x0c\r"      # the characters of \s
+
+
 def strip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """str.strip() on ASCII whitespace, without a regex."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 _STRICT = {"allowSingleQuotes": "false", "allowComments": "false", "allowUnquotedFieldNames": "false",
