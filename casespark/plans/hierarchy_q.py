@@ -37,6 +37,14 @@ def q_class_metrics(spark, d):
     return finalize(M.multilabel_metrics(c, n_cls, pred="cls_pred", labels="cls_labels"))
 
 
+@query("class_metrics_mid")
+def q_class_metrics_mid(spark, d):
+    """The same metrics on the 3-character (mid) classes."""
+    n_cls = 10  # distinct mid classes of the taxonomy
+    c = H.class_sets(joined(spark, d), fx.taxonomy(spark, d), level="mid")
+    return finalize(M.multilabel_metrics(c, n_cls, pred="cls_pred", labels="cls_labels"))
+
+
 @query("class_report")
 def q_class_report(spark, d):
     c = _cls(spark, d)

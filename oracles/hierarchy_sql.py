@@ -91,3 +91,15 @@ FROM sv LEFT JOIN sc2 ON sc2.score = sv.score GROUP BY sv.score"""
 
 SQL["closeness_top1"] = w(_close("SELECT case_id, case_id AS rid, top1 AS label FROM j1"))
 SQL["closeness_all"] = w(_close("SELECT case_id, row_number() OVER () AS rid, label FROM (SELECT case_id, unnest(labels) AS label FROM j1)"))
+
+_MID = CLS_LONG.replace("t.top AS cls", "t.mid AS cls").replace("SELECT DISTINCT substr(leaf, 1, 3) AS p, top FROM taxonomy",
+                                                             "SELECT DISTINCT substr(leaf, 1, 3) AS p, mid FROM taxonomy")
+SQL["class_metrics_mid"] = w(_MID + f""",
+pc AS (SELECT CASE WHEN list_sort(L) = list_sort(P) THEN 1.0 ELSE 0.0 END AS exact, {inter('L', 'P')} AS i,
+              {union('L', 'P')} AS u, {setsize('L')} AS nl, {setsize('P')} AS np FROM lists)
+SELECT count(*) AS n, {r6('avg(exact)')} AS subset_accuracy, {r6('avg(CASE WHEN u > 0 THEN i / u END)')} AS jaccard_accuracy,
+       {r6('avg(CASE WHEN np > 0 THEN i / np ELSE 0 END)')} AS samples_precision,
+       {r6('avg(CASE WHEN nl > 0 THEN i / nl ELSE 0 END)')} AS samples_recall,
+       {r6('avg(CASE WHEN nl + np > 0 THEN 2 * i / (nl + np) ELSE 0 END)')} AS samples_f1,
+       {r6('sum(nl + np - 2 * i) / (count(*) * 10)')} AS hamming_loss, count(*) FILTER (WHERE u = 0) AS n_undefined
+FROM pc""")
