@@ -6,6 +6,13 @@ Nothing else in the library imports this subpackage.  ``queries()`` and
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel to the executors by value: their Python needs no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def queries() -> dict:
     from casespark.llm.plans import QUERIES
