@@ -40,7 +40,7 @@ def directory(keys: DataFrame, key_bits: int, capacity: int, max_depth: int) ->
         F.expr(f"(1L << depth) + (cell >> ({bits} - depth))").alias("bucket"))
     fits = (prefixes.groupBy("bucket").agg(F.sum("filled").alias("held"))
             .where((F.col("held") <= capacity) | (F.col("bucket") >= F.lit(1 << bits))))
-    return (prefixes.join(fits, "bucket").groupBy("cell").agg(F.min_by("bucket", "depth").alias("bucket")))
+    return (prefixes.join(F.broadcast(fits), "bucket").groupBy("cell").agg(F.min_by("bucket", "depth").alias("bucket")))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bits: int = 64,
