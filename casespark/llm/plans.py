@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from casespark.llm.exact_dedup import exact_duplicates
 from casespark.llm.minhash_dedup import near_duplicates
 from casespark.llm.packing import pack
+from casespark.llm.pii import pseudonymise
 from casespark.llm.quality import quality_scores
 
 
+#: a run of one's own takes a secret key
+PII_KEY = "published with the tests"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -33,6 +38,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir), PII_KEY)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -44,6 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op4_pii": op4_pii,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
