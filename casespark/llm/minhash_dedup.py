@@ -7,9 +7,9 @@
 * In each list a few centres (least under different hashes of the id) meet all members; the union sketch of a pair
   estimates its similarity, and pairs estimated at five standard errors below the threshold or more are compared on
   their full sets.  This is linear in the length of a list.
-* Lists whose members still lie in several components then compare all members of different components in blocks.
-  Lists of over ``LONG`` members are first divided by two more of the ``DEEP`` least values, which near duplicates
-  share (missing below 3e-7) and documents with one common line do not.
+* In lists whose members still lie in several components, every member outside the largest component meets all
+  members, in blocks.  Lists with over ``LONG`` such members are first divided by one more shared value (of ``LEAD + 2``,
+  then ``LEAD + 4`` ... least ones), which near duplicates have and documents with one common line do not.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from casespark.llm.components import connected_components
 from casespark.llm.shared import Scratch
 from casespark.llm.text_arrays import LOWER, combine, mix, span_hashes, steps, text_buffers, word_spans
 
-SKETCH, LEAD, DEEP, CENTRES, LONG, SIDE, SALTS = 64, 10, 16, 3, 512, 256, 64
+SKETCH, LEAD, CENTRES, LEVELS, LONG, SIDE, SALTS = 64, 10, 3, 6, 512, 256, 64
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,45 +105,50 @@ def _estimates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each (list, block, block) group; groups arrive sorted, one after another."""
-    group, rows = None, []
+    """Pairs of different components in each (list, block, part): first come its queries, then the members to meet."""
+    group, asked, met = None, [], []
 
     def pairs() -> pa.RecordBatch:
         a, b = [], []
-        if len(rows) > 1:
-            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-            size = np.array([r[4] for r in rows], np.float64)
-            comp = np.array([r[6] for r in rows])
-            node = np.array([r[3] for r in rows])
-            mine = np.array([r[7] for r in rows])
-            values, where = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            common = np.flatnonzero(np.bincount(where, minlength=len(values)) > 1)
-            column = np.full(len(values), -1)
-            column[common] = np.arange(len(common))
-            overlap = np.zeros((len(sets), len(sets)), np.float32)
-            for lo in range(0, len(common), 2048):
-                hit = (column[where] >= lo) & (column[where] < lo + 2048)
-                has = np.zeros((len(sets), min(2048, len(common) - lo)), np.float32)
-                has[owner[hit], column[where][hit] - lo] = 1
-                overlap += has @ has.T
-            few = np.minimum.outer([len(s) for s in sets], [len(s) for s in sets])
-            i, j = np.nonzero(np.triu(overlap >= 0.5 * least * few, 1))
-            fits = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j]))
-            if rows[0][1] != rows[0][2]:
-                fits &= mine[i] != mine[j]
-            for x, y in zip(i[fits], j[fits]):
-                if estimate(sets[x], sets[y]) >= least:
-                    a.append(min(node[x], node[y]))
-                    b.append(max(node[x], node[y]))
+        if asked and met:
+            own = [np.frombuffer(r[6], np.uint64) for r in asked]
+            others = [np.frombuffer(r[6], np.uint64) for r in met]
+            values, where = np.unique(np.concatenate(own), return_inverse=True)
+            holder = np.repeat(np.arange(len(own)), [len(s) for s in own])[np.argsort(where, kind="stable")]
+            first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
+            flat = np.concatenate(others)
+            member = np.repeat(np.arange(len(others)), [len(s) for s in others])
+            spot = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+            hit = values[spot] == flat
+            spot, member = spot[hit], member[hit]
+            held = first[spot + 1] - first[spot]
+            before = np.cumsum(held) - held
+            query = holder[np.repeat(first[spot] - before, held) + np.arange(int(held.sum()))]
+            overlap = np.bincount(query * len(others) + np.repeat(member, held), minlength=len(own) * len(others))
+            i, j = np.divmod(np.flatnonzero(overlap), len(others))
+            size_i, size_j = np.array([r[5] for r in asked], float)[i], np.array([r[5] for r in met], float)[j]
+            few = np.minimum(np.array([len(s) for s in own])[i], np.array([len(s) for s in others])[j])
+            fits = ((overlap[overlap > 0] >= 0.5 * least * few)
+                    & (np.array([r[7] for r in asked])[i] != np.array([r[7] for r in met])[j])
+                    & (np.minimum(size_i, size_j) >= share * np.maximum(size_i, size_j)))
+            for x, y in zip(i[fits].tolist(), j[fits].tolist()):
+                if estimate(own[x], others[y]) >= least:
+                    a.append(min(asked[x][4], met[y][4]))
+                    b.append(max(asked[x][4], met[y][4]))
         return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:3] != group:
                 yield pairs()
-                group, rows = row[:3], []
-            rows.append(row)
+                group, asked, met = row[:3], [], []
+            if row[3] == 0:
+                asked.append(row)
+            else:
+                met.append(row)
+                if len(met) == LONG:
+                    yield pairs()
+                    met = []
     yield pairs()
 
 
@@ -173,11 +178,14 @@ class _Search:
         self.least = self.share - 5 * (self.share * (1 - self.share) / SKETCH) ** 0.5
 
     def lists(self, nodes: DataFrame) -> DataFrame:
-        """(key, node, n): one row for each two of the LEAD least values of a class."""
-        pairs = nodes.select("node", "n", F.expr(f"slice({_VALUES}, 1, {LEAD})").alias("v"))
-        return pairs.select("node", "n", F.explode(F.expr(
-            "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, greatest(size(v) - i - 1, 0)), y -> xxhash64(x, y))))"
-        )).alias("key"))
+        """(key, last, node, n): a row for each two of the LEAD least values of a class, if another class has both."""
+        rows = nodes.select("node", "n", F.expr(f"slice({_VALUES}, 1, {LEAD})").alias("v")).select(
+            "node", "n", F.explode(F.expr(
+                "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, greatest(size(v) - i - 1, 0)),"
+                " (y, j) -> named_struct('key', xxhash64(x, y), 'last', i + j + 1))))")).alias("x")
+        ).select("x.key", "x.last", "node", "n")
+        shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+        return self.scratch.table(rows.join(shared, "key"), "lists")
 
     def compare(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose full sets are similar enough; a frequent left side is dealt over up to SALTS tasks."""
@@ -193,9 +201,8 @@ class _Search:
 
     def central_pairs(self, nodes: DataFrame, lists: DataFrame) -> DataFrame:
         """Members of each list against its centres, filtered by size and by the estimate."""
-        centres = lists.groupBy("key").agg(F.count("*").alias("members"), *[
-            F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n")).alias(f"c{k}") if k else
-            F.min(F.struct("node", "n")).alias("c0") for k in range(CENTRES)]).where("members > 1")
+        centres = lists.groupBy("key").agg(*[
+            F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)])
         met = (lists.join(centres, "key")
                .select("node", "n", F.explode(F.array(*[F.struct(F.col(f"c{k}.node").alias("node"), F.col(f"c{k}.n").alias("n"))
                                                         for k in range(CENTRES)])).alias("c"))
@@ -209,28 +216,42 @@ class _Search:
                 .mapInArrow(lambda batches: _estimates(batches, least), "a long, b long"))
 
     def other_pairs(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of different components that no centre has joined, list by list and block by block."""
-        placed = lists.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        open_lists = self.scratch.table(
-            placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
-            .agg(F.sum("m").alias("members"), F.count("*").alias("parts")).where("parts > 1 AND members > 2"), "open")
-        members = placed.join(open_lists, "key").join(nodes.select("node", "n", "sketch"), "node")
-        short = members.where(f"members <= {LONG}").select("key", "node", "n", "sketch", "component", "members")
-        deep = members.where(f"members > {LONG}").select(
-            "node", "n", "sketch", "component", F.explode(F.expr(
-                f"flatten(transform(slice({_VALUES}, 1, {DEEP}), (x, i) -> transform(slice({_VALUES}, i + 2, {DEEP} - i - 1),"
-                " y -> xxhash64(key, x, y))))")).alias("key"))
-        deep_open = (deep.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
-                     .agg(F.sum("m").alias("members"), F.count("*").alias("parts")).where("parts > 1"))
-        deep = deep.join(deep_open, "key").select("key", "node", "n", "sketch", "component", "members")
-        dealt = (short.unionByName(deep)
-                 .withColumn("blocks", F.ceil(F.col("members") / SIDE).cast("int"))
-                 .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
-                 .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-                 .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n",
-                         "sketch", "component", "mine"))
+        """Pairs of different components that no centre has joined: in every list that still has several components,
+        all members outside its largest one are compared with all members."""
+        placed = (lists.join(parts, "node", "left")
+                  .select("key", "last", "node", "n", F.coalesce("component", "node").alias("component")))
+        found, level = None, 2
+        while True:
+            level += 1
+            counts = (placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
+                      .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top"))
+                      .where(f"parts > 1 AND (members > 2 OR {level} > 3)"))
+            rows = self.scratch.table(placed.join(counts, "key"), f"open-{level}")
+            rest = f"members - top.m > {LONG}"
+            deep = level < LEVELS and rows.where(rest).limit(1).count() > 0
+            part = self._against_all(nodes, rows.where(f"NOT ({rest})") if deep else rows)
+            found = part if found is None else found.unionByName(part)
+            if not deep:
+                return found.distinct()
+            placed = (rows.where(rest).join(nodes.select("node", "sketch"), "node")
+                      .select("node", "n", "component", F.explode(F.expr(
+                          f"transform(filter(transform(slice({_VALUES}, 1, {LEAD + 2 * (level - 2)}), (x, i) -> named_struct('x', x, 'i', i)),"
+                          " s -> s.i > last), s -> named_struct('key', xxhash64(key, s.x), 'last', s.i))")).alias("x"))
+                      .select("x.key", "x.last", "node", "n", "component"))
+
+    def _against_all(self, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+        members = (rows.select("key", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
+                               F.ceil((F.col("members") - F.col("top.m")) / SIDE).cast("int").alias("blocks"),
+                               F.ceil(F.col("members") / (8 * SIDE)).cast("int").alias("spread"))
+                   .join(nodes.select("node", "sketch"), "node")
+                   .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
+                   .withColumn("spot", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("spread")).cast("int")))
+        asking = members.where("asks").select("key", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, spread - 1)")).alias("j"),
+                                              F.lit(0).alias("role"), "node", "n", "sketch", "component")
+        meeting = members.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("spot").alias("j"),
+                                 F.lit(1).alias("role"), "node", "n", "sketch", "component")
         least, share = self.least, self.share
-        return (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        return (asking.unionByName(meeting).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
                 .mapInArrow(lambda batches: _block_pairs(batches, least, share), "a long, b long"))
 
 
