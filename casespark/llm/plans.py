@@ -12,12 +12,36 @@ from casespark.llm.minhash_dedup import near_duplicates
 from casespark.llm.packing import pack
 from casespark.llm.pii import pseudonymise
 from casespark.llm.quality import quality_scores
+from casespark.llm.url_filter import filter_urls
 
 
 #: a run of one's own takes a secret key
 PII_KEY = "published with the tests"
 
 
+#: host, path, verdict
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+#: small labelled URL table (1: block), invented for this purpose
+URL_LABELS = [(f"https://{host}/{path}", 1) for host, path in [
+    ("spam-farm.example.net", "en/12"), ("www.spam-links.example.com", "de/7.html"), ("adult-x.example.org", "fr/4"),
+    ("m.adult-videos.example.net", "es/90"), ("casino-bonus.example.com", "en/slots"), ("www.best-casino.example.net", "win"),
+    ("xxx-cams.example.org", "live/3"), ("free-xxx.example.com", "en/88?page=2"), ("cheap-pills.example.net", "buy-now"),
+    ("pharma-pills.example.com", "en/order"), ("poker-win.example.org", "de/12"), ("clickbait.example.net", "you-wont-believe"),
+    ("link-farm.example.com", "fr/345.html"), ("seo-spam.example.org", "en/1/"), ("malware-download.example.net", "setup.exe"),
+    ("phishing-login.example.com", "verify/account"), ("warez-crack.example.org", "keygen"), ("spamblog.example.net", "es/5#top"),
+    ("adult.example.com", "en/33"), ("get-rich-quick.example.net", "offer"), ("hot-singles.example.org", "meet")]] + [
+    (f"https://{host}/{path}", 0) for host, path in [
+        ("blog.writer.example.com", "en/12"), ("www.news-daily.example.net", "de/7.html"), ("library.example.org", "fr/4"),
+        ("m.museum.example.net", "es/90"), ("university.example.com", "en/courses"), ("www.weather.example.net", "today"),
+        ("recipes.example.org", "soup/3"), ("garden.example.com", "en/88?page=2"), ("science-journal.example.net", "issue-4"),
+        ("encyclopedia.example.com", "en/article"), ("chess-club.example.org", "de/12"), ("travel.example.net", "mountain-walks"),
+        ("history.example.com", "fr/345.html"), ("code-forum.example.org", "en/1/"), ("docs.project.example.net", "manual.html"),
+        ("city-council.example.com", "meetings/agenda"), ("theatre.example.org", "programme"), ("blog.thing.example.net", "es/5#top"),
+        ("www.other.example.com", "en/33"), ("music-school.example.net", "lessons"), ("blog.notes.example.org", "en/773")]]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -42,6 +66,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir), PII_KEY)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    labelled = spark.createDataFrame(URL_LABELS, "url string, block int")
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, labelled)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -54,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
     "op4_pii": op4_pii,
+    "op5_url_filter": op5_url_filter,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -192,10 +192,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     table = scratch.table(base.mapInArrow(features, "id long, x binary"), "features")
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % folds
-    taught = (table.where(F.col("id").isNotNull() & (fold != 0))
-              .join(labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
-                    .where("y IS NOT NULL"), "id")
-              .orderBy(F.xxhash64("id"), "id", "y", "x").limit(max_train_rows).collect())      # bounded by the parameter
+    usable = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+              .where("y IS NOT NULL AND id IS NOT NULL").where(fold != 0))
+    # a hash bound that leaves about twice as many rows as are wanted, so that no task sends more than its share
+    share = min(1.0, 2 * max_train_rows / max(1, usable.count()))
+    taught = (table.join(usable.where(F.shiftrightunsigned(F.xxhash64("id"), 32) <= int(share * (2**32 - 1))), "id")
+              .orderBy(F.shiftrightunsigned(F.xxhash64("id"), 32), "id", "y", "x").limit(max_train_rows).collect())      # bounded by the parameter
     model = train(np.array([np.frombuffer(r["x"], np.float32) for r in taught]).reshape(len(taught), FEATURES),
                   np.array([r["y"] for r in taught], np.float64))
 
