@@ -7,9 +7,11 @@
 * In each list a few centres (least under different hashes of the id) meet all members; the union sketch of a pair
   estimates its similarity, and pairs estimated at five standard errors below the threshold or more are compared on
   their full sets.  This is linear in the length of a list.
-* In lists whose members still lie in several components, every member outside the largest component meets all
-  members, in blocks.  Lists with over ``LONG`` such members are first divided by one more shared value (of ``LEAD + 2``,
-  then ``LEAD + 4`` ... least ones), which near duplicates have and documents with one common line do not.
+* In lists whose members still lie in several components, the members of small ones are compared with each other by
+  estimates in blocks, and a member next to a component of ``BIG`` nodes or more meets all of that component on full
+  sets, once.  Lists with over ``LONG`` members outside their largest component are first divided by one more shared
+  value (of ``LEAD + 2``, then ``LEAD + 4`` ... least ones), which near duplicates have and documents with one common
+  line do not.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from casespark.llm.components import connected_components
 from casespark.llm.shared import Scratch
 from casespark.llm.text_arrays import LOWER, combine, mix, span_hashes, steps, text_buffers, word_spans
 
-SKETCH, LEAD, CENTRES, LEVELS, LONG, SIDE, SALTS = 64, 10, 3, 6, 512, 256, 64
+SKETCH, LEAD, CENTRES, LEVELS, LONG, SIDE, SALTS, BIG = 64, 10, 3, 6, 512, 256, 64, 32
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +173,42 @@ def _verifier(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
     return verify
 
 
+def _meeter(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (c, i, j, role, id, text), sorted; in each group the texts of role 0 ask, those of role 1 are met."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asking, index = None, [], None
+
+        def built() -> tuple:
+            sets = [s for _, s in asking]
+            values, where = np.unique(np.concatenate(sets), return_inverse=True)
+            holder = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[np.argsort(where, kind="stable")]
+            first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
+            return values, holder, first, np.array([len(s) for s in sets]), np.ones(len(sets), bool)
+
+        for batch in batches:
+            a, b = [], []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(5)))
+            for (*at, role, node), s in zip(keys, _sets(batch.column(5), words)):
+                if at != group:
+                    group, asking, index = at, [], None
+                if role == 0:
+                    asking.append((node, s.copy()))
+                elif asking:
+                    index = index or built()
+                    values, holder, first, size, open_ = index
+                    spot = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    spot = spot[values[spot] == s]
+                    held = first[spot + 1] - first[spot]
+                    at_ = np.repeat(first[spot] - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))
+                    shared = np.bincount(holder[at_], minlength=len(size))
+                    linked = np.flatnonzero((100 * shared >= percent * (size + len(s) - shared)) & open_)
+                    open_[linked] = False
+                    a += [asking[k][0] for k in linked]
+                    b += [node] * len(linked)
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return meet
+
+
 class _Search:
     def __init__(self, base: DataFrame, scratch: Scratch, words: int, percent: int):
         self.base, self.scratch, self.words, self.percent = base, scratch, words, percent
@@ -215,12 +253,18 @@ class _Search:
                 .select("a", "b", "sa", "sb")
                 .mapInArrow(lambda batches: _estimates(batches, least), "a long, b long"))
 
-    def other_pairs(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of different components that no centre has joined: in every list that still has several components,
-        all members outside its largest one are compared with all members."""
+    def others(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
+        """Links between components that no centre has joined, from the lists that still hold several of them.
+
+        Members of components of under ``BIG`` nodes are compared with each other inside the list.  A member that
+        shares a list with a larger component meets all nodes of that component, once however many lists they share.
+        """
+        large = self.scratch.table(
+            parts.join(nodes.select("node", "n"), "node").groupBy("component")
+            .agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"size >= {BIG}"), "large")
         placed = (lists.join(parts, "node", "left")
                   .select("key", "last", "node", "n", F.coalesce("component", "node").alias("component")))
-        found, level = None, 2
+        pairs, meetings, level = [], [], 2
         while True:
             level += 1
             counts = (placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
@@ -229,20 +273,60 @@ class _Search:
             rows = self.scratch.table(placed.join(counts, "key"), f"open-{level}")
             rest = f"members - top.m > {LONG}"
             deep = level < LEVELS and rows.where(rest).limit(1).count() > 0
-            part = self._against_all(nodes, rows.where(f"NOT ({rest})") if deep else rows)
-            found = part if found is None else found.unionByName(part)
+            here = (rows.where(f"NOT ({rest})") if deep else rows).select("key", "node", "n", "component")
+            small = here.join(large, "component", "left_anti")
+            pairs.append(self._against_all(nodes, small))
+            meetings.append(self._touching(here, large))
             if not deep:
-                return found.distinct()
+                break
             placed = (rows.where(rest).join(nodes.select("node", "sketch"), "node")
                       .select("node", "n", "component", F.explode(F.expr(
                           f"transform(filter(transform(slice({_VALUES}, 1, {LEAD + 2 * (level - 2)}), (x, i) -> named_struct('x', x, 'i', i)),"
                           " s -> s.i > last), s -> named_struct('key', xxhash64(key, s.x), 'last', s.i))")).alias("x"))
                       .select("x.key", "x.last", "node", "n", "component"))
+        found, met = pairs[0], meetings[0]
+        for more, also in zip(pairs[1:], meetings[1:]):
+            found, met = found.unionByName(more), met.unionByName(also)
+        return self.compare(found.distinct(), "other").unionByName(self.meet(met.distinct(), parts, large))
+
+    def _touching(self, rows: DataFrame, large: DataFrame) -> DataFrame:
+        """(component, node): a node and a larger component of its list; of two large ones the fewer members ask."""
+        per_list = rows.groupBy("key", "component").agg(F.count("*").alias("m")).join(large, "component", "left")
+        rank = F.struct(F.col("size").isNotNull().alias("big"), "m", "component")
+        mine = rows.join(per_list.select("key", "component", rank.alias("rank")), ["key", "component"])
+        theirs = per_list.where("size IS NOT NULL").select("key", F.col("component").alias("other"), rank.alias("other_rank"), "low", "high")
+        return (mine.join(theirs, "key").where("other_rank > rank")
+                .where(f"n >= {self.share} * low AND {self.share} * n <= high")
+                .select(F.col("other").alias("component"), "node").distinct())
+
+    def meet(self, asked: DataFrame, parts: DataFrame, large: DataFrame) -> DataFrame:
+        """Exact links (a, b) of nodes with the components they ask, at most one for each node and part of a component."""
+        asked = self.scratch.table(asked, "asked")
+        load = (asked.groupBy("component").agg(F.ceil(F.count("*") / (4 * SIDE)).cast("int").alias("blocks"))
+                .join(large.select("component", F.ceil(F.col("size") / (8 * SIDE)).cast("int").alias("spread")), "component"))
+        targets = parts.join(load, "component")
+        ids = asked.select(F.col("node").alias("id")).union(targets.select("node")).distinct()
+        texts = self.scratch.table(self.base.join(ids, "id", "left_semi").dropDuplicates(["id"]), "meeting-texts")
+        asking = asked.join(load, "component").select(
+            F.col("component").alias("c"), F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int").alias("i"),
+            F.explode(F.expr("sequence(0, spread - 1)")).alias("j"), F.lit(0).alias("role"), F.col("node").alias("id"))
+        meeting = targets.select(
+            F.col("component").alias("c"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"),
+            F.pmod(F.xxhash64(F.lit(13), "node"), F.col("spread")).cast("int").alias("j"), F.lit(1).alias("role"),
+            F.col("node").alias("id"))
+        return (asking.unionByName(meeting).join(texts, "id").select("c", "i", "j", "role", "id", "text")
+                .repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "role")
+                .mapInArrow(_meeter(self.words, self.percent), "a long, b long"))
 
     def _against_all(self, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-        members = (rows.select("key", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
-                               F.ceil((F.col("members") - F.col("top.m")) / SIDE).cast("int").alias("blocks"),
-                               F.ceil(F.col("members") / (8 * SIDE)).cast("int").alias("spread"))
+        """Estimated pairs of different components in a list: members outside the largest one meet all members."""
+        counts = (rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
+                  .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top"))
+                  .where("parts > 1"))
+        members = (rows.join(counts, "key")
+                   .select("key", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
+                           F.ceil((F.col("members") - F.col("top.m")) / SIDE).cast("int").alias("blocks"),
+                           F.ceil(F.col("members") / (8 * SIDE)).cast("int").alias("spread"))
                    .join(nodes.select("node", "sketch"), "node")
                    .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
                    .withColumn("spot", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("spread")).cast("int")))
@@ -279,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = search.lists(nodes)
     links = scratch.table(search.compare(search.central_pairs(nodes, lists), "central"), "links-1")
     parts = scratch.table(connected_components(links, scratch, "parts-1"), "parts-1")
-    more = scratch.table(search.compare(search.other_pairs(nodes, lists, parts), "other"), "links-2")
+    more = scratch.table(search.others(nodes, lists, parts), "links-2")
     final = connected_components(links.unionByName(more), scratch, "parts-2")
     return (table.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
             .join(final, "node", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casespark.llm.exact_dedup import exact_duplicates
+from casespark.llm.fingerprint import edited_fingerprints
 from casespark.llm.minhash_dedup import near_duplicates
 from casespark.llm.packing import pack
 from casespark.llm.pii import pseudonymise
@@ -62,6 +63,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir), PII_KEY)
 
@@ -83,6 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op5_url_filter": op5_url_filter,
     "op9_quality": op9_quality,
