@@ -7,9 +7,9 @@
 * In each list a few centres (least under different hashes of the id) meet all members; the union sketch of a pair
   estimates its similarity, and pairs estimated at five standard errors below the threshold or more are compared on
   their full sets.  This is linear in the length of a list.
-* In lists whose members still lie in several components, the members of small ones are compared with each other by
-  estimates in blocks, and a member next to a component of ``BIG`` nodes or more meets all of that component on full
-  sets, once.  Lists with over ``LONG`` members outside their largest component are first divided by one more shared
+* In lists whose members still lie in several components, a member next to a component of ``BIG`` nodes or more meets
+  all of that component on full sets, once; the members of small components are then estimated against each other in
+  blocks, each pair in one of its lists.  Lists with over ``LONG`` members outside their largest component are first divided by one more shared
   value (of ``LEAD + 2``, then ``LEAD + 4`` ... least ones), which near duplicates have and documents with one common
   line do not.
 """
@@ -106,45 +106,54 @@ def _estimates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
+def _shared(asked: list[np.ndarray], met: list[np.ndarray]) -> np.ndarray:
+    """Number of shared values of each asking set (rows) with each met set (columns)."""
+    values, where = np.unique(np.concatenate(asked), return_inverse=True)
+    holder = np.repeat(np.arange(len(asked)), [len(s) for s in asked])[np.argsort(where, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
+    flat = np.concatenate(met)
+    member = np.repeat(np.arange(len(met)), [len(s) for s in met])
+    spot = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    hit = values[spot] == flat
+    spot, member = spot[hit], member[hit]
+    held = first[spot + 1] - first[spot]
+    query = holder[np.repeat(first[spot] - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))]
+    return np.bincount(query * len(met) + np.repeat(member, held), minlength=len(asked) * len(met)).reshape(len(asked), -1)
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each (list, block, part): first come its queries, then the members to meet."""
+    """Pairs of different components in each (list, block, part): first come its queries, then the members to meet.
+
+    A list stands for its ``level`` shared values, the greatest at position ``last`` of a member's sketch.  A pair is
+    estimated only in the list of its least shared values, so in one list however many the two share.
+    """
     group, asked, met = None, [], []
 
     def pairs() -> pa.RecordBatch:
         a, b = [], []
         if asked and met:
-            own = [np.frombuffer(r[6], np.uint64) for r in asked]
-            others = [np.frombuffer(r[6], np.uint64) for r in met]
-            values, where = np.unique(np.concatenate(own), return_inverse=True)
-            holder = np.repeat(np.arange(len(own)), [len(s) for s in own])[np.argsort(where, kind="stable")]
-            first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
-            flat = np.concatenate(others)
-            member = np.repeat(np.arange(len(others)), [len(s) for s in others])
-            spot = np.minimum(np.searchsorted(values, flat), len(values) - 1)
-            hit = values[spot] == flat
-            spot, member = spot[hit], member[hit]
-            held = first[spot + 1] - first[spot]
-            before = np.cumsum(held) - held
-            query = holder[np.repeat(first[spot] - before, held) + np.arange(int(held.sum()))]
-            overlap = np.bincount(query * len(others) + np.repeat(member, held), minlength=len(own) * len(others))
-            i, j = np.divmod(np.flatnonzero(overlap), len(others))
-            size_i, size_j = np.array([r[5] for r in asked], float)[i], np.array([r[5] for r in met], float)[j]
-            few = np.minimum(np.array([len(s) for s in own])[i], np.array([len(s) for s in others])[j])
-            fits = ((overlap[overlap > 0] >= 0.5 * least * few)
-                    & (np.array([r[7] for r in asked])[i] != np.array([r[7] for r in met])[j])
-                    & (np.minimum(size_i, size_j) >= share * np.maximum(size_i, size_j)))
-            for x, y in zip(i[fits].tolist(), j[fits].tolist()):
+            own = [np.frombuffer(r["sketch"], np.uint64) for r in asked]
+            others = [np.frombuffer(r["sketch"], np.uint64) for r in met]
+            least_values = _shared([s[:r["last"] + 1] for s, r in zip(own, asked)], [s[:r["last"] + 1] for s, r in zip(others, met)])
+
+            def column(name: str) -> tuple[np.ndarray, np.ndarray]:
+                return np.array([r[name] for r in asked])[:, None], np.array([r[name] for r in met])[None]
+
+            (n, m), (c, d) = column("n"), column("component")
+            fits = (least_values == asked[0]["level"]) & (c != d) & (np.minimum(n, m) >= share * np.maximum(n, m))
+            for x, y in zip(*(k.tolist() for k in np.nonzero(fits))):
                 if estimate(own[x], others[y]) >= least:
-                    a.append(min(asked[x][4], met[y][4]))
-                    b.append(max(asked[x][4], met[y][4]))
+                    a.append(min(asked[x]["node"], met[y]["node"]))
+                    b.append(max(asked[x]["node"], met[y]["node"]))
         return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != group:
+        for row in batch.to_pylist():
+            at = (row["key"], row["i"], row["j"])
+            if at != group:
                 yield pairs()
-                group, asked, met = row[:3], [], []
-            if row[3] == 0:
+                group, asked, met = at, [], []
+            if row["role"] == 0:
                 asked.append(row)
             else:
                 met.append(row)
@@ -253,41 +262,44 @@ class _Search:
                 .select("a", "b", "sa", "sb")
                 .mapInArrow(lambda batches: _estimates(batches, least), "a long, b long"))
 
-    def others(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
-        """Links between components that no centre has joined, from the lists that still hold several of them.
-
-        Members of components of under ``BIG`` nodes are compared with each other inside the list.  A member that
-        shares a list with a larger component meets all nodes of that component, once however many lists they share.
-        """
-        large = self.scratch.table(
-            parts.join(nodes.select("node", "n"), "node").groupBy("component")
-            .agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"size >= {BIG}"), "large")
+    def open_lists(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
+        """(key, level, last, node, n, component): the lists that still hold several components, the long ones divided."""
         placed = (lists.join(parts, "node", "left")
                   .select("key", "last", "node", "n", F.coalesce("component", "node").alias("component")))
-        pairs, meetings, level = [], [], 2
+        out, level = None, 2
         while True:
-            level += 1
             counts = (placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
-                      .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top"))
-                      .where(f"parts > 1 AND (members > 2 OR {level} > 3)"))
+                      .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("outside"))
+                      .where(f"parts > 1 AND (members > 2 OR {level} > 2)"))
             rows = self.scratch.table(placed.join(counts, "key"), f"open-{level}")
-            rest = f"members - top.m > {LONG}"
-            deep = level < LEVELS and rows.where(rest).limit(1).count() > 0
-            here = (rows.where(f"NOT ({rest})") if deep else rows).select("key", "node", "n", "component")
-            small = here.join(large, "component", "left_anti")
-            pairs.append(self._against_all(nodes, small))
-            meetings.append(self._touching(here, large))
+            deep = level < LEVELS and rows.where(f"outside > {LONG}").limit(1).count() > 0
+            here = (rows.where(f"outside <= {LONG}") if deep else rows).select(
+                "key", F.lit(level).alias("level"), "last", "node", "n", "component")
+            out = here if out is None else out.unionByName(here)
             if not deep:
-                break
-            placed = (rows.where(rest).join(nodes.select("node", "sketch"), "node")
+                return out
+            placed = (rows.where(f"outside > {LONG}").join(nodes.select("node", "sketch"), "node")
                       .select("node", "n", "component", F.explode(F.expr(
-                          f"transform(filter(transform(slice({_VALUES}, 1, {LEAD + 2 * (level - 2)}), (x, i) -> named_struct('x', x, 'i', i)),"
+                          f"transform(filter(transform(slice({_VALUES}, 1, {LEAD + 2 * (level - 1)}), (x, i) -> named_struct('x', x, 'i', i)),"
                           " s -> s.i > last), s -> named_struct('key', xxhash64(key, s.x), 'last', s.i))")).alias("x"))
                       .select("x.key", "x.last", "node", "n", "component"))
-        found, met = pairs[0], meetings[0]
-        for more, also in zip(pairs[1:], meetings[1:]):
-            found, met = found.unionByName(more), met.unionByName(also)
-        return self.compare(found.distinct(), "other").unionByName(self.meet(met.distinct(), parts, large))
+            level += 1
+
+    def others(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
+        """Links between components that no centre has joined, from the lists that still hold several of them.
+
+        A member that shares a list with a component of ``BIG`` nodes or more meets all nodes of it, once however
+        many lists they share.  Then members of smaller components meet each other inside their lists.
+        """
+        large = self.scratch.table(
+            parts.join(nodes.select("node", "n"), "node").groupBy("component")
+            .agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"size >= {BIG}"), "large")
+        rows = self.open_lists(nodes, lists, parts)
+        met = self.scratch.table(self.meet(self._touching(rows, large), parts, large), "links-2")
+        now = self.scratch.table(connected_components(links.unionByName(met), self.scratch, "parts-2"), "parts-2")
+        small = (rows.join(large, "component", "left_anti").drop("component").join(now, "node", "left")
+                 .withColumn("component", F.coalesce("component", "node")))
+        return met.unionByName(self.compare(self._against_all(nodes, small), "other"))
 
     def _touching(self, rows: DataFrame, large: DataFrame) -> DataFrame:
         """(component, node): a node and a larger component of its list; of two large ones the fewer members ask."""
@@ -324,16 +336,16 @@ class _Search:
                   .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top"))
                   .where("parts > 1"))
         members = (rows.join(counts, "key")
-                   .select("key", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
+                   .select("key", "level", "last", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
                            F.ceil((F.col("members") - F.col("top.m")) / SIDE).cast("int").alias("blocks"),
                            F.ceil(F.col("members") / (8 * SIDE)).cast("int").alias("spread"))
                    .join(nodes.select("node", "sketch"), "node")
                    .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
                    .withColumn("spot", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("spread")).cast("int")))
         asking = members.where("asks").select("key", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, spread - 1)")).alias("j"),
-                                              F.lit(0).alias("role"), "node", "n", "sketch", "component")
+                                              F.lit(0).alias("role"), "level", "last", "node", "n", "sketch", "component")
         meeting = members.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("spot").alias("j"),
-                                 F.lit(1).alias("role"), "node", "n", "sketch", "component")
+                                 F.lit(1).alias("role"), "level", "last", "node", "n", "sketch", "component")
         least, share = self.least, self.share
         return (asking.unionByName(meeting).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
                 .mapInArrow(lambda batches: _block_pairs(batches, least, share), "a long, b long"))
@@ -363,8 +375,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = search.lists(nodes)
     links = scratch.table(search.compare(search.central_pairs(nodes, lists), "central"), "links-1")
     parts = scratch.table(connected_components(links, scratch, "parts-1"), "parts-1")
-    more = scratch.table(search.others(nodes, lists, parts), "links-2")
-    final = connected_components(links.unionByName(more), scratch, "parts-2")
+    more = scratch.table(search.others(nodes, lists, parts, links), "links-3")
+    final = connected_components(links.unionByName(more), scratch, "parts-3")
     return (table.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
             .join(final, "node", "left")
             .withColumn("component_id", F.coalesce("component", "node", "id"))
