@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casespark.llm.exact_dedup import exact_duplicates
 from casespark.llm.fingerprint import edited_fingerprints
+from casespark.llm.hmm_lm import score_texts
 from casespark.llm.minhash_dedup import near_duplicates
 from casespark.llm.packing import pack
 from casespark.llm.pii import pseudonymise
@@ -77,6 +78,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, labelled)
 
 
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), folds=10)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op5_url_filter": op5_url_filter,
+    "op7_hmm_lm": op7_hmm_lm,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
