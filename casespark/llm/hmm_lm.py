@@ -2,7 +2,7 @@
 
 Base model: smoothed frequencies of the training tokens.  The ``HEAD`` most frequent words are known to every task;
 the counts of all others are looked up by a join.  The hidden Markov model emits word classes (frequent words by
-themselves, other head words in hashed classes, everything else in one), and a word within its class by the base
+themselves, other head words in hashed classes; words met once, beyond the head or never in one), and a word within its class by the base
 model, so a token's probability in a state is its base probability times a ratio of its class.
 
 Baum-Welch: expected counts of transitions and emissions are added up over all partitions, for all training texts in
@@ -26,7 +26,7 @@ STATES, ITERATIONS, PIECE = 8, 4, 256
 HEAD, OWN_CLASS, HASHED, SEEDS = 1 << 18, 4096, 1024, 256
 RARE, END = OWN_CLASS + HASHED, OWN_CLASS + HASHED + 1
 CLASSES = END + 1
-SMOOTH = 20.0                                                  # weight of the base model in a state's emissions
+SMOOTH = 20.0                                                  # tokens of the base model in a state's emissions, besides 2 %
 _END_HASH = 0x454E44                                           # the end token's place among the word hashes
 
 
@@ -186,7 +186,7 @@ def baum_welch(encoded: DataFrame, model: dict, mass: np.ndarray) -> dict:
     rows = np.zeros((STATES, CLASSES + STATES + 1))
     for r in got:
         rows[r["part"]] = np.frombuffer(r["sums"])
-    emit, moves, starts = rows[:, :CLASSES] + SMOOTH * mass, rows[:, CLASSES:-1] + 0.1, rows[:, -1] + 0.1
+    emit, moves, starts = rows[:, :CLASSES] + (SMOOTH + 0.02 * rows[:, :CLASSES].sum(1, keepdims=True)) * mass, rows[:, CLASSES:-1] + 0.1, rows[:, -1] + 0.1
     return {"start": starts / starts.sum(), "move": moves / moves.sum(1, keepdims=True), "emit": emit / emit.sum(1, keepdims=True)}
 
 
@@ -216,10 +216,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     times = np.array(head.column("c") if head else [], np.int64)
     kind = np.where(np.arange(len(words)) < OWN_CLASS, np.arange(len(words)),
                     OWN_CLASS + (words.astype(np.uint64) % np.uint64(HASHED)).astype(np.int64))
+    kind[times == 1] = RARE                                    # they stand for the words never met
     kind[words == _END_HASH] = END
     share = (times + 0.1) / below
     mass = np.bincount(kind, share, CLASSES)
-    mass[RARE] = max(1 - share.sum(), 0.1 / below)
+    mass[RARE] += max(1 - share.sum(), 0.1 / below)
     mass = np.maximum(mass, 1e-300)
     by_hash = np.argsort(words)
     known = spark.sparkContext.broadcast((words[by_hash], times[by_hash], kind[by_hash]))      # HEAD rows
