@@ -14,6 +14,7 @@ from casespark.llm.minhash_dedup import near_duplicates
 from casespark.llm.packing import pack
 from casespark.llm.pii import pseudonymise
 from casespark.llm.quality import quality_scores
+from casespark.llm.repeats import remove_repeats
 from casespark.llm.url_filter import filter_urls
 
 
@@ -82,6 +83,10 @@ def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir), folds=10)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_url_filter": op5_url_filter,
     "op7_hmm_lm": op7_hmm_lm,
+    "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }

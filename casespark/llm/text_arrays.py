@@ -19,6 +19,8 @@ STEP_BYTES = 2_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODES = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
+#: for a second, independent hash of the same spans
+MORE_CODES = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -84,9 +86,9 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _BYTE_CODES) -> np.ndarray:
     """64-bit hash of each byte span; equal spans have equal hashes wherever they are."""
     up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[:-1], out=total[1:])
+    np.cumsum(codes[data] * up[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
