@@ -10,7 +10,7 @@ import sys
 
 import numpy as np
 
-from casespark.llm.text_arrays import span_hashes
+from casespark.llm.word_table import WordTable
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
@@ -33,23 +33,15 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class ByteBPE:
-    """Encoder with a table of the words it has met; the table starts anew when it is half full."""
-
-    SLOTS = 1 << 21
+class ByteBPE(WordTable):
+    """Encoder of whole columns; each distinct word goes through the model once while the table holds it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        super().__init__()
         self.model = Tokenizer.from_file(path).model
         self.kinds = character_kinds()
         self.alphabet = byte_alphabet()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.zeros(self.SLOTS, np.uint64)             # 0: free
-        self.place = np.zeros(self.SLOTS, np.int64)
-        self.length = np.zeros(self.SLOTS, np.int64)
-        self.pool, self.used, self.words = np.zeros(1 << 16, np.int32), 0, 0
 
     def split(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte positions where the words begin, and the document of each word."""
@@ -77,32 +69,10 @@ class ByteBPE:
         starts = at[np.flatnonzero(cut[:n])]
         return starts, np.searchsorted(offs, starts, "right") - 1
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Slot of every key, or -1 - (the free slot met)."""
-        mask = self.SLOTS - 1
-        slot = (h & np.uint64(mask)).astype(np.int64)
-        todo = np.flatnonzero(self.keys[slot] != h)
-        while len(todo):
-            met = self.keys[slot[todo]]
-            free = met == 0
-            slot[todo[free]] = -1 - slot[todo[free]]
-            todo = todo[~free]
-            slot[todo] = (slot[todo] + 1) & mask
-            todo = todo[self.keys[slot[todo]] != h[todo]]
-        return slot
-
-    def _learn(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        for key, s, e in zip(h, starts.tolist(), ends.tolist()):
-            ids = [t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in data[s:e].tobytes()]))]
-            slot = int(key) & (self.SLOTS - 1)
-            while self.keys[slot]:
-                slot = (slot + 1) & (self.SLOTS - 1)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.int32)])
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.keys[slot], self.place[slot], self.length[slot] = key, self.used, len(ids)
-            self.used += len(ids)
-            self.words += 1
+    def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = ("".join([self.alphabet[b] for b in data[s:e].tobytes()]) for s, e in zip(starts.tolist(), ends.tolist()))
+        found = [[t.id for t in self.model.tokenize(w)] for w in words]
+        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and the number of ids of each."""
@@ -110,21 +80,5 @@ class ByteBPE:
         n = len(offs) - 1
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        ends = np.append(starts[1:], len(data))
-        h = span_hashes(data, starts, ends) | np.uint64(1)      # never 0
-        slot = self._find(h)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            new = new[np.unique(h[new], return_index=True)[1]]
-            if self.words + len(new) > self.SLOTS // 2:
-                self._clear()
-                new = np.unique(h, return_index=True)[1]
-                while len(new) > self.SLOTS // 2:               # a step of very many distinct words
-                    self.SLOTS *= 2
-                    self._clear()
-            self._learn(h[new], data, starts[new], ends[new])
-            slot = self._find(h)
-        lengths = self.length[slot]
-        before = np.cumsum(lengths) - lengths
-        ids = self.pool[np.repeat(self.place[slot] - before, lengths) + np.arange(int(lengths.sum()))]
+        ids, lengths = self.encode_words(data, starts, np.append(starts[1:], len(data)))
         return ids, np.bincount(doc, lengths, n).astype(np.int64)

@@ -12,6 +12,7 @@ from casespark.llm.fingerprint import edited_fingerprints
 from casespark.llm.hmm_lm import score_texts
 from casespark.llm.minhash_dedup import near_duplicates
 from casespark.llm.packing import pack
+from casespark.llm.pieces import decode_pieces, encode_pieces
 from casespark.llm.pii import pseudonymise
 from casespark.llm.quality import quality_scores
 from casespark.llm.repeats import remove_repeats
@@ -79,6 +80,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, labelled)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = decode_pieces(encode_pieces(documents(spark, sf_dir), path), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir), folds=10)
 
@@ -101,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op5_url_filter": op5_url_filter,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_hmm_lm": op7_hmm_lm,
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
