@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from casespark.llm.shared import Scratch
 
 # Titles by gender, syllables and endings of invented names by script.
-MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "г-н"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Mme", "Mlle", "Madame", "Госпожа", "г-жа"]
+MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Г-н", "г-н"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Mme", "Mlle", "Madame", "Госпожа", "Г-жа", "г-жа"]
 NEUTRAL = ["Dr", "Prof"]
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su", "ta", "ve", "wi", "zo", "bra", "cle"],
              "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "пи", "ро", "су", "та", "ве", "ви", "зо", "бра", "кле"]}

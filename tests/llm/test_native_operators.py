@@ -1,0 +1,135 @@
+"""Exact duplicates, surrogates and URL filter on small hand-written rows."""
+
+import hashlib
+import re
+
+import pytest
+
+from casespark.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from casespark.llm.pii import pseudonymise
+from casespark.llm.url_filter import filter_urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], SCHEMA)
+
+
+def brute_groups(rows):
+    out = {}
+    for i, t in rows:
+        out.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
+    return {k: (min(v)[1], len(v)) for k, v in out.items()}
+
+
+EXACT = [(1, "a b c"), (2, "abc"), (3, "a  b\tc"), (4, "abd"), (5, None), (6, ""), (7, " \n"), (8, "x" * 50_000),
+         (9, "x" * 49_999 + " x"), (10, "é "), (11, "é")]
+
+
+@pytest.mark.parametrize("key_bits", [64, 3])                  # 3 bits: nearly every key collides
+def test_exact_groups_and_collisions(spark, key_bits):
+    got = {r.doc_id: r for r in exact_duplicates(table(spark, EXACT), key_bits=key_bits, capacity=2, max_depth=8).collect()}
+    want = brute_groups(EXACT)
+    assert len(got) == len(EXACT)
+    for i, t in EXACT:
+        norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        keep, size = want[norm]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (keep, size, i == keep)
+        assert got[i].text_sha256 == hashlib.sha256(norm.encode()).hexdigest()
+
+
+def test_exact_edge_tables(spark):
+    assert exact_duplicates(table(spark, [])).collect() == []
+    kept = drop_exact_duplicates(table(spark, EXACT))
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 7, 9, 10, 11]
+
+
+PII = [
+    (1, "Mail John.Doe@corp.example.com or JOHN.DOE@CORP.EXAMPLE.COM, tel +1 (415) 555-2671 / 415-555-2671."),
+    (2, "Mr. John Smith met Mrs. Anna Smith; Dr. Smith left. Card 4111 1111 1111 1111, order 4111111111111112."),
+    (3, "host 10.20.30.40 version 1.2.3 id 123-45-6789 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""),
+    (4, "Nothing to see: 12 apples, call 911, year 2024."),
+    (5, None), (6, ""), (7, "again john.doe@corp.example.com"),
+    (8, "Г-н Иванов и Госпожа Анна Иванов"),
+]
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_surrogates(spark):
+    rows = table(spark, PII + [PII[0]])
+    out = pseudonymise(rows, "key")
+    assert out.columns == rows.columns + ["n_entities"]
+    got = {}
+    for r in out.collect():
+        assert got.setdefault(r.doc_id, r) == r                # repeated rows get the same text
+    a = got[1].text
+    m = re.match(r"Mail (\S+@\S+\.example) or (\S+@\S+), tel \+1 \((\d{3})\) (\d{3}-\d{4}) / (\d{3})-(\d{3}-\d{4})\.$", a)
+    assert m and m[1].upper() == m[2] and (m[3], m[4]) == (m[5], m[6]) and "555-2671" not in a
+    assert m[1] in got[7].text                                 # one person, one surrogate
+    b = got[2].text
+    m = re.match(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+); Dr\. (\w+) left\. Card (4[\d ]{18}), order 4111111111111112\.$", b)
+    assert m and m[2] == m[4] == m[5] and m[3].endswith("na") and "Smith" not in b and luhn(m[6])
+    assert re.match(r"host (\d{1,3}\.){3}\d{1,3} version 1\.2\.3 id 9\d\d-\d\d-\d{4} token = \"[0-9a-f]{40}\"$", got[3].text)
+    assert "10.20.30.40" not in got[3].text and "04dbebab" not in got[3].text
+    assert (got[4].text, got[4].n_entities) == (PII[3][1], 0)
+    assert got[5].text is None and got[6].text == ""
+    assert re.search("[а-я]", got[8].text) and "Иванов" not in got[8].text
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [(i, f"mail a{i % 700}@x.example.net and (212) 555-{i % 700:04d}") for i in range(1400)]
+    out = pseudonymise(table(spark, rows), "key").collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.doc_id % 700, set()).add(r.text)
+    assert all(len(x) == 1 for x in found.values())            # the same entities, the same surrogates
+    texts = [next(iter(x)) for x in found.values()]
+    assert len(set(re.search(r"\S+@\S+", t)[0] for t in texts)) == 700
+    assert len(set(re.search(r"\(\d+\) \S+", t)[0] for t in texts)) == 700
+
+
+def test_surrogates_of_empty_table(spark):
+    assert pseudonymise(table(spark, []), "key").collect() == []
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+         ("com", "/de/", "block")]
+URLS = [
+    ("http://WWW.Example.ORG/es/1?x", "www.example.org", "/es/1", "example.org/es/", "block"),
+    ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+    ("https://example.org/en/2", "example.org", "/en/2", "org/", "allow"),
+    ("https://notexample.org/es/2", "notexample.org", "/es/2", "org/", "allow"),
+    ("https://a.com/de/#f", "a.com", "/de/", "com/de/", "block"),
+    ("https://org", "org", "", None, None),
+    ("https://org?x=/", "org", "", None, None),
+    ("no scheme org/es/", "", "", None, None),
+    ("", "", "", None, None),
+    (None, "", "", None, None),
+    ("https://a.net/" + "p" * 20_000, "a.net", "/" + "p" * 20_000, None, None),
+]
+
+
+def test_url_rules_and_parts(spark):
+    pages = spark.createDataFrame([(k, u[0], "r") for k, u in enumerate(URLS + URLS[:1])], "page_id long, url string, rule string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    labelled = spark.createDataFrame([("https://spam.example/x", 1), ("https://good.example/x", 0)] * 3, "url string, block int")
+    got = {r.page_id: r for r in filter_urls(pages, rules, labelled).collect()}
+    assert len(got) == len(URLS) + 1
+    for k, (_, host, path, rule, verdict) in enumerate(URLS):
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
+        assert got[k].verdict == verdict if verdict else got[k].verdict in ("allow", "block")
+
+
+def test_url_regression_learns(spark):
+    pages = spark.createDataFrame([(1, "https://spam-site.net/a"), (2, "https://good-site.net/a")], "page_id long, url string")
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    labelled = spark.createDataFrame([(f"https://spam{i}.example/x", 1) for i in range(8)]
+                                     + [(f"https://good{i}.example/x", 0) for i in range(8)], "url string, block int")
+    assert {r.page_id: r.verdict for r in filter_urls(pages, rules, labelled).collect()} == {1: "block", 2: "allow"}
+    assert filter_urls(pages.where("false"), rules, labelled).collect() == []
