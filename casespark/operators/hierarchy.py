@@ -6,9 +6,8 @@ its 3-character prefix (first class wins), and range membership is decided by
 the range of the prediction itself, so no nested-loop join is needed on the
 fact side.
 
-Row-local lookups (one row per case holding code arrays) use a map literal
-built from the dimension after a size check (``MAX_LITERAL``); above that
-bound the arrays are exploded, equi-joined and regrouped instead.
+Classes of the members of array columns come from one plan at every size
+(``lookup_members``): explode, equi join, regroup by row.
 """
 
 from __future__ import annotations
@@ -17,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import safe_ratio
-
-MAX_LITERAL = 50_000
+from casespark.operators.lookup import lookup_members
 
 
 def prefix_classes(taxonomy: DataFrame, level: str = "top") -> DataFrame:
@@ -35,34 +33,27 @@ def prefix_class_join(codes: DataFrame, taxonomy: DataFrame, level: str = "top",
 
 
 def range_class_join(codes: DataFrame, taxonomy: DataFrame, code: str = "code") -> DataFrame:
-    """JN16: lo <= prefix <= hi on strings; ranges are few (dimension) -> broadcast nested loop, first range wins."""
+    """JN16: lo <= prefix <= hi on strings, first range wins.
+
+    The range of every distinct prefix is resolved once (prefixes and ranges of one code system), then the rows, repeats
+    included, get it by an equi join."""
     ranges = taxonomy.select("top", "top_lo", "top_hi").distinct()
-    c = codes.withColumn("_prefix", F.substring(code, 1, 3))
-    j = c.join(F.broadcast(ranges), (F.col("_prefix") >= F.col("top_lo")) & (F.col("_prefix") <= F.col("top_hi")), "left")
-    keep = [x for x in codes.columns]
-    return j.groupBy(*keep).agg(F.min("top").alias("range"))
-
-
-def _literal_map(df: DataFrame, key: str, val: str, max_literal: int = MAX_LITERAL):
-    rows = df.select(key, val).distinct().limit(max_literal + 1).collect()
-    if len(rows) > max_literal:
-        return None
-    rows = sorted(rows, key=lambda r: r[0])
-    return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))])
-
-
-def map_codes(df: DataFrame, col: str, mapping: DataFrame, key: str, val: str, out: str, keys: list[str],
-              distinct: bool = True) -> DataFrame:
-    """Replace every code of an array column by its class (unmapped dropped)."""
-    m = _literal_map(mapping, key, val)
-    if m is not None:
-        arr = F.filter(F.transform(F.col(col), lambda x: F.element_at(m, x)), lambda x: x.isNotNull())
-        return df.withColumn(out, F.array_distinct(arr) if distinct else arr)
-    ex = df.select(*keys, F.posexplode(col).alias("_pos", "_k")).join(
-        mapping.select(F.col(key).alias("_k"), F.col(val).alias("_v")), "_k", "inner")
-    agg = ex.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda s: s["_v"]).alias(out))
-    res = df.join(agg, keys, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
-    return res.withColumn(out, F.array_distinct(out)) if distinct else res
+    prefixes = codes.select(F.substring(code, 1, 3).alias("_prefix")).where("_prefix IS NOT NULL").distinct()
+    resolved = (prefixes.join(ranges, (F.col("_prefix") >= F.col("top_lo")) & (F.col("_prefix") <= F.col("top_hi")))
+                .groupBy("_prefix").agg(F.min("top").alias("range")))
+    return codes.withColumn("_prefix", F.substring(code, 1, 3)).join(resolved, "_prefix", "left").drop("_prefix")
+
+
+def map_codes(df: DataFrame, columns: dict[str, str], mapping: DataFrame, distinct: tuple[str, ...] = ()) -> DataFrame:
+    """Classes (mapping ``k`` -> ``v``) of the members of array expressions; unmapped members are dropped."""
+    res = lookup_members(df, columns, mapping)
+    for out in distinct:
+        res = res.withColumn(out, F.array_distinct(out))
+    return res
+
+
+def _prefixes(col: str) -> str:
+    return f"transform(`{col}`, x -> substr(x, 1, 3))"
 
 
 def class_sets(joined: DataFrame, taxonomy: DataFrame, level: str = "top", key: str = "case_id",
@@ -73,18 +64,14 @@ def class_sets(joined: DataFrame, taxonomy: DataFrame, level: str = "top", key:
     Predictions map by 3-char prefix; labels by prefix too unless
     ``label_by_membership`` (exact leaf membership, as in class recall@k)."""
     pref = prefix_classes(taxonomy, level).select(F.col("prefix").alias("k"), F.col("cls").alias("v"))
-    member = taxonomy.select(F.col("leaf").alias("k"), F.col(level).alias("v"))
-    df = joined.withColumn("_lp", F.transform(labels, lambda x: F.substring(x, 1, 3)))
-    df = df.withColumn("_pp", F.transform(pred, lambda x: F.substring(x, 1, 3)))
-    if label_by_membership:
-        df = map_codes(df, labels, member, "k", "v", "cls_labels", [key])
-    else:
-        df = map_codes(df, "_lp", pref, "k", "v", "cls_labels", [key])
-    df = map_codes(df, "_pp", pref, "k", "v", "cls_pred", [key])
+    columns = {"cls_pred": _prefixes(pred)}
     if ranked:
-        df = df.withColumn("_rp", F.transform(ranked, lambda x: F.substring(x, 1, 3)))
-        df = map_codes(df, "_rp", pref, "k", "v", "cls_ranked", [key], distinct=False)
-    return df.drop("_lp", "_pp", "_rp")
+        columns["cls_ranked"] = _prefixes(ranked)
+    if not label_by_membership:
+        return map_codes(joined, columns | {"cls_labels": _prefixes(labels)}, pref, distinct=("cls_labels", "cls_pred"))
+    member = taxonomy.select(F.col("leaf").alias("k"), F.col(level).alias("v"))
+    return map_codes(map_codes(joined, columns, pref, distinct=("cls_pred",)), {"cls_labels": f"`{labels}`"}, member,
+                     distinct=("cls_labels",))
 
 
 def class_recall_at_k(cls_joined: DataFrame, ks=range(1, 11)) -> DataFrame:
@@ -101,8 +88,7 @@ def class_accuracy(joined: DataFrame, taxonomy: DataFrame, level: str = "top", t
     Adds an ``ALL`` row whose denominator is every case."""
     pref = prefix_classes(taxonomy, level)
     c = joined.select(key, top1, pred).withColumn("prefix", F.substring(top1, 1, 3)).join(F.broadcast(pref), "prefix", "left")
-    c = map_codes(c.withColumn("_pp", F.transform(pred, lambda x: F.substring(x, 1, 3))), "_pp",
-                  pref.select(F.col("prefix").alias("k"), F.col("cls").alias("v")), "k", "v", "pcls", [key])
+    c = map_codes(c, {"pcls": _prefixes(pred)}, pref.select(F.col("prefix").alias("k"), F.col("cls").alias("v")), distinct=("pcls",))
     hit = F.coalesce(F.array_contains("pcls", F.col("cls")), F.lit(False))
     per = (c.filter(F.col("cls").isNotNull()).groupBy(F.col("cls").alias("class"))
            .agg(F.count_if(hit).alias("correct"), F.count(F.lit(1)).alias("total")))
@@ -126,17 +112,7 @@ def closeness(joined: DataFrame, taxonomy: DataFrame, mode: str = "top1", key: s
     """Distribution of best closeness scores (per case for ``top1``, per label occurrence for ``all``)."""
     info = taxonomy.select(F.col("leaf").alias("k"), F.struct(F.col("leaf").alias("code"), F.col("mid").alias("mid"),
                                                               F.col("top_lo").alias("lo"), F.col("top_hi").alias("hi")).alias("v"))
-    rows = taxonomy.select("leaf", "mid", "top_lo", "top_hi").distinct().limit(MAX_LITERAL + 1).collect()
-    if len(rows) <= MAX_LITERAL:
-        m = F.create_map(*[x for r in sorted(rows) for x in (
-            F.lit(r[0]), F.struct(F.lit(r[0]).alias("code"), F.lit(r[1]).alias("mid"), F.lit(r[2]).alias("lo"),
-                                  F.lit(r[3]).alias("hi")))])
-        df = joined.withColumn("_pinfo", F.filter(F.transform(pred, lambda x: F.element_at(m, x)), lambda s: s.isNotNull()))
-    else:
-        ex = joined.select(key, F.posexplode(pred).alias("_pos", "k")).join(info, "k", "inner")
-        agg = ex.groupBy(key).agg(F.collect_list("v").alias("_pinfo"))
-        df = joined.join(agg, key, "left").withColumn(
-            "_pinfo", F.coalesce("_pinfo", F.array().cast("array<struct<code:string,mid:string,lo:string,hi:string>>")))
+    df = lookup_members(joined, {"_pinfo": f"`{pred}`"}, info)
     if mode == "top1":
         s = df.select(_closeness(F.col(top1), "_pinfo").alias("score"))
     else:

@@ -6,8 +6,7 @@ Two extraction profiles follow the two evaluation paths of the reference:
 * ``one_match`` (set 1): fenced ```json block -> non-greedy ``{…}`` -> bold
   markdown lists; exactly one JSON candidate is accepted, no repair.
 * ``last_match`` (set 2): fenced block -> whole text -> last one-line object ->
-  greedy ``{…}`` (repaired first) -> first balanced object (one nesting level,
-  re-aimed from a character scanner) -> non-greedy ``{…}``; the last candidate
+  greedy ``{…}`` (repaired first) -> first balanced object (``NESTING`` levels) -> non-greedy ``{…}``; the last candidate
   wins and a failed parse is retried after repair.
 
 JSON validity is ``try_parse_json(x) IS NOT NULL`` (strict parser: comments and
@@ -25,8 +24,22 @@ from casespark.functions.columns import let
 FENCED = r"(?s)```json\n(.*?)\n```"
 NONGREEDY = r"(?s)\{.*?\}"
 GREEDY = r"(?s)\{.*\}"
-BALANCED = r"^\{(?:[^{}]|\{[^{}]*\})*\}"
-THINK = r"(?s)<think>(.*?)</think>"
+STRING = r'"(?:[^"\\]++|\\.)*+"'
+NESTING = 12                        # levels of braces that the balanced pattern follows
+
+
+def _balanced(levels: int) -> str:
+    """Object from its opening brace to the matching one; braces inside strings do not count.
+
+    All repetitions are possessive, which the regex engine runs in a loop: no recursion, however long the text."""
+    inner = '[^{}"]++|' + STRING
+    pattern = "\\{(?:" + inner + ")*+\\}"
+    for _ in range(levels - 1):
+        pattern = "\\{(?:" + inner + "|" + pattern + ")*+\\}"
+    return "(?s)^" + pattern
+
+
+BALANCED = _balanced(NESTING)
 
 
 def _c(c):
@@ -75,10 +88,10 @@ def is_ranked_prefix(ranked, final) -> Column:
 
 
 def split_reasoning(c) -> tuple[Column, Column]:
-    """(reasoning, answer): text inside the first <think>…</think>, and the response
-    without that block, stripped; no block -> ('No reasoning found', response)."""
-    has = _c(c).contains("<think>") & _c(c).contains("</think>")
-    inner = F.substring_index(F.substring_index(_c(c), "</think>", 1), "<think>", -1)
+    """(reasoning, answer): text after the first <think> up to the next tag (or the end), and the response
+    without that closed block, stripped; no <think> -> ('No reasoning found', response)."""
+    has = _c(c).contains("<think>")
+    inner = F.split(F.try_element_at(F.split(_c(c), "<think>"), F.lit(2)), "</think>")[0]
     whole = F.concat(F.lit("<think>"), inner, F.lit("</think>"))
     reasoning = F.when(has, inner).otherwise(F.lit("No reasoning found"))
     answer = F.when(has, strip_ws(F.replace(_c(c), whole, F.lit("")))).otherwise(_c(c))

@@ -1,43 +1,17 @@
-"""Vocabulary membership for code lists.
-
-Two physical strategies for the same result:
-
-* the vocabulary is a dimension (a code system: tens of thousands of rows at
-  most).  When its size is under ``max_literal`` it is read once, checked, and
-  inlined as a sorted array literal -> ``filter(list, x -> array_contains)``
-  runs row-locally with no shuffle;
-* above the bound the list is exploded, semi-joined to the vocabulary and
-  regrouped by key (one shuffle on the key, order kept through positions).
-"""
+"""Vocabulary membership for code lists: explode, equi-join and regroup, whatever the size of the vocabulary."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LITERAL = 50_000
-
-
-def vocab_literal(vocab: DataFrame, col: str = "code", max_literal: int = MAX_LITERAL):
-    """Array literal of the vocabulary, or None when it is larger than the bound."""
-    top = vocab.select(col).distinct().limit(max_literal + 1).collect()
-    if len(top) > max_literal:
-        return None
-    return F.array(*[F.lit(r[0]) for r in sorted(top, key=lambda r: r[0])])
+from casespark.operators.lookup import lookup_members
 
 
-def valid_codes_only(df: DataFrame, vocab: DataFrame, col: str, keys: list[str], out: str = "valid",
-                     errors: str = "n_error", code_col: str = "code", max_literal: int = MAX_LITERAL) -> DataFrame:
+def valid_codes_only(df: DataFrame, vocab: DataFrame, col: str, out: str = "valid", errors: str = "n_error",
+                     code_col: str = "code") -> DataFrame:
     """Keep list members found in the vocabulary (order and repeats kept) and
-    count the others."""
-    lit = vocab_literal(vocab, code_col, max_literal)
-    if lit is not None:
-        kept = F.filter(F.col(col), lambda x: F.array_contains(lit, x))
-        return df.withColumn(out, kept).withColumn(errors, (F.size(col) - F.size(out)).cast("long"))
-    ex = df.select(*keys, F.posexplode(col).alias("_pos", "_code"))
-    ok = ex.join(vocab.select(F.col(code_col).alias("_code")).distinct(), "_code", "left_semi")
-    lists = ok.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_code"))),
-                                              lambda s: s["_code"]).alias(out))
-    return (df.join(lists, keys, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
-            .withColumn(errors, (F.size(col) - F.size(out)).cast("long")))
+    count the others; a NULL list stays NULL with a NULL count."""
+    dim = vocab.select(F.col(code_col).alias("k"), F.col(code_col).alias("v")).distinct()
+    return (lookup_members(df, {out: f"`{col}`"}, dim)
+            .withColumn(errors, F.when(F.col(col).isNotNull(), F.size(col) - F.size(out)).cast("long")))

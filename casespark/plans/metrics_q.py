@@ -18,7 +18,7 @@ def preds_valid(spark, d, rounds=None):
     p = fx.case_preds(spark, d)
     if rounds:
         p = p.filter(F.col("round").isin(list(rounds)))
-    return valid_codes_only(p, fx.vocab(spark, d), "final", ["case_id", "round"], out="pred")
+    return valid_codes_only(p, fx.vocab(spark, d), "final", out="pred")
 
 
 def joined(spark, d, rounds=(1,)):

@@ -104,8 +104,8 @@ def q_missing_top1_codes(spark, d):
                                 .select(F.col("major").alias("labels"), "top1"))
 
 
-# Price per million tokens (input, output) by model.
-PRICES = [("model_a", 0.3 * 1.66, 2.5 * 1.66), ("model_b", 0.25, 2.0)]
+# Example price table: model, price of a million input and output tokens.
+PRICES = [("model_a", 0.5, 4.0), ("model_b", 0.2, 1.5)]
 
 
 @query("token_cost")

@@ -21,7 +21,7 @@ def extracted(spark, d, profile="one_match"):
 def valid_dedup(spark, d, profile="one_match"):
     keep = "first" if profile == "one_match" else "last"
     v = RS.dedup_valid(extracted(spark, d, profile), keep=keep, by=RUN)
-    return valid_codes_only(v, fx.vocab(spark, d), "final", ["case_id", "round"], out="valid", errors="n_error")
+    return valid_codes_only(v, fx.vocab(spark, d), "final", out="valid", errors="n_error")
 
 
 @query("split_reasoning")

@@ -55,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         existing = spark.sparkContext.getCheckpointDir()
+        if not existing and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = existing or tempfile.mkdtemp(prefix="casespark-ckpt-")     # tests / local runs only
         try:
             spark.conf.set("spark.checkpoint.dir", path)

@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stay_of(group: Column) -> Column:
+    """Encounter of the n-th group of rows; groups have a fixed size, so stays do not grow with the tables."""
+    return group * 30 + group % 30
+
+
 def leaf_code(i) -> Column:
     i = F.col(i) if isinstance(i, str) else i
     return F.lpad((i * 25).cast("string"), 5, "0")
@@ -164,11 +169,12 @@ def labs_offset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labs_text(spark: SparkSession, d: str) -> DataFrame:
-    """Text-valued hospital labs: events attached to the first 500 encounters."""
+    """Text-valued hospital labs: twenty events an encounter."""
     e = F.col("event_id")
+    stay = F.floor(e / 20).cast("long")
     m = e % 29
     ev = table(spark, d, "events").select(
-        e.alias("labevent_id"), (e % 500).alias("hadm_id"), (e % 12).cast("int").alias("itemid"),
+        e.alias("labevent_id"), stay_of(stay).alias("hadm_id"), (e % 12).cast("int").alias("itemid"),
         F.when(m == 0, "<0.1").when(m == 1, "___").when(m == 2, " 12 ").when(m == 3, "1d").when(m == 4, "1_0")
          .when(e % 37 == 0, "Delete").when(e % 23 == 0, F.lit(None).cast("string"))
          .otherwise(F.format_string("%.2f", F.col("value"))).alias("value"),
@@ -176,11 +182,10 @@ def labs_text(spark: SparkSession, d: str) -> DataFrame:
         (e % 7).cast("double").alias("ref_range_lower"),
         (e % 7 + 50).cast("double").alias("ref_range_upper"),
         F.when(e % 31 == 0, "CANCELLED by lab").when(e % 47 == 0, "see note ___").alias("comments"),
-        ((e / 500).cast("long") % 20).cast("int").alias("day"),
+        (e % 20).cast("int").alias("day"),
     )
-    # the encounter side is bounded by the filter (hadm_id < 500) -> broadcast is safe
-    enc = encounters(spark, d).filter(F.col("hadm_id") < 500).select("hadm_id", "subject_id", "admittime")
-    return (ev.join(F.broadcast(enc), "hadm_id")
+    enc = encounters(spark, d).select("hadm_id", "subject_id", "admittime")
+    return (ev.join(enc, "hadm_id")
             .select("labevent_id", "subject_id", "hadm_id", "itemid",
                     _plus("admittime", days=F.col("day")).alias("charttime"),
                     "value", "valueuom", "ref_range_lower", "ref_range_upper", "comments"))
@@ -212,7 +217,7 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
         F.lit("Discharge Condition:\nstable"),
     )
     return table(spark, d, "documents").select(
-        k.alias("note_id"), (k % 500).alias("hadm_id"), text.alias("text"))
+        k.alias("note_id"), stay_of(F.floor(k / 2).cast("long")).alias("hadm_id"), text.alias("text"))
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +226,7 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(
         F.lit("EXAMINATION: CHEST\nFINDINGS: "), F.col("text"), F.lit("\nIMPRESSION: "), F.col("source"),
         F.when(k % 3 == 0, F.lit("\nFINDINGS: addendum\nIMPRESSION: final")).otherwise(F.lit("")))
-    return table(spark, d, "documents").select(k.alias("report_id"), (k % 700).alias("hadm_id"), text.alias("text"))
+    return table(spark, d, "documents").select(k.alias("report_id"), stay_of(F.floor(k / 3).cast("long")).alias("hadm_id"), text.alias("text"))
 
 
 # --------------------------------------------------------------------- labels, predictions, responses
@@ -338,10 +343,11 @@ def physical_exam(spark: SparkSession, d: str) -> DataFrame:
 
 
 def micro(spark: SparkSession, d: str) -> DataFrame:
-    """Microbiology rows for the first 500 encounters."""
+    """Microbiology rows: twenty events an encounter."""
     e = F.col("event_id")
+    stay = F.floor(e / 20).cast("long")
     ev = table(spark, d, "events").select(
-        e.alias("microevent_id"), (e % 500).alias("hadm_id"),
+        e.alias("microevent_id"), stay_of(stay).alias("hadm_id"),
         F.concat(F.lit("test "), (e % 6).cast("string")).alias("test_name"),
         F.when(e % 13 == 0, "CANCELLED culture").when(e % 4 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("ORG "), (e % 5).cast("string"))).alias("org_name"),
@@ -350,10 +356,10 @@ def micro(spark: SparkSession, d: str) -> DataFrame:
         F.when(e % 3 == 0, "BLOOD CULTURE").when(e % 3 == 1, "URINE").alias("spec_type_desc"),
         F.when(e % 10 != 0, F.element_at(F.array(F.lit("S"), F.lit("I"), F.lit("R"), F.lit("P")), (e % 4 + 1).cast("int"))).alias("interpretation"),
         F.when(e % 19 == 0, "___ pending").when(e % 17 == 0, "Note").alias("comments"),
-        ((e / 500).cast("long") % 20).cast("int").alias("day"), (e % 24).cast("int").alias("hour"),
+        (e % 20).cast("int").alias("day"), (e % 24).cast("int").alias("hour"),
     )
-    enc = encounters(spark, d).filter(F.col("hadm_id") < 500).select("hadm_id", "subject_id", "admittime")
-    return (ev.join(F.broadcast(enc), "hadm_id")
+    enc = encounters(spark, d).select("hadm_id", "subject_id", "admittime")
+    return (ev.join(enc, "hadm_id")
             .select("microevent_id", "subject_id", "hadm_id",
                     _plus("admittime", days=F.col("day"), hours=F.col("hour")).alias("charttime"),
                     "test_name", "spec_type_desc", "org_name", "ab_itemid", "ab_name", "interpretation", "comments"))

@@ -140,7 +140,7 @@ WHERE d.seq_num <= 3 AND d.priority = 'Major'
   AND d.icd_code NOT IN (SELECT top1 FROM case_labels WHERE len(major) > 0)""", "diagnoses", "case_labels")
 
 SQL["token_cost"] = with_views(f"""
-WITH p(model, input_price_m, output_price_m) AS (VALUES ('model_a', 0.3 * 1.66, 2.5 * 1.66), ('model_b', 0.25, 2.0)),
+WITH p(model, input_price_m, output_price_m) AS (VALUES ('model_a', 0.5, 4.0), ('model_b', 0.2, 1.5)),
 t AS (SELECT model, sum(prompt_tokens) / 1e6 AS in_m, sum(completion_tokens + coalesce(reasoning_tokens, 0)) / 1e6 AS out_m
       FROM responses GROUP BY model)
 SELECT t.model, {r6('in_m')} AS in_m, {r6('out_m')} AS out_m, {r6('in_m * input_price_m')} AS in_cost,

@@ -46,8 +46,12 @@ ex AS (SELECT case_id, round, line_no, method,
               list_transform(ff, lambda x: split_part(x, ':', 1)) AS final FROM s)"""
 
 GREEDY = "regexp_extract(response, '(?s)\\{.*\\}')"
+_INNER = r'[^{}"]|"(?:[^"\\]|\\.)*"'
+_OBJECT = r"\{(?:" + _INNER + r")*\}"
+for _ in range(11):
+    _OBJECT = r"\{(?:" + _INNER + "|" + _OBJECT + r")*\}"
 BAL = ("regexp_extract(CASE WHEN strpos(response, '{') > 0 THEN substr(response, strpos(response, '{')) END, "
-       "'^\\{(?:[^{}]|\\{[^{}]*\\})*\\}')")
+       "'(?s)^" + _OBJECT + "')")
 
 LAST = f"""
 r AS (SELECT *, {FENCED} AS fenced, {strip('response')} AS stripped,
@@ -80,12 +84,10 @@ SQL["extract_responses_last"] = with_views("WITH " + LAST + FLAT, "responses")
 
 SQL["split_reasoning"] = with_views(f"""
 SELECT case_id, round, line_no,
-       CASE WHEN strpos(response, '<think>') > 0 AND strpos(response, '</think>') > 0
-            THEN split_part(split_part(response, '</think>', 1), '<think>', -1) ELSE 'No reasoning found' END AS reasoning,
-       CASE WHEN strpos(response, '<think>') > 0 AND strpos(response, '</think>') > 0
-            THEN {strip("replace(response, '<think>' || split_part(split_part(response, '</think>', 1), '<think>', -1) || '</think>', '')")}
+       CASE WHEN strpos(response, '<think>') > 0 THEN inner_text ELSE 'No reasoning found' END AS reasoning,
+       CASE WHEN strpos(response, '<think>') > 0 THEN {strip("replace(response, '<think>' || inner_text || '</think>', '')")}
             ELSE response END AS answer
-FROM responses""", "responses")
+FROM (SELECT *, split_part(split_part(response, '<think>', 2), '</think>', 1) AS inner_text FROM responses)""", "responses")
 
 SQL["repair_json"] = with_views(f"""
 SELECT case_id, round, line_no, {repair('g')} AS repaired, {valid(repair('g'))} AS is_valid

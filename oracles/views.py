@@ -95,8 +95,8 @@ SELECT user_id AS patientunitstayid, event_id AS labid,
 FROM events""")
 
 _v("labs_text", ["encounters"], """
-SELECT e.event_id AS labevent_id, n.subject_id, e.event_id % 500 AS hadm_id, CAST(e.event_id % 12 AS INTEGER) AS itemid,
-       n.admittime + CAST((e.event_id // 500) % 20 AS INTEGER) * INTERVAL 1 DAY AS charttime,
+SELECT e.event_id AS labevent_id, n.subject_id, ((e.event_id // 20) * 30 + (e.event_id // 20) % 30) AS hadm_id, CAST(e.event_id % 12 AS INTEGER) AS itemid,
+       n.admittime + CAST(e.event_id % 20 AS INTEGER) * INTERVAL 1 DAY AS charttime,
        CASE e.event_id % 29 WHEN 0 THEN '<0.1' WHEN 1 THEN '___' WHEN 2 THEN ' 12 ' WHEN 3 THEN '1d' WHEN 4 THEN '1_0'
             ELSE CASE WHEN e.event_id % 37 = 0 THEN 'Delete' WHEN e.event_id % 23 = 0 THEN NULL
                       ELSE printf('%.2f', e.value) END END AS value,
@@ -104,7 +104,7 @@ SELECT e.event_id AS labevent_id, n.subject_id, e.event_id % 500 AS hadm_id, CAS
        CAST(e.event_id % 7 AS DOUBLE) AS ref_range_lower,
        CAST(e.event_id % 7 + 50 AS DOUBLE) AS ref_range_upper,
        CASE WHEN e.event_id % 31 = 0 THEN 'CANCELLED by lab' WHEN e.event_id % 47 = 0 THEN 'see note ___' END AS comments
-FROM events e JOIN encounters n ON n.hadm_id = e.event_id % 500""")
+FROM events e JOIN encounters n ON n.hadm_id = ((e.event_id // 20) * 30 + (e.event_id // 20) % 30)""")
 
 _v("lab_items", [], """
 SELECT itemid,
@@ -114,7 +114,7 @@ SELECT itemid,
 FROM (SELECT DISTINCT CAST(event_id % 12 AS INTEGER) AS itemid FROM events)""")
 
 _v("notes", [], """
-SELECT doc_id AS note_id, doc_id % 500 AS hadm_id,
+SELECT doc_id AS note_id, ((doc_id // 2) * 30 + (doc_id // 2) % 30) AS hadm_id,
        concat_ws(chr(10),
          CASE WHEN doc_id % 7 <> 1 THEN 'History of Present Illness:' || chr(10) || text END,
          'Past Medical History:' || chr(10) || 'language ' || lang || ', source ' || source,
@@ -127,7 +127,7 @@ SELECT doc_id AS note_id, doc_id % 500 AS hadm_id,
 FROM documents""")
 
 _v("reports", [], """
-SELECT doc_id AS report_id, doc_id % 700 AS hadm_id,
+SELECT doc_id AS report_id, ((doc_id // 3) * 30 + (doc_id // 3) % 30) AS hadm_id,
        'EXAMINATION: CHEST' || chr(10) || 'FINDINGS: ' || text || chr(10) || 'IMPRESSION: ' || source
        || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'FINDINGS: addendum' || chr(10) || 'IMPRESSION: final' ELSE '' END AS text
 FROM documents""")
@@ -228,8 +228,8 @@ SELECT conv_id AS patientunitstayid, turn AS ord,
 FROM conversations""")
 
 _v("micro", ["encounters"], """
-SELECT e.event_id AS microevent_id, n.subject_id, e.event_id % 500 AS hadm_id,
-       n.admittime + CAST((e.event_id // 500) % 20 AS INTEGER) * INTERVAL 1 DAY + CAST(e.event_id % 24 AS INTEGER) * INTERVAL 1 HOUR AS charttime,
+SELECT e.event_id AS microevent_id, n.subject_id, ((e.event_id // 20) * 30 + (e.event_id // 20) % 30) AS hadm_id,
+       n.admittime + CAST(e.event_id % 20 AS INTEGER) * INTERVAL 1 DAY + CAST(e.event_id % 24 AS INTEGER) * INTERVAL 1 HOUR AS charttime,
        'test ' || CAST(e.event_id % 6 AS VARCHAR) AS test_name,
        CASE WHEN e.event_id % 13 = 0 THEN 'CANCELLED culture' WHEN e.event_id % 4 = 0 THEN NULL
             ELSE 'ORG ' || CAST(e.event_id % 5 AS VARCHAR) END AS org_name,
@@ -238,7 +238,7 @@ SELECT e.event_id AS microevent_id, n.subject_id, e.event_id % 500 AS hadm_id,
        CASE WHEN e.event_id % 3 = 0 THEN 'BLOOD CULTURE' WHEN e.event_id % 3 = 1 THEN 'URINE' END AS spec_type_desc,
        CASE WHEN e.event_id % 10 <> 0 THEN ['S', 'I', 'R', 'P'][e.event_id % 4 + 1] END AS interpretation,
        CASE WHEN e.event_id % 19 = 0 THEN '___ pending' WHEN e.event_id % 17 = 0 THEN 'Note' END AS comments
-FROM events e JOIN encounters n ON n.hadm_id = e.event_id % 500""")
+FROM events e JOIN encounters n ON n.hadm_id = ((e.event_id // 20) * 30 + (e.event_id // 20) % 30)""")
 
 
 _v("transfers", [], """
