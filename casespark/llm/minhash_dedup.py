@@ -8,10 +8,10 @@
   estimates its similarity, and pairs estimated at five standard errors below the threshold or more are compared on
   their full sets.  This is linear in the length of a list.
 * In lists whose members still lie in several components, a member next to a component of ``BIG`` nodes or more meets
-  all of that component on full sets, once; the members of small components are then estimated against each other in
-  blocks, each pair in one of its lists.  Lists with over ``LONG`` members outside their largest component are first divided by one more shared
-  value (of ``LEAD + 2``, then ``LEAD + 4`` ... least ones), which near duplicates have and documents with one common
-  line do not.
+  all of that component on full sets, once.  The members of small components are then estimated against each other
+  in blocks, each pair in one of its lists; all lists around one large component count as a single list.  Other
+  lists with over ``LONG`` members outside their largest component are first divided by one more shared value (of
+  ``LEAD + 2``, then ``LEAD + 4`` ... least ones), which near duplicates have and documents with one common line do not.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from casespark.llm.components import connected_components
 from casespark.llm.shared import Scratch
 from casespark.llm.text_arrays import LOWER, combine, mix, span_hashes, steps, text_buffers, word_spans
 
-SKETCH, LEAD, CENTRES, LEVELS, LONG, SIDE, SALTS, BIG = 64, 10, 3, 6, 512, 256, 64, 32
+SKETCH, LEAD, CENTRES, LEVELS, LONG, SIDE, SALTS, BIG = 64, 10, 3, 5, 64, 256, 64, 32
+#: retained values that travel to the blocks of a list; at least LEAD + 2 * (LEVELS - 2)
+SHORT = 24
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +88,15 @@ def _sketcher(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return sketch
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets from the least ``SKETCH`` values of the union of their sketches."""
+def estimate(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Similarity of two sets from the least ``size`` values of the union of their sketches."""
     union = np.sort(np.concatenate([a, b]))
     twice = union[1:] == union[:-1]
     distinct = len(union) - int(twice.sum())
-    if distinct <= SKETCH:
+    if distinct <= size:
         return float(twice.sum()) / max(distinct, 1)
     rank = np.cumsum(np.r_[True, ~twice])
-    return float((twice & (rank[1:] <= SKETCH)).sum()) / SKETCH
+    return float((twice & (rank[1:] <= size)).sum()) / size
 
 
 def _estimates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -125,7 +127,8 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float)
     """Pairs of different components in each (list, block, part): first come its queries, then the members to meet.
 
     A list stands for its ``level`` shared values, the greatest at position ``last`` of a member's sketch.  A pair is
-    estimated only in the list of its least shared values, so in one list however many the two share.
+    estimated only in the list of its least shared values, so in one list however many the two share; a list of level 0
+    has no such values, and all its pairs are estimated.
     """
     group, asked, met = None, [], []
 
@@ -134,15 +137,19 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float)
         if asked and met:
             own = [np.frombuffer(r["sketch"], np.uint64) for r in asked]
             others = [np.frombuffer(r["sketch"], np.uint64) for r in met]
-            least_values = _shared([s[:r["last"] + 1] for s, r in zip(own, asked)], [s[:r["last"] + 1] for s, r in zip(others, met)])
+            longest = np.maximum.outer([len(s) for s in own], [len(s) for s in others])
+            fits = _shared(own, others) >= least * longest       # no estimate is above this share
+            if asked[0]["level"]:
+                fits &= asked[0]["level"] == _shared([s[:r["last"] + 1] for s, r in zip(own, asked)],
+                                                     [s[:r["last"] + 1] for s, r in zip(others, met)])
 
             def column(name: str) -> tuple[np.ndarray, np.ndarray]:
                 return np.array([r[name] for r in asked])[:, None], np.array([r[name] for r in met])[None]
 
             (n, m), (c, d) = column("n"), column("component")
-            fits = (least_values == asked[0]["level"]) & (c != d) & (np.minimum(n, m) >= share * np.maximum(n, m))
+            fits &= (c != d) & (np.minimum(n, m) >= share * np.maximum(n, m))
             for x, y in zip(*(k.tolist() for k in np.nonzero(fits))):
-                if estimate(own[x], others[y]) >= least:
+                if estimate(own[x], others[y], SHORT) >= least:
                     a.append(min(asked[x]["node"], met[y]["node"]))
                     b.append(max(asked[x]["node"], met[y]["node"]))
         return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -157,7 +164,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float)
                 asked.append(row)
             else:
                 met.append(row)
-                if len(met) == LONG:
+                if len(met) == 2 * SIDE:
                     yield pairs()
                     met = []
     yield pairs()
@@ -225,13 +232,13 @@ class _Search:
         self.least = self.share - 5 * (self.share * (1 - self.share) / SKETCH) ** 0.5
 
     def lists(self, nodes: DataFrame) -> DataFrame:
-        """(key, last, node, n): a row for each two of the LEAD least values of a class, if another class has both."""
+        """(key, last, node, n, members): a row for each two of the LEAD least values of a class, if another class has both."""
         rows = nodes.select("node", "n", F.expr(f"slice({_VALUES}, 1, {LEAD})").alias("v")).select(
             "node", "n", F.explode(F.expr(
                 "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, greatest(size(v) - i - 1, 0)),"
                 " (y, j) -> named_struct('key', xxhash64(x, y), 'last', i + j + 1))))")).alias("x")
         ).select("x.key", "x.last", "node", "n")
-        shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+        shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         return self.scratch.table(rows.join(shared, "key"), "lists")
 
     def compare(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -255,30 +262,44 @@ class _Search:
                                                         for k in range(CENTRES)])).alias("c"))
                .where("node <> c.node").where(f"least(n, c.n) >= {self.share} * greatest(n, c.n)")
                .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+        return self.estimated(met, nodes)
+
+    def estimated(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose union sketch does not rule them out."""
         sketches = nodes.select("node", "sketch")
         least = self.least
-        return (met.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+        return (pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
                 .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
                 .select("a", "b", "sa", "sb")
                 .mapInArrow(lambda batches: _estimates(batches, least), "a long, b long"))
 
-    def open_lists(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
-        """(key, level, last, node, n, component): the lists that still hold several components, the long ones divided."""
-        placed = (lists.join(parts, "node", "left")
-                  .select("key", "last", "node", "n", F.coalesce("component", "node").alias("component")))
+    def open_lists(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame, large: DataFrame) -> DataFrame:
+        """(key, level, last, node, n, component, crowd): the lists that still hold several components.
+
+        Lists are divided by size first: a set is in the lists of its own size class and of the next, and sets of the
+        required similarity, whose sizes differ by less than a class, have one in common.  A list that is mostly one
+        large component stays whole and names it in ``crowd``; other long lists are divided by further shared values.
+        """
+        size = f"(ln(n) / ln({1 / self.share + 1e-9}))"
+        placed = (lists.where("members > 2").join(parts, "node", "left")   # of two, one was the centre
+                  .withColumn("size", F.explode(F.expr(f"sequence(floor({size}), floor({size}) + 1)")))
+                  .select(F.xxhash64("key", "size").alias("key"), "last", "node", "n", F.coalesce("component", "node").alias("component")))
         out, level = None, 2
         while True:
             counts = (placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
-                      .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("outside"))
-                      .where(f"parts > 1 AND (members > 2 OR {level} > 2)"))
+                      .agg(F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("outside"), F.max(F.struct("m", "component")).alias("top"))
+                      .where("parts > 1").withColumn("of", F.col("top.component"))
+                      .join(large.select(F.col("component").alias("of"), F.lit(True).alias("big")), "of", "left")
+                      .select("key", "outside", F.when(F.expr("big AND 4 * top.m >= outside"), F.col("of")).alias("crowd")))
             rows = self.scratch.table(placed.join(counts, "key"), f"open-{level}")
-            deep = level < LEVELS and rows.where(f"outside > {LONG}").limit(1).count() > 0
-            here = (rows.where(f"outside <= {LONG}") if deep else rows).select(
-                "key", F.lit(level).alias("level"), "last", "node", "n", "component")
+            rest = f"outside > {LONG} AND crowd IS NULL"
+            deep = level < LEVELS and rows.where(rest).limit(1).count() > 0
+            here = (rows.where(f"NOT ({rest})") if deep else rows).select(
+                "key", F.lit(level).alias("level"), "last", "node", "n", "component", "crowd")
             out = here if out is None else out.unionByName(here)
             if not deep:
                 return out
-            placed = (rows.where(f"outside > {LONG}").join(nodes.select("node", "sketch"), "node")
+            placed = (rows.where(rest).join(nodes.select("node", "sketch"), "node")
                       .select("node", "n", "component", F.explode(F.expr(
                           f"transform(filter(transform(slice({_VALUES}, 1, {LEAD + 2 * (level - 1)}), (x, i) -> named_struct('x', x, 'i', i)),"
                           " s -> s.i > last), s -> named_struct('key', xxhash64(key, s.x), 'last', s.i))")).alias("x"))
@@ -294,10 +315,14 @@ class _Search:
         large = self.scratch.table(
             parts.join(nodes.select("node", "n"), "node").groupBy("component")
             .agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where(f"size >= {BIG}"), "large")
-        rows = self.open_lists(nodes, lists, parts)
+        rows = self.open_lists(nodes, lists, parts, large)
         met = self.scratch.table(self.meet(self._touching(rows, large), parts, large), "links-2")
         now = self.scratch.table(connected_components(links.unionByName(met), self.scratch, "parts-2"), "parts-2")
-        small = (rows.join(large, "component", "left_anti").drop("component").join(now, "node", "left")
+        small = rows.join(large, "component", "left_anti").drop("component")
+        around = (small.where("crowd IS NOT NULL")              # one list for all lists around a large component
+                  .select(F.xxhash64(F.lit(17), "crowd").alias("key"), F.lit(0).alias("level"), F.lit(SHORT - 1).alias("last"), "node", "n")
+                  .distinct())
+        small = (small.where("crowd IS NULL").drop("crowd").unionByName(around).join(now, "node", "left")
                  .withColumn("component", F.coalesce("component", "node")))
         return met.unionByName(self.compare(self._against_all(nodes, small), "other"))
 
@@ -339,16 +364,17 @@ class _Search:
                    .select("key", "level", "last", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
                            F.ceil((F.col("members") - F.col("top.m")) / SIDE).cast("int").alias("blocks"),
                            F.ceil(F.col("members") / (8 * SIDE)).cast("int").alias("spread"))
-                   .join(nodes.select("node", "sketch"), "node")
+                   .join(nodes.select("node", F.expr(f"substring(sketch, 1, {8 * SHORT})").alias("sketch")), "node")
                    .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
                    .withColumn("spot", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("spread")).cast("int")))
         asking = members.where("asks").select("key", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, spread - 1)")).alias("j"),
                                               F.lit(0).alias("role"), "level", "last", "node", "n", "sketch", "component")
         meeting = members.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("spot").alias("j"),
                                  F.lit(1).alias("role"), "level", "last", "node", "n", "sketch", "component")
-        least, share = self.least, self.share
-        return (asking.unionByName(meeting).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-                .mapInArrow(lambda batches: _block_pairs(batches, least, share), "a long, b long"))
+        least, share = self.share - 5 * (self.share * (1 - self.share) / SHORT) ** 0.5, self.share
+        pairs = (asking.unionByName(meeting).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
+                 .mapInArrow(lambda batches: _block_pairs(batches, least, share), "a long, b long"))
+        return self.estimated(self.scratch.table(pairs.distinct(), "block-pairs"), nodes)
 
 
 #: the retained values as an array of 8-byte binaries, least first
