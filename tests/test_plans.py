@@ -3,9 +3,9 @@ limits planned as WindowGroupLimit, filters and column pruning reaching the scan
 
 import pytest
 
-import __spark_entry__ as E
+from casespark.plans.registry import all_queries
 
-QUERIES = E.queries()
+QUERIES = all_queries()
 PY_OK = {"score_cases", "score_cases_failed"}            # the user-function hook (mapInPandas) by design
 NESTED_LOOP_OK = {"range_class_join"}                    # a handful of range rows, broadcast
 
