@@ -145,8 +145,8 @@ class Unigram(WordTable):
         lo = 0
         while lo < len(short):
             hi = lo + 1
-            while hi < len(short) and (hi - lo) * int(size[short[hi]]) < 1_000_000:
-                hi = min(len(short), hi + 1024)
+            while hi < len(short) and (hi - lo) * int(size[short[hi]]) < 200_000:
+                hi = min(len(short), hi + 256)
             group = short[lo:hi]
             for k, ids in zip(group, self._together([words[k] for k in group], size[group])):
                 found[k] = ids
@@ -159,13 +159,13 @@ class Unigram(WordTable):
         """Best paths of words of ascending length."""
         n, longest = len(words), int(size[-1])
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        codes = np.zeros((n, longest), np.int64)
+        codes = np.zeros((n, longest), np.int32)
         fill = np.arange(longest)[None] < size[:, None]
         codes[fill] = self.code_of[chars]
         best = np.full((n, longest + 1), -np.inf)
         best[:, 0] = 0
-        step = np.zeros((n, longest + 1), np.int64)             # length of the last piece; 0: unknown character
-        piece = np.full((n, longest + 1), -1, np.int64)
+        step = np.zeros((n, longest + 1), np.int32)             # length of the last piece; 0: unknown character
+        piece = np.full((n, longest + 1), -1, np.int32)
         base, check, ends, scores = self.trie.base, self.trie.check, self.trie.piece, self.model.scores
         for i in range(longest):
             rows = np.arange(int(np.searchsorted(size, i, "right")), n)
@@ -193,8 +193,16 @@ class Unigram(WordTable):
                 better = value > best[at, i + k + 1]
                 at, value, ids = at[better], value[better], ids[hit][better]
                 best[at, i + k + 1], step[at, i + k + 1], piece[at, i + k + 1] = value, k + 1, ids
-        step_rows, piece_rows = step.tolist(), piece.tolist()
-        return [self._path(w, s, p) for w, s, p in zip(words, step_rows, piece_rows)]
+        at, every, last = size.copy(), np.arange(n), []
+        while (at > 0).any():                                   # all paths backwards, a piece at a time
+            last.append(np.where(at > 0, piece[every, at], -2))
+            at = at - np.where(at > 0, np.maximum(step[every, at], 1), 0)
+        ids = np.stack(last[::-1], 1)
+        lost = (ids == -1).any(1)
+        found = np.split(ids[ids >= 0], np.cumsum((ids >= 0).sum(1))[:-1])
+        for k in np.flatnonzero(lost).tolist():
+            found[k] = self._path(words[k], step[k].tolist(), piece[k].tolist())
+        return found
 
     def _path(self, word: str, step: list[int], piece: list[int]) -> np.ndarray:
         out: list[int] = []
@@ -279,7 +287,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids", out
         pool = np.frombuffer(b"".join(table), np.uint8)
         length = np.array([len(t) for t in table], np.int64)
         place = np.cumsum(length) - length
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             out = []
             for raw in batch.column(at).to_pylist():
                 ids = np.frombuffer(raw or b"", "<i4")

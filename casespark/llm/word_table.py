@@ -20,8 +20,8 @@ class WordTable:
 
     def _clear(self) -> None:
         self.keys = np.zeros(self.SLOTS, np.uint64)             # 0: free
-        self.place = np.zeros(self.SLOTS, np.int64)
-        self.length = np.zeros(self.SLOTS, np.int64)
+        self.place = np.zeros(self.SLOTS, np.int32)
+        self.length = np.zeros(self.SLOTS, np.int32)
         self.pool, self.used, self.words = np.zeros(1 << 16, np.int32), 0, 0
 
     def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +69,6 @@ class WordTable:
                 self._clear()
             self._learn(h[new], data, starts[new], ends[new])
             slot = self._find(h)
-        lengths = self.length[slot]
+        lengths = self.length[slot].astype(np.int64)
         before = np.cumsum(lengths) - lengths
         return self.pool[np.repeat(self.place[slot] - before, lengths) + np.arange(int(lengths.sum()))], lengths
