@@ -10,9 +10,12 @@ strings in every window, which samples one position in 76.)
 * Ranks: in a bucket, suffixes are told apart by all bytes that a string over the position can reach (``SIDE`` on
   either side).  Positions of equal rank repeat every string over them.
 * Ties that are shorter: of a string over a position either the left or the right ``HALF`` bytes are whole.  Ranks
-  that share a half are compared string by string, one of each rank.
+  that share a half form a block; a task takes the blocks of its keys one chunk after another, sorts the strings of
+  one row of each rank by distance and hash, and so finds those that two ranks have.
+* Blocks of over ``CROWD`` ranks (the edge of a passage that very many documents share) are not gathered in a task:
+  their strings are counted by hash, dealt over all tasks.
 
-Every step is a count by hash with partial sums, so a passage in a third of all documents is one row per task.
+Buckets and ranks are counts by hash with partial sums, so a passage in a third of all documents is one row per task.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from casespark.llm.text_arrays import MORE_CODES, span_hashes, steps, text_buffe
 LENGTH, GRAM = 200, 50
 SIDE = LENGTH - GRAM
 HALF = SIDE // 2
+CROWD, CHUNK = 20_000, 4_000
 _NO_ID = -2**63
 
 
@@ -111,6 +115,71 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _flush(rows)
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every listed position: the bytes that its strings on the listed side can reach, and how many are before it."""
+    names = ("key", "h", "only", "id", "t", "pos", "on_left", "before")
+    rows, texts = {k: [] for k in names}, []
+    for d, t, data, items in _per_document(batches):
+        for x in items:
+            low = max(x["pos"] - (SIDE if x["on_left"] else HALF - 1), 0)
+            high = min(x["pos"] + GRAM + (HALF if x["on_left"] else SIDE), len(data))
+            for k, v in zip(names, (x["key"], x["h"], x["only"], d, t, x["pos"], int(x["on_left"]), x["pos"] - low)):
+                rows[k].append(v)
+            texts.append(data[low:high].tobytes())
+        if len(texts) > CHUNK:
+            yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in rows.items()} | {"bytes": pa.array(texts, pa.binary())})
+            rows, texts = {k: [] for k in names}, []
+    yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in rows.items()} | {"bytes": pa.array(texts, pa.binary())})
+
+
+def repeated_starts(blocks: np.ndarray, on_left: np.ndarray, before: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, distance) of the strings, by how far they start before the row's position, that another row of the same
+    block has at the same distance.  Left sides have distances from HALF to SIDE, right sides those below HALF."""
+    size = np.array([len(x) for x in texts], np.int64)
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+    far = np.arange(SIDE + 1)
+    row, distance = np.nonzero((far[None] <= before[:, None]) & (before[:, None] - far[None] + LENGTH <= size[:, None])
+                               & ((far[None] >= HALF) == (on_left[:, None] > 0)))
+    if not len(row):
+        return row, distance
+    starts = offs[row] + before[row] - distance
+    h = span_hashes(data, starts, starts + LENGTH)
+    order = np.lexsort((h, distance, blocks[row]))
+    b, d, h = blocks[row][order], distance[order], h[order]
+    same = (b[1:] == b[:-1]) & (d[1:] == d[:-1]) & (h[1:] == h[:-1])
+    twice = order[np.r_[same, False] | np.r_[False, same]]
+    return row[twice], distance[twice]
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Covered runs (id, t, lo, hi) of the rows that stand alone in their rank; blocks arrive sorted."""
+    held: list[tuple] = []
+
+    def spans() -> pa.RecordBatch:
+        columns = [np.array(c, np.int64) for c in list(zip(*held))[:8]]
+        key, h, on_left, only, ids, ties, pos, before = columns
+        block = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (on_left[1:] != on_left[:-1])])
+        row, distance = repeated_starts(block, on_left, before, [r[8] for r in held])
+        mine = only[row] == 1
+        row, distance = row[mine], distance[mine]
+        order = np.lexsort((distance, row))
+        row, distance = row[order], distance[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (distance[1:] != distance[:-1] + 1)]) if len(row) else row
+        last = np.r_[first[1:], len(row)] - 1 if len(row) else row
+        return pa.record_batch({"id": pa.array(ids[row[first]]), "t": pa.array(ties[row[first]]),
+                                "lo": pa.array(pos[row[first]] - distance[last]),
+                                "hi": pa.array(pos[row[first]] - distance[first] + LENGTH)})
+
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if len(held) >= CHUNK and r[:3] != held[-1][:3]:
+                yield spans()
+                held = []
+            held.append(r)
+    if held:
+        yield spans()
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of LENGTH bytes over the listed positions, on the side they share with other ranks."""
     names = ("w1", "w2", "only", "id", "t", "start")
@@ -184,22 +253,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.struct(F.lit(False).alias("on_left"), F.when(F.col("right") >= HALF, F.col("h_right")).alias("h")))).alias("half")
     ).select("one", "n", "key", "half.on_left", "half.h").where("h IS NOT NULL")
     shared = (halves.groupBy("key", "on_left", "h").agg(F.count("*").alias("ranks"), F.min("n").alias("least"))
-              .where("ranks > 1 AND least = 1").select("key", "on_left", "h"))
-    asked = (halves.join(shared, ["key", "on_left", "h"])
-             .groupBy("one").agg(F.max("on_left").alias("on_left"), F.max(~F.col("on_left")).alias("on_right"),
-                                 F.min(F.when(F.col("n") == 1, 1).otherwise(0)).alias("only"))
-             .groupBy("one.id", "one.t").agg(F.collect_list(F.struct("one.pos", "on_left", "on_right", "only")).alias("items")))
-    asked = scratch.table(asked, "asked")
-    strings = scratch.table(base.join(asked, ["id", "t"]).select("id", "t", "text", "items").mapInArrow(
+              .where("ranks > 1 AND least = 1").select("key", "on_left", "h", (F.col("ranks") > CROWD).alias("crowd")))
+    asked = scratch.table(halves.join(shared, ["key", "on_left", "h"]).select(
+        "one.id", "one.t", "one.pos", "key", "on_left", "h", "crowd", F.when(F.col("n") == 1, 1).otherwise(0).alias("only")), "asked")
+    blocks = asked.where("NOT crowd").groupBy("id", "t").agg(F.collect_list(F.struct("pos", "key", "on_left", "h", "only")).alias("items"))
+    contexts = base.join(blocks, ["id", "t"]).select("id", "t", "text", "items").mapInArrow(
+        _contexts, "key long, h long, only long, id long, t long, pos long, on_left long, before long, bytes binary")
+    in_blocks = scratch.table(
+        contexts.select("key", "h", "on_left", "only", "id", "t", "pos", "before", "bytes").repartition("key", "h", "on_left")
+        .sortWithinPartitions("key", "h", "on_left").mapInArrow(_resolve, "id long, t long, lo long, hi long"), "in-blocks")
+    crowds = (asked.where("crowd").groupBy("id", "t", "pos")
+              .agg(F.max("on_left").alias("on_left"), F.max(~F.col("on_left")).alias("on_right"), F.min("only").alias("only"))
+              .groupBy("id", "t").agg(F.collect_list(F.struct("pos", "on_left", "on_right", "only")).alias("items")))
+    strings = scratch.table(base.join(crowds, ["id", "t"]).select("id", "t", "text", "items").mapInArrow(
         _strings, "w1 long, w2 long, only long, id long, t long, start long"), "strings")
     # a string may be listed under several of its positions: count where it starts
     twice = (strings.groupBy("w1", "w2").agg(F.min(F.struct("id", "t", "start")).alias("a"), F.max(F.struct("id", "t", "start")).alias("b"))
              .where("a <> b").select("w1", "w2"))
     single = strings.where("only = 1").join(twice, ["w1", "w2"]).select(
         "id", "t", F.col("start").alias("lo"), F.expr(f"start + {LENGTH}").alias("hi"))
-    spans = scratch.table(whole.unionByName(single).distinct().groupBy("id", "t")
+    spans = scratch.table(whole.unionByName(single).unionByName(in_blocks).distinct().groupBy("id", "t")
                           .agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    for name in ("ranked", "ranks", "strings", "asked"):
+    for name in ("ranked", "ranks", "strings", "asked", "in-blocks"):
         scratch.drop(name)
     return (base.join(spans, ["id", "t"], "left").select("id", "t", "text", "spans")
             .mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:long,hi:long>>, "

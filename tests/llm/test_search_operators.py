@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from casespark.llm.fingerprint import edited_fingerprints, fingerprints
 from casespark.llm.minhash_dedup import drop_near_duplicates, near_duplicates
@@ -125,7 +126,10 @@ def brute_repeats(rows):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("crowd", [20_000, 1])                 # 1: every block is dealt string by string
+def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
+    import casespark.llm.repeats as m
+    monkeypatch.setattr(m, "CROWD", crowd)
     rng = random.Random(4)
 
     def words(n):
