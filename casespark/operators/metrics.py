@@ -283,9 +283,12 @@ def _runs_side_by_side(runs: DataFrame, run_ids: list, key: str, run_col: str, r
     cols = []
     for i, r in enumerate(run_ids):
         this = F.col(run_col) == r
-        cols += [F.max(F.when(this, F.col(ranked))).alias(f"r{i}"), F.max(F.when(this, F.col(pred))).alias(f"p{i}"),
+        # a run that lists a case twice: both lists of the greater row, never of two rows
+        cols += [F.max(F.when(this, F.struct(F.col(ranked).alias("r"), F.col(pred).alias("p")))).alias(f"x{i}"),
                  F.count_if(this).alias(f"n{i}")]
     g = runs.filter(F.col(run_col).isin(list(run_ids))).groupBy(key).agg(*cols)
+    for i in range(len(run_ids)):
+        g = g.withColumn(f"r{i}", F.col(f"x{i}.r")).withColumn(f"p{i}", F.col(f"x{i}.p")).drop(f"x{i}")
     present = None
     for i in range(len(run_ids)):
         c = F.col(f"n{i}") > 0
@@ -313,13 +316,7 @@ def run_consistency(runs: DataFrame, run_ids: list, ks=(1, 2, 3, 5, 10), key="ca
     """Agreement of 2 or 3 runs of the same cases: ranked[:k] overlap (|∩|/|∪| of sets),
     first final code overlap (|∩|/1), whole final list overlap.  Cases must be in all runs."""
     j = _runs_side_by_side(runs, run_ids, key, run_col, ranked, pred)
-    m = len(run_ids)
-    measures = [F.struct(F.lit("ranked").alias("measure"), F.lit(int(k)).alias("k"),
-                         _jacc([F.slice(F.col(f"r{i}"), 1, k) for i in range(m)]).alias("v")) for k in ks]
-    first = F.size(F.array_distinct(_intersect_all([F.slice(F.col(f"p{i}"), 1, 1) for i in range(m)]))).cast("double")
-    measures.append(F.struct(F.lit("final_top1").alias("measure"), F.lit(1).alias("k"), first.alias("v")))
-    measures.append(F.struct(F.lit("final_all").alias("measure"), F.lit(0).alias("k"),
-                             _jacc([F.col(f"p{i}") for i in range(m)]).alias("v")))
+    measures = _consistency_measures(list(range(len(run_ids))), ks)
     x = j.select(F.explode(F.array(*measures)).alias("x")).select("x.*")
     return x.groupBy("measure", "k").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n"),
                                          F.count_if(F.col("v").isNull()).alias("n_undefined"))

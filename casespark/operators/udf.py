@@ -1,21 +1,26 @@
-"""User scoring hook: apply a user batch function (prompt -> response) to the
+"""User scoring hook: apply a user function (prompt -> response) to the
 pending cases with retries, as an Arrow-batched ``mapInPandas`` (the only
 Python in the hot path, by design: the function is the user's)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCORED_SCHEMA = "case_id long, response string, attempts int, error string"
+from casespark.session import scratch_path
 
 
 def score_cases(cases: DataFrame, fn: Callable[[str], str], prompt: str = "prompt", key: str = "case_id",
                 attempts: int = 3, log: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (scored, failed).  Cases already in ``log`` are skipped (resume)."""
+    """Returns (scored, failed).  Cases already in ``log`` are skipped (resume).
+
+    The answers are written once to the shared folder and both results read them, so the function runs
+    once per case (and again only for tasks that are lost), and a case is in one of the two."""
+    spark = cases.sparkSession
     pending = cases.join(log.select(key).distinct(), key, "left_anti") if log is not None else cases
 
     def run(batches):
@@ -33,5 +38,8 @@ def score_cases(cases: DataFrame, fn: Callable[[str], str], prompt: str = "promp
                 out.append((k, resp, n, err))
             yield pd.DataFrame(out, columns=[key, "response", "attempts", "error"])
 
-    res = pending.select(F.col(key).cast("long").alias(key), F.col(prompt)).mapInPandas(run, SCORED_SCHEMA)
+    schema = f"`{key}` {dict(cases.dtypes)[key]}, response string, attempts int, error string"
+    path = scratch_path(spark, f"scored-{uuid.uuid4().hex[:12]}")
+    pending.select(key, prompt).mapInPandas(run, schema).write.parquet(path)
+    res = spark.read.schema(schema).parquet(path)
     return res.filter(F.col("error").isNull()).drop("error"), res.filter(F.col("error").isNotNull())

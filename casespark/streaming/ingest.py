@@ -1,17 +1,15 @@
 """Incremental ingestion of model-response logs (Structured Streaming).
 
 New JSON-lines files in ``in_dir`` are consumed exactly once (file source +
-checkpoint).  Each micro-batch is extracted with the whole-table SC24 job, the
-first valid row per key (by log line) is kept, and only keys not already in the
-valid table are appended.  Both outputs are written per epoch folder with
-overwrite, so a replayed epoch after a failure rewrites the same folder
-(idempotent sink) and the anti join ignores the epoch being rewritten.
+checkpoint).  Each micro-batch is extracted once with the whole-table SC24 job
+and written to a folder of its epoch with overwrite, so a replayed epoch
+rewrites the same folder (idempotent sink).  Which row of a key counts is
+decided when the table is read, over all epochs: the result is that of the
+batch job, whatever the order of arrival.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,32 +20,24 @@ LOG_SCHEMA = ("case_id long, round int, model string, think boolean, temperature
               "response string, estimate_tokens long, prompt_tokens long, completion_tokens long, reasoning_tokens long")
 
 
-def _existing_keys(spark: SparkSession, path: str, keys: list[str], epoch_id: int) -> DataFrame | None:
-    if not os.path.exists(path.replace("file:", "")) and not path.startswith(("hdfs:", "s3", "gs:", "abfs")):
-        return None
-    try:
-        t = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - empty folder on the first epoch
-        return None
-    return t.filter(F.col("epoch") != epoch_id).select(*keys)
+def valid_responses(spark: SparkSession, out_dir: str, profile: str = "one_match",
+                    keys: tuple[str, ...] = ("round", "case_id")) -> DataFrame:
+    """The valid row of every key seen so far: the first log line, or the last for ``last_match``."""
+    return dedup_valid(spark.read.parquet(f"{out_dir}/extracted"), key="case_id", order="line_no",
+                       keep="first" if profile == "one_match" else "last", by=[k for k in keys if k != "case_id"])
+
+
+def invalid_responses(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{out_dir}/extracted").filter(F.col("status") == "invalid")
 
 
 def ingest_responses(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, profile: str = "one_match",
                      keys: tuple[str, ...] = ("round", "case_id"), max_files_per_trigger: int | None = None,
                      available_now: bool = True) -> StreamingQuery:
-    valid_path, invalid_path = f"{out_dir}/valid", f"{out_dir}/invalid"
-    key_list = list(keys)
-
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        ex = extract_responses(batch, profile=profile, ranked_key="top10")
-        keep = "first" if profile == "one_match" else "last"
-        valid = dedup_valid(ex, key="case_id", order="line_no", keep=keep, by=[k for k in key_list if k != "case_id"])
-        seen = _existing_keys(batch.sparkSession, valid_path, key_list, epoch_id)
-        if seen is not None:
-            valid = valid.join(seen, key_list, "left_anti")
-        valid.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(f"{valid_path}/epoch={epoch_id}")
-        (ex.filter(F.col("status") == "invalid").select(*key_list, "line_no", "response")
-         .write.mode("overwrite").parquet(f"{invalid_path}/epoch={epoch_id}"))
+        (extract_responses(batch, profile=profile, ranked_key="top10")
+         .select(*keys, "line_no", "response", "status", "method", "ranked", "final")
+         .write.mode("overwrite").parquet(f"{out_dir}/extracted/epoch={epoch_id}"))
 
     reader = spark.readStream.schema(LOG_SCHEMA)
     if max_files_per_trigger:

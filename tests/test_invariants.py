@@ -63,3 +63,55 @@ def test_materialized_tables_cut_lineage(spark, small_dir, tmp_path):
     assert t["strict_cohort"].count() == Q["strict_cohort"](spark, small_dir).count()
     plan = t["case_inputs"]._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "Exchange" not in plan   # read back, no recomputation
+
+
+def test_stream_picks_the_row_of_the_batch_rule_in_any_order_of_arrival(spark, tmp_path):
+    import json
+
+    from casespark.streaming.ingest import ingest_responses, valid_responses
+    (tmp_path / "in").mkdir()
+    for n, line in enumerate((5, 2, 9)):
+        body = '{"top10": ["%d"], "predictions": ["%d"]}' % (line, line)
+        row = {"case_id": 1, "round": 1, "line_no": line, "response": body}
+        (tmp_path / "in" / f"part{n}.json").write_text(json.dumps(row) + "\n")
+    for profile, want in (("one_match", 2), ("last_match", 9)):
+        out = str(tmp_path / profile)
+        ingest_responses(spark, str(tmp_path / "in"), out, str(tmp_path / f"chk-{profile}"), profile=profile,
+                         max_files_per_trigger=1).awaitTermination()
+        assert [r.line_no for r in valid_responses(spark, out, profile).collect()] == [want]
+
+
+def test_scoring_calls_the_function_once_a_case(spark, tmp_path):
+    from casespark.operators.udf import score_cases
+    calls = str(tmp_path / "calls")
+
+    def model(prompt):
+        with open(calls, "a") as f:
+            f.write("x")
+        if prompt == "bad":
+            raise RuntimeError("no")
+        return prompt.upper()
+
+    scored, failed = score_cases(spark.createDataFrame([("a", "one"), ("b", "bad")], "case_id string, prompt string"), model, attempts=1)
+    assert [tuple(r) for r in scored.collect()] == [("a", "ONE", 1)]
+    assert [r.case_id for r in failed.collect()] == ["b"]
+    assert len(open(calls).read()) == 2
+
+
+def test_lookup_keeps_rows_of_one_key_apart(spark):
+    from casespark.operators.vocab import valid_codes_only
+    rows = spark.createDataFrame([(1, ["a", "z", "a"]), (1, ["b"]), (2, []), (3, None), (4, ["z"])], "case_id long, codes array<string>")
+    got = valid_codes_only(rows, spark.createDataFrame([("a",), ("b",), ("b",)], "code string"), "codes").collect()
+    assert sorted((r.case_id, r.valid, r.n_error) for r in got if r.case_id != 3) == [
+        (1, ["a", "a"], 1), (1, ["b"], 0), (2, [], 0), (4, [], 1)]
+    assert [(r.valid, r.n_error) for r in got if r.case_id == 3] == [(None, None)]
+
+
+def test_long_and_nested_answers(spark):
+    from pyspark.sql import functions as F
+
+    from casespark.operators.responses import BALANCED
+    deep = '{"a":' * 10 + '{"s":"}{"}' + "}" * 10
+    texts = [deep + " }", '{"k":"' + "x" * 1_000_000 + '"} tail }', "{" + "y" * 1_000_000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract("t", BALANCED, 0)).collect()]
+    assert got == [deep, texts[1][:-7], ""]
