@@ -18,10 +18,10 @@ def count(plan, node):
 
 
 def main(sf="/root/testdata/sf0.1"):
-    import __spark_entry__ as E
+    from casespark.plans.registry import all_queries
     from casespark.session import get_spark
     spark = get_spark("local[8]", shuffle_partitions=16)
-    qs = E.queries()
+    qs = all_queries()
     rows = []
     for k in sorted(qs):
         if k == "ingest_responses":
