@@ -111,8 +111,8 @@ def literal_score(text: str, bare: bool = False) -> float:
     entropy = -sum(p * math.log2(p) for p in share)
     classes = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
     score = 0.35 + 0.35 * min(1.0, entropy / 3.5) + 0.15 * min(classes - 1, 2)
-    if bare and classes < 2:
-        score *= 0.5                                           # a word of prose
+    if bare and not re.search("[0-9]", text):
+        score *= 0.5                                           # may be a word of prose
     return score * (0.4 if re.search(r"\s", text) else 1.0)
 
 
