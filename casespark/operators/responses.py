@@ -6,11 +6,12 @@ Two extraction profiles follow the two evaluation paths of the reference:
 * ``one_match`` (set 1): fenced ```json block -> non-greedy ``{…}`` -> bold
   markdown lists; exactly one JSON candidate is accepted, no repair.
 * ``last_match`` (set 2): fenced block -> whole text -> last one-line object ->
-  greedy ``{…}`` (repaired first) -> first balanced object (``NESTING`` levels) -> non-greedy ``{…}``; the last candidate
+  greedy ``{…}`` (repaired first) -> first balanced object -> non-greedy ``{…}``; the last candidate
   wins and a failed parse is retried after repair.
 
-JSON validity is ``try_parse_json(x) IS NOT NULL`` (strict parser: comments and
-trailing commas are invalid); lists come from ``from_json`` with a declared schema.
+Every candidate is parsed once, strictly (comments, trailing commas and trailing
+text are invalid) and with the declared schema, so validity and the two lists come
+from the same pass.  Nesting and length of an answer are not limited.
 """
 
 from __future__ import annotations
@@ -20,26 +21,17 @@ from pyspark.sql import functions as F
 
 from casespark.functions.columns import let
 
-# Extraction patterns.
+# Extraction and repair patterns.
 FENCED = r"(?s)```json\n(.*?)\n```"
 NONGREEDY = r"(?s)\{.*?\}"
 GREEDY = r"(?s)\{.*\}"
-STRING = r'"(?:[^"\\]++|\\.)*+"'
-NESTING = 12                        # levels of braces that the balanced pattern follows
-
-
-def _balanced(levels: int) -> str:
-    """Object from its opening brace to the matching one; braces inside strings do not count.
-
-    All repetitions are possessive, which the regex engine runs in a loop: no recursion, however long the text."""
-    inner = '[^{}"]++|' + STRING
-    pattern = "\\{(?:" + inner + ")*+\\}"
-    for _ in range(levels - 1):
-        pattern = "\\{(?:" + inner + "|" + pattern + ")*+\\}"
-    return "(?s)^" + pattern
-
-
-BALANCED = _balanced(NESTING)
+COMMENT = r"//[^\n]*"
+BARE_CODE = r"([A-Z]\d{1,3}\.?\d*)(,|\s*[\]\}])"
+TRAILING_COMMA = r",(\s*[\]\}])"
+BLANKS = r"\s+"
+AROUND_PUNCTUATION = r"\s*([,\[\]{}:])\s*"
+#: what the depth automaton reads: an escaped character, a quote, a brace, or a run of anything else
+BRACE_TOKENS = r"(?s)\\.|[\"{}]|[^\\\"{}]+|\\"
 
 
 def _c(c):
@@ -54,26 +46,60 @@ def strip_ws(c) -> Column:
     return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
-_STRICT = {"allowSingleQuotes": "false", "allowComments": "false", "allowUnquotedFieldNames": "false",
-           "mode": "PERMISSIVE"}
+_NO_LIMIT = str(2**31 - 1)
+_STRICT = {"allowSingleQuotes": "false", "allowComments": "false", "allowUnquotedFieldNames": "false", "mode": "PERMISSIVE",
+           "maxNestingDepth": _NO_LIMIT, "maxStringLen": _NO_LIMIT, "maxNumLen": _NO_LIMIT}
+_END = '{"__end":true}'             # closes the array around a candidate: whatever follows the value shows
 
 
 def valid_json(c) -> Column:
-    """Strict JSON text holding exactly one value: the text wrapped in [...] parses as a
-    one-element array (trailing data, comments, trailing commas, bare words fail).  One
-    parse per candidate."""
-    wrapped = F.from_json(F.concat(F.lit("["), _c(c), F.lit("]")), "array<string>", _STRICT)
-    return F.coalesce(F.size(wrapped) == 1, F.lit(False))
+    """Strict JSON text holding exactly one value: with the closing mark it parses as an array of two (trailing
+    data, comments, trailing commas, bare words fail)."""
+    both = F.from_json(F.concat(F.lit("["), _c(c), F.lit("," + _END + "]")), "array<string>", _STRICT)
+    return F.coalesce((F.size(both) == 2) & (F.get(both, F.lit(1)) == _END), F.lit(False))
+
+
+def parse_object(c, ranked_key: str) -> Column:
+    """The two lists of a candidate as a struct; NULL unless the text is one strict JSON object.
+
+    Other members are read over without being built, however deep they nest."""
+    schema = f"array<struct<__end:boolean,`{ranked_key}`:array<string>,predictions:array<string>>>"
+    return F.element_at(F.transform(
+        F.array(F.from_json(F.concat(F.lit("["), _c(c), F.lit("," + _END + "]")), schema, _STRICT)),
+        lambda both: F.when((F.size(both) == 2) & F.get(both, F.lit(1))["__end"],
+                            F.get(both, F.lit(0)))), 1)
+
+
+def balanced_object(c) -> Column:
+    """Object from the first opening brace to the one that closes it, or NULL.
+
+    A fold over brace and quote tokens counts the depth; braces inside strings do not count, an escaped character
+    counts for nothing.  One pass, any depth."""
+    text = F.substring(_c(c), F.instr(_c(c), "{"), F.length(_c(c)))
+    tokens = F.regexp_extract_all(text, F.lit(BRACE_TOKENS), 0)
+
+    def step(acc: Column, token: Column) -> Column:
+        at = acc["at"] + F.length(token)
+        live = (acc["end"] == 0) & ~acc["quoted"]
+        return F.struct(
+            at.alias("at"),
+            F.when(live & (token == "{"), acc["depth"] + 1).when(live & (token == "}"), acc["depth"] - 1).otherwise(acc["depth"]).alias("depth"),
+            F.when(token == '"', ~acc["quoted"]).otherwise(acc["quoted"]).alias("quoted"),
+            F.when(live & (token == "}") & (acc["depth"] == 1), at).otherwise(acc["end"]).alias("end"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("end"))
+    end = F.aggregate(tokens, start, step, lambda acc: acc["end"])
+    return F.when(F.instr(_c(c), "{") > 0, let(end, lambda n: F.when(n > 0, F.substring(text, F.lit(1), n))))
 
 
 # --------------------------------------------------------------------- SC25
 def repair_json(c) -> Column:
     """Drop // comments, quote bare codes, drop trailing commas, squeeze blanks."""
-    x = F.regexp_replace(_c(c), r"//[^\n]*", "")
-    x = F.regexp_replace(x, r"(\s*)([A-Z]\d{1,3}\.?\d*)(,|\s*[\]\}])", "$1\"$2\"$3")
-    x = F.regexp_replace(x, r",(\s*[\]\}])", "$1")
-    x = F.regexp_replace(x, r"\s+", " ")
-    return F.regexp_replace(x, r"\s*([,\[\]{}:])\s*", "$1")
+    x = F.regexp_replace(_c(c), COMMENT, "")
+    x = F.regexp_replace(x, BARE_CODE, "\"$1\"$2")
+    x = F.regexp_replace(x, TRAILING_COMMA, "$1")
+    x = F.regexp_replace(x, BLANKS, " ")
+    return F.regexp_replace(x, AROUND_PUNCTUATION, "$1")
 
 
 # --------------------------------------------------------------------- SC18 / SC19 / SC20
@@ -99,11 +125,6 @@ def split_reasoning(c) -> tuple[Column, Column]:
 
 
 # --------------------------------------------------------------------- SC24
-def _lists(json_txt: Column, ranked_key: str) -> Column:
-    schema = f"struct<{ranked_key}:array<string>,predictions:array<string>>"
-    return F.from_json(json_txt, schema)
-
-
 def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: str = "top10",
                       response: str = "response") -> DataFrame:
     """Adds status ('valid'/'invalid'), method, ranked[], final[] to every log row."""
@@ -119,8 +140,7 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
         md_r = F.regexp_extract_all(md_top, F.lit(r'"([^"]+)"'), 1)
         md_p = F.regexp_extract_all(md_pred, F.lit(r'"([^"]+)"'), 1)
         x = log.withColumn("_cand", cand).withColumn("_method", method)
-        one = F.when(F.size("_cand") == 1, F.col("_cand")[0])
-        parsed = F.when(valid_json(one), _lists(one, ranked_key))
+        parsed = F.when(F.size("_cand") == 1, parse_object(F.col("_cand")[0], ranked_key))
         use_md = F.col("_cand").isNull() & md_ok & (F.size(md_r) > 0) & (F.size(md_p) > 0)
         x = x.withColumn("_p", parsed)
         ranked = F.when(use_md, md_r).otherwise(F.col(f"_p.{ranked_key}"))
@@ -132,49 +152,48 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
                 .withColumn("ranked", F.when(ok, code_of_item("_r", strip=False)))
                 .withColumn("final", F.when(ok, code_of_item("_f", strip=False)))
                 .drop("_cand", "_method", "_p", "_r", "_f"))
-    # ----- last_match profile: every intermediate is its own column so each regex runs once
-    # later steps are only evaluated for rows the earlier steps did not settle
+    # ----- last_match profile: every intermediate is its own column so each pattern runs and each candidate is parsed
+    # once; later steps are only evaluated for rows the earlier steps did not settle
+    def fixed_first(candidate: str) -> Column:
+        return F.coalesce(parse_object(repair_json(candidate), ranked_key), parse_object(candidate, ranked_key))
+
+    def fixed_last(candidate: str) -> Column:
+        return F.coalesce(parse_object(candidate, ranked_key), parse_object(repair_json(candidate), ranked_key))
+
     x = log.withColumn("_fenced", fenced)
     no_fence = F.size("_fenced") == 0
     x = x.withColumn("_stripped", F.when(no_fence, strip_ws(r)))
-    x = x.withColumn("_whole_ok", F.coalesce(valid_json("_stripped"), F.lit(False)))
-    need_lines = no_fence & ~F.col("_whole_ok")
-    x = x.withColumn("_lines", F.when(need_lines, F.filter(
-        F.transform(F.split(r, "\n"), lambda l: strip_ws(l)), lambda l: l.startswith("{") & l.endswith("}") & valid_json(l))))
-    need_g = need_lines & (F.coalesce(F.size("_lines"), F.lit(0)) == 0)
+    object_like = F.col("_stripped").startswith("{")
+    x = x.withColumn("_whole", F.when(object_like, parse_object("_stripped", ranked_key)))
+    # a whole text that is JSON but no object ends the search, without lists
+    x = x.withColumn("_other", F.when(no_fence & ~object_like, valid_json("_stripped")).otherwise(F.lit(False)))
+    need_lines = no_fence & F.col("_whole").isNull() & ~F.col("_other")
+    lines = F.filter(F.transform(F.split(r, "\n"), lambda l: strip_ws(l)), lambda l: l.startswith("{") & l.endswith("}"))
+    x = x.withColumn("_line", F.when(need_lines, F.try_element_at(F.filter(
+        F.transform(lines, lambda l: parse_object(l, ranked_key)), lambda p: p.isNotNull()), F.lit(-1))))
+    need_g = need_lines & F.col("_line").isNull()
     x = x.withColumn("_greedy", F.when(need_g, F.regexp_extract(r, GREEDY, 0)))
-    x = x.withColumn("_gfix", F.when(F.col("_greedy") != "", repair_json("_greedy")))
-    x = x.withColumn("_gp", F.when(valid_json("_gfix"), F.col("_gfix")).when(valid_json("_greedy"), F.col("_greedy")))
+    x = x.withColumn("_gp", F.when(F.col("_greedy") != "", fixed_first("_greedy")))
     need_b = need_g & F.col("_gp").isNull()
-    x = x.withColumn("_bal", F.when(need_b, F.regexp_extract(
-        F.when(F.instr(r, "{") > 0, F.substring(r, F.instr(r, "{"), F.length(r))), BALANCED, 0)))
-    x = x.withColumn("_bfix", F.when(F.coalesce(F.col("_bal"), F.lit("")) != "", repair_json("_bal")))
-    x = x.withColumn("_bp", F.when(valid_json("_bfix"), F.col("_bfix")).when(valid_json("_bal"), F.col("_bal")))
-    x = x.withColumn("_ng", F.when(need_b & F.col("_bp").isNull(), F.regexp_extract_all(r, F.lit(NONGREEDY), 0)))
-    pick = [(F.size("_fenced") > 0, F.try_element_at("_fenced", F.lit(-1)), "fenced"),
-            (F.col("_whole_ok"), F.col("_stripped"), "whole"),
-            (F.size("_lines") > 0, F.try_element_at("_lines", F.lit(-1)), "line"),
-            ((F.col("_greedy") != "") & F.col("_gp").isNotNull(), F.col("_gp"), "greedy"),
-            ((F.coalesce(F.col("_bal"), F.lit("")) != "") & F.col("_bp").isNotNull(), F.col("_bp"), "balanced"),
-            (F.size("_ng") > 0, F.try_element_at("_ng", F.lit(-1)), "braces")]
-    js0, method = None, None
-    for cond, val, name in pick:
-        js0 = F.when(cond, val) if js0 is None else js0.when(cond, val)
-        method = F.when(cond, F.lit(name)) if method is None else method.when(cond, F.lit(name))
-    x = x.withColumn("_js0", js0).withColumn("method", method)
-    # whole/line/greedy/balanced candidates were validated when chosen; fenced and brace ones were not
-    x = x.withColumn("_js0_ok", F.when(F.col("method").isin("whole", "line", "greedy", "balanced"), F.lit(True))
-                     .otherwise(F.coalesce(valid_json("_js0"), F.lit(False))))
-    x = x.withColumn("_js", F.when(F.col("_js0_ok"), F.col("_js0")).otherwise(
-        let(repair_json("_js0"), lambda v: F.when(valid_json(v), v))))
-    x = x.withColumn("_p", F.when(F.col("_js").isNotNull(), _lists(F.col("_js"), ranked_key)))
+    x = x.withColumn("_bal", F.when(need_b, balanced_object(r)))
+    x = x.withColumn("_bp", F.when(F.col("_bal").isNotNull(), fixed_first("_bal")))
+    need_n = need_b & F.col("_bp").isNull()
+    x = x.withColumn("_last", F.when(~no_fence, F.try_element_at("_fenced", F.lit(-1))).when(
+        need_n, F.try_element_at(F.regexp_extract_all(r, F.lit(NONGREEDY), 0), F.lit(-1))))
+    x = x.withColumn("_lp", F.when(F.col("_last").isNotNull(), fixed_last("_last")))
+    steps = [(~no_fence, "_lp", "fenced"), (F.col("_other") | F.col("_whole").isNotNull(), "_whole", "whole"),
+             (F.col("_line").isNotNull(), "_line", "line"), (F.col("_gp").isNotNull(), "_gp", "greedy"),
+             (F.col("_bp").isNotNull(), "_bp", "balanced"), (F.col("_last").isNotNull(), "_lp", "braces")]
+    parsed, method = F.when(steps[0][0], F.col(steps[0][1])), F.when(steps[0][0], F.lit(steps[0][2]))
+    for condition, column, name in steps[1:]:
+        parsed, method = parsed.when(condition, F.col(column)), method.when(condition, F.lit(name))
+    x = x.withColumn("method", method).withColumn("_p", parsed)
     ok = (F.size(F.coalesce(F.col(f"_p.{ranked_key}"), F.array())) > 0) & \
          (F.size(F.coalesce(F.col("_p.predictions"), F.array())) > 0)
     return (x.withColumn("status", F.when(ok, "valid").otherwise("invalid"))
             .withColumn("ranked", F.when(ok, code_of_item(f"_p.{ranked_key}")))
             .withColumn("final", F.when(ok, code_of_item("_p.predictions")))
-            .drop("_fenced", "_stripped", "_lines", "_greedy", "_bal", "_ng", "_whole_ok", "_gfix", "_gp", "_bfix", "_bp", "_js0",
-                  "_js0_ok", "_js", "_p"))
+            .drop("_fenced", "_stripped", "_whole", "_other", "_line", "_greedy", "_gp", "_bal", "_bp", "_last", "_lp", "_p"))
 
 
 def dedup_valid(extracted: DataFrame, key: str = "case_id", order: str = "line_no", keep: str = "first",
