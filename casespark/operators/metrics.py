@@ -9,10 +9,16 @@ sets, missed/over lists keep repeats, recall divides by the raw label count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casespark.functions.columns import md5_draw, safe_ratio, stream_draw
+from casespark.functions.columns import _GOLDEN, _M32, _MIX_A, _MIX_B, md5_draw, safe_ratio
+
+# the resampling tasks travel by value: executors need numpy and pyarrow, not this library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _c(c):
@@ -343,76 +349,168 @@ def _poisson_thresholds(kmax: int = 12):
 POISSON1_THRESHOLDS = _poisson_thresholds()
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform 32-bit integer: exact integer thresholds."""
-    w = F.lit(len(POISSON1_THRESHOLDS))
-    for k in reversed(range(len(POISSON1_THRESHOLDS))):
-        w = F.when(u < F.lit(POISSON1_THRESHOLDS[k]), F.lit(k)).otherwise(w)
-    return w
+def _mixed(x):
+    """``mix32`` of a numpy array."""
+    import numpy as np
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(_MIX_A) & np.uint64(_M32)
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(_MIX_B) & np.uint64(_M32)
+    return x ^ (x >> np.uint64(16))
+
+
+def _poisson_sums(n_rep: int, width: int):
+    """Task: for every replicate the sums of weight times score and of the weights of known scores.
+
+    The weight is a Poisson(1) draw by inverse CDF of a uniform 32-bit integer (exact integer thresholds)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        limits = np.array(POISSON1_THRESHOLDS, np.uint64)
+        sums = np.zeros((n_rep, 2 * width))
+        for batch in batches:
+            base = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(base), width)
+            known = np.concatenate([np.nan_to_num(x), ~np.isnan(x)], 1)
+            for rep in range(n_rep):
+                u = _mixed((base + np.uint64(rep * _GOLDEN & _M32)) & np.uint64(_M32))
+                sums[rep] += np.searchsorted(limits, u, "right") @ known
+        yield pa.record_batch([pa.array(np.arange(n_rep, dtype=np.int32))] + [pa.array(sums[:, k].copy()) for k in range(2 * width)],
+                              ["rep"] + [f"v{k}" for k in range(2 * width)])
+    return run
+
+
+def _intervals(sums: DataFrame, scores: DataFrame, score_cols: list[str], level: float) -> DataFrame:
+    """metric, value, lo, hi from the partial sums of every replicate (rep, sums of scores, sums of weights)."""
+    width = len(score_cols)
+    means = sums.groupBy("rep").agg(*[safe_ratio(F.sum(f"v{k}"), F.sum(f"v{width + k}")).alias(f"m{k}") for k in range(width)])
+    long = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"m{k}").alias("m"))
+                                            for k, c in enumerate(score_cols)])).alias("x")).select("x.*")
+    lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
+    ci = long.groupBy("metric").agg(F.percentile("m", lo_q).alias("lo"), F.percentile("m", hi_q).alias("hi"))    # n_rep values
+    full = scores.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in score_cols]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in score_cols])).alias("x")).select("x.*")
+    return full.join(ci, "metric", "inner")   # both sides: one row per metric
+
+
+def _sums_schema(width: int) -> str:
+    return ", ".join(["rep int"] + [f"v{k} double" for k in range(2 * width)])
 
 
 def bootstrap_ci(scores: DataFrame, score_cols: list[str], key: str = "case_id", n_rep: int = 1000,
                  level: float = 0.95, seed: int = 7) -> DataFrame:
     """Confidence intervals of the mean of each per-case score column.
 
-    Poisson bootstrap: each (replicate, case) gets an independent Poisson(1)
-    weight, so a replicate mean is Σw·s/Σw.  One pass, no index, no join: the
-    per-case rows fan out to n_rep rows and fold back by a partial aggregate
-    on the replicate id.  Output: metric, value, lo, hi."""
-    lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep")
+    Poisson bootstrap: each (replicate, case) gets an independent Poisson(1) weight, so a replicate mean is
+    Σw·s/Σw over the known scores.  One pass without index or join: a task keeps the sums of its replicates and gives
+    ``n_rep`` rows, whatever the number of cases.  Output: metric, value, lo, hi."""
     # one md5 per case seeds a cheap integer stream over the replicates
-    fan = (scores.withColumn("_base", md5_draw(seed, F.col(key))).select(key, "_base", *score_cols, rep)
-           .withColumn("w", poisson_weight(stream_draw(F.col("_base"), F.col("rep")))))
-    per_rep = fan.groupBy("rep").agg(F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in score_cols])
-    means = per_rep.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), safe_ratio(F.col(c), F.col("sw")).alias("m")) for c in score_cols])).alias("x")
-    ).select("x.*")
-    ci = means.groupBy("metric").agg(F.percentile("m", lo_q).alias("lo"), F.percentile("m", hi_q).alias("hi"))
-    full = scores.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("s")) for c in score_cols])).alias("x")
-    ).groupBy(F.col("x.metric").alias("metric")).agg(F.avg("x.s").alias("value"))
-    return full.join(ci, "metric", "inner")   # both sides have len(score_cols) rows
-
-
-def dense_index(df: DataFrame, order: str, partitions: int | None = None) -> DataFrame:
-    """Adds ``idx`` = 0-based rank of ``order`` (unique) without a single-partition window:
-    range-partition and sort, then add each partition's offset (prefix sum over one row per
-    partition).  The numbered frame is written to the shared checkpoint folder so every
-    consumer sees the same numbering."""
-    from pyspark.sql import Window
-    from casespark.session import cut_lineage
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, order).sortWithinPartitions(order)
-              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = cut_lineage(ranged)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (ranged.join(F.broadcast(offsets.select("_pid", "_off", "_base")), "_pid")
-            .withColumn("idx", F.col("_off") + F.col("_mid") - F.col("_base")).drop("_pid", "_mid", "_off", "_base"))
+    rows = scores.select(md5_draw(seed, F.col(key)).alias("base"), F.array(*[F.col(c).cast("double") for c in score_cols]).alias("scores"))
+    width = len(score_cols)
+    # every small row costs n_rep draws: spread them over all tasks, not over the few that their bytes ask for
+    spread = rows.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _intervals(spread.mapInArrow(_poisson_sums(n_rep, width), _sums_schema(width)), scores, score_cols, level)
+
+
+def _draws(bases, upto):
+    """Draws ``i < upto`` of the streams ``bases`` as 53-bit integers: the numpy twin of two ``stream_draw`` columns."""
+    import numpy as np
+
+    i = np.arange(upto, dtype=np.uint64) * np.uint64(2)
+    high, low = (_mixed((np.uint64(bases) + (k * np.uint64(_GOLDEN) & np.uint64(_M32))) & np.uint64(_M32)) for k in (i, i + np.uint64(1)))
+    return ((high & np.uint64(0x1FFFFF)) << np.uint64(32) | low).astype(np.int64)
+
+
+def _stream(*parts) -> int:
+    """``md5_draw`` of ``parts`` outside Spark."""
+    import hashlib
+    return int(hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()[:8], 16)
+
+
+def _deal_draws(n_rep: int, seed: int, buckets: int):
+    """Task: for bucket ``b`` with ``n_b`` cases, where the draws of its ``n_b`` slots fall, as counts per replicate.
+
+    A draw is uniform over all cases, so the counts of a replicate over all buckets are multinomial; the driver sees
+    nothing of it.  Yields (bucket hit, counts of the replicates)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for b, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size = np.zeros(buckets, np.int64)
+                for s in sizes:
+                    size[s["bucket"]] = s["n"]
+                ends = np.cumsum(size)
+                counts = np.zeros((buckets, n_rep), np.int64)
+                for rep in range(n_rep):
+                    at = _draws(_stream(seed, "slot", rep, b), int(size[b])) % ends[-1]
+                    counts[:, rep] = np.bincount(np.searchsorted(ends, at, "right"), minlength=buckets)
+                hit = np.flatnonzero(counts.any(1))
+                yield pa.record_batch({"bucket": pa.array(hit.astype(np.int32)), "kind": pa.array(np.zeros(len(hit), np.int32)),
+                                       "local": pa.array(np.zeros(len(hit), np.int64)),
+                                       "counts": pa.array([counts[p].tobytes() for p in hit], pa.binary()),
+                                       "scores": pa.nulls(len(hit), pa.list_(pa.float64()))})
+    return run
+
+
+def _draw_locally(n_rep: int, seed: int, width: int):
+    """Task over rows sorted by bucket and kind: adds up a bucket's counts, then draws that many of its cases for every
+    replicate.  Yields one row per bucket and replicate: sums of the drawn scores, then how many were not null."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        bucket, counts, scores = None, None, []
+
+        def result():
+            x = np.concatenate(scores)
+            known = np.concatenate([np.nan_to_num(x), ~np.isnan(x)], 1)
+            sums = np.empty((n_rep, 2 * width))
+            for rep in range(n_rep):
+                drawn = _draws(_stream(seed, "case", rep, bucket), int(counts[rep])) % len(x)
+                sums[rep] = np.bincount(drawn, minlength=len(x)) @ known
+            return pa.record_batch([pa.array(np.arange(n_rep, dtype=np.int32))] + [pa.array(sums[:, k].copy()) for k in range(2 * width)],
+                                   ["rep"] + [f"v{k}" for k in range(2 * width)])
+
+        for batch in batches:
+            numbers, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            edges = np.flatnonzero(np.r_[True, (numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1]), True])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if numbers[lo] != bucket:
+                    if scores and counts is not None:
+                        yield result()
+                    bucket, counts, scores = int(numbers[lo]), None, []
+                part = batch.slice(lo, hi - lo)
+                if kinds[lo] == 0:
+                    for raw in part.column(3).to_pylist():
+                        add = np.frombuffer(raw, np.int64)
+                        counts = add.copy() if counts is None else counts + add
+                else:
+                    flat = part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    scores.append(flat.reshape(hi - lo, width))
+        if scores and counts is not None:
+            yield result()
+    return run
 
 
 def bootstrap_ci_multinomial(scores: DataFrame, score_cols: list[str], key: str = "case_id", n_rep: int = 1000,
-                             level: float = 0.95, seed: int = 7) -> DataFrame:
-    """Exact resampling: each replicate draws n case indexes with replacement
-    (draw(r, s) mod n), joined to the indexed scores.  n × n_rep rows go through one
-    shuffle join; use ``bootstrap_ci`` (Poisson, no join) when n is large."""
-    lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
-    idx = dense_index(scores.select(key, *score_cols), key)
-    n = idx.count()
-    spark = scores.sparkSession
-    draws = (spark.range(0, n * n_rep).select((F.col("id") / F.lit(n)).cast("long").alias("rep"),
-                                              (F.col("id") % F.lit(n)).alias("slot"))
-             .withColumn("idx", stream_draw(md5_draw(seed, F.col("rep")), F.col("slot")) % F.lit(n)))
-    per_rep = draws.join(idx, "idx").groupBy("rep").agg(*[F.avg(c).alias(c) for c in score_cols])
-    means = per_rep.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("m"))
-                                               for c in score_cols])).alias("x")).select("x.*")
-    ci = means.groupBy("metric").agg(F.percentile("m", lo_q).alias("lo"), F.percentile("m", hi_q).alias("hi"))
-    full = idx.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("s"))
-                                          for c in score_cols])).alias("x")) \
-        .groupBy(F.col("x.metric").alias("metric")).agg(F.avg("x.s").alias("value"))   # from the checkpointed table
-    return full.join(ci, "metric", "inner")   # both sides: one row per metric
+                             level: float = 0.95, seed: int = 7, buckets: int = 64) -> DataFrame:
+    """Confidence intervals by exact resampling: each replicate draws n of the n cases with replacement.
+
+    Cases lie in ``buckets`` buckets by a hash of their key.  Where a replicate's draws fall is decided bucket by bucket
+    (multinomial counts: one row of ``n_rep`` counts for each pair of buckets), then every bucket draws its own cases
+    in place.  Cases move once, no row of a draw exists, and nothing is counted on the driver.  A bucket's scores are
+    held by one task: let ``buckets`` grow with the cases.  Null scores stay out of the means.  Output: metric, value,
+    lo, hi."""
+    width = len(score_cols)
+    values = [F.col(c).cast("double") for c in score_cols]
+    cases = scores.select(F.col(key).alias("key"), (md5_draw(seed, F.lit("bucket"), F.col(key)) % buckets).cast("int").alias("bucket"),
+                          F.array(*values).alias("scores"))
+    numbered = cases.withColumn("local", F.row_number().over(Window.partitionBy("bucket").orderBy("key", "scores")).cast("long") - 1)
+    sizes = cases.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("sizes"))
+    slots = sizes.select(F.explode("sizes.bucket").alias("b"), "sizes").repartitionById(buckets, "b")
+    schema = "bucket int, kind int, local long, counts binary, scores array<double>"
+    dealt = slots.mapInArrow(_deal_draws(n_rep, seed, buckets), schema)
+    held = numbered.select("bucket", F.lit(1).alias("kind"), "local", F.lit(None).cast("binary").alias("counts"), "scores")
+    met = dealt.unionByName(held).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "local")
+    return _intervals(met.mapInArrow(_draw_locally(n_rep, seed, width), _sums_schema(width)), scores, score_cols, level)
 
 
 def recall_scores(joined: DataFrame, ks=range(1, 11), ranked="ranked", labels="labels", key="case_id") -> DataFrame:

@@ -275,20 +275,27 @@ SELECT model, think, temperature, CAST(round AS INTEGER) AS round, count(*) AS n
 FROM pc GROUP BY model, think, temperature, round""", *V)
 
 
-_RBASE = "CAST(('0x' || substr(md5(concat_ws(':', '11', CAST(rep AS VARCHAR))), 1, 8)) AS BIGINT)"
-_RU = _mix32(f"(({_RBASE}) + ((slot * {0x9E3779B9}) & 4294967295)) & 4294967295")
+def _md5(*parts):
+    return f"CAST(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8)) AS BIGINT)"
 
+
+def _draw53(base, i):
+    hi, lo = (_mix32(f"({base} + ((({i}) * 2 + {k}) * {0x9E3779B9} & 4294967295)) & 4294967295") for k in (0, 1))
+    return f"((({hi}) & 2097151) * 4294967296 + ({lo}))"
+
+
+_KS = range(1, 11)
 SQL["bootstrap_ci_multinomial"] = w(f"""
-sc AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS idx,
-              {inter('labels', 'ranked[1:1]')} / len(labels) AS r1, {inter('labels', 'ranked[1:3]')} / len(labels) AS r3,
-              {inter('labels', 'ranked[1:5]')} / len(labels) AS r5, {inter('labels', 'ranked[1:10]')} / len(labels) AS r10
-       FROM j1),
-nn AS (SELECT count(*) AS n FROM sc),
-dr AS (SELECT rep, slot, ({_RU}) % nn.n AS idx FROM nn, (SELECT unnest(range(200)) AS rep), LATERAL (SELECT unnest(range(nn.n)) AS slot)),
-reps AS (SELECT d.rep, avg(s.r1) AS r1, avg(s.r3) AS r3, avg(s.r5) AS r5, avg(s.r10) AS r10 FROM dr d JOIN sc s ON s.idx = d.idx GROUP BY d.rep),
-lng AS (SELECT 'recall_at_1' AS metric, r1 AS m FROM reps UNION ALL SELECT 'recall_at_3', r3 FROM reps
-        UNION ALL SELECT 'recall_at_5', r5 FROM reps UNION ALL SELECT 'recall_at_10', r10 FROM reps),
-full_v AS (SELECT 'recall_at_1' AS metric, avg(r1) AS value FROM sc UNION ALL SELECT 'recall_at_3', avg(r3) FROM sc
-           UNION ALL SELECT 'recall_at_5', avg(r5) FROM sc UNION ALL SELECT 'recall_at_10', avg(r10) FROM sc)
-SELECT f.metric, {r6('f.value')} AS value, {r6('quantile_cont(l.m, 0.025)')} AS lo, {r6('quantile_cont(l.m, 0.975)')} AS hi
-FROM full_v f JOIN lng l ON l.metric = f.metric GROUP BY f.metric, f.value""")
+sc AS (SELECT case_id, {_md5("'11'", "'bucket'", "CAST(case_id AS VARCHAR)")} % 64 AS b,
+              {', '.join(f"{inter('labels', f'ranked[1:{k}]')} / len(labels) AS r{k}" for k in _KS)} FROM j1),
+ix AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY b ORDER BY case_id) - 1 AS loc,
+              row_number() OVER (ORDER BY b, case_id) - 1 AS idx FROM sc),
+rb AS MATERIALIZED (SELECT rep, b, n, {_md5("'11'", "'slot'", "CAST(rep AS VARCHAR)", "CAST(b AS VARCHAR)")} AS s1,
+              {_md5("'11'", "'case'", "CAST(rep AS VARCHAR)", "CAST(b AS VARCHAR)")} AS s2
+       FROM (SELECT unnest(range(1000)) AS rep), (SELECT b, count(*) AS n FROM ix GROUP BY b)),
+hits AS (SELECT rep, {_draw53('s1', 'slot')} % (SELECT count(*) FROM ix) AS idx FROM (SELECT rep, s1, unnest(range(n)) AS slot FROM rb)),
+cnt AS MATERIALIZED (SELECT h.rep, ix.b, count(*) AS c FROM hits h JOIN ix ON ix.idx = h.idx GROUP BY h.rep, ix.b),
+dr AS (SELECT rep, b, {_draw53('s2', 'j')} % n AS loc
+       FROM (SELECT cnt.rep, cnt.b, rb.n, rb.s2, unnest(range(cnt.c)) AS j FROM cnt JOIN rb ON rb.rep = cnt.rep AND rb.b = cnt.b)),
+reps AS MATERIALIZED (SELECT d.rep, {', '.join(f'avg(ix.r{k}) AS r{k}' for k in _KS)} FROM dr d JOIN ix ON ix.b = d.b AND ix.loc = d.loc GROUP BY d.rep)
+{' UNION ALL '.join(f"SELECT 'recall_at_{k}' AS metric, {r6(f'(SELECT avg(r{k}) FROM ix)')} AS value, {r6(f'quantile_cont(r{k}, 0.025)')} AS lo, {r6(f'quantile_cont(r{k}, 0.975)')} AS hi FROM reps" for k in _KS)}""")
