@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import md5_draw, safe_ratio
+from casespark.operators.quantiles import numbered
 
 PRIORITIES = ("Primary", "Major", "Other")
 
@@ -42,8 +43,7 @@ def _top_n(counts: DataFrame, key: str, n: int) -> DataFrame:
     # top-k is the feature: TakeOrderedAndProject keeps only n rows per partition
     top = counts.orderBy(F.desc("freq"), F.asc(key)).limit(n)
     w = Window.orderBy(F.desc("freq"), F.asc(key))  # over <= n rows only
-    return top.select(key, "freq", F.row_number().over(w).alias("rank"),
-                      F.sum("freq").over(Window.partitionBy()).alias("total"))
+    return top.select(key, "freq", F.row_number().over(w).alias("rank"), top.agg(F.sum("freq")).scalar().alias("total"))
 
 
 # --------------------------------------------------------------------- AG4 / AG5
@@ -220,8 +220,7 @@ def supplement_cases(sample: DataFrame, pool: DataFrame, key: str = "case_id", c
     """Drop sampled cases with an empty ``col`` list and top the sample up with
     the first (by key) non-empty pool cases not in the sample, as many as were removed."""
     kept = nonempty_label(sample, col)
-    removed = sample.filter(F.size(F.col(col)) == 0).count()   # one scalar, not data
-    if removed == 0:
-        return kept
-    extra = nonempty_label(pool, col).join(sample.select(key), key, "left_anti").orderBy(key).limit(removed)
-    return kept.unionByName(extra.select(*kept.columns))
+    removed = sample.agg(F.count_if(F.size(F.col(col)) == 0))           # one row, read as a scalar subquery
+    rest = nonempty_label(pool, col).join(sample.select(key), key, "left_anti")
+    chosen = numbered(rest.select(key), [key]).where(F.col("place") < removed.scalar()).select(key)
+    return kept.unionByName(rest.join(chosen, key, "left_semi").select(*kept.columns))

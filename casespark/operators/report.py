@@ -1,16 +1,20 @@
 """Reports: distributions, before/after reduction statistics, histograms,
 describe(), mapping ambiguity, token costs, top-k lists.
 
-Totals are taken by an aggregate and attached through ``sum() over ()`` only on
-already-aggregated (small) frames; nothing is windowed over raw rows.
+Totals are one-row aggregates read as scalar subqueries; medians and quartiles are
+exact order statistics over counted values (``quantiles.py``); nothing is windowed
+over raw rows and no task sees a whole column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import safe_ratio
+from casespark.operators import quantiles as Q
 
 
 def _c(c):
@@ -35,22 +39,22 @@ def disease_system(df: DataFrame, col: str = "diagnosisstring", unclassified: st
 def distribution_pct(df: DataFrame, col: str, value_name: str = "value") -> DataFrame:
     """Value counts with percentage of all non-null values."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias(value_name)).agg(F.count(F.lit(1)).alias("n"))
-    # the window runs over the aggregated counts (one row per distinct value), never raw rows
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("pct", F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar())
 
 
 # --------------------------------------------------------------------- AG13 / AG14
 def multi_mapping(diag: DataFrame, name: str = "diagnosisstring", code: str = "v9") -> DataFrame:
-    """Names mapped to more than one code and codes mapped to more than one name.
-    Output: side, value, n_other, others (sorted, ';'-joined)."""
+    """Names mapped to more than one code and codes mapped to more than one name, one row for each partner.
+    Output: side, value, n_other, other."""
     pairs = diag.filter(F.col(code).isNotNull() & (F.col(code) != "") & F.col(name).isNotNull()) \
         .select(F.col(name).alias("a"), F.col(code).alias("b")).distinct()
-    n2c = pairs.groupBy(F.col("a").alias("value")).agg(F.count(F.lit(1)).alias("n_other"),
-                                                       F.array_sort(F.collect_list("b")).alias("others"))
-    c2n = pairs.groupBy(F.col("b").alias("value")).agg(F.count(F.lit(1)).alias("n_other"),
-                                                       F.array_sort(F.collect_list("a")).alias("others"))
-    return (n2c.filter("n_other > 1").withColumn("side", F.lit("name_to_codes"))
-            .unionByName(c2n.filter("n_other > 1").withColumn("side", F.lit("code_to_names"))))
+
+    def partners(side: str, own: str, other: str) -> DataFrame:
+        many = pairs.groupBy(F.col(own).alias("value")).agg(F.count(F.lit(1)).alias("n_other")).filter("n_other > 1")
+        return pairs.select(F.col(own).alias("value"), F.col(other).alias("other")).join(many, "value").select(
+            F.lit(side).alias("side"), "value", "n_other", "other")
+
+    return partners("name_to_codes", "a", "b").unionByName(partners("code_to_names", "b", "a"))
 
 
 def disease_summary(diag: DataFrame, patient: str = "hadm_id", name: str = "diagnosisstring") -> DataFrame:
@@ -62,9 +66,11 @@ def disease_summary(diag: DataFrame, patient: str = "hadm_id", name: str = "diag
               F.countDistinct(F.when(F.col("v9") != "", F.col("v9"))).alias("unique_icd9_codes"),
               F.countDistinct(F.when(F.col("v10") != "", F.col("v10"))).alias("unique_icd10_codes"),
               F.countDistinct(F.when(F.col(name).isNotNull(), F.col("system"))).alias("disease_systems"))
-    p = per.agg(F.min("c").alias("min_per_patient"), F.max("c").alias("max_per_patient"),
-                F.avg("c").alias("mean_per_patient"), F.median("c").alias("median_per_patient"))
-    return combine_rows(a, p)
+    counts = Q.ranked_counts(per.select(F.lit("patient").alias("of"), "c"), ["of"], "c")
+    p = Q.moments(counts, ["of"]).select(F.col("min").cast("long").alias("min_per_patient"),
+                                         F.col("max").cast("long").alias("max_per_patient"), F.col("mean").alias("mean_per_patient"))
+    m = Q.order_statistics(counts, ["of"], [0.5]).select(F.col("value").alias("median_per_patient"))
+    return combine_rows(a, p, m)
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:
@@ -91,22 +97,20 @@ def entity_counts(before: DataFrame, after: DataFrame, key: str, entities: DataF
                     F.coalesce("after", F.lit(0)).cast("long").alias("after"))
 
 
-def before_after_stats(counts: DataFrame, kind: str) -> DataFrame:
-    """min, max, mean, median, population std, total per side; reduction count and %."""
-    aggs = []
-    for side in ("before", "after"):
-        c = F.col(side)
-        aggs += [F.min(c).alias(f"{side}_min"), F.max(c).alias(f"{side}_max"), F.avg(c).alias(f"{side}_mean"),
-                 F.median(c).alias(f"{side}_median"), F.stddev_pop(c).alias(f"{side}_std"), F.sum(c).alias(f"{side}_total")]
-    w = counts.agg(F.count(F.lit(1)).alias("n_entities"), *aggs)
-    red = F.col("before_total") - F.col("after_total")
-    w = w.withColumn("reduced", red).withColumn("reduced_pct", F.coalesce(safe_ratio(red * 100, "before_total"), F.lit(0.0)))
-    rows = F.explode(F.array(*[F.struct(
-        F.lit(side).alias("side"), F.col(f"{side}_min").cast("long").alias("min"), F.col(f"{side}_max").cast("long").alias("max"),
-        F.col(f"{side}_mean").alias("mean"), F.col(f"{side}_median").cast("double").alias("median"),
-        F.col(f"{side}_std").alias("std"), F.col(f"{side}_total").cast("long").alias("total")) for side in ("before", "after")]))
-    return w.select(F.lit(kind).alias("kind"), "n_entities", "reduced", "reduced_pct", rows.alias("x")) \
-        .select("kind", "x.*", "n_entities", F.col("reduced").cast("long").alias("reduced"), "reduced_pct")
+def before_after_stats(counts: dict[str, DataFrame]) -> DataFrame:
+    """For each kind of table and side: min, max, mean, median, population std, total; reduction count and %."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("before", "after")]))
+    long = reduce(DataFrame.unionByName, [c.select(F.lit(kind).alias("kind"), sides.alias("x")).select("kind", "x.*")
+                                          for kind, c in counts.items()])
+    by = ["kind", "side"]
+    ranked = Q.ranked_counts(long, by)
+    m = Q.moments(ranked, by).join(Q.wide_quantiles(Q.order_statistics(ranked, by, [0.5]), by, {0.5: "median"}), by)
+    totals = m.groupBy("kind").agg(*[F.max(F.when(F.col("side") == s, F.col("total"))).alias(f"total_{s}") for s in ("before", "after")])
+    red = F.col("total_before") - F.col("total_after")
+    return m.join(totals, "kind").select(
+        "kind", "side", F.col("min").cast("long").alias("min"), F.col("max").cast("long").alias("max"), "mean", "median",
+        Q.std(population=True).alias("std"), F.col("total").cast("long").alias("total"), F.col("count").alias("n_entities"),
+        red.cast("long").alias("reduced"), F.coalesce(safe_ratio(red * 100, "total_before"), F.lit(0.0)).alias("reduced_pct"))
 
 
 # Fixed bin edges per table kind: (label, lo, hi) inclusive, hi None = open.
@@ -140,13 +144,13 @@ def in_range_entities(counts: DataFrame, key: str, col: str = "after", lo: int =
 
 # --------------------------------------------------------------------- AG11 / AG15 / AG16
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, sample std, min, linear quartiles, max per column (exact percentiles)."""
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols]))
-    x = df.select(rows.alias("x")).select("x.col", "x.v")
-    return x.groupBy("col").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.5).alias("q50"), F.percentile("v", 0.75).alias("q75"),
-        F.max("v").alias("max"))
+    """count, mean, sample std, min, linear quartiles, max per column (exact)."""
+    counts = Q.ranked_counts(Q.long_form(df, cols), ["col"])
+    quartiles = Q.wide_quantiles(Q.order_statistics(counts, ["col"], [0.25, 0.5, 0.75]), ["col"], {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+    m = Q.moments(counts, ["col"]).select("col", "count", "mean", Q.std(population=False).alias("std"), "min", "max")
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "col string")          # a column without values has count 0
+    j = names.join(m.join(quartiles, "col"), "col", "left")
+    return j.select("col", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def length_distribution(df: DataFrame, col: str) -> DataFrame:

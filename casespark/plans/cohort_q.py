@@ -40,7 +40,7 @@ def q_code_frequency_top(spark, d):
 
 @query("disease_frequency_top")
 def q_disease_frequency_top(spark, d):
-    return cohort.disease_frequency_top(fx.diagnoses(spark, d), col="diagnosisstring", n=20)
+    return cohort.disease_frequency_top(fx.diagnoses(spark, d), col="diagnosisstring", n=100)
 
 
 @query("strict_cohort")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import finalize, render_list
@@ -47,7 +50,7 @@ def q_distribution_pct(spark, d):
 @query("multi_mapping")
 def q_multi_mapping(spark, d):
     m = R.multi_mapping(R.split_dual_code(_clean_dx(spark, d)))
-    return m.select("side", "value", "n_other", render_list("others", ";").alias("others"))
+    return m.select("side", "value", "n_other", "other")
 
 
 @query("disease_summary")
@@ -66,18 +69,22 @@ def _lab_counts(spark, d):
     return R.entity_counts(labs, C.reduce_labs(labs), "patientunitstayid")
 
 
+def _all_counts(spark, d):
+    """Rows per entity before and after processing, of the four tables of the second data set."""
+    history, exam = fx.past_history(spark, d), fx.physical_exam(spark, d)
+    pid = "patientunitstayid"
+    return {"diagnosis": _counts(spark, d), "pasthistory": R.entity_counts(history, C.clean_history(history), pid),
+            "physicalexam": R.entity_counts(exam, C.clean_exam(exam), pid), "lab": _lab_counts(spark, d)}
+
+
 @query("before_after_stats")
 def q_before_after_stats(spark, d):
-    a = R.before_after_stats(_counts(spark, d), "diagnosis")
-    b = R.before_after_stats(_lab_counts(spark, d), "lab")
-    return finalize(a.unionByName(b))
+    return finalize(R.before_after_stats(_all_counts(spark, d)))
 
 
 @query("count_histogram")
 def q_count_histogram(spark, d):
-    a = R.count_histogram(_counts(spark, d), "diagnosis")
-    b = R.count_histogram(_lab_counts(spark, d), "lab")
-    return a.unionByName(b)
+    return reduce(DataFrame.unionByName, [R.count_histogram(c, kind) for kind, c in _all_counts(spark, d).items()])
 
 
 @query("in_range_entities")

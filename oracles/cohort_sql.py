@@ -61,7 +61,7 @@ SELECT code, CAST(freq AS BIGINT) AS freq, CAST(rank AS INTEGER) AS rank, CAST(s
 
 SQL["disease_frequency_top"] = with_views("""
 WITH cnt AS (SELECT diagnosisstring, count(*) AS freq FROM diagnoses WHERE icd9code IS NOT NULL GROUP BY 1),
-top AS (SELECT *, row_number() OVER (ORDER BY freq DESC, diagnosisstring) AS rank FROM cnt QUALIFY rank <= 20)
+top AS (SELECT *, row_number() OVER (ORDER BY freq DESC, diagnosisstring) AS rank FROM cnt QUALIFY rank <= 100)
 SELECT diagnosisstring, CAST(freq AS BIGINT) AS freq, CAST(rank AS INTEGER) AS rank, CAST(sum(freq) OVER () AS BIGINT) AS total FROM top
 """, "diagnoses")
 

@@ -38,9 +38,9 @@ FROM u GROUP BY kind, value""", "diagnoses", "case_labels")
 SQL["multi_mapping"] = with_views("WITH " + CLEAN + f""",
 p AS (SELECT DISTINCT diagnosisstring AS a, v9 AS b FROM (SELECT diagnosisstring, {SPLIT.format(c='icd9code')} FROM cdx)
       WHERE v9 <> '' AND diagnosisstring IS NOT NULL)
-SELECT 'name_to_codes' AS side, a AS value, count(*) AS n_other, string_agg(b, ';' ORDER BY b) AS others FROM p GROUP BY a HAVING count(*) > 1
+SELECT 'name_to_codes' AS side, a AS value, count(*) OVER (PARTITION BY a) AS n_other, b AS other FROM p QUALIFY n_other > 1
 UNION ALL
-SELECT 'code_to_names', b, count(*), string_agg(a, ';' ORDER BY a) FROM p GROUP BY b HAVING count(*) > 1""", "diagnoses")
+SELECT 'code_to_names', b, count(*) OVER (PARTITION BY b) AS n_other, a FROM p QUALIFY n_other > 1""", "diagnoses")
 
 SQL["disease_summary"] = with_views("WITH " + CLEAN + f""",
 sp AS (SELECT hadm_id, diagnosisstring, {SPLIT.format(c='icd9code')},
@@ -76,6 +76,16 @@ da AS (SELECT hadm_id, count(*) AS n FROM (SELECT DISTINCT hadm_id, diagnosisstr
 dc AS (SELECT p.hadm_id, coalesce(db.n, 0) AS before, coalesce(da.n, 0) AS after
        FROM icu_patients p LEFT JOIN db ON db.hadm_id = p.hadm_id LEFT JOIN da ON da.hadm_id = p.hadm_id)"""
 
+HISTORY_COUNTS = """
+hb AS (SELECT patientunitstayid AS id, count(*) AS n FROM past_history GROUP BY 1),
+ha AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT patientunitstayid AS id, pasthistorypath, pasthistoryvalue, pasthistoryvaluetext FROM past_history
+                                     WHERE pasthistoryvaluetext IS DISTINCT FROM 'Performed') GROUP BY id),
+hc AS (SELECT hb.id, hb.n AS before, coalesce(ha.n, 0) AS after FROM hb LEFT JOIN ha ON ha.id = hb.id),
+eb AS (SELECT patientunitstayid AS id, count(*) AS n FROM physical_exam GROUP BY 1),
+ea AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT patientunitstayid AS id, physicalexampath, physicalexamvalue, physicalexamtext FROM physical_exam
+                                     WHERE physicalexamvalue IS DISTINCT FROM 'Performed - Structured') GROUP BY id),
+ec AS (SELECT eb.id, eb.n AS before, coalesce(ea.n, 0) AS after FROM eb LEFT JOIN ea ON ea.id = eb.id)"""
+
 
 def _stats(kind, src):
     sides = []
@@ -87,9 +97,10 @@ def _stats(kind, src):
     return " UNION ALL ".join(sides)
 
 
-SQL["before_after_stats"] = with_views("WITH " + LAB_REDUCED.strip() + "," + DX_COUNTS + "\n" +
-                                       _stats("diagnosis", "dc") + " UNION ALL " + _stats("lab", "lc"),
-                                       "labs_offset", "diagnoses", "icu_patients")
+_COUNTS = "WITH " + LAB_REDUCED.strip() + "," + DX_COUNTS + "," + HISTORY_COUNTS + "\n"
+_COUNT_VIEWS = ("labs_offset", "diagnoses", "icu_patients", "past_history", "physical_exam")
+SQL["before_after_stats"] = with_views(_COUNTS + " UNION ALL ".join([
+    _stats("diagnosis", "dc"), _stats("pasthistory", "hc"), _stats("physicalexam", "ec"), _stats("lab", "lc")]), *_COUNT_VIEWS)
 
 
 def _hist(kind, src, bins):
@@ -105,9 +116,10 @@ def _hist(kind, src, bins):
 _BINS_DX = [("0", 0, 0), ("1-10", 1, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("50+", 51, None)]
 _BINS_LAB = [("0", 0, 0), ("1-50", 1, 50), ("51-100", 51, 100), ("101-200", 101, 200), ("201-500", 201, 500), ("500+", 501, None)]
 
-SQL["count_histogram"] = with_views("WITH " + LAB_REDUCED.strip() + "," + DX_COUNTS + "\n" +
-                                    _hist("diagnosis", "dc", _BINS_DX) + " UNION ALL " + _hist("lab", "lc", _BINS_LAB),
-                                    "labs_offset", "diagnoses", "icu_patients")
+_BINS_HISTORY = [("0", 0, 0), ("1-5", 1, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("20+", 21, None)]
+SQL["count_histogram"] = with_views(_COUNTS + " UNION ALL ".join([
+    _hist("diagnosis", "dc", _BINS_DX), _hist("pasthistory", "hc", _BINS_HISTORY), _hist("physicalexam", "ec", _BINS_DX),
+    _hist("lab", "lc", _BINS_LAB)]), *_COUNT_VIEWS)
 
 SQL["in_range_entities"] = with_views("""
 WITH m AS (
