@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casespark.operators.skew import join_back
 from casespark.functions.columns import floor_bucket, hours_between, null_safe_ne, numeric_text
 
 
@@ -106,10 +107,9 @@ def micro_first_or_all(micro: DataFrame, encounters: DataFrame) -> DataFrame:
     kept = exclude_substring(inside, {"org_name": ["cancel"], "comments": ["cancel", "___"]})
     keys = ["hadm_id", "test_name"]
     g = kept.groupBy(*keys).agg(F.max(F.col("ab_itemid").isNull()).alias("_any_null"),
-                               F.min(F.struct("charttime", "microevent_id")).alias("_first"))
-    j = kept.join(g, keys, "inner")   # one row per group on the right: a hot group stays a hash probe
+                               F.min(F.struct("charttime", "microevent_id")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     keep = (~F.col("_any_null")) | (F.struct("charttime", "microevent_id") == F.col("_first"))
-    return j.filter(keep).drop("_any_null", "_first")
+    return join_back(kept, g, keys).filter(keep).drop("_any_null", "_first", "_rows")
 
 
 # --------------------------------------------------------------------- eICU lab reduction
@@ -171,9 +171,9 @@ def dedup_keep(df: DataFrame, key: list[str], order: list[str], keep: str = "fir
 
 
 def flag_duplicates(df: DataFrame, key: list[str]) -> DataFrame:
-    """WN6: rows whose key occurs more than once (count per key joined back)."""
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    return df.join(counts, key, "inner").withColumn("is_dup", F.col("_n") > 1).drop("_n")
+    """WN6: rows whose key occurs more than once (count per key joined back; NULL keys equal each other)."""
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    return join_back(df, counts, key).withColumn("is_dup", F.col("_rows") > 1).drop("_rows")
 
 
 def head_per_group(df: DataFrame, key: list[str], order: list[str], n: int = 15) -> DataFrame:
@@ -201,9 +201,9 @@ def clean_exam(exam: DataFrame, pid: str = "patientunitstayid", order: str = "or
 
 def split_codes_target(diag: DataFrame, targets: DataFrame, key: str = "hadm_id", code: str = "icd_code",
                        name: str = "long_title", order: str = "seq_num") -> DataFrame:
-    """FLT12: keep codes in the target set (bounded dimension, broadcast semi join);
+    """FLT12: keep codes in the target set (a dimension; Spark's size estimate picks the join);
     drop cases with none left; ordered id, name and 'id:name' lists."""
-    kept = diag.join(F.broadcast(targets.select(code, name)), code, "inner")
+    kept = diag.join(targets.select(code, name), code, "inner")
     s = F.struct(F.col(order).alias("o"), F.col(code).alias("c"), F.col(name).alias("n"))
     g = kept.groupBy(key).agg(F.array_sort(F.collect_list(s)).alias("_l"))
     return g.select(key, F.transform("_l", lambda x: x["c"]).alias("ids"),

@@ -29,17 +29,20 @@ def prefix_class_join(codes: DataFrame, taxonomy: DataFrame, level: str = "top",
     """JN15: code -> class by 3-char prefix as an equi join (prefix table is bounded by the code system)."""
     pref = prefix_classes(taxonomy, level)
     return (codes.withColumn("prefix", F.substring(code, 1, 3))
-            .join(F.broadcast(pref), "prefix", "left").drop("prefix").withColumnRenamed("cls", "class"))
+            .join(pref, "prefix", "left").drop("prefix").withColumnRenamed("cls", "class"))
 
 
 def range_class_join(codes: DataFrame, taxonomy: DataFrame, code: str = "code") -> DataFrame:
     """JN16: lo <= prefix <= hi on strings, first range wins.
 
-    The range of every distinct prefix is resolved once (prefixes and ranges of one code system), then the rows, repeats
-    included, get it by an equi join."""
-    ranges = taxonomy.select("top", "top_lo", "top_hi").distinct()
+    The range of every distinct prefix is resolved once: ranges are dealt to the first characters that they span, so
+    prefixes meet their candidates by an equi join (overlapping ranges included).  The rows, repeats included, get the
+    result by another."""
+    first = F.explode(F.sequence(F.ascii("top_lo"), F.greatest(F.ascii("top_lo"), F.ascii("top_hi"))))
+    ranges = taxonomy.select("top", "top_lo", "top_hi").distinct().withColumn("_first", first)
     prefixes = codes.select(F.substring(code, 1, 3).alias("_prefix")).where("_prefix IS NOT NULL").distinct()
-    resolved = (prefixes.join(ranges, (F.col("_prefix") >= F.col("top_lo")) & (F.col("_prefix") <= F.col("top_hi")))
+    resolved = (prefixes.withColumn("_first", F.ascii("_prefix")).join(ranges, "_first")
+                .where((F.col("_prefix") >= F.col("top_lo")) & (F.col("_prefix") <= F.col("top_hi")))
                 .groupBy("_prefix").agg(F.min("top").alias("range")))
     return codes.withColumn("_prefix", F.substring(code, 1, 3)).join(resolved, "_prefix", "left").drop("_prefix")
 
@@ -87,7 +90,7 @@ def class_accuracy(joined: DataFrame, taxonomy: DataFrame, level: str = "top", t
     """Per class of the top-1 label: a prediction falls in the same class.
     Adds an ``ALL`` row whose denominator is every case."""
     pref = prefix_classes(taxonomy, level)
-    c = joined.select(key, top1, pred).withColumn("prefix", F.substring(top1, 1, 3)).join(F.broadcast(pref), "prefix", "left")
+    c = joined.select(key, top1, pred).withColumn("prefix", F.substring(top1, 1, 3)).join(pref, "prefix", "left")
     c = map_codes(c, {"pcls": _prefixes(pred)}, pref.select(F.col("prefix").alias("k"), F.col("cls").alias("v")), distinct=("pcls",))
     hit = F.coalesce(F.array_contains("pcls", F.col("cls")), F.lit(False))
     per = (c.filter(F.col("cls").isNotNull()).groupBy(F.col("cls").alias("class"))

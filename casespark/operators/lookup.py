@@ -1,7 +1,9 @@
 """Replace the members of array columns through a dimension table, by one plan at every size.
 
-Members are exploded with a row number of their own, joined to the dimension (Spark chooses the join) and regrouped
-by that number, so rows that repeat a key never mix.  The other columns travel with a row's first member only.
+Members are exploded under a key of their row's content (a retried task finds the same key whatever the order of its
+input), joined to the dimension (Spark chooses the join) and regrouped by that key.  The other columns travel with a
+row's first member only, so rows move once; rows that are equal in every column share a key and are given back as often
+as they were there.
 """
 
 from __future__ import annotations
@@ -23,17 +25,21 @@ def lookup_members(df: DataFrame, columns: dict[str, str], dim: DataFrame, key:
             F.lit(k).alias("col"), i.alias("pos"), x.alias("member")))
 
     def untag(k: int):
-        return F.transform(F.filter("all", lambda x: x["col"] == k), lambda x: x["value"])
+        return F.transform(F.flatten(F.transform(F.filter("all", lambda x: x["col"] == k), lambda x: x["values"])), lambda x: x["value"])
 
     tagged = F.flatten(F.array(*[tag(k) for k in range(len(outs))]))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names], *[F.expr(columns[o]).isNull().alias(f"_null_{k}")
                                                                   for k, o in enumerate(outs)]).alias("row"),
-                     tagged.alias("members")).withColumn("id", F.monotonically_increasing_id())
+                     tagged.alias("members"))
+    content = F.unhex(F.sha2(F.to_json(F.col("row"), {"ignoreNullFields": "false"}), 256))
+    rows = rows.withColumn("id", content)
     one = rows.select("id", "row", F.posexplode_outer("members").alias("at", "m")).select(
         "id", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), "m.col", "m.pos", "m.member")
-    found = one.join(dim.select(F.col(key).alias("member"), F.col(value).alias("value"), F.lit(True).alias("hit")).distinct(),
-                     "member", "left")
-    grouped = found.groupBy("id").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list(
-        F.when(F.col("hit"), F.struct("col", "pos", "value")))).alias("all"))
+    values = dim.groupBy(F.col(key).alias("member")).agg(F.array_sort(F.collect_set(F.struct(F.col(value).alias("value")))).alias("values"))
+    found = one.join(values, "member", "left")
+    grouped = (found.groupBy("id").agg(
+        F.first("row", ignorenulls=True).alias("row"), F.count("row").alias("copies"),
+        F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("values").isNotNull(), F.struct("col", "pos", "values"))))).alias("all"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
     return grouped.select(*[F.col("row").getField(c).alias(c) for c in names if c not in outs], *[
         F.when(~F.col("row").getField(f"_null_{k}"), untag(k)).alias(o) for k, o in enumerate(outs)])

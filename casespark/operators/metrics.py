@@ -39,16 +39,15 @@ def _agg(df: DataFrame, by, *cols: Column) -> DataFrame:
 # --------------------------------------------------------------------- JN11
 def join_predictions(pred: DataFrame, label: DataFrame, key: str = "case_id", strict: bool = False) -> DataFrame:
     """Inner join on the case key.  ``strict`` reproduces the count guard
-    (prediction rows must equal label rows) as one aggregate job."""
+    (prediction rows must equal label rows): the query fails where it does not hold."""
     if strict:
-        counts = pred.select(F.count(F.lit(1)).alias("n")).first()["n"], label.select(F.count(F.lit(1)).alias("n")).first()["n"]
-        if counts[0] != counts[1]:
-            raise ValueError(f"prediction and label count mismatch: {counts[0]} != {counts[1]}")
+        same = pred.agg(F.count(F.lit(1))).scalar() == label.agg(F.count(F.lit(1))).scalar()
+        pred = pred.where(F.assert_true(same, "prediction and label count mismatch").isNull())
     return pred.join(label, key, "inner")
 
 
 # --------------------------------------------------------------------- MT1-MT4
-def multilabel_metrics(joined: DataFrame, n_labels: int, by=None, pred="pred", labels="labels",
+def multilabel_metrics(joined: DataFrame, n_labels: int | Column, by=None, pred="pred", labels="labels",
                        with_top1: str | None = None) -> DataFrame:
     """subset accuracy, jaccard accuracy, samples precision/recall/F1, hamming loss
     (and top-1 accuracy over all cases when ``with_top1`` names the top-1 column),
@@ -74,7 +73,7 @@ def multilabel_metrics(joined: DataFrame, n_labels: int, by=None, pred="pred", l
                 F.avg("_p").alias("samples_precision"),
                 F.avg("_r").alias("samples_recall"),
                 F.avg("_f").alias("samples_f1"),
-                (F.sum("_sym") / (F.count(F.lit(1)) * F.lit(float(n_labels)))).alias("hamming_loss"),
+                (F.sum("_sym") / (F.count(F.lit(1)) * (n_labels if isinstance(n_labels, Column) else F.lit(float(n_labels))))).alias("hamming_loss"),
                 F.count_if("_undef").alias("n_undefined"))
 
 

@@ -288,10 +288,9 @@ def assemble_input(case: DataFrame, task: str) -> Column:
 def assemble_prompt(cases: DataFrame, templates: DataFrame, task: str, key: str = "case_id") -> DataFrame:
     """Every case under every template variant: the variant names are exploded per
     case and equi-joined to the (small) template table, so no cartesian operator."""
-    variants = [r[0] for r in templates.select("variant").distinct().collect()]   # template dimension, a handful of rows
-    x = cases.select(key, assemble_input(cases, task).alias("input"),
-                     F.explode(F.array(*[F.lit(v) for v in sorted(variants)])).alias("variant"))
-    return x.join(F.broadcast(templates), "variant").select(
+    variants = templates.agg(F.array_sort(F.collect_set("variant"))).scalar()      # one row: the names of the template table
+    x = cases.select(key, assemble_input(cases, task).alias("input"), F.explode(variants).alias("variant"))
+    return x.join(templates, "variant").select(
         key, "variant", F.concat(F.col("template"), F.lit(NL), F.col("input")).alias("prompt"))
 
 

@@ -171,7 +171,7 @@ def token_cost(log: DataFrame, prices: DataFrame, model: str = "model") -> DataF
     t = log.groupBy(model).agg(
         (F.sum("prompt_tokens") / 1e6).alias("in_m"),
         (F.sum(F.col("completion_tokens") + F.coalesce(F.col("reasoning_tokens"), F.lit(0))) / 1e6).alias("out_m"))
-    j = t.join(F.broadcast(prices), model, "inner")
+    j = t.join(prices, model, "inner")
     return j.select(model, "in_m", "out_m", (F.col("in_m") * F.col("input_price_m")).alias("in_cost"),
                     (F.col("out_m") * F.col("output_price_m")).alias("out_cost")) \
         .withColumn("cost", F.col("in_cost") + F.col("out_cost"))

@@ -30,19 +30,21 @@ def _cls(spark, d, **kw):
     return H.class_sets(joined(spark, d), fx.taxonomy(spark, d), level="top", **kw)
 
 
+def _n_classes(spark, d, level):
+    return fx.taxonomy(spark, d).agg(F.count_distinct(level)).scalar()
+
+
 @query("class_metrics")
 def q_class_metrics(spark, d):
-    n_cls = 4   # distinct top classes of the taxonomy
     c = _cls(spark, d)
-    return finalize(M.multilabel_metrics(c, n_cls, pred="cls_pred", labels="cls_labels"))
+    return finalize(M.multilabel_metrics(c, _n_classes(spark, d, "top"), pred="cls_pred", labels="cls_labels"))
 
 
 @query("class_metrics_mid")
 def q_class_metrics_mid(spark, d):
     """The same metrics on the 3-character (mid) classes."""
-    n_cls = 10  # distinct mid classes of the taxonomy
     c = H.class_sets(joined(spark, d), fx.taxonomy(spark, d), level="mid")
-    return finalize(M.multilabel_metrics(c, n_cls, pred="cls_pred", labels="cls_labels"))
+    return finalize(M.multilabel_metrics(c, _n_classes(spark, d, "mid"), pred="cls_pred", labels="cls_labels"))
 
 
 @query("class_report")

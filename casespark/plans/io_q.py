@@ -40,10 +40,11 @@ def _log_json(spark, d, multiline, auto=False):
     log = fx.responses(spark, d)
     if multiline:
         # one JSON array per file, streamed line by line: '[' + first object, ',' + next objects, ']'
-        j = log.select(F.to_json(F.struct(*log.columns)).alias("j"), (F.col("line_no") % 4).alias("pid"),
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        j = log.select(F.to_json(F.struct(*log.columns)).alias("j"), (F.col("line_no") % files).alias("pid"),
                        (F.col("line_no") * 4 + F.col("round")).alias("ord"))   # unique within a file
         firsts = j.groupBy("pid").agg(F.min("ord").alias("first"))          # one row per output file
-        body = j.join(F.broadcast(firsts), "pid").select(
+        body = j.join(firsts, "pid").select(
             "pid", "ord", F.when(F.col("ord") == F.col("first"), F.concat(F.lit("["), "j"))
             .otherwise(F.concat(F.lit(","), "j")).alias("value"))
         closing = firsts.select("pid", F.lit(2 ** 62).cast("long").alias("ord"), F.lit("]").alias("value"))

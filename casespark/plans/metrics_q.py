@@ -10,10 +10,14 @@ from casespark.operators.vocab import valid_codes_only
 from casespark.plans.registry import query
 from casespark.sources import fixtures as fx
 
-N_LABELS = 40
 RUN_COLS = ["model", "think", "temperature", "round"]
 
 
+def n_labels(spark, d):
+    """Size of the vocabulary, read from it as a scalar subquery."""
+    return fx.vocab(spark, d).agg(F.count(F.lit(1))).scalar()
+
+
 def preds_valid(spark, d, rounds=None):
     p = fx.case_preds(spark, d)
     if rounds:
@@ -39,7 +43,7 @@ def q_join_predictions(spark, d):
 
 
 def _ml(spark, d):
-    return M.multilabel_metrics(joined(spark, d), N_LABELS)
+    return M.multilabel_metrics(joined(spark, d), n_labels(spark, d))
 
 
 @query("subset_accuracy")
@@ -158,4 +162,4 @@ def q_bootstrap_ci_multinomial(spark, d):
 @query("run_sweep")
 def q_run_sweep(spark, d):
     j = M.join_predictions(preds_valid(spark, d), fx.case_labels(spark, d))
-    return finalize(M.multilabel_metrics(j, N_LABELS, by=RUN_COLS, with_top1="top1"))
+    return finalize(M.multilabel_metrics(j, n_labels(spark, d), by=RUN_COLS, with_top1="top1"))

@@ -17,7 +17,7 @@ from casespark.functions.columns import micros_between
 # Fixed values of the adapter shaping.
 SYSTEMS = ["cardiovascular", "pulmonary", "renal", "neurologic", "infectious"]
 PRIORITY_OF_FLAG = {"A": "Primary", "N": "Major", "R": "Other"}
-N_LEAVES = 40          # leaf codes 00000, 00025, ..., 00975
+COMMON = 40            # codes 00000, 00025, ..., 00975 are the frequent ones; the rest of the dictionary is rare
 ROUND_STEPS = {1: 3, 2: 7, 3: 9}
 
 
@@ -31,8 +31,13 @@ def stay_of(group: Column) -> Column:
 
 
 def leaf_code(i) -> Column:
-    i = F.col(i) if isinstance(i, str) else i
-    return F.lpad((i * 25).cast("string"), 5, "0")
+    """Code of the i-th dictionary row: at least five digits."""
+    text = ((F.col(i) if isinstance(i, str) else i) * 25).cast("string")
+    return F.when(F.length(text) < 5, F.lpad(text, 5, "0")).otherwise(text)
+
+
+def _three_digits(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 3, "0")
 
 
 def _plus(ts, days=None, hours=None) -> Column:
@@ -93,7 +98,7 @@ def diagnoses(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     p = F.col("l_partkey")
-    code = leaf_code(p % N_LEAVES)
+    code = leaf_code(F.when(F.col("l_suppkey") % 10 == 0, p).otherwise(p % COMMON))
     system = F.element_at(F.array(*[F.lit(s) for s in SYSTEMS]), (p % 5 + 1).cast("int"))
     condition = F.concat(F.lit("condition "), (p % 30).cast("string"))
     flag = F.col("l_returnflag")
@@ -112,7 +117,7 @@ def diagnoses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_dict(spark: SparkSession, d: str) -> DataFrame:
-    base = table(spark, d, "part").filter(F.col("p_partkey") < N_LEAVES).select(
+    base = table(spark, d, "part").select(
         leaf_code("p_partkey").alias("icd_code"), "p_name",
         F.explode(F.array(F.lit(9), F.lit(10))).alias("icd_version"))
     return base.select(
@@ -122,19 +127,18 @@ def code_dict(spark: SparkSession, d: str) -> DataFrame:
 
 def crosswalk(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("p_partkey")
-    return table(spark, d, "part").filter((i < N_LEAVES) & (i % 13 != 0)).select(
-        leaf_code(i).alias("icd10"), leaf_code((i * 7) % N_LEAVES).alias("icd9"))
+    return table(spark, d, "part").filter(i % 13 != 0).select(
+        leaf_code(i).alias("icd10"), leaf_code(i - i % COMMON + (i * 7) % COMMON).alias("icd9"))
 
 
 def taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves, their 3-digit classes, and ranges of three such classes."""
     leaf = leaf_code("p_partkey")
-    mid = F.substring(leaf, 1, 3)
-    top = (F.when(mid <= "002", "000-002").when(mid <= "005", "003-005")
-           .when(mid <= "007", "006-007").otherwise("008-009"))
-    return (table(spark, d, "part").filter(F.col("p_partkey") < N_LEAVES)
-            .select(leaf.alias("leaf"), mid.alias("mid"), top.alias("top"))
-            .withColumn("top_lo", F.substring("top", 1, 3))
-            .withColumn("top_hi", F.substring("top", 5, 3)))
+    low = F.floor(F.substring(leaf, 1, 3).cast("int") / 3) * 3
+    return (table(spark, d, "part")
+            .select(leaf.alias("leaf"), F.substring(leaf, 1, 3).alias("mid"), _three_digits(low).alias("top_lo"),
+                    _three_digits(F.least(low + 2, F.lit(999))).alias("top_hi"))
+            .select("leaf", "mid", F.concat_ws("-", "top_lo", "top_hi").alias("top"), "top_lo", "top_hi"))
 
 
 def vocab(spark: SparkSession, d: str) -> DataFrame:
@@ -248,13 +252,14 @@ def case_labels(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def case_preds(spark: SparkSession, d: str) -> DataFrame:
-    """Three runs per case: ranked list of 10 leaves and a final list (maybe empty)."""
+def case_preds(spark: SparkSession, d: str, length: int = 10) -> DataFrame:
+    """Three runs per case: ranked list of ``length`` leaves and a final list (maybe empty)."""
     cid = F.col("case_id")
     base = case_labels(spark, d).select("case_id", "top1", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("round"))
-    i0 = ((F.col("top1").cast("int") / 25).cast("int") + cid % 5) % N_LEAVES
+    i0 = (F.col("top1").cast("int") / 25).cast("int") + cid % 5
     step = F.when(F.col("round") == 1, 3).when(F.col("round") == 2, 7).otherwise(9)
-    ranked = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: leaf_code((i0 + j * step) % N_LEAVES))
+    ranked = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: leaf_code(
+        F.when(i0 < COMMON, (i0 + j * step) % COMMON).otherwise(i0 + j * step)))
     n = (cid % 4).cast("int")
     return base.select(
         "case_id", "round",

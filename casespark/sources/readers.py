@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from casespark.session import scratch_path
+from casespark.sources.json_array import read_json_array
 
 
 # --------------------------------------------------------------------- SRC1 / SRC2
@@ -43,14 +44,14 @@ def parse_times(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd HH:mm:ss"
 
 # --------------------------------------------------------------------- SRC3
 def read_json_or_lines(spark: SparkSession, path: str, schema: StructType | str, multiline: bool | None = None) -> DataFrame:
-    """A JSON array file (``multiline=True``) or JSON lines, with a declared schema.
-    ``multiline=None`` decides by the first non-blank character of the input ('[' = array),
-    peeking at a single line."""
+    """JSON array files (``multiline=True``, split like any text: see ``json_array``) or JSON lines, with a declared
+    schema.  ``multiline=None`` decides by the first non-blank character of the input ('[' = array); what is read for
+    that ends at the first closing brace."""
     if multiline is None:
-        first = (spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).limit(1)
-                 .collect())
-        multiline = bool(first) and first[0][0] == "["
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+        start = F.substring(F.trim(F.regexp_replace("value", r"\s+", " ")), 1, 1)
+        first = spark.read.option("lineSep", "}").text(path).select(start.alias("c")).where("c <> ''").limit(1).collect()
+        multiline = bool(first) and first[0]["c"] == "["
+    return read_json_array(spark, path, schema) if multiline else spark.read.schema(schema).json(path)
 
 
 # --------------------------------------------------------------------- SRC4

@@ -40,7 +40,7 @@ SELECT count(*) AS n, {r6('avg(exact)')} AS subset_accuracy, {r6('avg(CASE WHEN
        {r6('avg(CASE WHEN np > 0 THEN i / np ELSE 0 END)')} AS samples_precision,
        {r6('avg(CASE WHEN nl > 0 THEN i / nl ELSE 0 END)')} AS samples_recall,
        {r6('avg(CASE WHEN nl + np > 0 THEN 2 * i / (nl + np) ELSE 0 END)')} AS samples_f1,
-       {r6('sum(nl + np - 2 * i) / (count(*) * 4)')} AS hamming_loss, count(*) FILTER (WHERE u = 0) AS n_undefined
+       {r6('sum(nl + np - 2 * i) / (count(*) * (SELECT count(DISTINCT top) FROM taxonomy))')} AS hamming_loss, count(*) FILTER (WHERE u = 0) AS n_undefined
 FROM pc""")
 
 SQL["class_report"] = w(CLS_LONG + f""",
@@ -101,5 +101,5 @@ SELECT count(*) AS n, {r6('avg(exact)')} AS subset_accuracy, {r6('avg(CASE WHEN
        {r6('avg(CASE WHEN np > 0 THEN i / np ELSE 0 END)')} AS samples_precision,
        {r6('avg(CASE WHEN nl > 0 THEN i / nl ELSE 0 END)')} AS samples_recall,
        {r6('avg(CASE WHEN nl + np > 0 THEN 2 * i / (nl + np) ELSE 0 END)')} AS samples_f1,
-       {r6('sum(nl + np - 2 * i) / (count(*) * 10)')} AS hamming_loss, count(*) FILTER (WHERE u = 0) AS n_undefined
+       {r6('sum(nl + np - 2 * i) / (count(*) * (SELECT count(DISTINCT mid) FROM taxonomy))')} AS hamming_loss, count(*) FILTER (WHERE u = 0) AS n_undefined
 FROM pc""")

@@ -269,7 +269,7 @@ SELECT model, think, temperature, CAST(round AS INTEGER) AS round, count(*) AS n
        {r6('avg(CASE WHEN np > 0 THEN i / np ELSE 0 END)')} AS samples_precision,
        {r6('avg(CASE WHEN nl > 0 THEN i / nl ELSE 0 END)')} AS samples_recall,
        {r6('avg(CASE WHEN nl + np > 0 THEN 2 * i / (nl + np) ELSE 0 END)')} AS samples_f1,
-       {r6('sum(nl + np - 2 * i) / (count(*) * 40)')} AS hamming_loss,
+       {r6('sum(nl + np - 2 * i) / (count(*) * (SELECT count(*) FROM vocab))')} AS hamming_loss,
        count(*) FILTER (WHERE u = 0) AS n_undefined,
        {r6("count(*) FILTER (WHERE top1 IS NOT NULL AND top1 <> '' AND list_contains(pred, top1)) / count(*)")} AS accuracy_all
 FROM pc GROUP BY model, think, temperature, round""", *V)

@@ -3,11 +3,11 @@ oracle SQL.  Base tables are the driver's pre-registered views."""
 
 from __future__ import annotations
 
-LEAF = "lpad(CAST(({i}) * 25 AS VARCHAR), 5, '0')"
+LEAF = "CASE WHEN ({i}) * 25 < 100000 THEN lpad(CAST(({i}) * 25 AS VARCHAR), 5, '0') ELSE CAST(({i}) * 25 AS VARCHAR) END"
 
 
 def leaf(expr: str) -> str:
-    return LEAF.format(i=expr)
+    return f"({LEAF.format(i=expr)})"
 
 
 VIEWS: dict[str, tuple[list[str], str]] = {}
@@ -50,11 +50,11 @@ FROM orders""")
 _v("diagnoses", [], f"""
 SELECT l_orderkey AS hadm_id,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS seq_num,
-       {leaf('l_partkey % 40')} AS icd_code,
+       {leaf('CASE WHEN l_suppkey % 10 = 0 THEN l_partkey ELSE l_partkey % 40 END')} AS icd_code,
        CASE WHEN l_linestatus = 'F' THEN 9 ELSE 10 END AS icd_version,
        CASE l_returnflag WHEN 'A' THEN 'Primary' WHEN 'N' THEN 'Major' WHEN 'R' THEN 'Other' END AS priority,
        CASE WHEN l_partkey % 17 = 0 THEN NULL WHEN l_partkey % 19 = 0 THEN ''
-            ELSE {leaf('l_partkey % 40')} || ', X' || {leaf('l_partkey % 40')} END AS icd9code,
+            ELSE {leaf('CASE WHEN l_suppkey % 10 = 0 THEN l_partkey ELSE l_partkey % 40 END')} || ', X' || {leaf('CASE WHEN l_suppkey % 10 = 0 THEN l_partkey ELSE l_partkey % 40 END')} END AS icd9code,
        CASE WHEN l_partkey % 23 = 0 THEN 'condition ' || CAST(l_partkey % 30 AS VARCHAR)
             ELSE ['cardiovascular', 'pulmonary', 'renal', 'neurologic', 'infectious'][l_partkey % 5 + 1]
                  || '|condition ' || CAST(l_partkey % 30 AS VARCHAR) END AS diagnosisstring
@@ -63,21 +63,17 @@ FROM lineitem""")
 _v("code_dict", [], f"""
 SELECT {leaf('p_partkey')} AS icd_code, v.icd_version,
        CASE WHEN v.icd_version = 10 THEN p_name || ' (v10)' ELSE p_name END AS long_title
-FROM part, (VALUES (9), (10)) v(icd_version)
-WHERE p_partkey < 40""")
+FROM part, (VALUES (9), (10)) v(icd_version)""")
 
 _v("crosswalk", [], f"""
-SELECT {leaf('p_partkey')} AS icd10, {leaf('(p_partkey * 7) % 40')} AS icd9
-FROM part WHERE p_partkey < 40 AND p_partkey % 13 <> 0""")
+SELECT {leaf('p_partkey')} AS icd10, {leaf('p_partkey - p_partkey % 40 + (p_partkey * 7) % 40')} AS icd9
+FROM part WHERE p_partkey % 13 <> 0""")
 
 _v("taxonomy", [], f"""
-SELECT leaf, mid, top, substr(top, 1, 3) AS top_lo, substr(top, 5, 3) AS top_hi FROM (
-  SELECT {leaf('p_partkey')} AS leaf, substr({leaf('p_partkey')}, 1, 3) AS mid,
-         CASE WHEN substr({leaf('p_partkey')}, 1, 3) <= '002' THEN '000-002'
-              WHEN substr({leaf('p_partkey')}, 1, 3) <= '005' THEN '003-005'
-              WHEN substr({leaf('p_partkey')}, 1, 3) <= '007' THEN '006-007'
-              ELSE '008-009' END AS top
-  FROM part WHERE p_partkey < 40)""")
+SELECT leaf, mid, top_lo || '-' || top_hi AS top, top_lo, top_hi FROM (
+  SELECT leaf, mid, lpad(CAST(CAST(mid AS INTEGER) // 3 * 3 AS VARCHAR), 3, '0') AS top_lo,
+         lpad(CAST(least(CAST(mid AS INTEGER) // 3 * 3 + 2, 999) AS VARCHAR), 3, '0') AS top_hi
+  FROM (SELECT {leaf('p_partkey')} AS leaf, substr({leaf('p_partkey')}, 1, 3) AS mid FROM part))""")
 
 _v("vocab", ["taxonomy"], "SELECT leaf AS code FROM taxonomy")
 
@@ -140,7 +136,9 @@ SELECT hadm_id AS case_id,
        coalesce(list(icd_code ORDER BY seq_num) FILTER (WHERE priority = 'Major'), []) AS major
 FROM diagnoses WHERE seq_num <= 3 GROUP BY hadm_id""")
 
-_v("case_preds", ["case_labels"], f"""
+_STEP = "(CASE r.round WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 9 END)"
+for _name, _length in (("case_preds", 10), ("case_preds20", 20)):
+    _v(_name, ["case_labels"], f"""
 SELECT case_id, round, model, think, temperature, ranked,
        (CASE WHEN case_id % 9 = 0 THEN ranked[2:CAST(case_id % 4 AS INTEGER) + 1]
              ELSE ranked[1:CAST(case_id % 4 AS INTEGER)] END)
@@ -150,9 +148,8 @@ FROM (
          CASE WHEN r.round = 3 THEN 'model_b' ELSE 'model_a' END AS model,
          r.round = 2 AS think,
          CASE WHEN r.round = 1 THEN 0.0 ELSE 0.7 END::DOUBLE AS temperature,
-         [{leaf('(CAST(CAST(top1 AS INTEGER) // 25 AS BIGINT) + case_id % 5 + j * (CASE r.round WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 9 END)) % 40')}
-          FOR j IN range(10)] AS ranked
-  FROM case_labels, (VALUES (1), (2), (3)) r(round))""")
+         [{leaf(f"CASE WHEN i0 < 40 THEN (i0 + j * {_STEP}) % 40 ELSE i0 + j * {_STEP} END")} FOR j IN range({_length})] AS ranked
+  FROM (SELECT case_id, CAST(CAST(top1 AS INTEGER) // 25 AS BIGINT) + case_id % 5 AS i0 FROM case_labels), (VALUES (1), (2), (3)) r(round))""")
 
 _ITEMS = "'[' || array_to_string(list_transform({a}, lambda x: '\"' || x || '\"'), ', ') || ']'"
 _ITEMS_D = "'[' || array_to_string(list_transform({a}, lambda x: '\"' || x || ':dx\"'), ', ') || ']'"
