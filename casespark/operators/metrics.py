@@ -273,13 +273,10 @@ def _jacc(arrs: list[Column]) -> Column:
     return safe_ratio(F.size(F.array_distinct(inter)), F.size(F.array_distinct(union)))
 
 
-def _consistency_measures(idx: list[int], ks) -> list[Column]:
-    m = [F.struct(F.lit("ranked").alias("measure"), F.lit(int(k)).alias("k"),
-                  _jacc([F.slice(F.col(f"r{i}"), 1, k) for i in idx]).alias("v")) for k in ks]
+def _consistency_measures(idx: list[int], ks) -> list[tuple[str, int, Column]]:
+    m = [("ranked", int(k), _jacc([F.slice(F.col(f"r{i}"), 1, k) for i in idx])) for k in ks]
     first = F.size(F.array_distinct(_intersect_all([F.slice(F.col(f"p{i}"), 1, 1) for i in idx]))).cast("double")
-    m.append(F.struct(F.lit("final_top1").alias("measure"), F.lit(1).alias("k"), first.alias("v")))
-    m.append(F.struct(F.lit("final_all").alias("measure"), F.lit(0).alias("k"), _jacc([F.col(f"p{i}") for i in idx]).alias("v")))
-    return m
+    return m + [("final_top1", 1, first), ("final_all", 0, _jacc([F.col(f"p{i}") for i in idx]))]
 
 
 def _runs_side_by_side(runs: DataFrame, run_ids: list, key: str, run_col: str, ranked: str, pred: str) -> DataFrame:
@@ -306,14 +303,8 @@ def pairwise_consistency(runs: DataFrame, run_ids: list, pairs: list[tuple], ks=
     """Every pair of runs from one join of all runs (each run is scanned and shuffled once)."""
     j = _runs_side_by_side(runs, run_ids, key, run_col, ranked, pred)
     pos = {r: i for i, r in enumerate(run_ids)}
-    rows = []
-    for a, b in pairs:
-        for st in _consistency_measures([pos[a], pos[b]], ks):
-            rows.append(F.struct(F.lit(f"{a}-{b}").alias("pair"), st["measure"].alias("measure"), st["k"].alias("k"),
-                                 st["v"].alias("v")))
-    x = j.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-    return x.groupBy("pair", "measure", "k").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n"),
-                                                 F.count_if(F.col("v").isNull()).alias("n_undefined"))
+    named = [((F.lit(f"{a}-{b}").alias("pair"),), m) for a, b in pairs for m in _consistency_measures([pos[a], pos[b]], ks)]
+    return _averages(j, named, ["pair"])
 
 
 def run_consistency(runs: DataFrame, run_ids: list, ks=(1, 2, 3, 5, 10), key="case_id", run_col="round",
@@ -321,10 +312,17 @@ def run_consistency(runs: DataFrame, run_ids: list, ks=(1, 2, 3, 5, 10), key="ca
     """Agreement of 2 or 3 runs of the same cases: ranked[:k] overlap (|∩|/|∪| of sets),
     first final code overlap (|∩|/1), whole final list overlap.  Cases must be in all runs."""
     j = _runs_side_by_side(runs, run_ids, key, run_col, ranked, pred)
-    measures = _consistency_measures(list(range(len(run_ids))), ks)
-    x = j.select(F.explode(F.array(*measures)).alias("x")).select("x.*")
-    return x.groupBy("measure", "k").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n"),
-                                         F.count_if(F.col("v").isNull()).alias("n_undefined"))
+    return _averages(j, [((), m) for m in _consistency_measures(list(range(len(run_ids))), ks)], [])
+
+
+def _averages(cases: DataFrame, named: list[tuple], extra: list[str]) -> DataFrame:
+    """Mean of every measure over the cases: one wide aggregate, and its single row turned into rows."""
+    measured = cases.select(*[v.alias(f"m{i}") for i, (_, (_, _, v)) in enumerate(named)])
+    wide = measured.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"a{c[1:]}") for c in measured.columns],
+                        *[F.count_if(F.col(c).isNull()).alias(f"u{c[1:]}") for c in measured.columns])
+    rows = F.explode(F.array(*[F.struct(*names, F.lit(measure).alias("measure"), F.lit(k).alias("k"), F.col(f"a{i}").alias("value"),
+                                        F.col(f"u{i}").alias("n_undefined")) for i, (names, (measure, k, _)) in enumerate(named)]))
+    return wide.select("n", rows.alias("x")).where("n > 0").select(*[f"x.{c}" for c in extra], "x.measure", "x.k", "x.value", "n", "x.n_undefined")
 
 
 def _intersect_all(arrs):

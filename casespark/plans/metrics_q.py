@@ -8,6 +8,7 @@ from casespark.functions.columns import finalize, render_list
 from casespark.operators import metrics as M
 from casespark.operators.vocab import valid_codes_only
 from casespark.plans.registry import query
+from casespark.plans.tables import bucketed
 from casespark.sources import fixtures as fx
 
 RUN_COLS = ["model", "think", "temperature", "round"]
@@ -18,15 +19,18 @@ def n_labels(spark, d):
     return fx.vocab(spark, d).agg(F.count(F.lit(1))).scalar()
 
 
-def preds_valid(spark, d, rounds=None):
-    p = fx.case_preds(spark, d)
-    if rounds:
-        p = p.filter(F.col("round").isin(list(rounds)))
-    return valid_codes_only(p, fx.vocab(spark, d), "final", out="pred")
+def preds_valid(spark, d, rounds=None, length=10):
+    """Runs with their valid codes, bucketed by case; ``length``: items of the ranked lists."""
+    p = bucketed(spark, d, f"preds{length}", lambda: valid_codes_only(fx.case_preds(spark, d, length), fx.vocab(spark, d), "final", out="pred"))
+    return p.filter(F.col("round").isin(list(rounds))) if rounds else p
 
 
-def joined(spark, d, rounds=(1,)):
-    return M.join_predictions(preds_valid(spark, d, rounds), fx.case_labels(spark, d))
+def labels(spark, d):
+    return bucketed(spark, d, "labels", lambda: fx.case_labels(spark, d))
+
+
+def joined(spark, d, rounds=(1,), length=10):
+    return M.join_predictions(preds_valid(spark, d, rounds, length), labels(spark, d))
 
 
 @query("valid_codes_only")
@@ -90,7 +94,7 @@ def q_recall_at_k(spark, d):
 
 @query("hit_at_k")
 def q_hit_at_k(spark, d):
-    return finalize(M.hit_at_k(joined(spark, d), ks=(3, 5, 10, 20)))
+    return finalize(M.hit_at_k(joined(spark, d, length=20), ks=(3, 5, 10, 20)))
 
 
 @query("group_recall")
@@ -134,16 +138,20 @@ def q_micro_macro_pr(spark, d):
     return finalize(M.micro_macro_pr(joined(spark, d)))
 
 
+AGREEMENT_KS = (1, 2, 3, 5, 10, 20)
+
+
 @query("pair_consistency")
 def q_pair_consistency(spark, d):
-    runs = preds_valid(spark, d)
-    out = M.pairwise_consistency(runs, [1, 2, 3], [(1, 2), (1, 3), (2, 3)])
+    runs = preds_valid(spark, d, length=20)
+    out = M.pairwise_consistency(runs, [1, 2, 3], [(1, 2), (1, 3), (2, 3)], ks=AGREEMENT_KS)
     return finalize(out.select("pair", "measure", "k", "value", "n", "n_undefined"))
 
 
 @query("triple_consistency")
 def q_triple_consistency(spark, d):
-    return finalize(M.run_consistency(preds_valid(spark, d), [1, 2, 3]).select("measure", "k", "value", "n", "n_undefined"))
+    out = M.run_consistency(preds_valid(spark, d, length=20), [1, 2, 3], ks=AGREEMENT_KS)
+    return finalize(out.select("measure", "k", "value", "n", "n_undefined"))
 
 
 @query("bootstrap_ci")
@@ -161,5 +169,5 @@ def q_bootstrap_ci_multinomial(spark, d):
 
 @query("run_sweep")
 def q_run_sweep(spark, d):
-    j = M.join_predictions(preds_valid(spark, d), fx.case_labels(spark, d))
+    j = M.join_predictions(preds_valid(spark, d), labels(spark, d))
     return finalize(M.multilabel_metrics(j, n_labels(spark, d), by=RUN_COLS, with_top1="top1"))

@@ -97,9 +97,9 @@ SELECT coalesce(l.code, p.code) AS code, CAST(coalesce(n_label, 0) AS BIGINT) AS
 FROM l FULL JOIN p ON p.code = l.code""", "diagnoses", "case_preds")
 
 SQL["join_rounds"] = with_views("""
-SELECT a.case_id, array_to_string(a.ranked, ',') AS r1, array_to_string(b.ranked, ',') AS r2, array_to_string(c.ranked, ',') AS r3
-FROM case_preds a JOIN case_preds b ON b.case_id = a.case_id AND b.round = 2 JOIN case_preds c ON c.case_id = a.case_id AND c.round = 3
-WHERE a.round = 1""", "case_preds")
+SELECT case_id, max(CASE WHEN round = 1 THEN r END) AS r1, max(CASE WHEN round = 2 THEN r END) AS r2, max(CASE WHEN round = 3 THEN r END) AS r3
+FROM (SELECT case_id, round, array_to_string(ranked, ',') AS r FROM case_preds)
+GROUP BY case_id HAVING count(DISTINCT round) = 3""", "case_preds")
 
 SQL["source_fallback"] = with_views("""
 SELECT e.hadm_id, n.note_id AS doc_id, 'notes' AS source FROM encounters e JOIN notes n ON n.hadm_id = e.hadm_id

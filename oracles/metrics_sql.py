@@ -43,12 +43,14 @@ def w(body, *extra):
     return with_views("WITH " + BASE + ",\n" + body, *V, *extra)
 
 
+def w20(body):
+    """``w`` over the runs whose ranked lists hold 20 items."""
+    return with_views("WITH " + BASE.replace("FROM case_preds p", "FROM case_preds20 p") + ("\n" if body.strip().upper().startswith("SELECT") else ",\n")
+                      + body.strip(), "case_preds20", "case_labels", "vocab", "diagnoses")
+
+
 SQL["valid_codes_only"] = w("""
-x AS (SELECT case_id, round, c, i FROM (SELECT case_id, round, unnest(final) AS c, generate_subscripts(final, 1) AS i FROM case_preds)),
-kept AS (SELECT case_id, round, string_agg(c, ',' ORDER BY i) AS valid, count(*) AS n FROM x
-         WHERE c IN (SELECT code FROM vocab) GROUP BY 1, 2)
-SELECT p.case_id, p.round, coalesce(k.valid, '') AS valid, CAST(len(p.final) - coalesce(k.n, 0) AS BIGINT) AS n_error
-FROM case_preds p LEFT JOIN kept k ON k.case_id = p.case_id AND k.round = p.round
+SELECT case_id, round, array_to_string(pred, ',') AS valid, CAST(len(final) - len(pred) AS BIGINT) AS n_error FROM pv
 """)
 
 SQL["join_predictions"] = w("""
@@ -125,7 +127,7 @@ ks AS (SELECT unnest(range(1, 11)) AS k)
 SELECT CAST(k AS INTEGER) AS k, {r6(f"avg({inter('labels', 'ranked[1:k]')} / len(labels))")} AS recall, count(*) AS n
 FROM j1, ks GROUP BY k""")
 
-SQL["hit_at_k"] = w(f"""
+SQL["hit_at_k"] = w20(f"""
 ks AS (SELECT unnest([3, 5, 10, 20]) AS k)
 SELECT CAST(k AS INTEGER) AS k, {r6(f"avg(CASE WHEN {inter('labels', 'ranked[1:k]')} > 0 THEN 1.0 ELSE 0.0 END)")} AS hit_rate,
        count(*) AS n
@@ -214,7 +216,7 @@ def _cons(rounds, label=None):
         return f"len(list_distinct(flatten([{', '.join(lists)}])))"
 
     rows = []
-    for k in (1, 2, 3, 5, 10):
+    for k in (1, 2, 3, 5, 10, 20):
         ls = [f"{a}.ranked[1:{k}]" for a in alias]
         rows.append(f"SELECT 'ranked' AS measure, {k} AS k, CASE WHEN {union_n(ls)} > 0 THEN {inter_n(ls)} / {union_n(ls)} END AS v FROM {joins}")
     ls = [f"{a}.pred[1:1]" for a in alias]
@@ -226,8 +228,8 @@ def _cons(rounds, label=None):
             f"count(*) FILTER (WHERE v IS NULL) AS n_undefined FROM ({' UNION ALL '.join(rows)}) GROUP BY measure, k")
 
 
-SQL["pair_consistency"] = w(" UNION ALL ".join(_cons([a, b], f"{a}-{b}") for a, b in ((1, 2), (1, 3), (2, 3))))
-SQL["triple_consistency"] = w(_cons([1, 2, 3]))
+SQL["pair_consistency"] = w20(" UNION ALL ".join(_cons([a, b], f"{a}-{b}") for a, b in ((1, 2), (1, 3), (2, 3))))
+SQL["triple_consistency"] = w20(_cons([1, 2, 3]))
 
 
 def _poisson_case(u):
