@@ -13,7 +13,7 @@ from casespark.operators import udf as U
 from casespark.plans.registry import query
 from casespark.sources import fixtures as fx
 from casespark.sources import readers as IO
-from casespark.streaming.ingest import LOG_SCHEMA, ingest_responses, valid_responses
+from casespark.streaming.ingest import LOG_SCHEMA, ingest_responses, maintain_valid, valid_responses
 
 DIAG_SCHEMA = "hadm_id long, seq_num int, icd_code string, icd_version int, priority string, icd9code string, diagnosisstring string"
 
@@ -120,18 +120,15 @@ def q_key_coverage(spark, d):
 
 @query("ingest_responses")
 def q_ingest_responses(spark, d):
-    """Stream the response log in four arrivals, the last lines first, and return the valid table (= batch result)."""
+    """Stream the response log in many arrivals, out of order, and return the valid table (= batch result)."""
     base = IO.scratch(spark, "ingest")
     log = fx.responses(spark, d)
-    bounds = log.agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).first()
-    step = (bounds["hi"] - bounds["lo"]) // 4 + 1
-    for i in reversed(range(4)):   # the source takes the oldest files first
-        lo = bounds["lo"] + i * step
-        log.filter((F.col("line_no") >= lo) & (F.col("line_no") < lo + step)).write.json(f"{base}/in/part{i}")
-    q = ingest_responses(spark, f"{base}/in/*", f"{base}/out", f"{base}/chk", max_files_per_trigger=1)
-    q.awaitTermination()
-    return valid_responses(spark, f"{base}/out").select("case_id", "round", "line_no", "method", render_list("ranked").alias("ranked"),
-                    render_list("final").alias("final"))
+    part = (F.lit(3) - F.floor(F.col("line_no") % 4)).cast("int")
+    log.withColumn("part", part).write.partitionBy("part").json(f"{base}/in")    # the source takes the oldest files first
+    ingest_responses(spark, f"{base}/in/*", f"{base}/out", f"{base}/log-chk", max_files_per_trigger=16).awaitTermination()
+    maintain_valid(spark, f"{base}/out", f"{base}/valid-chk").awaitTermination()
+    return valid_responses(spark, f"{base}/valid-chk").select(
+        "case_id", "round", "line_no", "method", render_list("ranked").alias("ranked"), render_list("final").alias("final"))
 
 
 def _demo_model(prompt: str) -> str:

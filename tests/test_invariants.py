@@ -65,22 +65,6 @@ def test_materialized_tables_cut_lineage(spark, small_dir, tmp_path):
     assert "FileScan parquet" in plan and "Exchange" not in plan   # read back, no recomputation
 
 
-def test_stream_picks_the_row_of_the_batch_rule_in_any_order_of_arrival(spark, tmp_path):
-    import json
-
-    from casespark.streaming.ingest import ingest_responses, valid_responses
-    (tmp_path / "in").mkdir()
-    for n, line in enumerate((5, 2, 9)):
-        body = '{"top10": ["%d"], "predictions": ["%d"]}' % (line, line)
-        row = {"case_id": 1, "round": 1, "line_no": line, "response": body}
-        (tmp_path / "in" / f"part{n}.json").write_text(json.dumps(row) + "\n")
-    for profile, want in (("one_match", 2), ("last_match", 9)):
-        out = str(tmp_path / profile)
-        ingest_responses(spark, str(tmp_path / "in"), out, str(tmp_path / f"chk-{profile}"), profile=profile,
-                         max_files_per_trigger=1).awaitTermination()
-        assert [r.line_no for r in valid_responses(spark, out, profile).collect()] == [want]
-
-
 def test_scoring_calls_the_function_once_a_case(spark, tmp_path):
     from casespark.operators.udf import score_cases
     calls = str(tmp_path / "calls")
