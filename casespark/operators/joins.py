@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import hours_between
@@ -48,29 +48,41 @@ def ed_optional(encounters: DataFrame, ed: DataFrame, key: str = "stay_id") -> D
 
 
 # --------------------------------------------------------------------- JN5
+def _tagged_rows(ids: DataFrame, tables: dict[str, DataFrame], key: str, ids_bounded: bool) -> DataFrame:
+    """Rows of all tables for the selected stays as one frame: key, table, and a struct column for each table.
+
+    One semi join for the union: ids that are not broadcast cost one shuffle of each table, by the key that everything
+    after it groups by."""
+    parts = [t.select(key, F.lit(name).alias("table"), F.struct(*[c for c in t.columns if c != key]).alias(name))
+             for name, t in tables.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    ids = ids.select(key).distinct()
+    return rows.join(F.broadcast(ids) if ids_bounded else ids, key, "left_semi")
+
+
 def encounter_bundle(ids: DataFrame, tables: dict[str, DataFrame], key: str, nest: bool = False,
                      ids_bounded: bool = False) -> DataFrame:
     """JN5: all rows of every table for the selected stays.
 
-    ``nest=False``: one (table, key) count row per stay and table from a semi
-    join per table.  ``nest=True``: one row per stay with an array of structs per
-    table, collected only after the semi join has reduced each table (a stay's
-    bundle is one value by definition; use ``nest=False`` for unbounded tables).
-    ``ids_bounded``: the id list has a size bound by construction (e.g. n per
-    disease × |top set|) and is broadcast to every semi join."""
-    ids = ids.select(key).distinct()
-    if ids_bounded:
-        ids = F.broadcast(ids)
+    ``nest=False``: one (table, key) row with the number of rows for each stay and table that has any.  ``nest=True``:
+    one row per stay with an array of structs per table, in the order of their first column (a stay's bundle is one
+    value by definition; ``bundle_rows`` gives the same without arrays).  ``ids_bounded``: the id list has a size bound
+    by construction (e.g. n per disease × |top set|) and is broadcast."""
+    rows = _tagged_rows(ids, tables, key, ids_bounded)
     if not nest:
-        parts = [t.join(ids, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-                 .withColumn("table", F.lit(name)) for name, t in tables.items()]
-        return reduce(lambda a, b: a.unionByName(b), parts)
-    out = ids
-    for name, t in tables.items():
-        cols = [c for c in t.columns if c != key]
-        g = t.join(ids, key, "left_semi").groupBy(key).agg(F.collect_list(F.struct(*cols)).alias(name))
-        out = out.join(g, key, "left")
-    return out
+        return rows.groupBy(key, "table").agg(F.count(F.lit(1)).alias("n_rows"))
+    nested = rows.groupBy(key).agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in tables])
+    ids = ids.select(key).distinct()
+    return ids.join(nested, key, "left").select(key, *[F.coalesce(name, F.array().cast(dict(nested.dtypes)[name])).alias(name)
+                                                       for name in tables])
+
+
+def bundle_rows(ids: DataFrame, tables: dict[str, DataFrame], key: str, ids_bounded: bool = False) -> DataFrame:
+    """JN5 without arrays: every row of every table with its place in its stay's table (``ord`` from 1, by the first
+    column of the table); one shuffle by (stay, table), whatever the size of a stay."""
+    rows = _tagged_rows(ids, tables, key, ids_bounded)
+    place = F.row_number().over(Window.partitionBy(key, "table").orderBy(*tables))
+    return rows.withColumn("ord", place)
 
 
 # --------------------------------------------------------------------- JN12 / WN8

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casespark.functions.columns import render_list
 from casespark.operators import cohort
 from casespark.plans.registry import query
+from casespark.plans.tables import bucketed
 from casespark.sources import fixtures as fx
 
 TOP_CODES = 30          # of 40 leaf codes: strict cohort neither empty nor everything
@@ -33,6 +34,12 @@ def sampled_patients(spark, d):
     return cohort.sample_per_disease(strict(spark, d, dx, top), top, n=PER_DISEASE, seed=SEED)
 
 
+def sampled_ids(spark, d):
+    """Stays of the sample (at most PER_DISEASE for each top code), drawn and written once for all queries of a run."""
+    return bucketed(spark, d, "sample", lambda: sampled_patients(spark, d).select(F.col("patient_id").alias("hadm_id"))
+                    .filter("hadm_id IS NOT NULL").distinct(), key="hadm_id", sources=("lineitem", "orders", "part"))
+
+
 @query("code_frequency_top")
 def q_code_frequency_top(spark, d):
     return cohort.code_frequency_top([fx.case_labels(spark, d)], col="labels", n=TOP_CODES)
@@ -96,8 +103,7 @@ def q_patient_diag(spark, d):
 
 @query("semi_filter")
 def q_semi_filter(spark, d):
-    ids = sampled_patients(spark, d).select(F.col("patient_id").alias("hadm_id")).filter("hadm_id IS NOT NULL")
-    return cohort.semi_filter(fx.diagnoses(spark, d), ids, "hadm_id").select("hadm_id", "seq_num", "icd_code", "priority")
+    return cohort.semi_filter(fx.diagnoses(spark, d), sampled_ids(spark, d), "hadm_id").select("hadm_id", "seq_num", "icd_code", "priority")
 
 
 @query("resume_pending")

@@ -111,11 +111,10 @@ def q_write_tables(spark, d):
 
 @query("key_coverage")
 def q_key_coverage(spark, d):
-    from casespark.plans.cohort_q import sampled_patients
-    sample = sampled_patients(spark, d).filter("patient_id IS NOT NULL").select(F.col("patient_id").alias("hadm_id"))
+    from casespark.plans.cohort_q import sampled_ids
     tables = {"diagnoses": fx.diagnoses(spark, d), "labs": fx.labs_text(spark, d), "micro": fx.micro(spark, d),
               "notes": fx.notes(spark, d), "reports": fx.reports(spark, d)}
-    return IO.key_coverage(tables, "hadm_id", sample)
+    return IO.key_coverage(tables, "hadm_id", sampled_ids(spark, d))
 
 
 @query("ingest_responses")

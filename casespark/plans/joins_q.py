@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casespark.functions.columns import finalize, render_list, ts_text
 from casespark.operators import joins as J
+from casespark.plans.cohort_q import sampled_ids
 from casespark.plans.metrics_q import preds_valid
 from casespark.plans.registry import query
 from casespark.sources import fixtures as fx
@@ -43,22 +44,41 @@ def q_image_meta(spark, d):
     return j.select("dicom_id", "subject_id", "study_id", "split", "StudyDate", "StudyTime")
 
 
+def _stays(spark, d):
+    """Ids of the sampled stays (at most 20 for each of the top codes) and their tables, the order column first."""
+    ids = sampled_ids(spark, d)
+    tables = {"diagnoses": fx.diagnoses(spark, d).select("hadm_id", "seq_num", "icd_code"),
+              "labs": fx.labs_text(spark, d).select("hadm_id", "labevent_id", "itemid"),
+              "micro": fx.micro(spark, d).select("hadm_id", "microevent_id", "test_name"),
+              "notes": fx.notes(spark, d).select("hadm_id", "note_id", F.length("text").alias("n_chars"))}
+    return ids, tables
+
+
+def _text_of(column):
+    return lambda x: x[column].cast("string")
+
+
 @query("encounter_bundle")
 def q_encounter_bundle(spark, d):
-    from casespark.plans.cohort_q import sampled_patients
-    ids = sampled_patients(spark, d).filter("patient_id IS NOT NULL").select(F.col("patient_id").alias("hadm_id"))
-    tables = {"diagnoses": fx.diagnoses(spark, d), "labs": fx.labs_text(spark, d), "micro": fx.micro(spark, d),
-              "notes": fx.notes(spark, d)}
+    """The nested form: one row per stay, its rows as ordered arrays."""
+    ids, tables = _stays(spark, d)
     b = J.encounter_bundle(ids, tables, "hadm_id", nest=True, ids_bounded=True)   # <= 20 per top code
-    return b.select("hadm_id", *[F.coalesce(F.size(t), F.lit(0)).cast("long").alias(f"n_{t}") for t in tables])
+    value = {"diagnoses": "icd_code", "labs": "itemid", "micro": "test_name", "notes": "n_chars"}
+    return b.select("hadm_id", *[F.size(t).cast("long").alias(f"n_{t}") for t in tables],
+                    *[F.array_join(F.transform(t, _text_of(c)), ",").alias(t) for t, c in value.items()])
+
+
+@query("bundle_rows")
+def q_bundle_rows(spark, d):
+    ids, tables = _stays(spark, d)
+    r = J.bundle_rows(ids, tables, "hadm_id", ids_bounded=True)
+    item = F.coalesce("diagnoses.icd_code", F.col("labs.itemid").cast("string"), "micro.test_name", F.col("notes.n_chars").cast("string"))
+    return r.select("hadm_id", "table", "ord", item.alias("item"))
 
 
 @query("table_profile")
 def q_table_profile(spark, d):
-    from casespark.plans.cohort_q import sampled_patients
-    ids = sampled_patients(spark, d).filter("patient_id IS NOT NULL").select(F.col("patient_id").alias("hadm_id"))
-    tables = {"diagnoses": fx.diagnoses(spark, d), "labs": fx.labs_text(spark, d), "micro": fx.micro(spark, d),
-              "notes": fx.notes(spark, d)}
+    ids, tables = _stays(spark, d)
     return J.encounter_bundle(ids, tables, "hadm_id", nest=False, ids_bounded=True).select("hadm_id", "table", "n_rows")
 
 

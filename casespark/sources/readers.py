@@ -97,16 +97,20 @@ def write_tables(df: DataFrame, path: str, fmt: str = "parquet", partition_by: l
 
 # --------------------------------------------------------------------- SRC8 / SRC9
 def key_coverage(tables: dict[str, DataFrame], key: str, sample: DataFrame | None = None) -> DataFrame:
-    """Distinct keys per table and how many of them are in the sample.
-    Output: table, n_keys, n_in_sample (one distinct per table, then a semi join)."""
-    parts = [t.select(F.lit(name).alias("table"), F.col(key)).distinct() for name, t in tables.items()]
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    if sample is not None:
-        s = sample.select(key).distinct().withColumn("_in", F.lit(True))
-        u = u.join(s, key, "left")
-    else:
-        u = u.withColumn("_in", F.lit(None).cast("boolean"))
-    return u.groupBy("table").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("_in")).alias("n_in_sample"))
+    """Distinct keys per table, how many of them are in the sample, and how many of the sample's keys the table lacks;
+    the row ``ANY`` holds the union of all tables, the row ``ALL`` the keys that every table has.
+    Output: table, n_keys, n_in_sample, n_sample_missing.  Keys of all tables are shuffled once."""
+    found = reduce(lambda a, b: a.unionByName(b), [t.select(F.col(key), F.lit(name).alias("table")) for name, t in tables.items()])
+    marks = [sample.select(F.col(key), F.lit("").alias("table"))] if sample is not None else []
+    keyed = (reduce(lambda a, b: a.unionByName(b), [found, *marks]).where(F.col(key).isNotNull())
+             .groupBy(key).agg(F.collect_set("table").alias("tables")))                  # at most one mark a table
+    names = F.array_except("tables", F.array(F.lit("")))
+    hits = keyed.select(F.array_contains("tables", "").alias("sampled"), F.explode(F.concat(
+        F.transform(F.array(*[F.lit(n) for n in tables]), lambda n: F.struct(n.alias("table"), F.array_contains("tables", n).alias("has"))),
+        F.array(F.struct(F.lit("ANY").alias("table"), (F.size(names) > 0).alias("has")),
+                F.struct(F.lit("ALL").alias("table"), (F.size(names) == len(tables)).alias("has"))))).alias("x"))
+    return hits.groupBy("x.table").agg(F.count_if("x.has").alias("n_keys"), F.count_if(F.col("x.has") & F.col("sampled")).alias("n_in_sample"),
+                                       F.count_if(~F.col("x.has") & F.col("sampled")).alias("n_sample_missing"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -39,9 +39,12 @@ SQL["key_coverage"] = with_views("WITH " + SAMPLED + """,
 ids AS (SELECT DISTINCT patient_id AS hadm_id FROM sampled WHERE patient_id IS NOT NULL),
 u AS (SELECT DISTINCT 'diagnoses' AS "table", hadm_id FROM diagnoses UNION ALL SELECT DISTINCT 'labs', hadm_id FROM labs_text
       UNION ALL SELECT DISTINCT 'micro', hadm_id FROM micro UNION ALL SELECT DISTINCT 'notes', hadm_id FROM notes
-      UNION ALL SELECT DISTINCT 'reports', hadm_id FROM reports)
-SELECT "table", count(*) AS n_keys, count(*) FILTER (WHERE hadm_id IN (SELECT hadm_id FROM ids)) AS n_in_sample
-FROM u GROUP BY "table\"""", "diagnoses", "icu_patients", "labs_text", "micro", "notes", "reports")
+      UNION ALL SELECT DISTINCT 'reports', hadm_id FROM reports),
+v AS (SELECT * FROM u UNION ALL SELECT DISTINCT 'ANY', hadm_id FROM u
+      UNION ALL SELECT 'ALL', hadm_id FROM u GROUP BY hadm_id HAVING count(*) = 5)
+SELECT "table", count(*) AS n_keys, count(*) FILTER (WHERE hadm_id IN (SELECT hadm_id FROM ids)) AS n_in_sample,
+       (SELECT count(*) FROM ids) - count(*) FILTER (WHERE hadm_id IN (SELECT hadm_id FROM ids)) AS n_sample_missing
+FROM v GROUP BY "table\"""", "diagnoses", "icu_patients", "labs_text", "micro", "notes", "reports")
 
 SQL["ingest_responses"] = with_views("WITH " + ONE + "," + DEDUP_FIRST + """
 SELECT case_id, round, line_no, method, array_to_string(ranked, ',') AS ranked, array_to_string(final, ',') AS final FROM vd""",

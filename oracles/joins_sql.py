@@ -34,13 +34,17 @@ FROM images i JOIN image_meta m
 
 IDS = "ids AS (SELECT DISTINCT patient_id AS hadm_id FROM sampled WHERE patient_id IS NOT NULL)"
 
-SQL["encounter_bundle"] = with_views("WITH " + SAMPLED + ",\n" + IDS + """
-SELECT i.hadm_id,
-       (SELECT count(*) FROM diagnoses x WHERE x.hadm_id = i.hadm_id) AS n_diagnoses,
-       (SELECT count(*) FROM labs_text x WHERE x.hadm_id = i.hadm_id) AS n_labs,
-       (SELECT count(*) FROM micro x WHERE x.hadm_id = i.hadm_id) AS n_micro,
-       (SELECT count(*) FROM notes x WHERE x.hadm_id = i.hadm_id) AS n_notes
-FROM ids i""", "diagnoses", "icu_patients", "labs_text", "micro", "notes")
+_STAY_TABLES = [("diagnoses", "seq_num", "icd_code"), ("labs_text", "labevent_id", "CAST(itemid AS VARCHAR)"),
+                ("micro", "microevent_id", "test_name"), ("notes", "note_id", "CAST(length(text) AS VARCHAR)")]
+SQL["encounter_bundle"] = with_views("WITH " + SAMPLED + ",\n" + IDS + "\nSELECT i.hadm_id, " + ", ".join(
+    f"(SELECT count(*) FROM {t} x WHERE x.hadm_id = i.hadm_id) AS n_{t.removesuffix('_text')}, "
+    f"(SELECT coalesce(string_agg({v}, ',' ORDER BY {o}), '') FROM {t} x WHERE x.hadm_id = i.hadm_id) AS {t.removesuffix('_text')}"
+    for t, o, v in _STAY_TABLES) + " FROM ids i", "diagnoses", "icu_patients", "labs_text", "micro", "notes")
+
+SQL["bundle_rows"] = with_views("WITH " + SAMPLED + ",\n" + IDS + "\n" + " UNION ALL ".join(
+    f"SELECT hadm_id, '{t.removesuffix('_text')}' AS \"table\", CAST(row_number() OVER (PARTITION BY hadm_id ORDER BY {o}) AS INTEGER) AS ord, "
+    f"{v} AS item FROM {t} WHERE hadm_id IN (SELECT hadm_id FROM ids)" for t, o, v in _STAY_TABLES),
+    "diagnoses", "icu_patients", "labs_text", "micro", "notes")
 
 SQL["table_profile"] = with_views("WITH " + SAMPLED + ",\n" + IDS + """
 SELECT hadm_id, 'diagnoses' AS "table", count(*) AS n_rows FROM diagnoses WHERE hadm_id IN (SELECT hadm_id FROM ids) GROUP BY hadm_id
