@@ -248,6 +248,15 @@ def miss_over_by_code(joined: DataFrame, pred="pred", labels="labels") -> DataFr
                     F.coalesce(safe_ratio("over_count", "total_in_predictions"), F.lit(0.0)).alias("over_rate"))
 
 
+def miss_over_faults(by_code: DataFrame) -> DataFrame:
+    """View of ``miss_over_by_code`` as the first set reports it: codes that were missed or over-predicted at least
+    once; label totals count only for missed codes, prediction totals are given only for codes never missed."""
+    missed = F.col("missed_count") > 0
+    return by_code.where(missed | (F.col("over_count") > 0)).select(
+        "code", F.when(missed, F.col("total_in_labels")).otherwise(F.lit(0)).alias("total_in_labels"), "missed_count", "miss_rate",
+        "over_count", "over_rate", F.when(~missed, F.col("total_in_predictions")).alias("total_in_predictions"))
+
+
 SEVERITY_BINS = [(0.0, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, 1.0)]  # last bin closed
 
 

@@ -294,16 +294,60 @@ def assemble_prompt(cases: DataFrame, templates: DataFrame, task: str, key: str
         key, "variant", F.concat(F.col("template"), F.lit(NL), F.col("input")).alias("prompt"))
 
 
-def estimate_tokens(cases: DataFrame, fields: list[str], key: str = "case_id") -> DataFrame:
-    """Per field and total token estimates (long form: key, field, n)."""
-    def val(f):
-        dt = dict(cases.dtypes)[f]
-        return F.array_join(F.col(f), " ") if dt.startswith("array") else F.col(f)
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), token_count(val(f)).alias("n")) for f in fields]))
-    long = cases.select(key, rows.alias("x")).select(key, "x.field", F.col("x.n").cast("long").alias("n"))
+def estimate_tokens(cases: DataFrame, fields: list[str], key: str = "case_id", parts: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Per field and total token estimates (long form: key, field, n).
+
+    ``parts``: fields that consist of many texts, as frames (key, text) with one row a text; a token never spans two
+    texts, so their counts are added up and the texts never meet.  A case without texts has 0."""
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), token_count(f).cast("long").alias("n")) for f in fields],
+                             *[F.struct(F.lit(f).alias("field"), F.lit(0).cast("long").alias("n")) for f in parts or {}]))
+    long = cases.select(key, rows.alias("x")).select(key, "x.field", "x.n")
+    for name, texts in (parts or {}).items():
+        counts = texts.join(cases.select(key), key, "left_semi").select(key, F.lit(name).alias("field"), token_count("text").cast("long").alias("n"))
+        long = long.unionByName(counts)
+    long = long.groupBy(key, "field").agg(F.sum("n").alias("n"))
     tot = long.groupBy(key).agg(F.sum("n").cast("long").alias("n")).withColumn("field", F.lit("total"))
     return long.unionByName(tot.select(key, "field", "n"))
 
 
+SET2_FIELDS = ["patient_info", "past_history", "physical_exam", "lab_results"]
+
+
+def set2_case(patients: DataFrame, history: DataFrame, exam: DataFrame, labs: DataFrame, diagnoses: DataFrame, *,
+              key: str = "hadm_id", other_key: str = "patientunitstayid", max_lab_tokens: int | None = None) -> DataFrame:
+    """Case record of the second set: one row per stay with the rendered inputs (NULL where a stay has no rows of a
+    table) and the disease lists by priority (empty without diagnoses).
+
+    The tables are cleaned and reduced already; ``max_lab_tokens`` cuts the lab text as for a prompt."""
+    same = lambda df: df.withColumnRenamed(other_key, key)
+    c = (demographics_text(patients, key).join(same(history_items(history, other_key)), key, "left")
+         .join(same(exam_items(exam, other_key)), key, "left")
+         .join(same(labs_as_csv(labs, other_key, max_tokens=max_lab_tokens)), key, "left")
+         .join(diagnosis_struct(diagnoses, key), key, "left"))
+    empty = F.array().cast(dict(c.dtypes)["all_diseases"])
+    lists = [f"{n}_diseases" for n in ("all", "primary", "major", "other")]
+    return c.select(F.col(key).cast("string").alias("case_id"), *SET2_FIELDS, *[F.coalesce(n, empty).alias(n) for n in lists])
+
+
+def set2_input(cases: DataFrame) -> DataFrame:
+    """Prompt input of the second set: every present field on lines of its own, and the tokens of each field (NULL where
+    it is absent) and of all."""
+    text = F.concat(*[F.coalesce(F.concat(F.col(f), F.lit(NL)), F.lit("")) for f in SET2_FIELDS])
+    counted = cases.select("case_id", text.alias("input_text"), *[F.when(F.col(f).isNotNull(), token_count(f)).cast("long").alias(f"n_{f}")
+                                                                  for f in SET2_FIELDS])
+    total = sum((F.coalesce(f"n_{f}", F.lit(0)) for f in SET2_FIELDS[1:]), F.coalesce(f"n_{SET2_FIELDS[0]}", F.lit(0)))
+    return counted.withColumn("n_total", total.cast("long"))
+
+
+def set2_labels(cases: DataFrame, fallback: bool = False) -> DataFrame:
+    """Labels of the second set: non-empty version-10 codes of all, primary and major diseases; the top code is the
+    first primary one, with ``fallback`` else the first of all."""
+    def codes(name: str) -> Column:
+        return F.filter(F.transform(f"{name}_diseases", lambda x: x["icd10code"]), lambda c: c.isNotNull() & (c != ""))
+    x = cases.select("case_id", codes("all").alias("labels"), codes("primary").alias("primary"), codes("major").alias("major"))
+    top = F.get("primary", F.lit(0))
+    return x.withColumn("top1", F.coalesce(top, F.get("labels", F.lit(0))) if fallback else top)
+
+
 def union_all(dfs):
     return reduce(lambda a, b: a.unionByName(b), dfs)

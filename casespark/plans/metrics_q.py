@@ -128,6 +128,11 @@ def q_miss_over_by_code(spark, d):
     return finalize(M.miss_over_by_code(joined(spark, d)))
 
 
+@query("miss_over_faults")
+def q_miss_over_faults(spark, d):
+    return finalize(M.miss_over_faults(M.miss_over_by_code(joined(spark, d))))
+
+
 @query("severity_bins")
 def q_severity_bins(spark, d):
     return finalize(M.severity_bins(_moc(spark, d)))

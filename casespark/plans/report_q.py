@@ -13,6 +13,7 @@ from casespark.operators import report as R
 from casespark.operators import metrics as M
 from casespark.plans.metrics_q import joined
 from casespark.plans.registry import query
+from casespark.plans.text_q import reduced_labs
 from casespark.sources import fixtures as fx
 
 
@@ -66,7 +67,7 @@ def _counts(spark, d):
 
 def _lab_counts(spark, d):
     labs = fx.labs_offset(spark, d)
-    return R.entity_counts(labs, C.reduce_labs(labs), "patientunitstayid")
+    return R.entity_counts(labs, reduced_labs(spark, d), "patientunitstayid")
 
 
 def _all_counts(spark, d):

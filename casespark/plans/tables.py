@@ -7,10 +7,12 @@ every aggregate by case read matching buckets and shuffle no prediction.  The ta
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from casespark.session import scratch_path
 
@@ -32,18 +34,36 @@ def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
 def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], *, key: str = "case_id",
              sources: tuple[str, ...] = ("lineitem", "part")) -> DataFrame:
     """The table ``name`` of this application and input folder, one sorted file for each bucket of ``key``."""
-    mark = (spark.sparkContext.applicationId, name, sf_dir, *(_stamp(spark, f"{sf_dir.rstrip('/')}/{s}.parquet") for s in sources))
-    table, path = _WRITTEN.get(mark, ("", ""))
-    if not table or not spark.catalog.tableExists(table) or not _exists(spark, path):
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        run = uuid.uuid4().hex[:12]
-        table, path = f"casespark_{name}_{run}", scratch_path(spark, f"tables/{name}-{run}")
+    def write(run: str, path: str) -> str:
+        buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"casespark_{name}_{run}"
         (build().repartition(buckets, key).sortWithinPartitions(key).write.format("parquet").option("path", path)
          .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
-        _WRITTEN[mark] = (table, path)
+        return table
+    table, _ = _once(spark, sf_dir, name, sources, write)
     return spark.table(table)
 
 
+def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], *, sources: tuple[str, ...]) -> DataFrame:
+    """The table ``name`` of this application and input folder as plain Parquet: for keys that may be hot."""
+    def write(_: str, path: str) -> str:
+        df = build()
+        df.write.parquet(path)
+        return df.schema.json()
+    schema, path = _once(spark, sf_dir, name, sources, write)
+    return spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path)
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], write: Callable[[str, str], str]) -> tuple[str, str]:
+    mark = (spark.sparkContext.applicationId, name, sf_dir, *(_stamp(spark, f"{sf_dir.rstrip('/')}/{s}.parquet") for s in sources))
+    what, path = _WRITTEN.get(mark, ("", ""))
+    if not what or not _exists(spark, path):
+        run = uuid.uuid4().hex[:12]
+        path = scratch_path(spark, f"tables/{name}-{run}")
+        what = write(run, path)
+        _WRITTEN[mark] = (what, path)
+    return what, path
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     files, jpath = _file_system(spark, path)
     return files.exists(jpath)

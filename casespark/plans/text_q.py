@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from casespark.functions.columns import finalize, render_list, ts_text
 from casespark.operators import clean as C
 from casespark.operators import joins as J
+from casespark.operators import metrics as M
 from casespark.operators import render as T
 from casespark.operators.cohort import age_number
 from casespark.plans.registry import query
+from casespark.plans.tables import bucketed, written
 from casespark.sources import fixtures as fx
 
 LAB_TOKEN_CAP = 8168
@@ -83,9 +85,14 @@ def q_exam_items(spark, d):
     return T.exam_items(C.clean_exam(fx.physical_exam(spark, d)))
 
 
+def reduced_labs(spark, d):
+    """Reduced labs of the second set, written once for all queries of a run."""
+    return written(spark, d, "reduced_labs", lambda: C.reduce_labs(fx.labs_offset(spark, d)), sources=("events",))
+
+
 @query("labs_as_csv")
 def q_labs_as_csv(spark, d):
-    return T.labs_as_csv(C.reduce_labs(fx.labs_offset(spark, d)), max_tokens=LAB_TOKEN_CAP)
+    return T.labs_as_csv(reduced_labs(spark, d), max_tokens=LAB_TOKEN_CAP)
 
 
 @query("diagnosis_struct")
@@ -143,7 +150,21 @@ def first_note(spark, d):
     return C.first_per_group(fx.notes(spark, d).select("hadm_id", "note_id", "text"), ["hadm_id"], ["note_id"])
 
 
+CASE_SOURCES = ("events", "orders", "customer", "lineitem", "documents")
+
+
 def case_inputs(spark, d):
+    """The case inputs, written once for all queries of a run."""
+    return bucketed(spark, d, "case_inputs", lambda: build_case_inputs(spark, d), key="hadm_id", sources=CASE_SOURCES)
+
+
+def case_reports(spark, d):
+    """Cleaned reports, one row each."""
+    enc = fx.encounters(spark, d).select("hadm_id")
+    return fx.reports(spark, d).join(enc, "hadm_id", "left_semi").select("hadm_id", "report_id", T.strip_findings("text").alias("text"))
+
+
+def build_case_inputs(spark, d):
     """One row per case with every rendered input field (cases need labs, as in the reference)."""
     labs = T.render_lab_table(case_labs(spark, d))
     st = stays(spark, d)
@@ -160,10 +181,9 @@ def case_inputs(spark, d):
                  T.section("text", "History of Present Illness:\n", "Past Medical History:", "first")).alias("hpi_text"),
         F.concat(F.lit("The physical exam on admission : "),
                  T.before_word(T.section("text", "Physical Exam:\n", "Pertinent Results:", "first"))).alias("physical_text"))
-    enc = fx.encounters(spark, d).select("hadm_id", "admittime", "dischtime")
-    rep = fx.reports(spark, d).join(enc, "hadm_id").select("hadm_id", "report_id", T.strip_findings("text").alias("r"))
-    reports = rep.groupBy("hadm_id").agg(F.array_sort(F.collect_list(F.struct("report_id", "r"))).alias("_r")) \
-        .select("hadm_id", F.transform("_r", lambda x: x["r"]).alias("report"))
+    # a case's prompt is one text by definition, so its reports meet here; counts of them are taken row by row
+    reports = case_reports(spark, d).groupBy("hadm_id").agg(F.array_sort(F.collect_list(F.struct("report_id", "text"))).alias("_r")) \
+        .select("hadm_id", F.transform("_r", lambda x: x["text"]).alias("report"))
     micro = T.render_micro(case_micro(spark, d))
     c = labs.join(cc, "hadm_id", "inner").join(vit, "hadm_id", "left").join(note, "hadm_id", "left") \
         .join(reports, "hadm_id", "left").join(micro, "hadm_id", "left")
@@ -195,7 +215,9 @@ def q_note_input_case(spark, d):
 
 @query("estimate_tokens")
 def q_estimate_tokens(spark, d):
-    return T.estimate_tokens(case_inputs(spark, d), INPUT_FIELDS, "case_id")
+    cases = case_inputs(spark, d)
+    texts = cases.select("case_id", "hadm_id").join(case_reports(spark, d), "hadm_id").select("case_id", "text")
+    return T.estimate_tokens(cases, [f for f in INPUT_FIELDS if f != "report"], "case_id", parts={"report": texts})
 
 
 @query("select_fields_by_task")
@@ -215,3 +237,59 @@ TEMPLATES = [("expert_designed", "Rank the most likely diagnosis codes for this
 def q_assemble_prompt(spark, d):
     tpl = spark.createDataFrame(TEMPLATES, "variant string, template string")
     return T.assemble_prompt(case_inputs(spark, d), tpl, "lab_num+", "case_id")
+
+
+# --------------------------------------------------------------------- second data set
+def set2_cases(spark, d, max_lab_tokens=None):
+    return T.set2_case(fx.icu_patients(spark, d), C.clean_history(fx.past_history(spark, d)), C.clean_exam(fx.physical_exam(spark, d)),
+                       reduced_labs(spark, d), C.clean_diagnoses(fx.diagnoses(spark, d)), max_lab_tokens=max_lab_tokens)
+
+
+@query("set2_case")
+def q_set2_case(spark, d):
+    """Case record: inputs and the names and codes of the disease lists."""
+    def names(c):
+        return F.concat_ws(";", F.transform(c, lambda x: F.concat_ws("/", x["name"], x["icd9code"], x["icd10code"]))).alias(c)
+    return set2_cases(spark, d).select("case_id", *T.SET2_FIELDS, *[names(f"{n}_diseases") for n in ("all", "primary", "major", "other")])
+
+
+@query("set2_input")
+def q_set2_input(spark, d):
+    """Prompt input with the lab text cut to the token cap, and tokens per field."""
+    return T.set2_input(set2_cases(spark, d, LAB_TOKEN_CAP))
+
+
+@query("set2_labels")
+def q_set2_labels(spark, d):
+    lab = set2_label_table(spark, d)
+    return lab.select(F.col("case_id").cast("string").alias("case_id"), render_list("labels").alias("labels"), render_list("primary").alias("primary"),
+                      render_list("major").alias("major"), "top1", "top1_any")
+
+
+def set2_label_table(spark, d):
+    def build():
+        dx = T.diagnosis_struct(C.clean_diagnoses(fx.diagnoses(spark, d))).withColumnRenamed("hadm_id", "case_id")
+        first, any_ = T.set2_labels(dx), T.set2_labels(dx, fallback=True)
+        return first.join(any_.select("case_id", F.col("top1").alias("top1_any")), "case_id")
+    return bucketed(spark, d, "set2_labels", build)
+
+
+def set2_joined(spark, d):
+    """Round 1 with 20-item lists, as version-10 codes, next to the labels of the second set."""
+    from casespark.plans.metrics_q import preds_valid
+    v10 = lambda c: F.transform(c, lambda x: F.concat(F.lit("X"), x)).alias(c)
+    p = preds_valid(spark, d, (1,), length=20).select("case_id", v10("ranked"), v10("pred"))
+    return p.join(set2_label_table(spark, d), "case_id")
+
+
+@query("set2_top1_accuracy")
+def q_set2_top1_accuracy(spark, d):
+    """Top-code accuracy by the first primary disease, and with the first disease where there is none."""
+    j = set2_joined(spark, d)
+    rows = [M.top1_accuracy(j, top1=c).withColumn("top1", F.lit(name)) for c, name in (("top1", "first_primary"), ("top1_any", "with_fallback"))]
+    return finalize(rows[0].unionByName(rows[1]))
+
+
+@query("set2_recall_at_k")
+def q_set2_recall_at_k(spark, d):
+    return finalize(M.recall_at_k(set2_joined(spark, d).filter(F.size("labels") > 0), ks=range(1, 21)))

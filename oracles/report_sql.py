@@ -177,3 +177,10 @@ FROM bc ORDER BY over DESC, code LIMIT 20""", *V)
 
 SQL["limit_cases"] = with_views("""
 SELECT case_id, array_to_string(labels, ',') AS labels FROM case_labels ORDER BY case_id LIMIT 100""", "case_labels", "diagnoses")
+
+SQL["miss_over_faults"] = with_views("WITH " + BASE + "," + BYCODE + f"""
+SELECT code, CAST(CASE WHEN missed > 0 THEN nl ELSE 0 END AS BIGINT) AS total_in_labels, CAST(missed AS BIGINT) AS missed_count,
+       {r6('CASE WHEN nl > 0 THEN missed / nl ELSE 0 END')} AS miss_rate, CAST(over AS BIGINT) AS over_count,
+       {r6('CASE WHEN np > 0 THEN over / np ELSE 0 END')} AS over_rate,
+       CAST(CASE WHEN missed = 0 THEN np END AS BIGINT) AS total_in_predictions
+FROM bc WHERE missed > 0 OR over > 0""", *V)

@@ -255,3 +255,74 @@ SQL["select_fields_by_task"] = with_views("WITH " + CASE_INPUTS + """
 SELECT case_id, chr(10) || coalesce(lab, 'None') || chr(10) || coalesce(ed_info, 'None') || chr(10) || coalesce(family_history, 'None')
        || chr(10) || coalesce(ed_chiefcomplaint, 'None') || chr(10) || coalesce(past_medical_history, 'None') AS input_text
 FROM ci""", *V_CASE)
+
+SET2 = REDUCED + """,
+lab_txt AS (
+  SELECT patientunitstayid AS id, 'Laboratory test results with timestamps and measurements:' || chr(10) ||
+         'labresultoffset,labname,labresult,labmeasurenamesystem' || chr(10) ||
+         string_agg(concat_ws(',', CAST(labresultoffset AS VARCHAR), labname, coalesce(CAST(round(labresult, 6) AS VARCHAR), ''),
+                              coalesce(labmeasurenamesystem, '')), chr(10) ORDER BY labresultoffset, labname, labid) || chr(10) AS lab_results
+  FROM (SELECT DISTINCT * FROM red) GROUP BY patientunitstayid),
+h1 AS (SELECT * FROM past_history
+       QUALIFY row_number() OVER (PARTITION BY patientunitstayid, pasthistorypath, pasthistoryvalue, pasthistoryvaluetext ORDER BY ord) = 1),
+ht AS (SELECT patientunitstayid AS id, 'Patient''s medical history and past conditions: ' || string_agg(substr(pasthistorypath, 35), ', ' ORDER BY ord) AS past_history
+       FROM h1 WHERE pasthistoryvaluetext IS DISTINCT FROM 'Performed' AND starts_with(pasthistorypath, 'notes/Progress Notes/Past History/') GROUP BY 1),
+x1 AS (SELECT * FROM physical_exam
+       QUALIFY row_number() OVER (PARTITION BY patientunitstayid, physicalexampath, physicalexamvalue, physicalexamtext ORDER BY ord) = 1),
+xt AS (SELECT patientunitstayid AS id, 'Physical examination findings and clinical observations: [' ||
+              string_agg(string_split(physicalexampath, '/')[-1] || ': ' || coalesce(physicalexamtext, 'nan'), ', ' ORDER BY ord) || ']' AS physical_exam
+       FROM x1 WHERE physicalexamvalue IS DISTINCT FROM 'Performed - Structured' AND coalesce(physicalexampath, '') <> '' GROUP BY 1),
+dc AS (SELECT *, trim(coalesce(string_split(icd9code, ', ')[1], '')) AS v9, trim(coalesce(string_split(icd9code, ', ')[2], '')) AS v10
+       FROM diagnoses WHERE icd9code IS NOT NULL AND trim(icd9code) <> ''
+       QUALIFY row_number() OVER (PARTITION BY hadm_id, diagnosisstring ORDER BY seq_num) = 1),
+dn AS (SELECT hadm_id AS id, string_agg(t, ';' ORDER BY seq_num) AS all_d, string_agg(t, ';' ORDER BY seq_num) FILTER (WHERE priority = 'Primary') AS primary_d,
+              string_agg(t, ';' ORDER BY seq_num) FILTER (WHERE priority = 'Major') AS major_d,
+              string_agg(t, ';' ORDER BY seq_num) FILTER (WHERE priority IS NULL OR priority NOT IN ('Primary', 'Major')) AS other_d
+       FROM (SELECT *, concat_ws('/', diagnosisstring, v9, v10) AS t FROM dc) GROUP BY 1),
+s2 AS (SELECT p.hadm_id AS id, CAST(p.hadm_id AS VARCHAR) AS case_id,
+              'Patient demographics and basic information: gender: ' || coalesce(p.gender, 'nan') || ', age: ' ||
+              CASE WHEN p.age IS NULL OR p.age = '' THEN 'nan' ELSE p.age END AS patient_info,
+              ht.past_history, xt.physical_exam, lab_txt.lab_results
+       FROM icu_patients p LEFT JOIN ht ON ht.id = p.hadm_id LEFT JOIN xt ON xt.id = p.hadm_id LEFT JOIN lab_txt ON lab_txt.id = p.hadm_id)"""
+V_SET2 = ("labs_offset", "past_history", "physical_exam", "icu_patients", "diagnoses")
+
+SQL["set2_case"] = with_views("WITH " + SET2.strip() + """
+SELECT s2.case_id, s2.patient_info, s2.past_history, s2.physical_exam, s2.lab_results, coalesce(dn.all_d, '') AS all_diseases,
+       coalesce(dn.primary_d, '') AS primary_diseases, coalesce(dn.major_d, '') AS major_diseases, coalesce(dn.other_d, '') AS other_diseases
+FROM s2 LEFT JOIN dn ON dn.id = s2.id""", *V_SET2)
+
+_F2 = ("patient_info", "past_history", "physical_exam", "lab_results")
+SQL["set2_input"] = with_views("WITH " + SET2.strip() + f""",
+pc AS (SELECT * EXCLUDE (lab_results), CASE WHEN len(p) > 8168 THEN array_to_string(p[1:8168], '') ELSE lab_results END AS lab_results
+       FROM (SELECT *, regexp_extract_all(lab_results, '\\s*(?:\\w+|[^\\w\\s])') AS p FROM s2)),
+tk AS (SELECT case_id, {' || '.join(f"coalesce({f} || chr(10), '')" for f in _F2)} AS input_text,
+              {', '.join(f"CASE WHEN {f} IS NOT NULL THEN {_tok(f)} END AS n_{f}" for f in _F2)} FROM pc)
+SELECT *, CAST({' + '.join(f"coalesce(n_{f}, 0)" for f in _F2)} AS BIGINT) AS n_total FROM tk""", *V_SET2)
+
+SET2_LABELS = """
+dc AS (SELECT *, trim(coalesce(string_split(icd9code, ', ')[2], '')) AS v10
+       FROM diagnoses WHERE icd9code IS NOT NULL AND trim(icd9code) <> ''
+       QUALIFY row_number() OVER (PARTITION BY hadm_id, diagnosisstring ORDER BY seq_num) = 1),
+l2 AS (SELECT hadm_id AS case_id, coalesce(list(v10 ORDER BY seq_num) FILTER (WHERE v10 <> ''), []) AS labels,
+              coalesce(list(v10 ORDER BY seq_num) FILTER (WHERE v10 <> '' AND priority = 'Primary'), []) AS "primary",
+              coalesce(list(v10 ORDER BY seq_num) FILTER (WHERE v10 <> '' AND priority = 'Major'), []) AS major FROM dc GROUP BY 1),
+l3 AS (SELECT *, "primary"[1] AS top1, coalesce("primary"[1], labels[1]) AS top1_any FROM l2)"""
+SQL["set2_labels"] = with_views("WITH " + SET2_LABELS.strip() + """
+SELECT CAST(case_id AS VARCHAR) AS case_id, array_to_string(labels, ',') AS labels, array_to_string("primary", ',') AS "primary",
+       array_to_string(major, ',') AS major, top1, top1_any FROM l3""", "diagnoses")
+
+_SET2_J = "WITH " + SET2_LABELS.strip() + """,
+vl AS (SELECT list(code) AS codes FROM vocab),
+j2 AS (SELECT l3.*, list_transform(p.ranked, lambda x: 'X' || x) AS ranked,
+              list_transform(list_filter(p.final, lambda x: list_contains(vl.codes, x)), lambda x: 'X' || x) AS pred
+       FROM case_preds20 p JOIN l3 ON l3.case_id = p.case_id, vl WHERE p.round = 1)"""
+SQL["set2_top1_accuracy"] = with_views(_SET2_J + "\n" + " UNION ALL ".join(f"""
+SELECT '{name}' AS top1, count(*) FILTER (WHERE {c} IS NOT NULL AND list_contains(pred, {c})) AS correct, count(*) AS total_all,
+       count(*) FILTER (WHERE {c} IS NOT NULL) AS total_with_top1,
+       round(count(*) FILTER (WHERE {c} IS NOT NULL AND list_contains(pred, {c})) / count(*), 6) AS accuracy_all,
+       round(count(*) FILTER (WHERE {c} IS NOT NULL AND list_contains(pred, {c})) / count(*) FILTER (WHERE {c} IS NOT NULL), 6) AS accuracy_with_top1
+FROM j2""" for c, name in (("top1", "first_primary"), ("top1_any", "with_fallback"))), "diagnoses", "case_preds20", "vocab")
+SQL["set2_recall_at_k"] = with_views(_SET2_J + """,
+ks AS (SELECT unnest(range(1, 21)) AS k)
+SELECT CAST(k AS INTEGER) AS k, round(avg(len(list_filter(list_distinct(labels), lambda x: list_contains(ranked[1:k], x))) / len(labels)), 6) AS recall, count(*) AS n
+FROM j2, ks WHERE len(labels) > 0 GROUP BY k""", "diagnoses", "case_preds20", "vocab")
