@@ -10,8 +10,11 @@ import sys
 
 import numpy as np
 
+from casespark.llm.text_arrays import steps
 from casespark.llm.word_table import WordTable
 
+#: bytes that are split into words at a time: the arrays of a part take some forty times as much memory
+PART_BYTES = 250_000
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
@@ -76,6 +79,10 @@ class ByteBPE(WordTable):
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and the number of ids of each."""
+        parts = [self._encode(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]) for lo, hi in steps(offs, PART_BYTES)]
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else self._encode(data, offs)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, doc = self.split(data, offs)
         n = len(offs) - 1
         if not len(starts):

@@ -25,6 +25,8 @@ from casespark.llm.byte_bpe import ByteBPE
 from casespark.llm.text_arrays import steps, text_buffers
 
 SENTENCE, HARD, OPEN, REACH = 4, 64, 8, 64
+#: text that the dynamic program sees at a time, after what the windows before it left
+STREAM_BYTES = 500_000
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long")
 
@@ -135,7 +137,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Every document (null text: empty) gives its ids and ``closing_id``; each id lies in exactly one piece and pieces
     follow the order of rows in a partition.  No shuffle; one unfinished sequence per partition.  Repeated rows and
-    ids are packed one by one, a text of any length is cut into windows, an empty table gives no piece.
+    ids are packed one by one, a text of any length is cut into windows, an empty table gives no piece.  The string of
+    a special token counts as ordinary text.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -146,7 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             data, offs = text_buffers(batch.column(1))
             ids_of = batch.column(0).to_pylist()
-            for lo, hi in steps(offs):
+            for lo, hi in steps(offs, STREAM_BYTES):
                 ids, counts = encoder.encode(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
                 ids = np.insert(ids, np.cumsum(counts), closing_id)
                 stream.add(ids_of[lo:hi], ids, counts + 1)

@@ -21,6 +21,8 @@ from casespark.llm.word_table import WordTable
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: bytes of text that are encoded at a time
+PART_BYTES = 500_000
 LONG_UNIT = 512                                                # longer units are solved one by one
 
 
@@ -106,7 +108,7 @@ class Trie:
                 at, child = base[s] + code, children[node][code]
                 used[at], check[at], piece[at], state[child] = 1, s, ends[child], at
         pad = len(self.alphabet) + 1                            # any code added to any base stays inside
-        self.base, self.check, self.piece = np.array(base + [0] * pad), np.array(check + [-1] * pad), np.array(piece + [-1] * pad)
+        self.base, self.check, self.piece = (np.array(x + [v] * pad, np.int32) for x, v in ((base, 0), (check, -1), (piece, -1)))
 
 
 class Unigram(WordTable):
@@ -246,27 +248,66 @@ class Unigram(WordTable):
         return np.split(ids, np.cumsum(np.bincount(doc, lengths, len(texts)).astype(np.int64))[:-1])
 
 
+def _plain(path: str) -> tuple[dict, dict]:
+    """Model and trie as plain lists and arrays, which need no class of this library to be unpickled."""
+    model = PieceModel.load(path)
+    return dict(model.__dict__), dict(Trie(model).__dict__)
+
+
+def _encoder(plain: tuple[dict, dict]) -> Unigram:
+    trie = Trie.__new__(Trie)
+    trie.__dict__.update(plain[1])
+    return Unigram(PieceModel(**plain[0]), trie)
+
+
+class _Decoder:
+    """Texts of id sequences."""
+
+    def __init__(self, model: PieceModel):
+        table = [bytes([i - model.bytes_at]) if 0 <= i - model.bytes_at < 256 else w.encode() if model.normal[i] else b""
+                 for i, w in enumerate(model.pieces)]
+        self.pool = np.frombuffer(b"".join(table), np.uint8)
+        self.length = np.array([len(t) for t in table], np.int64)
+        self.place = np.cumsum(self.length) - self.length
+
+    def text(self, ids: np.ndarray) -> str:
+        size = self.length[ids]
+        raw = self.pool[np.repeat(self.place[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
+
+
+def _texts_and_ids(encoder: Unigram, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str], list[np.ndarray]]]:
+    """Ids, whole texts and piece ids of a few documents at a time."""
+    for batch in batches:
+        _, offs = text_buffers(batch.column(1))
+        for lo, hi in steps(offs, PART_BYTES):
+            texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            yield batch.column(0).slice(lo, hi - lo), texts, encoder.encode(texts)
+
+
+def _raw(ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary())
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+
+
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_col, ids`` for every row; ``ids`` holds little-endian 32-bit piece ids.
 
-    A null text is empty and has no ids.  Repeated rows are encoded one by one, texts of any length as a whole; an
-    empty table gives an empty result; other columns are ignored.
+    A null text is empty and has no ids.  Of paths of equal score the one that is met first stays (the shorter piece at
+    the end).  Repeated rows are encoded one by one, texts of any length as a whole; an empty table gives an empty
+    result; other columns are ignored.
     """
-    model = PieceModel.load(model_path)
-    shared = docs.sparkSession.sparkContext.broadcast((model, Trie(model)))     # a vocabulary: about 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model_path))       # a vocabulary: about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Unigram(*shared.value)
-        for batch in batches:
-            _, offs = text_buffers(batch.column(1))
-            for lo, hi in steps(offs):
-                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(texts, pa.string()),
-                                       pa.array([x.astype("<i4").tobytes() for x in encoder.encode(texts)], pa.binary())],
-                                      [id_col, text_col, "ids"])
+        for doc, texts, ids in _texts_and_ids(_encoder(shared.value), batches):
+            yield pa.record_batch([doc, pa.array(texts, pa.string()), _raw(ids)], [id_col, text_col, "ids"])
 
-    return (docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-            .mapInArrow(run, f"`{id_col}` long, `{text_col}` string, ids binary"))
+    return _base(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` long, `{text_col}` string, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -274,27 +315,30 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids", out
 
     Without ids the text is empty.  A marker character of the original text comes back as a blank.
     """
-    model = PieceModel.load(model_path)
-    texts = [bytes([i - model.bytes_at]) if 0 <= i - model.bytes_at < 256 else w.encode() if model.normal[i] else b""
-             for i, w in enumerate(model.pieces)]
-    shared = encoded.sparkSession.sparkContext.broadcast(texts)
+    shared = encoded.sparkSession.sparkContext.broadcast(dict(PieceModel.load(model_path).__dict__))
     names = [c for c in encoded.columns if c != out_col]
     types = dict(encoded.dtypes)
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        pool = np.frombuffer(b"".join(table), np.uint8)
-        length = np.array([len(t) for t in table], np.int64)
-        place = np.cumsum(length) - length
+        decoder = _Decoder(PieceModel(**shared.value))
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            out = []
-            for raw in batch.column(at).to_pylist():
-                ids = np.frombuffer(raw or b"", "<i4")
-                size = length[ids]
-                joined = pool[np.repeat(place[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
-                text = joined.decode("utf-8", "replace").replace(MARK, " ")
-                out.append(text[1:] if text.startswith(" ") else text)
+            out = [decoder.text(np.frombuffer(raw or b"", "<i4")) for raw in batch.column(at).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*names, out_col])
 
     return encoded.select(*names).mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in names] + [f"`{out_col}` string"]))
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, text_col, ids, decoded`` for every row: both directions in one pass, so a task holds one table of the
+    vocabulary and one worker.  Texts as in ``encode_pieces``, ``decoded`` as in ``decode_pieces``."""
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value)
+        decoder = _Decoder(encoder.model)
+        for doc, texts, ids in _texts_and_ids(encoder, batches):
+            yield pa.record_batch([doc, pa.array(texts, pa.string()), _raw(ids), pa.array(map(decoder.text, ids), pa.string())],
+                                  [id_col, text_col, "ids", "decoded"])
+
+    return _base(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` long, `{text_col}` string, ids binary, decoded string")

@@ -13,7 +13,7 @@ from casespark.llm.hard_negatives import mine_hard_negatives
 from casespark.llm.hmm_lm import score_texts
 from casespark.llm.minhash_dedup import near_duplicates
 from casespark.llm.packing import pack
-from casespark.llm.pieces import decode_pieces, encode_pieces
+from casespark.llm.pieces import encode_and_decode
 from casespark.llm.pii import pseudonymise
 from casespark.llm.quality import quality_scores
 from casespark.llm.repeats import remove_repeats
@@ -85,7 +85,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    both = decode_pieces(encode_pieces(documents(spark, sf_dir), path), path)
+    both = encode_and_decode(documents(spark, sf_dir), path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 

@@ -27,7 +27,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + 1)
+        size = 1 << max(18, (n - 1).bit_length())
         for k, step in enumerate((_BASE, np.uint64(pow(int(_BASE), -1, 2**64)))):
             table = np.full(size, step, np.uint64)
             table[0] = 1

@@ -13,7 +13,7 @@ class WordTable:
     Subclasses give ``ids_of(data, starts, ends)``: ids of distinct words one after another, and how many each has.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self) -> None:
         self._clear()

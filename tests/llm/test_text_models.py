@@ -17,7 +17,7 @@ import casespark.llm.hmm_lm as hmm
 from casespark.llm.byte_bpe import ByteBPE
 from casespark.llm.hmm_lm import score_texts
 from casespark.llm.packing import HARD, OPEN, cuts, pack
-from casespark.llm.pieces import PieceModel, Trie, Unigram, decode_pieces, encode_pieces
+from casespark.llm.pieces import PieceModel, Trie, Unigram, decode_pieces, encode_and_decode, encode_pieces
 from casespark.llm.quality import quality_scores
 from casespark.llm.text_arrays import text_buffers
 
@@ -138,6 +138,8 @@ def test_unigram_paths_are_best_and_round_trip(unigram):
 
 def test_pieces_in_a_table(spark):
     rows = list(enumerate(ODD))
+    both = {r.doc_id: (r.ids, r.decoded) for r in encode_and_decode(table(spark, rows), PIECES).collect()}
+    assert both == {r.doc_id: (r.ids, r.decoded) for r in decode_pieces(encode_pieces(table(spark, rows), PIECES), PIECES).collect()}
     got = {r.doc_id: r for r in decode_pieces(encode_pieces(table(spark, rows), PIECES), PIECES).collect()}
     for i, t in rows:
         assert got[i].decoded == (t or "").replace("▁", " ")
