@@ -55,7 +55,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = base.select("id", F.char_length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"))
     keyed = texts.withColumn("key", F.shiftrightunsigned(F.xxhash64("norm"), 64 - key_bits) if key_bits < 64
                              else F.xxhash64("norm"))
@@ -68,11 +68,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
               .select("key", "n_chars", "id", "n", F.octet_length("norm").alias("n_bytes"),
                       F.unhex(F.sha2("norm", 256)).alias("sha"), F.xxhash64(F.lit(7), "norm").alias("link"))
               .groupBy("key", "sha", "n_bytes")
-              .agg(F.max(F.struct("n_chars", (-F.col("id")).alias("order"))).alias("best"),
+              .agg(F.max(F.struct("n_chars", F.bitwise_not("id").alias("order"))).alias("best"),
                    F.sum("n").alias("group_size"), F.count_distinct("link").alias("links"))
               .withColumn("cell", F.shiftrightunsigned("key", key_bits - bits))
               .join(cells, "cell")
-              .select("bucket", "key", "sha", "n_bytes", (-F.col("best.order")).alias("keep_id"), "group_size",
+              .select("bucket", "key", "sha", "n_bytes", F.bitwise_not("best.order").alias("keep_id"), "group_size",
                       F.when(F.col("links") > 1, F.raise_error(F.lit("two texts share key and digest")))
                       .otherwise(F.lit(True)).cast("boolean").alias("checked")))
     index = scratch.table(chains.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
@@ -85,6 +85,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows of the documents that stay, with their own columns."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    """The input rows that stay, with their own columns: one of each group of equal texts.
+
+    A row is known by its id and its text, so the verdict on one text of an id is not that on another; of rows that
+    repeat both, one stays."""
+    kept = (exact_duplicates(docs, id_col, text_col).where("kept")
+            .select(_known(F.col(id_col)).alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
+    text = F.col(text_col).cast("string")
+    rows = docs.withColumn("__id", _known(F.col(id_col).cast("long"))).withColumn("__sha", F.sha2(normalised(text), 256))
+    return one_of_each(rows.join(kept, ["__id", "__sha"], "left_semi"), ["__id", "__sha"],
+                       F.char_length(F.coalesce(text, F.lit("")))).select(*docs.columns)
+
+
+def _known(id_: Column) -> Column:
+    """An id as text, null included: joins and groups by it need no null-safe comparison and share one partitioning."""
+    return F.coalesce(id_.cast("string"), F.lit("null"))
+
+
+def one_of_each(rows: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """One row for each value of ``keys``: of greatest ``size``; rows partitioned by the keys are not moved again."""
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in keys]), size).alias("row"))
+            .select("row.*"))

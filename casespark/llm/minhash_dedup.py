@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casespark.llm.components import connected_components
+from casespark.llm.exact_dedup import one_of_each
 from casespark.llm.shared import Scratch
 from casespark.llm.text_arrays import LOWER, combine, mix, span_hashes, steps, text_buffers, word_spans
 
@@ -411,6 +412,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The input rows of one document of each group, with their own columns."""
-    kept = near_duplicates(docs, id_col, text_col, **parameters).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__keep"]), "left_semi")
+    """The input rows of one document of each group, with their own columns; of rows that repeat id and text one stays."""
+    kept = (near_duplicates(docs, id_col, text_col, **parameters).where("kept")
+            .select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id")).distinct())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = (docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")))
+            .withColumn("__sha", F.sha2(text, 256)))
+    return one_of_each(rows.join(kept, "__id", "left_semi"), ["__id", "__sha"], F.lit(0)).select(*docs.columns)

@@ -46,6 +46,14 @@ def test_exact_edge_tables(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 7, 9, 10, 11]
 
 
+def test_exact_rows_are_known_by_id_and_text(spark):
+    rows = [(1, "aaa"), (1, "bb b"), (2, "bbb "), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (-2**63, "e"), (5, " e")]
+    kept = sorted((str(r.doc_id), r.text) for r in drop_exact_duplicates(table(spark, rows)).collect())
+    assert kept == sorted([("1", "aaa"), ("1", "bb b"), ("3", "c"), ("None", "d"), ("5", " e")])
+    lowest = {r.doc_id: r for r in exact_duplicates(table(spark, [(-2**63, "e"), (5, "e")])).collect()}
+    assert lowest[5].keep_id == -2**63 and lowest[-2**63].kept
+
+
 PII = [
     (1, "Mail John.Doe@corp.example.com or JOHN.DOE@CORP.EXAMPLE.COM, tel +1 (415) 555-2671 / 415-555-2671."),
     (2, "Mr. John Smith met Mrs. Anna Smith; Dr. Smith left. Card 4111 1111 1111 1111, order 4111111111111112."),
