@@ -28,7 +28,10 @@ from casespark.llm.exact_dedup import one_of_each
 from casespark.llm.shared import Scratch
 from casespark.llm.text_arrays import LOWER, combine, mix, span_hashes, steps, text_buffers, word_spans
 
-SKETCH, LEAD, CENTRES, LEVELS, LONG, SIDE, SALTS, BIG = 64, 10, 3, 5, 64, 256, 64, 32
+SKETCH, LEAD, CENTRES, LEVELS, SIDE, SALTS, BIG = 64, 10, 3, 5, 256, 64, 32
+#: members of a list outside its largest component that meet each other as they are: a million estimates in a few blocks
+#: cost less than the rows that dividing the list by further values would make
+LONG = 1024
 #: retained values that travel to the blocks of a list; at least LEAD + 2 * (LEVELS - 2)
 SHORT = 24
 
