@@ -30,23 +30,23 @@ PII_KEY = "published with the tests"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
-#: small labelled URL table (1: block), invented for this purpose
-URL_LABELS = [(f"https://{host}/{path}", 1) for host, path in [
-    ("spam-farm.example.net", "en/12"), ("www.spam-links.example.com", "de/7.html"), ("adult-x.example.org", "fr/4"),
-    ("m.adult-videos.example.net", "es/90"), ("casino-bonus.example.com", "en/slots"), ("www.best-casino.example.net", "win"),
-    ("xxx-cams.example.org", "live/3"), ("free-xxx.example.com", "en/88?page=2"), ("cheap-pills.example.net", "buy-now"),
-    ("pharma-pills.example.com", "en/order"), ("poker-win.example.org", "de/12"), ("clickbait.example.net", "you-wont-believe"),
-    ("link-farm.example.com", "fr/345.html"), ("seo-spam.example.org", "en/1/"), ("malware-download.example.net", "setup.exe"),
-    ("phishing-login.example.com", "verify/account"), ("warez-crack.example.org", "keygen"), ("spamblog.example.net", "es/5#top"),
-    ("adult.example.com", "en/33"), ("get-rich-quick.example.net", "offer"), ("hot-singles.example.org", "meet")]] + [
-    (f"https://{host}/{path}", 0) for host, path in [
-        ("blog.writer.example.com", "en/12"), ("www.news-daily.example.net", "de/7.html"), ("library.example.org", "fr/4"),
-        ("m.museum.example.net", "es/90"), ("university.example.com", "en/courses"), ("www.weather.example.net", "today"),
-        ("recipes.example.org", "soup/3"), ("garden.example.com", "en/88?page=2"), ("science-journal.example.net", "issue-4"),
-        ("encyclopedia.example.com", "en/article"), ("chess-club.example.org", "de/12"), ("travel.example.net", "mountain-walks"),
-        ("history.example.com", "fr/345.html"), ("code-forum.example.org", "en/1/"), ("docs.project.example.net", "manual.html"),
-        ("city-council.example.com", "meetings/agenda"), ("theatre.example.org", "programme"), ("blog.thing.example.net", "es/5#top"),
-        ("www.other.example.com", "en/33"), ("music-school.example.net", "lessons"), ("blog.notes.example.org", "en/773")]]
+#: small labelled URL table (1: block); sites invented for this purpose, none of them a site of the tables
+URL_LABELS = [(f"https://{url}", 1) for url in [
+    "discount-pills.example.net", "www.pharma-pills.example.com/en/order", "pillshop.example.org/fr/4", "m.diet-pills.example.net/es/90",
+    "casino-bonus.example.com/en/slots", "www.best-casino.example.net/win", "poker-win.example.org/de/12", "sportsbets.example.com/en/88?page=2",
+    "www.bets-online.example.net/de/7.html", "adult-videos.example.net", "www.adultcams.example.org/live/3", "xxx-cams.example.org/en/345.html",
+    "free-xxx.example.com/fr/345.html", "hot-singles.example.org/meet", "link-farm.example.com/en/1/", "www.content-farm.example.net/es/5#top",
+    "seo-spam.example.org", "spamblog.example.net/en/33", "spam-links.example.com/en/12", "clickbait.example.net/you-wont-believe",
+    "malware-download.example.net/setup.exe", "phishing-login.example.com/verify/account", "warez-crack.example.org/keygen",
+    "get-rich-quick.example.net/offer", "free-prizes.example.com/en/claim", "cheap-loans.example.org/apply", "m.cheap-watches.example.com/buy"]] + [
+    (f"https://{url}", 0) for url in [
+        "blog.writer.example.com/en/12", "www.news-daily.example.net/de/7.html", "library.example.org", "m.museum.example.net/es/90",
+        "university.example.com/en/courses", "www.weather.example.net/today", "recipes.example.org/soup/3", "garden.example.com/en/88?page=2",
+        "science-journal.example.net", "encyclopedia.example.com/en/article", "chess-club.example.org/de/12", "blog.northern.example.org/en/345.html",
+        "travel.example.net/mountain-walks", "history.example.com/fr/345.html", "code-forum.example.org/en/1/", "docs.project.example.net/manual.html",
+        "city-council.example.com/meetings/agenda", "theatre.example.org/programme", "blog.thing.example.net/es/5#top", "www.other.example.com/en/33",
+        "music-school.example.net/lessons", "blog.notes.example.org/en/773", "station.example.com", "www.weekend-markets.example.org/fr/4",
+        "m.hospital.example.com/en/claim", "mathematics.example.net/en/order", "example.org"]]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,10 +43,12 @@ def ngrams(host: str, path: str) -> Column:
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "block") -> PipelineModel:
-    """Model from rows (url, 0/1); rows with a null are skipped."""
+    """Model from rows (url, 0/1); rows with a null are skipped, and without any row nothing is blocked."""
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(
         host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
         F.col(label_col).cast("double").alias("label")).select(ngrams("host", "path").alias("grams"), "label").coalesce(1)
+    if rows.isEmpty():                                         # the labelled table is small
+        rows = rows.sparkSession.createDataFrame([([], 0.0)], "grams array<string>, label double")
     return Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True),
         LogisticRegression(regParam=0.01, maxIter=50),
@@ -54,7 +56,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "block") -
 
 
 def matched_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path, rule, verdict) of the sites that some rule fits; the longest rule wins, then the first by name."""
+    """(host, path, rule, verdict) of the sites that some rule fits; the longest rule wins, then the first by name, then allow."""
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # no more than the longest path
     asked = (sites.where("host <> ''")
              .withColumn("labels", F.split("host", r"\."))
@@ -66,7 +68,7 @@ def matched_rules(sites: DataFrame, rules: DataFrame) -> DataFrame:
     known = rules.select(F.col("host").alias("parent"), F.col("path").alias("start"), "verdict")
     return (asked.join(known, ["parent", "start"])
             .groupBy("host", "path")
-            .agg(F.max(F.struct(F.length(F.concat("parent", "start")).alias("n"), F.concat("parent", "start").alias("rule"),
+            .agg(F.min(F.struct(-F.length(F.concat("parent", "start")).alias("n"), F.concat("parent", "start").alias("rule"),
                                 "verdict")).alias("best"))
             .select("host", "path", "best.rule", "best.verdict"))
 
@@ -75,7 +77,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame, id_col:
                 url_col: str = "url") -> DataFrame:
     """One row per input row: ``id_col, host, path, rule, verdict``.
 
-    Null urls and those without ``://`` have an empty host and path, which no rule fits; the regression judges them.
+    Null urls and those without ``://`` have an empty host and path, which no rule fits and which show the regression
+    nothing: they are allowed.
     Repeated rows and ids are judged row by row; an empty table gives an empty result; other columns are ignored.
     A rule (host, path, verdict) fits its host and all subdomains where the path begins with the rule's.
     """
@@ -86,6 +89,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame, id_col:
     judged = train(labelled).transform(ruled.where("verdict IS NULL").withColumn("grams", ngrams("host", "path")))
     verdicts = scratch.table(
         ruled.where("verdict IS NOT NULL").select("host", "path", "rule", "verdict").unionByName(
-            judged.select("host", "path", "rule", F.when(F.col("prediction") > 0.5, "block").otherwise("allow").alias("verdict"))),
+            judged.select("host", "path", "rule", F.when((F.col("prediction") > 0.5) & (F.col("host") != ""), "block").otherwise("allow").alias("verdict"))),
         "verdicts")
     return rows.join(verdicts, ["host", "path"]).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")

@@ -153,6 +153,7 @@ def test_surrogates_of_empty_table(spark):
     assert pseudonymise(table(spark, []), "key").collect() == []
 
 
+RULE_SCHEMA = "host string, path string, verdict string"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
          ("com", "/de/", "block")]
 URLS = [
@@ -172,7 +173,7 @@ URLS = [
 
 def test_url_rules_and_parts(spark):
     pages = spark.createDataFrame([(k, u[0], "r") for k, u in enumerate(URLS + URLS[:1])], "page_id long, url string, rule string")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
     labelled = spark.createDataFrame([("https://spam.example/x", 1), ("https://good.example/x", 0)] * 3, "url string, block int")
     got = {r.page_id: r for r in filter_urls(pages, rules, labelled).collect()}
     assert len(got) == len(URLS) + 1
@@ -183,8 +184,36 @@ def test_url_rules_and_parts(spark):
 
 def test_url_regression_learns(spark):
     pages = spark.createDataFrame([(1, "https://spam-site.net/a"), (2, "https://good-site.net/a")], "page_id long, url string")
-    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    rules = spark.createDataFrame([], RULE_SCHEMA)
     labelled = spark.createDataFrame([(f"https://spam{i}.example/x", 1) for i in range(8)]
                                      + [(f"https://good{i}.example/x", 0) for i in range(8)], "url string, block int")
     assert {r.page_id: r.verdict for r in filter_urls(pages, rules, labelled).collect()} == {1: "block", 2: "allow"}
     assert filter_urls(pages.where("false"), rules, labelled).collect() == []
+
+
+def test_url_edge_cases(spark):
+    pages = spark.createDataFrame([(1, "https://a.org/x"), (2, "mailto:a"), (3, None), (4, "https://bad.net")], "page_id long, url string")
+    rules = spark.createDataFrame([("org", "/x", "block"), ("org", "/x", "allow"), ("a.org", "/", "block")], RULE_SCHEMA)
+    none = spark.createDataFrame([], "url string, block int")
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, rules, none).collect()}
+    # a.org/ and org/x: 6 and 5 characters
+    assert got == {1: ("a.org/", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow")}
+    blocked = spark.createDataFrame([("https://bad.net", 1), (None, 0), ("https://x.y", None)], "url string, block int")
+    got = {r.page_id: r.verdict for r in filter_urls(pages, rules.where("host = 'org'"), blocked).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "allow", 4: "block"}     # one rule given twice: allow comes first
+    assert filter_urls(pages, rules.where("false"), none).count() == 4
+
+
+BAD_SITES = ["spam-farm", "cheap-pills", "adult-x", "free-bets"]
+
+
+def test_url_regression_on_sites_it_never_saw(spark):
+    from casespark.llm.plans import URL_LABELS
+    assert not any(site in url for site in BAD_SITES for url, _ in URL_LABELS)
+    judged = filter_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), spark.createDataFrame([], RULE_SCHEMA),
+                         spark.createDataFrame(URL_LABELS, "url string, block int")).collect()
+    bad = [r.verdict for r in judged if any(s in r.host for s in BAD_SITES)]
+    good = [r.verdict for r in judged if r.host and not any(s in r.host for s in BAD_SITES)]
+    print(len(bad), bad.count("block"), len(good), good.count("allow"))
+    assert len(bad) > 100 and bad.count("block") >= 0.9 * len(bad), (len(bad), bad.count("block"))
+    assert good.count("allow") >= 0.95 * len(good), (len(good), good.count("allow"))
