@@ -3,17 +3,20 @@
 Texts are equal when their bytes are equal after all white space ``[\\x20\\x09-\\x0D]`` is deleted.
 
 * Entries: one narrow row per document with the 64-bit key of its normalised text.
-* Directory: a key's leading bits name its cell.  Doubling the directory splits every bucket that holds more than
-  ``capacity`` distinct keys, down to ``max_depth`` bits; copies never split a bucket since only distinct keys count.
-  The directory has at most ``2**max_depth`` rows, so it may be broadcast.
-* Chains: within a key the texts are grouped by their bytes, so different texts with one key form a chain of groups.
-  Copies are merged on the map side before the shuffle: a hot text costs one row per map task.
-* Owner tasks: the chains are written to the shared folder range-partitioned by (bucket, key); each file holds a
-  range of buckets, and documents look up their chain there by an equi join.
+* Directory: a key's leading bits name its cell, the cell its bucket.  Doubling the directory splits every bucket that
+  holds more than ``capacity`` distinct keys; copies never split a bucket since only distinct keys count.  The number
+  of cells follows the number of distinct keys (eight for each bucket that full buckets would need), so buckets hold to
+  their capacity at every size.  It is joined without a hint: Spark broadcasts it only while it is small.
+* Owner tasks: copies are merged on the map side first, a hot text costs one row per map task.  The texts are then
+  dealt by ranges of (bucket, key), so a task owns a range of buckets, chains the texts of each key by their bytes
+  and writes the files of its buckets to the shared folder.
+* Lookup: a document asks the bucket that the directory names for its key, and only that one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,32 +29,50 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def directory(keys: DataFrame, key_bits: int, capacity: int, max_depth: int) -> DataFrame:
+def depth_for(keys: DataFrame, key_bits: int, capacity: int) -> int:
+    """Depth of a directory with about eight cells for each full bucket; no result depends on it."""
+    held = keys.agg(F.approx_count_distinct("key")).first()[0]
+    return min(key_bits, max(0, math.ceil(math.log2(max(held / capacity, 1)))) + 3)
+
+
+def directory(keys: DataFrame, key_bits: int, capacity: int, bits: int) -> DataFrame:
     """Cell -> bucket of the extendible-hash directory over the distinct values of column ``key``.
 
-    A cell is the first ``max_depth`` bits of a key.  The bucket of a cell is the shortest prefix of it, written
+    A cell is the first ``bits`` bits of a key.  The bucket of a cell is the shortest prefix of it, written
     as ``2**depth + prefix``, that holds at most ``capacity`` distinct keys (or the cell itself).
     """
-    bits = min(max_depth, key_bits)
     cells = (keys.select("key").distinct()
-             .groupBy(F.shiftrightunsigned("key", key_bits - bits).alias("cell")).agg(F.count("*").alias("filled")))
+             .groupBy(cell(key_bits, bits).alias("cell")).agg(F.count("*").alias("filled")))
     prefixes = cells.select("cell", "filled", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).select(
         "cell", "filled", "depth",
         F.expr(f"(1L << depth) + (cell >> ({bits} - depth))").alias("bucket"))
     fits = (prefixes.groupBy("bucket").agg(F.sum("filled").alias("held"))
             .where((F.col("held") <= capacity) | (F.col("bucket") >= F.lit(1 << bits))))
-    return (prefixes.join(F.broadcast(fits), "bucket").groupBy("cell").agg(F.min_by("bucket", "depth").alias("bucket")))
+    return prefixes.join(fits, "bucket").groupBy("cell").agg(F.min_by("bucket", "depth").alias("bucket"))
+
+
+def cell(key_bits: int, bits: int) -> Column:
+    """The first ``bits`` bits of ``key``."""
+    return F.shiftrightunsigned("key", key_bits - bits) if bits else F.lit(0).cast("long")
+
+
+def look_up(entries: DataFrame, index: DataFrame, cells: DataFrame, key_bits: int, bits: int) -> DataFrame:
+    """The entries with their chains, each from the bucket that the directory names; an entry without one is an error."""
+    found = index.select("bucket", "key", "sha", "n_bytes", "keep_id", "group_size")
+    return (entries.withColumn("cell", cell(key_bits, bits)).join(cells, "cell", "left")
+            .join(found, ["bucket", "key", "sha", "n_bytes"], "left")
+            .withColumn("group_size", F.coalesce("group_size", F.raise_error(F.lit("a key is not in the bucket of its cell")).cast("long"))))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bits: int = 64,
-                     capacity: int = 4096, max_depth: int = 12) -> DataFrame:
+                     capacity: int = 4096, max_depth: int | None = None) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
     The row of a group with the most code points, then the smallest id, stays.  A null text counts as empty, and all
     texts of white space only form one group with the empty ones.  Rows that repeat an id and its text are counted
     one by one in ``group_size`` and carry equal flags; null ids never win against others.  An empty table gives an
     empty result; further columns are ignored, whatever their names.  ``key_bits`` below 64 only serves to force
-    collisions of keys in tests.
+    collisions of keys in tests, ``max_depth`` a shallower directory.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -62,23 +83,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     entries = scratch.table(
         keyed.select("id", "key", F.octet_length("norm").alias("n_bytes"), F.unhex(F.sha2("norm", 256)).alias("sha")),
         "entries")
-    bits = min(max_depth, key_bits)
-    cells = F.broadcast(directory(entries, key_bits, capacity, max_depth))        # at most 2**max_depth rows
-    chains = (keyed.groupBy("key", "norm", "n_chars").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-              .select("key", "n_chars", "id", "n", F.octet_length("norm").alias("n_bytes"),
-                      F.unhex(F.sha2("norm", 256)).alias("sha"), F.xxhash64(F.lit(7), "norm").alias("link"))
-              .groupBy("key", "sha", "n_bytes")
+    bits = depth_for(entries, key_bits, capacity) if max_depth is None else min(max_depth, key_bits)
+    cells = scratch.table(directory(entries, key_bits, capacity, bits), "directory")
+    owned = (keyed.groupBy("key", "norm", "n_chars").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+             .select("key", "n_chars", "id", "n", F.octet_length("norm").alias("n_bytes"),
+                     F.unhex(F.sha2("norm", 256)).alias("sha"), F.xxhash64(F.lit(7), "norm").alias("link"))
+             .withColumn("cell", cell(key_bits, bits)).join(cells, "cell").drop("cell")
+             .repartitionByRange("bucket", "key"))
+    chains = (owned.groupBy("bucket", "key", "sha", "n_bytes")
               .agg(F.max(F.struct("n_chars", F.bitwise_not("id").alias("order"))).alias("best"),
                    F.sum("n").alias("group_size"), F.count_distinct("link").alias("links"))
-              .withColumn("cell", F.shiftrightunsigned("key", key_bits - bits))
-              .join(cells, "cell")
-              .select("bucket", "key", "sha", "n_bytes", F.bitwise_not("best.order").alias("keep_id"), "group_size",
-                      F.when(F.col("links") > 1, F.raise_error(F.lit("two texts share key and digest")))
-                      .otherwise(F.lit(True)).cast("boolean").alias("checked")))
-    index = scratch.table(chains.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    return (entries.join(index.select("key", "sha", "n_bytes", "keep_id", "group_size", "checked"),
-                         ["key", "sha", "n_bytes"])
-            .where("checked")
+              .select("bucket", "key", "sha", "n_bytes", F.bitwise_not("best.order").alias("keep_id"),
+                      F.when(F.col("links") > 1, F.raise_error(F.lit("two texts share key and digest")).cast("long"))
+                      .otherwise(F.col("group_size")).alias("group_size")))
+    index = scratch.table(chains.sortWithinPartitions("bucket", "key"), "index")
+    return (look_up(entries, index, cells, key_bits, bits)
             .select(F.col("id").alias(id_col), "keep_id", "group_size",
                     F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("sha")).alias("text_sha256")))

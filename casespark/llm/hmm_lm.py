@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casespark.llm.shared import Scratch
+from casespark.llm.shared import Scratch, tree_sums
 from casespark.llm.text_arrays import LOWER, span_hashes, steps, text_buffers, word_spans
 
 STATES, ITERATIONS, PIECE = 8, 4, 256
@@ -180,8 +180,7 @@ def baum_welch(encoded: DataFrame, model: dict, mass: np.ndarray) -> dict:
         yield pa.record_batch({"part": pa.array(range(STATES), pa.int32()), "sums": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     schema = "part int, sums binary"
-    got = (encoded.where("NOT held_out").select("classes").mapInArrow(count, schema).repartition(STATES, "part")
-           .mapInArrow(_add_up, schema).collect())
+    got = tree_sums(encoded.where("NOT held_out").select("classes").mapInArrow(count, schema), "part", _add_up).collect()
     shared.unpersist()
     rows = np.zeros((STATES, CLASSES + STATES + 1))
     for r in got:
@@ -272,12 +271,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def add_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SEEDS * SEEDS, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
+            for x in batch.column(1).to_pylist():
                 total += np.frombuffer(x, np.int64)
-        yield pa.record_batch({"sums": pa.array([total.tobytes()], pa.binary())})
+        yield pa.record_batch({"row": pa.array([-1]), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    bigrams = (written.where("row < 0").select("classes").repartition(1).mapInArrow(add_bigrams, "sums binary").collect()[0]["sums"])
-    model = initial_model(np.frombuffer(bigrams, np.int64).astype(float).reshape(SEEDS, SEEDS), mass, np.arange(SEEDS))
+    partial = written.where("row < 0").select("row", F.col("classes").alias("sums"))
+    bigrams = np.zeros(SEEDS * SEEDS)
+    for r in tree_sums(partial, "row", add_bigrams).collect():
+        bigrams += np.frombuffer(r["sums"], np.int64)
+    model = initial_model(bigrams.reshape(SEEDS, SEEDS), mass, np.arange(SEEDS))
     for _ in range(iterations if n else 0):
         model = baum_welch(encoded, model, mass)
     final = spark.sparkContext.broadcast((model, mass))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casespark.llm.shared import Scratch
+from casespark.llm.shared import Scratch, tree_sums
 from casespark.llm.text_arrays import mix, span_hashes, steps, text_buffers
 
 SLOTS, DIM, NONZERO, REACH, BLOCK = 1 << 14, 32, 4, 2, 256
@@ -88,8 +88,8 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Unit vector and weight of every slot, from all documents; the table has ``SLOTS`` rows at every input size."""
     schema = "block int, sums binary"
-    blocks = (docs.select(F.col(text_col).cast("string")).mapInArrow(_neighbour_sums, schema)
-              .repartition(8, "block").mapInArrow(_add_up, schema).collect())      # SLOTS * (DIM + 1) numbers
+    partial = docs.select(F.col(text_col).cast("string")).mapInArrow(_neighbour_sums, schema)
+    blocks = tree_sums(partial, "block", _add_up).collect()                       # SLOTS * (DIM + 1) numbers
     table = np.zeros((SLOTS // BLOCK, BLOCK * (DIM + 1)))
     for row in blocks:
         table[row["block"]] = np.frombuffer(row["sums"], np.int64)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casespark.session import checkpoint_dir
 
@@ -34,3 +36,14 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tree_sums(partial: DataFrame, key: str, add: Callable, fan: int = 1024) -> DataFrame:
+    """One row per ``key`` from the partial sums of all tasks, added by ``add`` (mapInArrow) in two steps.
+
+    The first step deals the sums of a key over ``fan`` groups by the task they come from, so that no task reads those
+    of all tasks.
+    """
+    schema = partial.schema
+    dealt = partial.withColumn("__group", F.spark_partition_id() % fan).repartition(key, "__group").drop("__group")
+    return dealt.mapInArrow(add, schema).repartition(key).mapInArrow(add, schema)
