@@ -112,7 +112,7 @@ def micro_first_or_all(micro: DataFrame, encounters: DataFrame) -> DataFrame:
     return join_back(kept, g, keys).filter(keep).drop("_any_null", "_first", "_rows")
 
 
-# --------------------------------------------------------------------- eICU lab reduction
+# --------------------------------------------------------------------- lab reduction of set 2
 LAB_ATTRS = ["labresultoffset", "labresultrevisedoffset", "labtypeid", "labmeasurenamesystem",
              "labmeasurenameinterface", "labid"]
 
@@ -183,7 +183,7 @@ def head_per_group(df: DataFrame, key: list[str], order: list[str], n: int = 15)
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-# --------------------------------------------------------------------- eICU table cleaners
+# --------------------------------------------------------------------- table cleaners of set 2
 def clean_diagnoses(diag: DataFrame, pid: str = "hadm_id", order: str = "seq_num") -> DataFrame:
     """Codes present and non-blank, then one row per (stay, diagnosis string), first kept."""
     return dedup_keep(drop_blank_codes(diag, "icd9code"), [pid, "diagnosisstring"], [order], "first")

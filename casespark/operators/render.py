@@ -94,6 +94,7 @@ def _txt(c) -> Column:
     return F.coalesce(_c(c).cast("string"), F.lit("nan"))
 
 
+# Fixed value.
 LAB_HEADER = "labevents name,measurement fluid,measurement category,value,valueuom,lower_bound,upper_bound"
 
 
@@ -108,6 +109,7 @@ def render_lab_table(labs: DataFrame, key: str = "hadm_id", order=("charttime",
     return g.select(key, F.replace(text, F.lit("Beta-2"), F.lit("Beta-two")).alias("lab"))
 
 
+# Fixed value.
 VITALS_HEADER = ("gender,age approximation,temperature,heartrate,resprate,oxygen saturation,"
                  "systolic blood pressure,diastolic blood pressure,pain level")
 
@@ -119,6 +121,7 @@ def render_vitals(stay: DataFrame, key: str = "hadm_id") -> DataFrame:
     return stay.select(key, F.concat(F.lit("The ED info:\n" + VITALS_HEADER + NL), line, F.lit(NL)).alias("ed_info"))
 
 
+# Fixed value.
 MICRO_HEADER = "test name,used specimen,grew organism,test antibiotic,antibiotic sensitivity,Comments"
 
 
@@ -196,6 +199,7 @@ def text_or_none(c, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.coalesce(_c(c), F.lit("None")))
 
 
+# Fixed value.
 HISTORY_PREFIX = "notes/Progress Notes/Past History/"
 
 

@@ -1,4 +1,4 @@
-"""Cleaning / event-reduction queries (hospital labs, microbiology, eICU tables)."""
+"""Cleaning / event-reduction queries (hospital labs, microbiology, tables of set 2)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Cohort-building queries over the adapter views (eICU-style and MIMIC-style)."""
+"""Cohort-building queries over the adapter views (set 2 and set 1)."""
 
 from __future__ import annotations
 
