@@ -47,9 +47,10 @@ def range_class_join(codes: DataFrame, taxonomy: DataFrame, code: str = "code")
     return codes.withColumn("_prefix", F.substring(code, 1, 3)).join(resolved, "_prefix", "left").drop("_prefix")
 
 
-def map_codes(df: DataFrame, columns: dict[str, str], mapping: DataFrame, distinct: tuple[str, ...] = ()) -> DataFrame:
+def map_codes(df: DataFrame, columns: dict[str, str], mapping: DataFrame, distinct: tuple[str, ...] = (),
+              small: bool = False) -> DataFrame:
     """Classes (mapping ``k`` -> ``v``) of the members of array expressions; unmapped members are dropped."""
-    res = lookup_members(df, columns, mapping)
+    res = lookup_members(df, columns, mapping, small=small)
     for out in distinct:
         res = res.withColumn(out, F.array_distinct(out))
     return res
@@ -66,14 +67,15 @@ def class_sets(joined: DataFrame, taxonomy: DataFrame, level: str = "top", key:
 
     Predictions map by 3-char prefix; labels by prefix too unless
     ``label_by_membership`` (exact leaf membership, as in class recall@k)."""
+    # a prefix has three characters: the table is bounded by the alphabet of the codes, however many leaves there are
     pref = prefix_classes(taxonomy, level).select(F.col("prefix").alias("k"), F.col("cls").alias("v"))
     columns = {"cls_pred": _prefixes(pred)}
     if ranked:
         columns["cls_ranked"] = _prefixes(ranked)
     if not label_by_membership:
-        return map_codes(joined, columns | {"cls_labels": _prefixes(labels)}, pref, distinct=("cls_labels", "cls_pred"))
+        return map_codes(joined, columns | {"cls_labels": _prefixes(labels)}, pref, distinct=("cls_labels", "cls_pred"), small=True)
     member = taxonomy.select(F.col("leaf").alias("k"), F.col(level).alias("v"))
-    return map_codes(map_codes(joined, columns, pref, distinct=("cls_pred",)), {"cls_labels": f"`{labels}`"}, member,
+    return map_codes(map_codes(joined, columns, pref, distinct=("cls_pred",), small=True), {"cls_labels": f"`{labels}`"}, member,
                      distinct=("cls_labels",))
 
 
@@ -90,8 +92,8 @@ def class_accuracy(joined: DataFrame, taxonomy: DataFrame, level: str = "top", t
     """Per class of the top-1 label: a prediction falls in the same class.
     Adds an ``ALL`` row whose denominator is every case."""
     pref = prefix_classes(taxonomy, level)
-    c = joined.select(key, top1, pred).withColumn("prefix", F.substring(top1, 1, 3)).join(pref, "prefix", "left")
-    c = map_codes(c, {"pcls": _prefixes(pred)}, pref.select(F.col("prefix").alias("k"), F.col("cls").alias("v")), distinct=("pcls",))
+    c = joined.select(key, top1, pred).withColumn("prefix", F.substring(top1, 1, 3)).join(F.broadcast(pref), "prefix", "left").drop("prefix")
+    c = map_codes(c, {"pcls": _prefixes(pred)}, pref.select(F.col("prefix").alias("k"), F.col("cls").alias("v")), distinct=("pcls",), small=True)
     hit = F.coalesce(F.array_contains("pcls", F.col("cls")), F.lit(False))
     per = (c.filter(F.col("cls").isNotNull()).groupBy(F.col("cls").alias("class"))
            .agg(F.count_if(hit).alias("correct"), F.count(F.lit(1)).alias("total")))
@@ -115,7 +117,8 @@ def closeness(joined: DataFrame, taxonomy: DataFrame, mode: str = "top1", key: s
     """Distribution of best closeness scores (per case for ``top1``, per label occurrence for ``all``)."""
     info = taxonomy.select(F.col("leaf").alias("k"), F.struct(F.col("leaf").alias("code"), F.col("mid").alias("mid"),
                                                               F.col("top_lo").alias("lo"), F.col("top_hi").alias("hi")).alias("v"))
-    df = lookup_members(joined, {"_pinfo": f"`{pred}`"}, info)
+    needed = joined.select(*dict.fromkeys([key, top1 if mode == "top1" else labels, pred]))
+    df = lookup_members(needed, {"_pinfo": f"`{pred}`"}, info)
     if mode == "top1":
         s = df.select(_closeness(F.col(top1), "_pinfo").alias("score"))
     else:

@@ -1,23 +1,26 @@
 """Replace the members of array columns through a dimension table, by one plan at every size.
 
-Members are exploded under a key of their row's content (a retried task finds the same key whatever the order of its
-input), joined to the dimension (Spark chooses the join) and regrouped by that key.  The other columns travel with a
-row's first member only, so rows move once; rows that are equal in every column share a key and are given back as often
-as they were there.
+Only the members travel to the dimension, under a short key of their row: the columns that identify a row where the
+caller names them, else a digest of its content (a retried task finds the same key whatever the order of its input).
+What is found is grouped by that key and joined back, so rows move once, rows without members meet no hot key, and rows
+that are equal in every column share what was found.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup_members(df: DataFrame, columns: dict[str, str], dim: DataFrame, key: str = "k", value: str = "v") -> DataFrame:
+def lookup_members(df: DataFrame, columns: dict[str, str], dim: DataFrame, key: str = "k", value: str = "v",
+                   rows: list[str] | None = None, small: bool = False) -> DataFrame:
     """Add ``out`` for every ``out: array expression`` of ``columns``: the values of its members in order.
 
     Members without a row in ``dim`` are dropped, one with several gives all of them (in the order of the values); a
-    NULL array stays NULL and an empty one empty.  Row order within equal keys, repeats and all other columns stay.
-    """
+    NULL array stays NULL and an empty one empty.  Repeats and all other columns stay.  ``rows``: columns that no two
+    rows of ``df`` share (NULL is a value); ``small``: ``dim`` is bounded by construction and is sent to the members."""
     names, outs = df.columns, list(columns)
 
     def tag(k: int):
@@ -25,21 +28,22 @@ def lookup_members(df: DataFrame, columns: dict[str, str], dim: DataFrame, key:
             F.lit(k).alias("col"), i.alias("pos"), x.alias("member")))
 
     def untag(k: int):
-        return F.transform(F.flatten(F.transform(F.filter("all", lambda x: x["col"] == k), lambda x: x["values"])), lambda x: x["value"])
+        return F.transform(F.flatten(F.transform(F.filter("_all", lambda x: x["col"] == k), lambda x: x["values"])), lambda x: x["value"])
 
+    if rows is None:
+        content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+        ids = {"_id": F.substring(F.unhex(F.sha2(content, 256)), 1, 16)}
+    else:
+        ids = {f"_id_{i}": F.col(f"`{c}`") for i, c in enumerate(rows)}
     tagged = F.flatten(F.array(*[tag(k) for k in range(len(outs))]))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names], *[F.expr(columns[o]).isNull().alias(f"_null_{k}")
-                                                                  for k, o in enumerate(outs)]).alias("row"),
-                     tagged.alias("members"))
-    content = F.unhex(F.sha2(F.to_json(F.col("row"), {"ignoreNullFields": "false"}), 256))
-    rows = rows.withColumn("id", content)
-    one = rows.select("id", "row", F.posexplode_outer("members").alias("at", "m")).select(
-        "id", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), "m.col", "m.pos", "m.member")
+    members = df.select(*[c.alias(n) for n, c in ids.items()], F.explode(tagged).alias("m")).select(*ids, "m.col", "m.pos", "m.member")
     values = dim.groupBy(F.col(key).alias("member")).agg(F.array_sort(F.collect_set(F.struct(F.col(value).alias("value")))).alias("values"))
-    found = one.join(values, "member", "left")
-    grouped = (found.groupBy("id").agg(
-        F.first("row", ignorenulls=True).alias("row"), F.count("row").alias("copies"),
-        F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("values").isNotNull(), F.struct("col", "pos", "values"))))).alias("all"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
-    return grouped.select(*[F.col("row").getField(c).alias(c) for c in names if c not in outs], *[
-        F.when(~F.col("row").getField(f"_null_{k}"), untag(k)).alias(o) for k, o in enumerate(outs)])
+    found = members.join(F.broadcast(values) if small else values, "member")
+    # equal rows give equal members: a set holds them once
+    grouped = found.groupBy(*ids).agg(F.array_sort(F.collect_set(F.struct("col", "pos", "values"))).alias("_all"))
+    left = df.select("*", *[c.alias(f"_of{n}") for n, c in ids.items()])
+    same = [left[f"_of{n}"].eqNullSafe(grouped[n]) if rows else left[f"_of{n}"] == grouped[n] for n in ids]
+    empty = F.array().cast(grouped.schema["_all"].dataType)
+    back = left.join(grouped, reduce(lambda a, b: a & b, same), "left").withColumn("_all", F.coalesce("_all", empty))
+    return back.select(*[F.col(f"`{c}`") for c in names if c not in outs], *[
+        F.when(F.expr(columns[o]).isNotNull(), untag(k)).alias(o) for k, o in enumerate(outs)])

@@ -9,9 +9,9 @@ from casespark.operators.lookup import lookup_members
 
 
 def valid_codes_only(df: DataFrame, vocab: DataFrame, col: str, out: str = "valid", errors: str = "n_error",
-                     code_col: str = "code") -> DataFrame:
+                     code_col: str = "code", rows: list[str] | None = None) -> DataFrame:
     """Keep list members found in the vocabulary (order and repeats kept) and
-    count the others; a NULL list stays NULL with a NULL count."""
+    count the others; a NULL list stays NULL with a NULL count.  ``rows``: columns that no two rows share."""
     dim = vocab.select(F.col(code_col).alias("k"), F.col(code_col).alias("v")).distinct()
-    return (lookup_members(df, {out: f"`{col}`"}, dim)
+    return (lookup_members(df, {out: f"`{col}`"}, dim, rows=rows)
             .withColumn(errors, F.when(F.col(col).isNotNull(), F.size(col) - F.size(out)).cast("long")))

@@ -26,8 +26,13 @@ def q_range_class_join(spark, d):
     return H.range_class_join(_codes(spark, d), fx.taxonomy(spark, d))
 
 
+def _needed(spark, d, *more):
+    """The columns that class sets are made of."""
+    return joined(spark, d).select("case_id", "pred", "labels", *more)
+
+
 def _cls(spark, d, **kw):
-    return H.class_sets(joined(spark, d), fx.taxonomy(spark, d), level="top", **kw)
+    return H.class_sets(_needed(spark, d, *([kw["ranked"]] if "ranked" in kw else [])), fx.taxonomy(spark, d), level="top", **kw)
 
 
 def _n_classes(spark, d, level):
@@ -43,7 +48,7 @@ def q_class_metrics(spark, d):
 @query("class_metrics_mid")
 def q_class_metrics_mid(spark, d):
     """The same metrics on the 3-character (mid) classes."""
-    c = H.class_sets(joined(spark, d), fx.taxonomy(spark, d), level="mid")
+    c = H.class_sets(_needed(spark, d), fx.taxonomy(spark, d), level="mid")
     return finalize(M.multilabel_metrics(c, _n_classes(spark, d, "mid"), pred="cls_pred", labels="cls_labels"))
 
 

@@ -38,3 +38,32 @@ def test_tables_are_written_once_and_anew_for_other_inputs(spark, small_dir, tmp
     (folder / "lineitem.parquet").unlink()
     (folder / "lineitem.parquet.new").rename(folder / "lineitem.parquet")
     assert MQ.labels(spark, str(folder)).count() < n
+
+
+def test_ranked_lists_are_made_where_they_are_read(spark, small_dir):
+    short, long = MQ.preds_valid(spark, small_dir, (1,)), MQ.preds_valid(spark, small_dir, length=20)
+    assert set(short.inputFiles()) == set(long.inputFiles())
+    assert long.selectExpr("min(size(ranked))", "max(size(ranked))").first() == (20, 20)
+    assert short.selectExpr("max(size(ranked))", "count(distinct round)").first() == (10, 1)
+
+
+def test_buckets_grow_with_the_input(spark, small_dir, monkeypatch):
+    from casespark.plans import tables
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 1000)
+    n = tables.parts(spark, small_dir, ("lineitem", "part"))
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = tables.bucketed(spark, small_dir, "grown", lambda buckets: spark.range(500).selectExpr("id AS case_id").repartition(buckets, "case_id"), placed=True)
+    assert t.count() == 500 and len(t.inputFiles()) > n // 2
+
+
+def test_only_members_travel_to_the_dimension(spark):
+    from casespark.operators.lookup import lookup_members
+    df = spark.createDataFrame([(1, "wide", ["a", "x"]), (1, "wide", ["a", "x"]), (2, "w", []), (None, "w", None)], "i int, wide string, l array<string>")
+    dim = spark.createDataFrame([("a", "A")], "k string, v string")
+    got = lookup_members(df, {"out": "l"}, dim)
+    assert sorted(map(tuple, got.select("i", "wide", "out").collect()), key=str) == [(1, "wide", ["A"]), (1, "wide", ["A"]), (2, "w", []), (None, "w", None)]
+    keyed = lookup_members(df.limit(4).dropDuplicates(["i"]), {"out": "l"}, dim, rows=["i"])
+    assert sorted(map(tuple, keyed.select("i", "out").collect()), key=str) == [(1, ["A"]), (2, []), (None, None)]
+    plan = lookup_members(df, {"out": "l"}, dim)._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan[plan.index("Join Inner"):]                                       # members meet the dimension without the other columns
+    assert "collect_set" in plan and "first(row" not in plan and plan.count("Join LeftOuter") == 1 and "named_struct(i" not in inner.split("Generate")[0]
