@@ -343,14 +343,16 @@ def set2_input(cases: DataFrame) -> DataFrame:
     return counted.withColumn("n_total", total.cast("long"))
 
 
-def set2_labels(cases: DataFrame, fallback: bool = False) -> DataFrame:
+def set2_labels(cases: DataFrame, fallback: bool = False, any_col: str | None = None) -> DataFrame:
     """Labels of the second set: non-empty version-10 codes of all, primary and major diseases; the top code is the
-    first primary one, with ``fallback`` else the first of all."""
+    first primary one, with ``fallback`` else the first of all; ``any_col``: column for the latter next to the former."""
     def codes(name: str) -> Column:
         return F.filter(F.transform(f"{name}_diseases", lambda x: x["icd10code"]), lambda c: c.isNotNull() & (c != ""))
     x = cases.select("case_id", codes("all").alias("labels"), codes("primary").alias("primary"), codes("major").alias("major"))
     top = F.get("primary", F.lit(0))
-    return x.withColumn("top1", F.coalesce(top, F.get("labels", F.lit(0))) if fallback else top)
+    either = F.coalesce(top, F.get("labels", F.lit(0)))
+    x = x.withColumn("top1", either if fallback else top)
+    return x.withColumn(any_col, either) if any_col else x
 
 
 def union_all(dfs):

@@ -67,3 +67,12 @@ def test_only_members_travel_to_the_dimension(spark):
     plan = lookup_members(df, {"out": "l"}, dim)._jdf.queryExecution().optimizedPlan().toString()
     inner = plan[plan.index("Join Inner"):]                                       # members meet the dimension without the other columns
     assert "collect_set" in plan and "first(row" not in plan and plan.count("Join LeftOuter") == 1 and "named_struct(i" not in inner.split("Generate")[0]
+
+
+def test_both_top_codes_of_set2_come_from_one_pass(spark):
+    from casespark.operators.render import set2_labels
+    one = "array<struct<name:string,icd9code:string,icd10code:string>>"
+    df = spark.createDataFrame([(1, [("a", "1", "X1"), ("b", "2", "X2")], [("b", "2", "X2")], []), (2, [("a", "1", "X1")], [], []), (3, [], [], [])],
+                               f"case_id int, all_diseases {one}, primary_diseases {one}, major_diseases {one}")
+    got = {r["case_id"]: (r["top1"], r["top1_any"]) for r in set2_labels(df, any_col="top1_any").collect()}
+    assert got == {1: ("X2", "X2"), 2: (None, "X1"), 3: (None, None)}
