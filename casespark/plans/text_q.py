@@ -49,9 +49,11 @@ def q_render_lab_table(spark, d):
     return T.render_lab_table(case_labs(spark, d))
 
 
-def stays(spark, d):
-    first_triage = C.first_per_group(fx.triage(spark, d), ["stay_id"], ["ord"])
+def stays(spark, d, only=None):
+    """Stays with demographics and first triage row; ``only``: those whose ``hadm_id`` is in that frame of one column."""
+    first_triage = C.first_per_group(fx.triage(spark, d, only), ["stay_id"], ["ord"])
     e = fx.encounters(spark, d).select("subject_id", "hadm_id", "stay_id")
+    e = e.join(only, "hadm_id", "left_semi") if only is not None else e
     return e.join(fx.patients(spark, d).select("subject_id", "gender", "anchor_age"), "subject_id", "left") \
         .join(first_triage, "stay_id", "left")
 
@@ -167,7 +169,8 @@ def case_reports(spark, d):
 def build_case_inputs(spark, d):
     """One row per case with every rendered input field (cases need labs, as in the reference)."""
     labs = T.render_lab_table(case_labs(spark, d))
-    st = stays(spark, d)
+    # cases need labs: stays without any leave before they meet patients and triage rows
+    st = stays(spark, d, only=fx.lab_stays(spark, d))
     vit = T.render_vitals(st)
     cc = st.select("hadm_id", "subject_id", "stay_id",
                    T.text_or_none("chiefcomplaint", "The chief complaint: ").alias("ed_chiefcomplaint"))
@@ -267,11 +270,10 @@ def q_set2_labels(spark, d):
 
 
 def set2_label_table(spark, d):
-    def build():
-        dx = T.diagnosis_struct(C.clean_diagnoses(fx.diagnoses(spark, d))).withColumnRenamed("hadm_id", "case_id")
-        first, any_ = T.set2_labels(dx), T.set2_labels(dx, fallback=True)
-        return first.join(any_.select("case_id", F.col("top1").alias("top1_any")), "case_id")
-    return bucketed(spark, d, "set2_labels", build)
+    def build(buckets):
+        dx = T.diagnosis_struct(C.clean_diagnoses(fx.diagnoses(spark, d, buckets))).withColumnRenamed("hadm_id", "case_id")
+        return T.set2_labels(dx.where("case_id IS NOT NULL"), any_col="top1_any")
+    return bucketed(spark, d, "set2_labels", build, placed=True)
 
 
 def set2_joined(spark, d):

@@ -76,3 +76,11 @@ def test_both_top_codes_of_set2_come_from_one_pass(spark):
                                f"case_id int, all_diseases {one}, primary_diseases {one}, major_diseases {one}")
     got = {r["case_id"]: (r["top1"], r["top1_any"]) for r in set2_labels(df, any_col="top1_any").collect()}
     assert got == {1: ("X2", "X2"), 2: (None, "X1"), 3: (None, None)}
+
+
+def test_stays_without_labs_leave_before_the_joins(spark, small_dir):
+    from casespark.plans.text_q import stays
+    from casespark.sources import fixtures as fx
+    some = fx.lab_stays(spark, small_dir)
+    part = stays(spark, small_dir, only=some)
+    assert sorted(map(str, part.collect())) == sorted(map(str, stays(spark, small_dir).join(some, "hadm_id", "left_semi").select(part.columns).collect()))
