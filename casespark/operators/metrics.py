@@ -12,7 +12,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import _GOLDEN, _M32, _MIX_A, _MIX_B, md5_draw, safe_ratio
@@ -509,13 +509,14 @@ def bootstrap_ci_multinomial(scores: DataFrame, score_cols: list[str], key: str
     values = [F.col(c).cast("double") for c in score_cols]
     cases = scores.select(F.col(key).alias("key"), (md5_draw(seed, F.lit("bucket"), F.col(key)) % buckets).cast("int").alias("bucket"),
                           F.array(*values).alias("scores"))
-    numbered = cases.withColumn("local", F.row_number().over(Window.partitionBy("bucket").orderBy("key", "scores")).cast("long") - 1)
     sizes = cases.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("sizes"))
     slots = sizes.select(F.explode("sizes.bucket").alias("b"), "sizes").repartitionById(buckets, "b")
     schema = "bucket int, kind int, local long, counts binary, scores array<double>"
     dealt = slots.mapInArrow(_deal_draws(n_rep, seed, buckets), schema)
-    held = numbered.select("bucket", F.lit(1).alias("kind"), "local", F.lit(None).cast("binary").alias("counts"), "scores")
-    met = dealt.unionByName(held).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "local")
+    held = cases.select("bucket", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("local"), F.lit(None).cast("binary").alias("counts"), "scores", "key")
+    # a case's place in its bucket is its rank by key and scores: one sort, no window before it
+    met = (dealt.withColumn("key", F.lit(None).cast(cases.schema["key"].dataType)).unionByName(held)
+           .repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "key", "scores").drop("key"))
     return _intervals(met.mapInArrow(_draw_locally(n_rep, seed, width), _sums_schema(width)), scores, score_cols, level)
 
 

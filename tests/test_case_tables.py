@@ -84,3 +84,12 @@ def test_stays_without_labs_leave_before_the_joins(spark, small_dir):
     some = fx.lab_stays(spark, small_dir)
     part = stays(spark, small_dir, only=some)
     assert sorted(map(str, part.collect())) == sorted(map(str, stays(spark, small_dir).join(some, "hadm_id", "left_semi").select(part.columns).collect()))
+
+
+def test_resampling_sorts_each_bucket_once(spark):
+    from casespark.operators.metrics import bootstrap_ci_multinomial
+    scores = spark.createDataFrame([(i, float(i % 3)) for i in range(50)] + [(None, 1.0), (7, None)], "case_id int, s double")
+    out = bootstrap_ci_multinomial(scores, ["s"], n_rep=20, buckets=4)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    row = out.first()
+    assert row["lo"] <= row["value"] <= row["hi"]
