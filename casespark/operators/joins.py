@@ -128,9 +128,13 @@ def label_pred_full(label_counts: DataFrame, pred_counts: DataFrame, key: str =
                     F.coalesce("n_pred", F.lit(0)).cast("long").alias("n_pred"))
 
 
-def source_fallback(ids: DataFrame, sources: list[tuple[str, DataFrame]], key: str) -> tuple[DataFrame, DataFrame]:
+def source_fallback(ids: DataFrame, sources: list[tuple[str, DataFrame]], key: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """JN17: rows from the first source (in priority order) that has the id;
-    ids found in none are returned separately."""
+    ids found in none are returned separately.
+
+    ``parts``: partitions of the ids.  Bare ids pack so well that partitions merged by their bytes would hold tens of
+    millions of them, and a task sorts what it gets."""
+    ids = ids.select(key).repartition(parts, key) if parts else ids
     tagged = [df.withColumn("source", F.lit(name)).withColumn("_prio", F.lit(i)) for i, (name, df) in enumerate(sources)]
     u = reduce(lambda a, b: a.unionByName(b), tagged).join(ids.select(key), key, "left_semi")
     best = u.groupBy(key).agg(F.min("_prio").alias("_prio"))

@@ -9,6 +9,7 @@ from casespark.operators import joins as J
 from casespark.plans.cohort_q import sampled_ids
 from casespark.plans.metrics_q import preds_valid
 from casespark.plans.registry import query
+from casespark.plans.tables import parts
 from casespark.sources import fixtures as fx
 
 
@@ -143,7 +144,7 @@ def _fallback(spark, d):
     notes = fx.notes(spark, d).select("hadm_id", F.col("note_id").alias("doc_id"))
     reps = fx.reports(spark, d).select("hadm_id", F.col("report_id").alias("doc_id"))
     ids = fx.encounters(spark, d).select("hadm_id")
-    return J.source_fallback(ids, [("notes", notes), ("reports", reps)], "hadm_id")
+    return J.source_fallback(ids, [("notes", notes), ("reports", reps)], "hadm_id", parts(spark, d, ("orders", "documents")))
 
 
 @query("source_fallback")

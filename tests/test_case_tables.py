@@ -93,3 +93,12 @@ def test_resampling_sorts_each_bucket_once(spark):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     row = out.first()
     assert row["lo"] <= row["value"] <= row["hi"]
+
+
+def test_ids_of_the_fallback_lie_in_the_wanted_partitions(spark):
+    from casespark.operators.joins import source_fallback
+    ids, a, b = (spark.range(n).toDF("k") for n in (9, 3, 6))
+    rows, missing = source_fallback(ids, [("a", a), ("b", b)], "k", parts=37)
+    assert re.search(r"hashpartitioning\(k#\d+L, 37\)", rows._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, rows.collect())) == [(0, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b")]
+    assert sorted(r[0] for r in missing.collect()) == [6, 7, 8]
