@@ -102,3 +102,14 @@ def test_ids_of_the_fallback_lie_in_the_wanted_partitions(spark):
     assert re.search(r"hashpartitioning\(k#\d+L, 37\)", rows._jdf.queryExecution().executedPlan().toString())
     assert sorted(map(tuple, rows.collect())) == [(0, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b")]
     assert sorted(r[0] for r in missing.collect()) == [6, 7, 8]
+
+
+def test_a_partitioned_table_has_few_files_a_folder_and_no_folder_a_code(spark, small_dir, tmp_path):
+    import collections
+    from casespark.sources import readers as IO
+    IO.write_tables(spark.range(0, 400, 1, 16).selectExpr("id", "id % 3 AS g"), str(tmp_path / "t"), partition_by=["g"])
+    files = collections.Counter(f.parent.name for f in (tmp_path / "t").glob("g=*/part-*"))
+    assert len(files) == 3 and max(files.values()) <= IO.FILES_PER_FOLDER
+    out = Q["write_tables"](spark, small_dir)
+    assert all(re.search(r"/top1_class=[^/]{3}/", f) for f in out.inputFiles())
+    assert out.count() == MQ.labels(spark, small_dir).count()
