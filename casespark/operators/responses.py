@@ -59,6 +59,10 @@ def valid_json(c) -> Column:
     return F.coalesce((F.size(both) == 2) & (F.get(both, F.lit(1)) == _END), F.lit(False))
 
 
+#: what a JSON value begins with (Spark reads NaN, INF and Infinity as numbers)
+_VALUE_BEGINS = r'^(?:[\[{"+\-0-9tfn]|NaN|I[nN])'
+
+
 def parse_object(c, ranked_key: str) -> Column:
     """The two lists of a candidate as a struct; NULL unless the text is one strict JSON object.
 
@@ -166,9 +170,11 @@ def extract_responses(log: DataFrame, profile: str = "one_match", ranked_key: st
     object_like = F.col("_stripped").startswith("{")
     x = x.withColumn("_whole", F.when(object_like, parse_object("_stripped", ranked_key)))
     # a whole text that is JSON but no object ends the search, without lists
-    x = x.withColumn("_other", F.when(no_fence & ~object_like, valid_json("_stripped")).otherwise(F.lit(False)))
+    x = x.withColumn("_other", F.when(
+        no_fence & ~object_like & F.col("_stripped").rlike(_VALUE_BEGINS), valid_json("_stripped")).otherwise(F.lit(False)))
     need_lines = no_fence & F.col("_whole").isNull() & ~F.col("_other")
-    lines = F.filter(F.transform(F.split(r, "\n"), lambda l: strip_ws(l)), lambda l: l.startswith("{") & l.endswith("}"))
+    lines = F.filter(F.transform(F.split(r, "\n"), lambda l: strip_ws(l)), lambda l: l.startswith("{") & l.endswith("}") &
+                     (l != F.col("_stripped")))                      # the whole text has failed before
     x = x.withColumn("_line", F.when(need_lines, F.try_element_at(F.filter(
         F.transform(lines, lambda l: parse_object(l, ranked_key)), lambda p: p.isNotNull()), F.lit(-1))))
     need_g = need_lines & F.col("_line").isNull()

@@ -9,6 +9,7 @@ from casespark.functions.columns import render_list
 from casespark.operators import responses as RS
 from casespark.operators.vocab import valid_codes_only
 from casespark.plans.registry import query
+from casespark.plans.tables import written
 from casespark.sources import fixtures as fx
 
 RUN = ["round"]
@@ -18,10 +19,16 @@ def extracted(spark, d, profile="one_match"):
     return RS.extract_responses(fx.responses(spark, d), profile=profile, ranked_key="top10")
 
 
+def extracted_written(spark, d, profile="one_match"):
+    """The extraction, run once and written: de-duplication, vocabulary and reports read it several times."""
+    return written(spark, d, f"extracted_{profile}", lambda: extracted(spark, d, profile).select(
+        "case_id", "round", "line_no", "status", "method", "ranked", "final"), sources=("lineitem",))
+
+
 def valid_dedup(spark, d, profile="one_match"):
     keep = "first" if profile == "one_match" else "last"
-    v = RS.dedup_valid(extracted(spark, d, profile), keep=keep, by=RUN)
-    return valid_codes_only(v, fx.vocab(spark, d), "final", out="valid", errors="n_error")
+    v = RS.dedup_valid(extracted_written(spark, d, profile), keep=keep, by=RUN)
+    return valid_codes_only(v, fx.vocab(spark, d), "final", out="valid", errors="n_error", rows=[*RUN, "case_id"])
 
 
 @query("split_reasoning")
@@ -83,4 +90,4 @@ def q_self_consistency(spark, d):
 
 @query("extraction_report")
 def q_extraction_report(spark, d):
-    return RS.extraction_report(extracted(spark, d), valid_dedup(spark, d), by=RUN)
+    return RS.extraction_report(extracted_written(spark, d), valid_dedup(spark, d), by=RUN)

@@ -113,3 +113,24 @@ def test_a_partitioned_table_has_few_files_a_folder_and_no_folder_a_code(spark,
     out = Q["write_tables"](spark, small_dir)
     assert all(re.search(r"/top1_class=[^/]{3}/", f) for f in out.inputFiles())
     assert out.count() == MQ.labels(spark, small_dir).count()
+
+
+def test_the_extraction_runs_once_for_a_report(spark, small_dir):
+    from casespark.plans import responses_q as RQ
+    for profile in ("one_match", "last_match"):
+        plan = RQ.valid_dedup(spark, small_dir, profile)._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "jsontostructs" not in plan.lower() and "regexp_extract" not in plan
+    assert "regexp_extract" not in Q["extraction_report"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_that_cannot_be_json_are_not_parsed(spark):
+    from casespark.operators.responses import _VALUE_BEGINS, valid_json
+    texts = ["Answer", "1", "-1", "+INF", "NaN", "Infinity", "INF", "-INF", "null", "true", '"a"', "[1]", "{}", "I cannot", "", "]", ",", "﻿1", "_x", ".5", "'a'", "*"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", valid_json("t").alias("ok"), df_begins("t", _VALUE_BEGINS).alias("begins"))
+    assert [r["t"] for r in df.collect() if r["ok"] and not r["begins"]] == []
+    assert [r["t"] for r in df.collect() if r["begins"]] == ["1", "-1", "+INF", "NaN", "Infinity", "INF", "-INF", "null", "true", '"a"', "[1]", "{}"]
+
+
+def df_begins(c, pattern):
+    from pyspark.sql import functions as F
+    return F.col(c).rlike(pattern)
