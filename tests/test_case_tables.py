@@ -134,3 +134,12 @@ def test_texts_that_cannot_be_json_are_not_parsed(spark):
 def df_begins(c, pattern):
     from pyspark.sql import functions as F
     return F.col(c).rlike(pattern)
+
+
+def test_items_of_a_ranked_list_do_not_work_out_its_start_again(spark):
+    from casespark.sources import fixtures as fx
+    df = fx.case_runs(spark.createDataFrame([(7, "00025"), (8, "500000"), (9, None)], "case_id long, top1 string"), 3)
+    got = {(r["case_id"], r["round"]): r["ranked"] for r in df.collect()}
+    assert got[7, 1] == ["00075", "00150", "00225"] and got[8, 3] == ["500075", "500300", "500525"] and got[9, 2] == [None] * 3
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(top1") == 1
