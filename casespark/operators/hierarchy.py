@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casespark.functions.columns import safe_ratio
-from casespark.operators.lookup import lookup_members
+from casespark.operators.lookup import by_stem, lookup_members
 
 
 def prefix_classes(taxonomy: DataFrame, level: str = "top") -> DataFrame:
@@ -48,9 +48,9 @@ def range_class_join(codes: DataFrame, taxonomy: DataFrame, code: str = "code")
 
 
 def map_codes(df: DataFrame, columns: dict[str, str], mapping: DataFrame, distinct: tuple[str, ...] = (),
-              small: bool = False) -> DataFrame:
+              small: bool = False, rows: list[str] | None = None) -> DataFrame:
     """Classes (mapping ``k`` -> ``v``) of the members of array expressions; unmapped members are dropped."""
-    res = lookup_members(df, columns, mapping, small=small)
+    res = lookup_members(df, columns, mapping, small=small, rows=rows, usual=by_stem)
     for out in distinct:
         res = res.withColumn(out, F.array_distinct(out))
     return res
@@ -62,21 +62,22 @@ def _prefixes(col: str) -> str:
 
 def class_sets(joined: DataFrame, taxonomy: DataFrame, level: str = "top", key: str = "case_id",
                labels: str = "labels", pred: str = "pred", ranked: str | None = None,
-               label_by_membership: bool = False) -> DataFrame:
+               label_by_membership: bool = False, rows: list[str] | None = None) -> DataFrame:
     """Add ``cls_labels``/``cls_pred`` (and ``cls_ranked``) class sets per case.
 
     Predictions map by 3-char prefix; labels by prefix too unless
-    ``label_by_membership`` (exact leaf membership, as in class recall@k)."""
+    ``label_by_membership`` (exact leaf membership, as in class recall@k).  ``rows``: columns that no two rows share."""
     # a prefix has three characters: the table is bounded by the alphabet of the codes, however many leaves there are
     pref = prefix_classes(taxonomy, level).select(F.col("prefix").alias("k"), F.col("cls").alias("v"))
     columns = {"cls_pred": _prefixes(pred)}
     if ranked:
         columns["cls_ranked"] = _prefixes(ranked)
     if not label_by_membership:
-        return map_codes(joined, columns | {"cls_labels": _prefixes(labels)}, pref, distinct=("cls_labels", "cls_pred"), small=True)
+        return map_codes(joined, columns | {"cls_labels": _prefixes(labels)}, pref, distinct=("cls_labels", "cls_pred"), small=True,
+                         rows=rows)
     member = taxonomy.select(F.col("leaf").alias("k"), F.col(level).alias("v"))
-    return map_codes(map_codes(joined, columns, pref, distinct=("cls_pred",), small=True), {"cls_labels": f"`{labels}`"}, member,
-                     distinct=("cls_labels",))
+    return map_codes(map_codes(joined, columns, pref, distinct=("cls_pred",), small=True, rows=rows), {"cls_labels": f"`{labels}`"}, member,
+                     distinct=("cls_labels",), rows=rows)
 
 
 def class_recall_at_k(cls_joined: DataFrame, ks=range(1, 11)) -> DataFrame:
@@ -88,12 +89,13 @@ def class_recall_at_k(cls_joined: DataFrame, ks=range(1, 11)) -> DataFrame:
 
 
 def class_accuracy(joined: DataFrame, taxonomy: DataFrame, level: str = "top", top1: str = "top1",
-                   pred: str = "pred", key: str = "case_id") -> DataFrame:
+                   pred: str = "pred", key: str = "case_id", rows: list[str] | None = None) -> DataFrame:
     """Per class of the top-1 label: a prediction falls in the same class.
-    Adds an ``ALL`` row whose denominator is every case."""
+    Adds an ``ALL`` row whose denominator is every case.  ``rows``: columns that no two rows share."""
     pref = prefix_classes(taxonomy, level)
     c = joined.select(key, top1, pred).withColumn("prefix", F.substring(top1, 1, 3)).join(F.broadcast(pref), "prefix", "left").drop("prefix")
-    c = map_codes(c, {"pcls": _prefixes(pred)}, pref.select(F.col("prefix").alias("k"), F.col("cls").alias("v")), distinct=("pcls",), small=True)
+    c = map_codes(c, {"pcls": _prefixes(pred)}, pref.select(F.col("prefix").alias("k"), F.col("cls").alias("v")), distinct=("pcls",), small=True,
+                  rows=rows)
     hit = F.coalesce(F.array_contains("pcls", F.col("cls")), F.lit(False))
     per = (c.filter(F.col("cls").isNotNull()).groupBy(F.col("cls").alias("class"))
            .agg(F.count_if(hit).alias("correct"), F.count(F.lit(1)).alias("total")))
@@ -107,18 +109,20 @@ def _closeness(label: Column, pinfo: str) -> Column:
     the prediction's range class, 4 unrelated; no predictions -> 4."""
     prefix = F.substring(label, 1, 3)
     scores = F.transform(F.col(pinfo), lambda p: (
-        F.when(p["code"] == label, 1).when(p["mid"] == prefix, 2)
-        .when((p["lo"] <= prefix) & (prefix <= p["hi"]), 3).otherwise(4)))
+        F.when(p["member"] == label, 1).when(p["value"]["mid"] == prefix, 2)
+        .when((p["value"]["lo"] <= prefix) & (prefix <= p["value"]["hi"]), 3).otherwise(4)))
     return F.coalesce(F.array_min(scores), F.lit(4))
 
 
 def closeness(joined: DataFrame, taxonomy: DataFrame, mode: str = "top1", key: str = "case_id",
-              pred: str = "pred", top1: str = "top1", labels: str = "labels") -> DataFrame:
-    """Distribution of best closeness scores (per case for ``top1``, per label occurrence for ``all``)."""
-    info = taxonomy.select(F.col("leaf").alias("k"), F.struct(F.col("leaf").alias("code"), F.col("mid").alias("mid"),
-                                                              F.col("top_lo").alias("lo"), F.col("top_hi").alias("hi")).alias("v"))
+              pred: str = "pred", top1: str = "top1", labels: str = "labels", rows: list[str] | None = None) -> DataFrame:
+    """Distribution of best closeness scores (per case for ``top1``, per label occurrence for ``all``).
+
+    ``rows``: columns that no two rows share."""
+    info = taxonomy.select(F.col("leaf").alias("k"), F.struct(F.col("mid").alias("mid"), F.col("top_lo").alias("lo"),
+                                                              F.col("top_hi").alias("hi")).alias("v"))
     needed = joined.select(*dict.fromkeys([key, top1 if mode == "top1" else labels, pred]))
-    df = lookup_members(needed, {"_pinfo": f"`{pred}`"}, info)
+    df = lookup_members(needed, {"_pinfo": f"`{pred}`"}, info, rows=rows, usual=by_stem, named=True)
     if mode == "top1":
         s = df.select(_closeness(F.col(top1), "_pinfo").alias("score"))
     else:

@@ -27,12 +27,12 @@ def q_range_class_join(spark, d):
 
 
 def _needed(spark, d, *more):
-    """The columns that class sets are made of."""
+    """The columns that class sets are made of, one row a case."""
     return joined(spark, d).select("case_id", "pred", "labels", *more)
 
 
 def _cls(spark, d, **kw):
-    return H.class_sets(_needed(spark, d, *([kw["ranked"]] if "ranked" in kw else [])), fx.taxonomy(spark, d), level="top", **kw)
+    return H.class_sets(_needed(spark, d, *([kw["ranked"]] if "ranked" in kw else [])), fx.taxonomy(spark, d), level="top", rows=["case_id"], **kw)
 
 
 def _n_classes(spark, d, level):
@@ -48,7 +48,7 @@ def q_class_metrics(spark, d):
 @query("class_metrics_mid")
 def q_class_metrics_mid(spark, d):
     """The same metrics on the 3-character (mid) classes."""
-    c = H.class_sets(_needed(spark, d), fx.taxonomy(spark, d), level="mid")
+    c = H.class_sets(_needed(spark, d), fx.taxonomy(spark, d), level="mid", rows=["case_id"])
     return finalize(M.multilabel_metrics(c, _n_classes(spark, d, "mid"), pred="cls_pred", labels="cls_labels"))
 
 
@@ -68,14 +68,14 @@ def q_class_recall_at_k(spark, d):
 
 @query("class_accuracy")
 def q_class_accuracy(spark, d):
-    return finalize(H.class_accuracy(joined(spark, d), fx.taxonomy(spark, d), level="top"))
+    return finalize(H.class_accuracy(joined(spark, d), fx.taxonomy(spark, d), level="top", rows=["case_id"]))
 
 
 @query("closeness_top1")
 def q_closeness_top1(spark, d):
-    return finalize(H.closeness(joined(spark, d), fx.taxonomy(spark, d), mode="top1"))
+    return finalize(H.closeness(joined(spark, d), fx.taxonomy(spark, d), mode="top1", rows=["case_id"]))
 
 
 @query("closeness_all")
 def q_closeness_all(spark, d):
-    return finalize(H.closeness(joined(spark, d), fx.taxonomy(spark, d), mode="all"))
+    return finalize(H.closeness(joined(spark, d), fx.taxonomy(spark, d), mode="all", rows=["case_id"]))

@@ -27,8 +27,9 @@ def extracted_written(spark, d, profile="one_match"):
 
 def valid_dedup(spark, d, profile="one_match"):
     keep = "first" if profile == "one_match" else "last"
-    v = RS.dedup_valid(extracted_written(spark, d, profile), keep=keep, by=RUN)
-    return valid_codes_only(v, fx.vocab(spark, d), "final", out="valid", errors="n_error", rows=[*RUN, "case_id"])
+    every = extracted_written(spark, d, profile)
+    v = RS.dedup_valid(every, keep=keep, by=RUN)
+    return valid_codes_only(v, fx.vocab(spark, d), "final", out="valid", errors="n_error", rows=[*RUN, "case_id"], among=every)
 
 
 @query("split_reasoning")

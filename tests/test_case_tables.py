@@ -3,6 +3,7 @@
 import re
 import shutil
 
+from casespark.operators.vocab import valid_codes_only
 from casespark.plans import metrics_q as MQ
 from casespark.plans.registry import all_queries
 
@@ -69,6 +70,36 @@ def test_only_members_travel_to_the_dimension(spark):
     assert "collect_set" in plan and "first(row" not in plan and plan.count("Join LeftOuter") == 1 and "named_struct(i" not in inner.split("Generate")[0]
 
 
+def test_keyed_rows_stay_in_their_buckets_at_every_size(spark, small_dir):
+    """Valid codes, classes and closeness shuffle no case, however large the vocabulary and the taxonomy are."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    dim = spark.createDataFrame([(f"{i:05d}",) for i in range(3000)], "code string")
+    cases = spark.range(400).selectExpr("id AS case_id", "array('00001', concat('X', id % 3), '00999', '00001') AS final").repartition(4, "case_id")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 4000)       # under the dimension, over its exceptions
+        valid = valid_codes_only(cases, dim, "final", rows=["case_id"])
+        assert not {"_id_0", "coalesce", "member"} & set(exchanges(valid))
+        assert {(tuple(r.valid), r.n_error) for r in valid.collect()} == {(("00001", "00999", "00001"), 1)} and valid.count() == 400
+        for key in ("class_metrics", "class_accuracy", "closeness_top1", "class_recall_at_k"):
+            assert not {"_id", "_of", "_id_0", "coalesce", "member"} & set(exchanges(Q[key](spark, small_dir))), key
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_exceptions_are_looked_up_and_the_rest_follows_from_the_member(spark):
+    from casespark.operators.lookup import by_stem, lookup_members
+    dim = spark.createDataFrame([("aaa1", "A"), ("aaa2", "A"), ("aaa3", "Z"), ("aaa3", "A"), ("bbb1", None), ("bbb2", "B"), ("c", "C"), (None, "N")],
+                                "k string, v string")
+    lists = [["aaa1", "aaa3", "aaa9", None, "aaa1"], ["bbb1", "bbb2", "bbb3"], ["c", "cc", ""], [], None, ["aaa2"]]
+    df = spark.createDataFrame([(i if i != 2 else None, l, f"row {i}") for i, l in enumerate(lists)], "i int, l array<string>, other string")
+    plain = {r.i: r for r in lookup_members(df, {"out": "l"}, dim).collect()}
+    for rows in (None, ["i"]):
+        got = lookup_members(df, {"out": "l"}, dim, rows=rows, usual=by_stem).collect()
+        assert {r.i: r for r in got} == plain and len(got) == len(lists)
+    named = {r.i: r.out for r in lookup_members(df, {"out": "l"}, dim, rows=["i"], usual=by_stem, named=True).collect()}
+    assert [tuple(x) for x in named[0]] == [("aaa1", "A"), ("aaa3", "A"), ("aaa3", "Z"), ("aaa1", "A")] and named[4] is None and named[3] == []
+
+
 def test_both_top_codes_of_set2_come_from_one_pass(spark):
     from casespark.operators.render import set2_labels
     one = "array<struct<name:string,icd9code:string,icd10code:string>>"
