@@ -2,16 +2,20 @@
 
 * Every document's distinct word shingles are hashed once; the ``SKETCH`` least values are retained.  Documents with
   the same set (count and 128-bit sum of the set) form one class, and only its smallest id goes on.
-* Inverted lists hold the classes that retain the same two of their ``LEAD`` least values.  Two sets of similarity s
-  miss each other only if fewer than two of the ``LEAD`` least values of their union are shared: below 5e-6 at 0.8.
+* Inverted lists hold the classes that retain the same ``RUN`` values one after the other among their ``LEAD`` least.
+  Two sets miss each other only if the ``LEAD`` least values of their union hold no ``RUN`` shared ones in a row: below
+  5e-6 at similarity 0.8, never if the union is no larger than ``LEAD``.  Sets of up to ``TINY`` values, for which that
+  may fail, are also in the lists of each two of their values.  Unlike lists of any two of a few values, which unrelated
+  texts share the more the larger the corpus, such lists hardly grow by chance.
 * In each list a few centres (least under different hashes of the id) meet all members; the union sketch of a pair
   estimates its similarity, and pairs estimated at five standard errors below the threshold or more are compared on
   their full sets.  This is linear in the length of a list.
 * In lists whose members still lie in several components, a member next to a component of ``BIG`` nodes or more meets
   all of that component on full sets, once.  The members of small components are then estimated against each other
   in blocks, each pair in one of its lists; all lists around one large component count as a single list.  Other
-  lists with over ``LONG`` members outside their largest component are first divided by one more shared value (of
-  ``LEAD + 2``, then ``LEAD + 4`` ... least ones), which near duplicates have and documents with one common line do not.
+  lists with over ``LONG`` members outside their largest component are first divided by one more shared value (of the
+  ``FURTHER`` values after the run, then ``FURTHER + 2`` ...), which near duplicates have and documents with one common
+  line do not.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ from casespark.llm.exact_dedup import one_of_each
 from casespark.llm.shared import Scratch
 from casespark.llm.text_arrays import LOWER, combine, mix, span_hashes, steps, text_buffers, word_spans
 
-SKETCH, LEAD, CENTRES, LEVELS, SIDE, SALTS, BIG = 64, 10, 3, 5, 256, 64, 32
+SKETCH, RUN, LEAD, TINY, CENTRES, SIDE, SALTS, BIG = 64, 3, 35, 12, 3, 256, 64, 32
+#: by how many further values a list is divided at most, and among how many the first is looked for.  Two sets of up to TINY
+#: values that are similar enough share four at least, so a list of two values may be divided twice
+LEVELS, TINY_LEVELS, FURTHER = 3, 2, 10
 #: members of a list outside its largest component that meet each other as they are: a million estimates in a few blocks
 #: cost less than the rows that dividing the list by further values would make
 LONG = 1024
-#: retained values that travel to the blocks of a list; at least LEAD + 2 * (LEVELS - 2)
-SHORT = 24
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +119,8 @@ def _estimates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 
 def _shared(asked: list[np.ndarray], met: list[np.ndarray]) -> np.ndarray:
     """Number of shared values of each asking set (rows) with each met set (columns)."""
+    if not sum(map(len, asked)):
+        return np.zeros((len(asked), len(met)), np.int64)
     values, where = np.unique(np.concatenate(asked), return_inverse=True)
     holder = np.repeat(np.arange(len(asked)), [len(s) for s in asked])[np.argsort(where, kind="stable")]
     first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
@@ -127,40 +134,53 @@ def _shared(asked: list[np.ndarray], met: list[np.ndarray]) -> np.ndarray:
     return np.bincount(query * len(met) + np.repeat(member, held), minlength=len(asked) * len(met)).reshape(len(asked), -1)
 
 
+def _runs(s: np.ndarray) -> np.ndarray:
+    """A hash of each RUN values in a row."""
+    out = s[:max(0, len(s) - RUN + 1)]
+    for k in range(1, RUN):
+        out = combine(out, s[k:k + len(out)])
+    return out
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each (list, block, part): first come its queries, then the members to meet.
 
-    A list stands for its ``level`` shared values, the greatest at position ``last`` of a member's sketch.  A pair is
-    estimated only in the list of its least shared values, so in one list however many the two share; a list of level 0
-    has no such values, and all its pairs are estimated.
+    However many values two sets share, their pair is estimated once among the lists: in that of their first common run
+    (the values before position ``start`` of a member's sketch; of two values in a ``tiny`` list), in the lower of the
+    size classes that both are in (``own``: the list's is the set's own class), and in a list of ``level`` further shared
+    values, the greatest at position ``last``, only if these are their least ones after ``start``.  Of two that ask, the
+    one of the smaller id does.  A list of ``start`` 0 stands for no values.
     """
     group, asked, met = None, [], []
 
     def pairs() -> pa.RecordBatch:
-        a, b = [], []
+        a, b, block = [], [], group[0] if group else 0
         if asked and met:
             own = [np.frombuffer(r["sketch"], np.uint64) for r in asked]
             others = [np.frombuffer(r["sketch"], np.uint64) for r in met]
             longest = np.maximum.outer([len(s) for s in own], [len(s) for s in others])
             fits = _shared(own, others) >= least * longest       # no estimate is above this share
+            if asked[0]["start"]:
+                seen, twice = (lambda s, r: s[:r["start"]], 2) if asked[0]["tiny"] else (lambda s, r: _runs(s[:r["start"] - 1]), 0)
+                fits &= twice == _shared([seen(s, r) for s, r in zip(own, asked)], [seen(s, r) for s, r in zip(others, met)])
             if asked[0]["level"]:
-                fits &= asked[0]["level"] == _shared([s[:r["last"] + 1] for s, r in zip(own, asked)],
-                                                     [s[:r["last"] + 1] for s, r in zip(others, met)])
+                fits &= asked[0]["level"] == _shared([s[r["start"]:r["last"] + 1] for s, r in zip(own, asked)],
+                                                     [s[r["start"]:r["last"] + 1] for s, r in zip(others, met)])
 
             def column(name: str) -> tuple[np.ndarray, np.ndarray]:
                 return np.array([r[name] for r in asked])[:, None], np.array([r[name] for r in met])[None]
 
-            (n, m), (c, d) = column("n"), column("component")
-            fits &= (c != d) & (np.minimum(n, m) >= share * np.maximum(n, m))
+            (n, m), (c, d), (x, y), (u, v) = column("n"), column("component"), column("node"), column("own")
+            fits &= (c != d) & (np.minimum(n, m) >= share * np.maximum(n, m)) & (u | v) & ((x < y) | ~column("asks")[1])
             for x, y in zip(*(k.tolist() for k in np.nonzero(fits))):
-                if estimate(own[x], others[y], SHORT) >= least:
+                if estimate(own[x], others[y]) >= least:
                     a.append(min(asked[x]["node"], met[y]["node"]))
                     b.append(max(asked[x]["node"], met[y]["node"]))
-        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "block": pa.array([block] * len(a), pa.int64())})
 
     for batch in batches:
         for row in batch.to_pylist():
-            at = (row["key"], row["i"], row["j"])
+            at = (row["block"], row["i"], row["j"])
             if at != group:
                 yield pairs()
                 group, asked, met = at, [], []
@@ -168,27 +188,31 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float)
                 asked.append(row)
             else:
                 met.append(row)
-                if len(met) == 2 * SIDE:
+                if len(met) == SIDE:
                     yield pairs()
                     met = []
     yield pairs()
 
 
 def _verifier(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (a, salt, b, text), sorted; the row with a null b brings the set of a, the others are compared with it."""
+    """Rows (block, node, asks, text), sorted; those with null ``asks`` bring the sets that the others of the block ask for."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, np.zeros(0, np.uint64)
+        at, held = None, {}
         for batch in batches:
             a, b = [], []
-            for x, y, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(3), words)):
-                if y is None:
-                    at, mine = x, s.copy()
-                elif x == at and len(s):
+            for block, node, asks, s in zip(*(batch.column(k).to_pylist() for k in range(3)), _sets(batch.column(3), words)):
+                if block != at:
+                    at, held = block, {}
+                if asks is None:
+                    held[node] = s.copy()
+                    continue
+                for x in asks if len(s) else ():
+                    mine = held[x]
                     spot = np.minimum(np.searchsorted(mine, s), max(len(mine) - 1, 0))
                     shared = int((mine[spot] == s).sum()) if len(mine) else 0
                     if 100 * shared >= percent * (len(mine) + len(s) - shared):
                         a.append(x)
-                        b.append(y)
+                        b.append(node)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return verify
 
@@ -236,29 +260,37 @@ class _Search:
         self.least = self.share - 5 * (self.share * (1 - self.share) / SKETCH) ** 0.5
 
     def lists(self, nodes: DataFrame) -> DataFrame:
-        """(key, last, node, n, members): a row for each two of the LEAD least values of a class, if another class has both."""
-        rows = nodes.select("node", "n", F.expr(f"slice({_VALUES}, 1, {LEAD})").alias("v")).select(
-            "node", "n", F.explode(F.expr(
-                "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, greatest(size(v) - i - 1, 0)),"
-                " (y, j) -> named_struct('key', xxhash64(x, y), 'last', i + j + 1))))")).alias("x")
-        ).select("x.key", "x.last", "node", "n")
+        """(key, start, tiny, node, n, members): the lists of a class that another class is in too.
+
+        ``start`` is the place in the sketch after the values that the list stands for."""
+        runs = (f"transform(sequence(0, size(v) - {RUN}), i -> named_struct('key', xxhash64(slice(v, i + 1, {RUN})),"
+                f" 'start', i + {RUN}, 'tiny', false))")
+        twos = ("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, greatest(size(v) - i - 1, 0)),"
+                " (y, j) -> named_struct('key', xxhash64(x, y), 'start', i + j + 2, 'tiny', true))))")
+        none = "cast(array() AS array<struct<key: bigint, start: int, tiny: boolean>>)"
+        rows = (nodes.select("node", "n", F.expr(f"slice({_VALUES}, 1, {LEAD})").alias("v"))
+                .select("node", "n", F.explode(F.expr(f"concat(if(size(v) >= {RUN}, {runs}, {none}), if(n <= {TINY}, {twos}, {none}))")).alias("x"))
+                .select("x.key", "x.start", "x.tiny", "node", "n"))
         shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         return self.scratch.table(rows.join(shared, "key"), "lists")
 
     def compare(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose full sets are similar enough; a frequent left side is dealt over up to SALTS tasks."""
-        pairs = self.scratch.table(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-                                   .distinct(), f"{name}-pairs")
+        """The pairs (a, b) whose full sets are similar enough; each is compared in one of its blocks.
+
+        A text travels once to each block that has pairs of it, so pairs of a crowd of similar texts that stand in one
+        block cost no text each."""
+        pairs = self.scratch.table(pairs.groupBy("a", "b").agg(F.min("block").alias("block")), f"{name}-pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         texts = self.scratch.table(self.base.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-texts")
-        left = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select(
-            "a", "salt", F.lit(None).cast("long").alias("b"), "text")
-        right = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
-        return (left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+        sides = pairs.groupBy("block", F.col("b").alias("id")).agg(F.collect_list("a").alias("asks")).unionByName(
+            pairs.select("block", F.col("a").alias("id"), F.lit(None).cast("array<long>").alias("asks")).distinct())
+        return (sides.join(texts, "id").select("block", "id", "asks", "text")
+                .repartition("block").sortWithinPartitions("block", F.col("asks").isNotNull())
                 .mapInArrow(_verifier(self.words, self.percent), "a long, b long"))
 
     def central_pairs(self, nodes: DataFrame, lists: DataFrame) -> DataFrame:
-        """Members of each list against its centres, filtered by size and by the estimate."""
+        """Members of each list against its centres, filtered by size and by the estimate; a frequent ``a`` is dealt over
+        up to SALTS blocks."""
         centres = lists.groupBy("key").agg(*[
             F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)])
         met = (lists.join(centres, "key")
@@ -266,7 +298,8 @@ class _Search:
                                                         for k in range(CENTRES)])).alias("c"))
                .where("node <> c.node").where(f"least(n, c.n) >= {self.share} * greatest(n, c.n)")
                .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
-        return self.estimated(met, nodes)
+        salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+        return self.estimated(met, nodes).withColumn("block", F.xxhash64("a", salt))
 
     def estimated(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose union sketch does not rule them out."""
@@ -278,7 +311,7 @@ class _Search:
                 .mapInArrow(lambda batches: _estimates(batches, least), "a long, b long"))
 
     def open_lists(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame, large: DataFrame) -> DataFrame:
-        """(key, level, last, node, n, component, crowd): the lists that still hold several components.
+        """(key, level, start, last, tiny, own, node, n, component, crowd): the lists that still hold several components.
 
         Lists are divided by size first: a set is in the lists of its own size class and of the next, and sets of the
         required similarity, whose sizes differ by less than a class, have one in common.  A list that is mostly one
@@ -287,8 +320,9 @@ class _Search:
         size = f"(ln(n) / ln({1 / self.share + 1e-9}))"
         placed = (lists.where("members > 2").join(parts, "node", "left")   # of two, one was the centre
                   .withColumn("size", F.explode(F.expr(f"sequence(floor({size}), floor({size}) + 1)")))
-                  .select(F.xxhash64("key", "size").alias("key"), "last", "node", "n", F.coalesce("component", "node").alias("component")))
-        out, level = None, 2
+                  .select(F.xxhash64("key", "size").alias("key"), F.expr(f"size = floor({size})").alias("own"), "start", (F.col("start") - 1).alias("last"), "tiny", "node", "n",
+                          F.coalesce("component", "node").alias("component")))
+        out, level = None, 0
         while True:
             counts = (placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
                       .agg(F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("outside"), F.max(F.struct("m", "component")).alias("top"))
@@ -296,18 +330,19 @@ class _Search:
                       .join(large.select(F.col("component").alias("of"), F.lit(True).alias("big")), "of", "left")
                       .select("key", "outside", F.when(F.expr("big AND 4 * top.m >= outside"), F.col("of")).alias("crowd")))
             rows = self.scratch.table(placed.join(counts, "key"), f"open-{level}")
-            rest = f"outside > {LONG} AND crowd IS NULL"
+            rest = f"outside > {LONG} AND crowd IS NULL" + (" AND NOT tiny" if level >= TINY_LEVELS else "")
             deep = level < LEVELS and rows.where(rest).limit(1).count() > 0
             here = (rows.where(f"NOT ({rest})") if deep else rows).select(
-                "key", F.lit(level).alias("level"), "last", "node", "n", "component", "crowd")
+                "key", F.lit(level).alias("level"), "start", "last", "tiny", "own", "node", "n", "component", "crowd")
             out = here if out is None else out.unionByName(here)
             if not deep:
                 return out
             placed = (rows.where(rest).join(nodes.select("node", "sketch"), "node")
-                      .select("node", "n", "component", F.explode(F.expr(
-                          f"transform(filter(transform(slice({_VALUES}, 1, {LEAD + 2 * (level - 1)}), (x, i) -> named_struct('x', x, 'i', i)),"
-                          " s -> s.i > last), s -> named_struct('key', xxhash64(key, s.x), 'last', s.i))")).alias("x"))
-                      .select("x.key", "x.last", "node", "n", "component"))
+                      .select("start", "tiny", "own", "node", "n", "component", F.explode(F.expr(
+                          f"transform(filter(transform({_VALUES}, (x, i) -> named_struct('x', x, 'i', i)),"
+                          f" s -> s.i > last AND s.i < start + {FURTHER + 2 * level}),"
+                          " s -> named_struct('key', xxhash64(key, s.x), 'last', s.i))")).alias("x"))
+                      .select("x.key", "start", "x.last", "tiny", "own", "node", "n", "component"))
             level += 1
 
     def others(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -324,7 +359,8 @@ class _Search:
         now = self.scratch.table(connected_components(links.unionByName(met), self.scratch, "parts-2"), "parts-2")
         small = rows.join(large, "component", "left_anti").drop("component")
         around = (small.where("crowd IS NOT NULL")              # one list for all lists around a large component
-                  .select(F.xxhash64(F.lit(17), "crowd").alias("key"), F.lit(0).alias("level"), F.lit(SHORT - 1).alias("last"), "node", "n")
+                  .select(F.xxhash64(F.lit(17), "crowd").alias("key"), F.lit(0).alias("level"),
+                          F.lit(0).alias("start"), F.lit(0).alias("last"), F.lit(False).alias("tiny"), F.lit(True).alias("own"), "node", "n")
                   .distinct())
         small = (small.where("crowd IS NULL").drop("crowd").unionByName(around).join(now, "node", "left")
                  .withColumn("component", F.coalesce("component", "node")))
@@ -360,25 +396,27 @@ class _Search:
                 .mapInArrow(_meeter(self.words, self.percent), "a long, b long"))
 
     def _against_all(self, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-        """Estimated pairs of different components in a list: members outside the largest one meet all members."""
+        """Pairs of different components in a list, by the estimate: members outside the largest one meet all members."""
         counts = (rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
                   .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top"))
                   .where("parts > 1"))
         members = (rows.join(counts, "key")
-                   .select("key", "level", "last", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
+                   .select("key", "level", "start", "last", "tiny", "own", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
                            F.ceil((F.col("members") - F.col("top.m")) / SIDE).cast("int").alias("blocks"),
                            F.ceil(F.col("members") / (8 * SIDE)).cast("int").alias("spread"))
-                   .join(nodes.select("node", F.expr(f"substring(sketch, 1, {8 * SHORT})").alias("sketch")), "node")
+                   .join(nodes.select("node", "sketch"), "node")
                    .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
                    .withColumn("spot", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("spread")).cast("int")))
+        told = ["level", "start", "last", "tiny", "own", "asks", "node", "n", "sketch", "component"]
         asking = members.where("asks").select("key", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, spread - 1)")).alias("j"),
-                                              F.lit(0).alias("role"), "level", "last", "node", "n", "sketch", "component")
+                                              F.lit(0).alias("role"), *told)
         meeting = members.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("spot").alias("j"),
-                                 F.lit(1).alias("role"), "level", "last", "node", "n", "sketch", "component")
-        least, share = self.share - 5 * (self.share * (1 - self.share) / SHORT) ** 0.5, self.share
+                                 F.lit(1).alias("role"), *told)
+        least, share = self.least, self.share
         pairs = (asking.unionByName(meeting).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-                 .mapInArrow(lambda batches: _block_pairs(batches, least, share), "a long, b long"))
-        return self.estimated(self.scratch.table(pairs.distinct(), "block-pairs"), nodes)
+                 .withColumn("block", F.xxhash64("key", "i", "j"))
+                 .mapInArrow(lambda batches: _block_pairs(batches, least, share), "a long, b long, block long"))
+        return pairs
 
 
 #: the retained values as an array of 8-byte binaries, least first

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from casespark.llm.fingerprint import edited_fingerprints, fingerprints
 from casespark.llm.minhash_dedup import drop_near_duplicates, near_duplicates
@@ -145,3 +146,56 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
     got = sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in remove_repeats(table(spark, rows)).collect())
     assert got == sorted((i, x) for (i, _), x in zip(rows, brute_repeats(rows)))
     assert remove_repeats(table(spark, [])).collect() == []
+
+
+def crowd(seed, n):
+    """Texts of one template, many of them just under the threshold with each other, and unrelated ones of few words."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(60)]
+    texts = [edited(rng, base, rng.randrange(3, 9)) for _ in range(n // 3)]
+    texts += [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(n // 3)]
+    texts += [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(80, 160))) for _ in range(n // 3)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_near_duplicates_of_crowds_and_short_texts_equal_brute_force(spark, monkeypatch):
+    """Each pair is compared in one block only, whose texts travel once: no link may get lost by that."""
+    import casespark.llm.minhash_dedup as m
+    for name, value in (("BIG", 8), ("SIDE", 16)):
+        monkeypatch.setattr(m, name, value)
+    rows = crowd(4, 240)
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows), words=2).collect()}
+    assert got == components(rows, 2)
+
+
+def test_lists_hardly_grow_by_chance_and_a_pair_is_met_once(spark, tmp_path):
+    """Rows of lists and pairs to estimate: a fault before, when any two of the ten least values made a list."""
+    import casespark.llm.minhash_dedup as m
+    from casespark.llm.shared import Scratch
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"v{int(rng.paretovariate(0.6))}" for _ in range(300))) for i in range(400)]
+    scratch = Scratch(spark, "lists-test")
+    base = table(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    nodes = scratch.table(base.mapInArrow(m._sketcher(2), "id long, n long, d1 long, d2 long, sketch binary")
+                          .select(F.col("id").alias("node"), "n", "sketch"), "nodes")
+    search = m._Search(base, scratch, 2, 80)
+    lists = search.lists(nodes)
+    sketches = {r.node: [r.sketch[8 * k:8 * k + 8] for k in range(10)] for r in nodes.collect()}
+    held = {}
+    for node, v in sketches.items():
+        for x in range(10):
+            for y in range(x):
+                held.setdefault((v[y], v[x]), []).append(node)
+    before = sum(len(x) for x in held.values() if len(x) > 1)
+    assert 4 * lists.count() < before, (lists.count(), before)
+    crowds = crowd(6, 300)
+    base = table(spark, crowds).select(F.col("doc_id").alias("id"), "text")
+    nodes = scratch.table(base.mapInArrow(m._sketcher(2), "id long, n long, d1 long, d2 long, sketch binary").where("n > 0")
+                          .groupBy("n", "d1", "d2", "sketch").agg(F.min("id").alias("node")).select("node", "n", "sketch"), "nodes-2")
+    search = m._Search(base, scratch, 2, 80)
+    parts = nodes.select("node", F.col("node").alias("component")).limit(0)
+    large = spark.createDataFrame([], "component long, size long, low long, high long")
+    rows = search.open_lists(nodes, search.lists(nodes), parts, large).drop("crowd")
+    met = [(r.a, r.b) for r in search._against_all(nodes, rows).collect()]
+    assert met and len(met) == len(set(met))
