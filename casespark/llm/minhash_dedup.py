@@ -439,7 +439,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.table(table.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("node")), "classes")
     nodes = scratch.table(classes.join(table.select(F.col("id").alias("node"), "n", "d1", "d2", "sketch"),
                                        ["node", "n", "d1", "d2"]).select("node", "n", "sketch").dropDuplicates(["node"]), "nodes")
-    search = _Search(base, scratch, words, percent)
+    # each step fetches the texts of its candidates by id: they lie in buckets, so that no step shuffles all texts
+    texts = scratch.bucketed(base.where("id IS NOT NULL"), "texts", "id")
+    search = _Search(texts, scratch, words, percent)
     lists = search.lists(nodes)
     links = scratch.table(search.compare(search.central_pairs(nodes, lists), "central"), "links-1")
     parts = scratch.table(connected_components(links, scratch, "parts-1"), "parts-1")
