@@ -9,7 +9,7 @@ from casespark.operators import clean as C
 from casespark.operators import hierarchy as H
 from casespark.operators.lookup import lookup_members
 from casespark.operators.skew import join_back
-from casespark.sources.json_array import read_json_array
+from casespark.sources.json_array import _moves, read_json_array
 from casespark.sources.readers import read_json_or_lines
 from pyspark.sql import functions as F
 
@@ -57,6 +57,74 @@ def test_array_edges(spark, tmp_path):
     assert [i for i in rows[7] if i is not None] == [6, 7] and rows[8] == [None]
 
 
+def test_element_over_many_batches_and_files(spark, tmp_path):
+    """What is open when an Arrow batch, a split or a file ends is neither lost nor carried to the next file."""
+    want = []
+    for k in range(3):
+        part = [*elements(k, 20), {"i": 100 + k, "s": '}\\"[{' * 200, "l": ["]"] * 50, "o": {"k": "{"}}]
+        want += [(e["i"], e["s"], e["l"], e["o"]["k"]) for e in part]
+        (tmp_path / f"{k}.json").write_text(json.dumps(part))
+    (tmp_path / "open.json").write_text('[{"i": 7, "s": "a", "l": [], "o": {"k": "b"}}, {"i": 8')
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for split in (1 << 20, 500):
+            for k, v in zip(keys, (split, 0, 7)):
+                spark.conf.set(k, v)
+            assert [r for r in as_rows(read_json_array(spark, str(tmp_path), SCHEMA).where("i NOT IN (7, 8)").collect())] == sorted(w for w in want if w[0] not in (7, 8))
+            assert read_json_array(spark, str(tmp_path / "open.json"), SCHEMA).where("i = 7").count() == 1
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
+
+
+def test_moves_of_chunks_are_those_of_their_characters():
+    import pyarrow as pa
+
+    def walk(text, inside):
+        depth, skip = 0, False
+        for c in text:
+            if skip or c == "\\":
+                skip = not skip
+            elif c == '"':
+                inside = not inside
+            elif not inside:
+                depth += (c in "{[") - (c == "]")
+        return inside, depth - (not inside)
+    rng = random.Random(3)
+    for _ in range(300):
+        chunks = ["".join(rng.choice('\\\\\\""{[]aé,\n') for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 20))]
+        skipped = rng.randrange(len(chunks))
+        odd, plain, quoted = _moves(pa.array(chunks).cast(pa.binary()).slice(skipped))
+        got = [((bool(o), int(a)), (not o, int(b))) for o, a, b in zip(odd, plain, quoted)]
+        assert got == [(walk(c, False), walk(c, True)) for c in chunks[skipped:]]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_query_writes_whole_arrays(spark, tmp_path, monkeypatch, adaptive):
+    """Every file of read_json_array is one JSON array that holds its rows once; the log is shuffled by case only."""
+    from casespark.plans import io_q
+    rows = [(k, (k * 7 + n) % 200, k % 10, n, 1.0 * n, "ANR"[n % 3], "FO"[n % 2]) for k in range(400) for n in range(1, 1 + k % 5)]
+    spark.createDataFrame(rows + rows[:50], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                          "l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(io_q.IO, "scratch", lambda _, name: str(tmp_path / name))
+    # joins of large tables: planned with a shuffle, and changed to a broadcast when the sizes are known
+    new = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in io_q.q_read_json_array(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    arrays = [json.loads(f.read_text()) for f in (tmp_path / "log-json").rglob("part-*")]
+    assert sum(1 for a in arrays if a) > 1
+    assert got == sorted((e["case_id"], e["round"], e["line_no"], len(e["response"])) for a in arrays for e in a)
+    want = [(r.case_id, r.round, r.line_no, len(r.response)) for r in io_q.fx.responses(spark, str(tmp_path)).collect()]
+    assert got == sorted(want) and len(want) > 900
+
+
 def test_format_is_found(spark, tmp_path):
     (tmp_path / "a.json").write_text('\n [ {"i": 1},\n {"i": 2}]')
     (tmp_path / "l.json").write_text('{"i": 1}\n{"i": 2}\n')
