@@ -12,10 +12,10 @@
   their full sets.  This is linear in the length of a list.
 * In lists whose members still lie in several components, a member next to a component of ``BIG`` nodes or more meets
   all of that component on full sets, once.  The members of small components are then estimated against each other
-  in blocks, each pair in one of its lists; all lists around one large component count as a single list.  Other
-  lists with over ``LONG`` members outside their largest component are first divided by one more shared value (of the
-  ``FURTHER`` values after the run, then ``FURTHER + 2`` ...), which near duplicates have and documents with one common
-  line do not.
+  in blocks, each pair in one of its lists; all lists around one large component count as a single list.
+* Members of lists that are longer than ``LONG`` leave them for the lists of their rarest values: of two sets that share
+  at least t values, the rarest shared one is among the ``size - t + 1`` rarest of either.  Documents with one common
+  line hold enough values of their own to be in none of these lists, however many have the line.
 """
 
 from __future__ import annotations
@@ -33,12 +33,9 @@ from casespark.llm.shared import Scratch
 from casespark.llm.text_arrays import LOWER, combine, mix, span_hashes, steps, text_buffers, word_spans
 
 SKETCH, RUN, LEAD, TINY, CENTRES, SIDE, SALTS, BIG = 64, 3, 35, 12, 3, 256, 64, 32
-#: by how many further values a list is divided at most, and among how many the first is looked for.  Two sets of up to TINY
-#: values that are similar enough share four at least, so a list of two values may be divided twice
-LEVELS, TINY_LEVELS, FURTHER = 3, 2, 10
-#: members of a list outside its largest component that meet each other as they are: a million estimates in a few blocks
-#: cost less than the rows that dividing the list by further values would make
-LONG = 1024
+#: members of a list outside its largest component that meet each other as they are: the blocks of a longer list would
+#: grow with the square of its length
+LONG = 256
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,52 +143,66 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: float, share: float)
     """Pairs of different components in each (list, block, part): first come its queries, then the members to meet.
 
     However many values two sets share, their pair is estimated once among the lists: in that of their first common run
-    (the values before position ``start`` of a member's sketch; of two values in a ``tiny`` list), in the lower of the
-    size classes that both are in (``own``: the list's is the set's own class), and in a list of ``level`` further shared
-    values, the greatest at position ``last``, only if these are their least ones after ``start``.  Of two that ask, the
-    one of the smaller id does.  A list of ``start`` 0 stands for no values.
+    (the values before position ``start`` of a member's sketch; of two values in a ``tiny`` list), and in the lower of the
+    size classes that both are in (``own``: the list's is the set's own class); in lists of rarest values, in that of the
+    rarest shared one (``before`` holds a member's rarer values, null elsewhere).  Of two that ask, the one of the smaller
+    id does.  A list of ``start`` 0 stands for no run.
     """
-    group, asked, met = None, [], []
-
-    def pairs() -> pa.RecordBatch:
-        a, b, block = [], [], group[0] if group else 0
-        if asked and met:
-            own = [np.frombuffer(r["sketch"], np.uint64) for r in asked]
-            others = [np.frombuffer(r["sketch"], np.uint64) for r in met]
-            longest = np.maximum.outer([len(s) for s in own], [len(s) for s in others])
-            fits = _shared(own, others) >= least * longest       # no estimate is above this share
-            if asked[0]["start"]:
-                seen, twice = (lambda s, r: s[:r["start"]], 2) if asked[0]["tiny"] else (lambda s, r: _runs(s[:r["start"] - 1]), 0)
-                fits &= twice == _shared([seen(s, r) for s, r in zip(own, asked)], [seen(s, r) for s, r in zip(others, met)])
-            if asked[0]["level"]:
-                fits &= asked[0]["level"] == _shared([s[r["start"]:r["last"] + 1] for s, r in zip(own, asked)],
-                                                     [s[r["start"]:r["last"] + 1] for s, r in zip(others, met)])
-
-            def column(name: str) -> tuple[np.ndarray, np.ndarray]:
-                return np.array([r[name] for r in asked])[:, None], np.array([r[name] for r in met])[None]
-
-            (n, m), (c, d), (x, y), (u, v) = column("n"), column("component"), column("node"), column("own")
-            fits &= (c != d) & (np.minimum(n, m) >= share * np.maximum(n, m)) & (u | v) & ((x < y) | ~column("asks")[1])
-            for x, y in zip(*(k.tolist() for k in np.nonzero(fits))):
-                if estimate(own[x], others[y]) >= least:
-                    a.append(min(asked[x]["node"], met[y]["node"]))
-                    b.append(max(asked[x]["node"], met[y]["node"]))
-        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "block": pa.array([block] * len(a), pa.int64())})
+    group, asked, met, found = None, [], [], []
+
+    def sets(side: list[dict], name: str = "sketch") -> list[np.ndarray]:
+        return [np.frombuffer(r[name], np.uint64) for r in side]
+
+    def pairs() -> None:
+        rows, columns = asked, met
+        if not (rows and columns):
+            return
+
+        def column(name: str) -> tuple[np.ndarray, np.ndarray]:
+            return np.array([r[name] for r in rows])[:, None], np.array([r[name] for r in columns])[None]
+
+        def narrowed(fits: np.ndarray) -> tuple[list[dict], list[dict], np.ndarray]:
+            x, y = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+            return [rows[k] for k in x], [columns[k] for k in y], fits[np.ix_(x, y)]
+
+        # what is cheap to tell first: most blocks hold no pair that is worth more
+        (n, m), (c, d), (x, y), (u, v) = column("n"), column("component"), column("node"), column("own")
+        fits = (c != d) & (np.minimum(n, m) >= share * np.maximum(n, m)) & (u | v) & ((x < y) | ~column("asks")[1])
+        rows, columns, fits = narrowed(fits)
+        if rows:
+            longest = np.maximum.outer([len(r["sketch"]) for r in rows], [len(r["sketch"]) for r in columns]) // 8
+            rows, columns, fits = narrowed(fits & (_shared(sets(rows), sets(columns)) >= least * longest))   # no estimate is above this share
+        if rows and rows[0]["start"]:
+            seen, twice = (lambda s, r: s[:r["start"]], 2) if rows[0]["tiny"] else (lambda s, r: _runs(s[:r["start"] - 1]), 0)
+            fits &= twice == _shared(*([seen(s, r) for s, r in zip(sets(side), side)] for side in (rows, columns)))
+        if rows and rows[0]["before"] is not None:
+            fits &= 0 == _shared(sets(rows, "before"), sets(columns, "before"))
+        for x, y in zip(*(k.tolist() for k in np.nonzero(fits))):
+            r, t = rows[x], columns[y]
+            if estimate(*sets([r, t])) >= least:
+                found.append((min(r["node"], t["node"]), max(r["node"], t["node"]), group[0]))
+
+    def batch_of() -> pa.RecordBatch:
+        a, b, block = zip(*found) if found else ((), (), ())
+        found.clear()
+        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "block": pa.array(block, pa.int64())})
 
     for batch in batches:
         for row in batch.to_pylist():
             at = (row["block"], row["i"], row["j"])
             if at != group:
-                yield pairs()
+                pairs()
                 group, asked, met = at, [], []
             if row["role"] == 0:
                 asked.append(row)
             else:
                 met.append(row)
                 if len(met) == SIDE:
-                    yield pairs()
+                    pairs()
                     met = []
-    yield pairs()
+        yield batch_of()
+    pairs()
+    yield batch_of()
 
 
 def _verifier(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -258,6 +269,7 @@ class _Search:
         self.base, self.scratch, self.words, self.percent = base, scratch, words, percent
         self.share = percent / 100
         self.least = self.share - 5 * (self.share * (1 - self.share) / SKETCH) ** 0.5
+        self.size = f"floor(ln(n) / ln({1 / self.share + 1e-9}))"
 
     def lists(self, nodes: DataFrame) -> DataFrame:
         """(key, start, tiny, node, n, members): the lists of a class that another class is in too.
@@ -311,39 +323,53 @@ class _Search:
                 .mapInArrow(lambda batches: _estimates(batches, least), "a long, b long"))
 
     def open_lists(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame, large: DataFrame) -> DataFrame:
-        """(key, level, start, last, tiny, own, node, n, component, crowd): the lists that still hold several components.
+        """(key, start, tiny, own, before, node, n, component, crowd, divided): the lists that still hold several components.
 
         Lists are divided by size first: a set is in the lists of its own size class and of the next, and sets of the
         required similarity, whose sizes differ by less than a class, have one in common.  A list that is mostly one
-        large component stays whole and names it in ``crowd``; other long lists are divided by further shared values.
+        large component stays whole and names it in ``crowd``; members of other long lists meet in the lists of their
+        rarest values, and so do those around a large component that are too many for one list (``divided``).
         """
-        size = f"(ln(n) / ln({1 / self.share + 1e-9}))"
         placed = (lists.where("members > 2").join(parts, "node", "left")   # of two, one was the centre
-                  .withColumn("size", F.explode(F.expr(f"sequence(floor({size}), floor({size}) + 1)")))
-                  .select(F.xxhash64("key", "size").alias("key"), F.expr(f"size = floor({size})").alias("own"), "start", (F.col("start") - 1).alias("last"), "tiny", "node", "n",
+                  .withColumn("size", F.explode(F.expr(f"sequence({self.size}, {self.size} + 1)")))
+                  .select(F.xxhash64("key", "size").alias("key"), F.expr(f"size = {self.size}").alias("own"), "start", "tiny", "node", "n",
                           F.coalesce("component", "node").alias("component")))
-        out, level = None, 0
-        while True:
-            counts = (placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
-                      .agg(F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("outside"), F.max(F.struct("m", "component")).alias("top"))
-                      .where("parts > 1").withColumn("of", F.col("top.component"))
-                      .join(large.select(F.col("component").alias("of"), F.lit(True).alias("big")), "of", "left")
-                      .select("key", "outside", F.when(F.expr("big AND 4 * top.m >= outside"), F.col("of")).alias("crowd")))
-            rows = self.scratch.table(placed.join(counts, "key"), f"open-{level}")
-            rest = f"outside > {LONG} AND crowd IS NULL" + (" AND NOT tiny" if level >= TINY_LEVELS else "")
-            deep = level < LEVELS and rows.where(rest).limit(1).count() > 0
-            here = (rows.where(f"NOT ({rest})") if deep else rows).select(
-                "key", F.lit(level).alias("level"), "start", "last", "tiny", "own", "node", "n", "component", "crowd")
-            out = here if out is None else out.unionByName(here)
-            if not deep:
-                return out
-            placed = (rows.where(rest).join(nodes.select("node", "sketch"), "node")
-                      .select("start", "tiny", "own", "node", "n", "component", F.explode(F.expr(
-                          f"transform(filter(transform({_VALUES}, (x, i) -> named_struct('x', x, 'i', i)),"
-                          f" s -> s.i > last AND s.i < start + {FURTHER + 2 * level}),"
-                          " s -> named_struct('key', xxhash64(key, s.x), 'last', s.i))")).alias("x"))
-                      .select("x.key", "start", "x.last", "tiny", "own", "node", "n", "component"))
-            level += 1
+        counts = (placed.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key")
+                  .agg(F.count("*").alias("parts"), (F.sum("m") - F.max("m")).alias("outside"), F.max(F.struct("m", "component")).alias("top"))
+                  .where("parts > 1").withColumn("of", F.col("top.component"))
+                  .join(large.select(F.col("component").alias("of"), F.lit(True).alias("big")), "of", "left")
+                  .select("key", "outside", F.when(F.expr("big AND 4 * top.m >= outside"), F.col("of")).alias("crowd")))
+        rows = self.scratch.table(placed.join(counts, "key").withColumn("before", F.lit(None).cast("binary")), "open")
+        around = self.scratch.table(
+            rows.where("crowd IS NOT NULL").join(large, "component", "left_anti").select("crowd", "node", "n", "component").distinct(), "around")
+        many = self.scratch.table(around.groupBy("crowd").count().where(f"count > {LONG}").select("crowd"), "many")
+        rest = f"outside > {LONG} AND crowd IS NULL"
+        members = self.scratch.table(
+            rows.where(rest).select("node", "n", "component")
+            .unionByName(around.join(many, "crowd", "left_semi").select("node", "n", "component")).distinct(), "members")
+        return (rows.where(f"NOT ({rest})").drop("outside").join(many.withColumn("divided", F.lit(True)), "crowd", "left")
+                .unionByName(self.rarest(nodes, members), allowMissingColumns=True))
+
+    def rarest(self, nodes: DataFrame, members: DataFrame) -> DataFrame:
+        """The lists of ``members`` (node, n, component) by their rarest values that another member has too.
+
+        Sets whose likely partners are retained whole share ``percent`` of their values, others as many retained ones as
+        the estimate asks for; values of a single member are the rarest and make no list."""
+        values = self.scratch.table(
+            members.join(nodes.select("node", "sketch"), "node")
+            .select("node", "n", "component", F.size(F.expr(_VALUES)).alias("held"), F.explode(F.expr(_VALUES)).alias("x")), "values")
+        often = values.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
+        least = (f"if(n <= {SKETCH} * {self.percent} div 100, cast((n * {self.percent} + 99) div 100 AS int),"
+                 f" cast(ceil(held * {max(self.least, 0)!r}D - 1e-9D) AS int))")
+        shared = (values.join(often, "x").groupBy("node", "n", "component", "held")
+                  .agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("v"))
+                  .withColumn("v", F.expr(f"slice(transform(v, s -> s.x), 1, greatest(size(v) - greatest({least}, 1) + 1, 0))")))
+        rows = (shared.select("node", "n", "component", "v", F.posexplode("v").alias("i", "x"))
+                .withColumn("size", F.explode(F.expr(f"sequence({self.size}, {self.size} + 1)")))
+                .select(F.xxhash64(F.lit(19), "x", "size").alias("key"), F.lit(0).alias("start"), F.lit(False).alias("tiny"),
+                        F.expr(f"size = {self.size}").alias("own"), F.expr("aggregate(slice(v, 1, i), X'', (a, x) -> concat(a, x))").alias("before"), "node", "n", "component"))
+        several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return self.scratch.table(rows.join(several.select("key"), "key", "left_semi"), "rarest")
 
     def others(self, nodes: DataFrame, lists: DataFrame, parts: DataFrame, links: DataFrame) -> DataFrame:
         """Links between components that no centre has joined, from the lists that still hold several of them.
@@ -358,11 +384,11 @@ class _Search:
         met = self.scratch.table(self.meet(self._touching(rows, large), parts, large), "links-2")
         now = self.scratch.table(connected_components(links.unionByName(met), self.scratch, "parts-2"), "parts-2")
         small = rows.join(large, "component", "left_anti").drop("component")
-        around = (small.where("crowd IS NOT NULL")              # one list for all lists around a large component
-                  .select(F.xxhash64(F.lit(17), "crowd").alias("key"), F.lit(0).alias("level"),
-                          F.lit(0).alias("start"), F.lit(0).alias("last"), F.lit(False).alias("tiny"), F.lit(True).alias("own"), "node", "n")
+        around = (small.where("crowd IS NOT NULL AND divided IS NULL")     # one list for all lists around a large component
+                  .select(F.xxhash64(F.lit(17), "crowd").alias("key"), F.lit(0).alias("start"), F.lit(False).alias("tiny"), F.lit(True).alias("own"),
+                          F.lit(None).cast("binary").alias("before"), "node", "n")
                   .distinct())
-        small = (small.where("crowd IS NULL").drop("crowd").unionByName(around).join(now, "node", "left")
+        small = (small.where("crowd IS NULL").drop("crowd", "divided").unionByName(around).join(now, "node", "left")
                  .withColumn("component", F.coalesce("component", "node")))
         return met.unionByName(self.compare(self._against_all(nodes, small), "other"))
 
@@ -401,13 +427,13 @@ class _Search:
                   .agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top"))
                   .where("parts > 1"))
         members = (rows.join(counts, "key")
-                   .select("key", "level", "start", "last", "tiny", "own", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
+                   .select("key", "start", "tiny", "own", "before", "node", "n", "component", (F.col("component") != F.col("top.component")).alias("asks"),
                            F.ceil((F.col("members") - F.col("top.m")) / SIDE).cast("int").alias("blocks"),
                            F.ceil(F.col("members") / (8 * SIDE)).cast("int").alias("spread"))
                    .join(nodes.select("node", "sketch"), "node")
                    .withColumn("mine", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
                    .withColumn("spot", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("spread")).cast("int")))
-        told = ["level", "start", "last", "tiny", "own", "asks", "node", "n", "sketch", "component"]
+        told = ["start", "tiny", "own", "before", "asks", "node", "n", "sketch", "component"]
         asking = members.where("asks").select("key", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, spread - 1)")).alias("j"),
                                               F.lit(0).alias("role"), *told)
         meeting = members.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("spot").alias("j"),

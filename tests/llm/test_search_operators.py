@@ -80,6 +80,26 @@ def test_long_lists_are_divided_without_loss(spark, monkeypatch):
     assert got == components(rows, 2)
 
 
+def test_documents_with_one_common_line_meet_in_short_lists(spark, tmp_path, monkeypatch):
+    """A fault before: the long lists of a common line, divided by more values of that line, stayed long."""
+    import casespark.llm.minhash_dedup as m
+    from casespark.llm.shared import Scratch
+    monkeypatch.setattr(m, "LONG", 20)
+    line = " ".join(f"line{k}" for k in range(12))
+    rows = [(i, f"{line} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(300)]
+    rows += [(1000 + i, t + f" end{i}") for i, t in rows[::10]] + [(2000 + i, f"{line} only{i}") for i in range(10)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows), words=2).collect()}
+    assert got == components(rows, 2)
+    scratch = Scratch(spark, "common-line-test")
+    base = table(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    nodes = scratch.table(base.mapInArrow(m._sketcher(2), "id long, n long, d1 long, d2 long, sketch binary")
+                          .select(F.col("id").alias("node"), "n", "sketch"), "nodes")
+    search = m._Search(base, scratch, 2, 80)
+    parts = nodes.select("node", F.col("node").alias("component")).limit(0)
+    lists = search.open_lists(nodes, search.lists(nodes), parts, spark.createDataFrame([], "component long, size long, low long, high long"))
+    assert max(r["count"] for r in lists.groupBy("key").count().collect()) <= 2 * m.LONG
+
+
 def test_near_duplicates_edge_tables(spark):
     assert near_duplicates(table(spark, [])).collect() == []
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (3, None)]
