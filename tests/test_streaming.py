@@ -50,3 +50,21 @@ def test_replayed_rows_change_nothing(spark, tmp_path):
     arrive(tmp_path / "in", "b.json", [(1, 5, True), (2, 6, True)])          # the same lines again
     again, _ = run(spark, tmp_path, "one_match")
     assert first == again
+
+
+def test_log_history_and_state_lie_compressed(spark, tmp_path, monkeypatch):
+    """A fault before: the log lay as plain text, several times the rest of what the query writes."""
+    import pyarrow.parquet as pq
+
+    import casespark.plans.io_q as q
+    from casespark.plans.registry import all_queries
+    codes = [[f"{(97 * case + 25 * k) % 100000:05d}" for k in range(10)] for case in range(2000)]
+    rows = [(case, 1, "m", False, 0.0, 2 * case, json.dumps({"top10": c, "predictions": c[:1]}), 1, 1, 1, None) for case, c in enumerate(codes)]
+    monkeypatch.setattr(q.fx, "responses", lambda spark, d: spark.createDataFrame(rows, q.LOG_SCHEMA))
+    monkeypatch.setattr(q.IO, "scratch", lambda spark, name: str(tmp_path / name))
+    got = sorted((r.case_id, r.line_no, r.ranked, r.final) for r in all_queries()["ingest_responses"](spark, "unused").collect())
+    assert got == [(case, 2 * case, ",".join(c), c[0]) for case, c in enumerate(codes)]
+    log = [f for f in (tmp_path / "ingest" / "in").rglob("part-*")]
+    assert 2 * sum(f.stat().st_size for f in log) < sum(len(r[6]) for r in rows)
+    for f in (tmp_path / "ingest" / "out").rglob("*.parquet"):
+        assert pq.ParquetFile(f).metadata.row_group(0).column(4).compression == "ZSTD"
